@@ -35,6 +35,11 @@ def word_array(text: Column) -> Column:
     return F.filter(F.split(lowered(text), SPACE), lambda w: w != "")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value worked out once: what a lambda names from outside itself is worked out again at each step."""
+    return F.transform(F.array(value), body)[0]
+
+
 def remainder(doc_id: Column, m: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(m))
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vicinia.llm.common import keep_ids, materialize, word_array
+from vicinia.llm.common import keep_ids, let, materialize, word_array
 
 #: Fingerprints up to so many bits apart are candidates. Half the words of a window may differ before an item is likely to be missed.
 RADIUS = 19
@@ -24,8 +24,12 @@ BLOCKS, BITS = 4, 16
 def shingles(words: Column, k: int | Column) -> Column:
     """Hashes of the k-word shingles of a word array, in order; empty if it has fewer words."""
     k = F.lit(k) if isinstance(k, int) else k
-    last = F.size(words) - k + 1
-    return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, k)))).otherwise(F.array().cast("array<bigint>"))
+
+    def of(w: Column) -> Column:
+        last = F.size(w) - k + 1
+        return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, k)))).otherwise(F.array().cast("array<bigint>"))
+
+    return let(words, of)
 
 
 def simhashes(df: DataFrame, key: str, words: str) -> DataFrame:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vicinia.llm.common import let
+
 ROUNDS = 8
 #: The Gregorian cycle has 146097 = 189 * 773 days; the one that pseudonyms stay in begins here.
 CYCLE_START, CYCLE_A, CYCLE_B = "1800-01-01", 189, 773
@@ -85,19 +87,20 @@ def _number(digits: Column, key: str, kind: str, reverse: bool) -> Column:
 
 
 def _card(m: Column, key: str, reverse: bool) -> Column:
-    d = _digits(m)
-    ok = F.pmod(_luhn_sum(d, 1), F.lit(10)) == 0
-    body = _number(F.substring(d, F.lit(1), F.length(d) - 1), key, "card", reverse)
-    check = F.pmod(10 - F.pmod(_luhn_sum(body, 0), F.lit(10)), F.lit(10)).cast("string")
-    return F.when(ok, _refilled(m, F.concat(body, check)))
+    def of(d: Column) -> Column:
+        body = _number(F.substring(d, F.lit(1), F.length(d) - 1), key, "card", reverse)
+        checked = let(body, lambda b: F.concat(b, F.pmod(10 - F.pmod(_luhn_sum(b, 0), F.lit(10)), F.lit(10)).cast("string")))
+        return F.when(F.pmod(_luhn_sum(d, 1), F.lit(10)) == 0, let(checked, lambda c: _refilled(m, c)))
+
+    return let(_digits(m), of)
 
 
 def _phone(m: Column, key: str, reverse: bool) -> Column:
-    """The country code stays; so do the digits that are not subscriber data in a format: none."""
+    """The country code stays."""
     code = F.regexp_extract(m, r"^\+\d{1,3}(?=[ .(-])", 0)
     code = F.when(code == "", F.substring(m, 1, 2)).otherwise(code)
     rest = F.substring(m, F.length(code) + 1, F.length(m))
-    return F.concat(code, _refilled(rest, _number(_digits(rest), key, "phone", reverse)))
+    return F.concat(code, let(let(_digits(rest), lambda d: _number(d, key, "phone", reverse)), lambda d: _refilled(rest, d)))
 
 
 def _ip(m: Column, key: str, reverse: bool) -> Column:
@@ -149,7 +152,7 @@ def _email(m: Column, key: str, reverse: bool) -> Column:
     """The part before @ as a Feistel network over its two halves of characters; the host stays."""
     at = F.locate("@", m)
     name, host = F.substring(m, F.lit(1), at - 1), F.substring(m, at, F.length(m))
-    half = F.ceil(F.length(name) / 2).cast("int")
+    half = F.ceil(F.length(name) / 2).cast("int")  # a name of one character is only shifted
     start = F.struct(F.substring(name, F.lit(1), half).alias("l"), F.substring(name, half + 1, F.length(name)).alias("r"))
     sign = -1 if reverse else 1
     mac = lambda i, x: F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), i.cast("string"), x), 256)

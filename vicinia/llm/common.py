@@ -70,6 +70,12 @@ def keep_ids(df: DataFrame, ids: DataFrame, column: str, n_ids: int | None = Non
     return df.join(F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids.hint("shuffle_merge"), column, "left_semi")
 
 
+def drop_ids(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """Left-anti join, sized like keep_ids; rows with a null id stay."""
+    ids = materialize(ids.select(column).where(F.col(column).isNotNull()).distinct(), "ids")
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("shuffle_merge"), column, "left_anti").select(*df.columns)
+
+
 def partitions_for(spark: SparkSession, rows: float, rows_each: float) -> int:
     """A partition count that follows the data, at least the session's own."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(rows // rows_each) + 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vicinia.llm import decontaminate, embed_dedup, jaccard_join, mixing, pii, token_count, url_filter
+from vicinia.llm import brown_lm, decontaminate, embed_dedup, jaccard_join, mixing, pii, quality, token_count, toxicity, url_filter
 from vicinia.llm.common import load, remainder
 
 TOKENIZER_FILE = "piece_bpe_32k.model"
@@ -49,10 +49,19 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_captures(seen, list_entries(seen))
 
 
+def op2_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.class_model_scores(load(spark, sf_dir, "documents"))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(load(spark, sf_dir, "documents"))
 
 
+def op4_quality_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.quality(load(spark, sf_dir, "documents").select("doc_id", "text"), quality.graded(load(spark, sf_dir, "labels")))
+    return scored.select("doc_id", "held_out", "expected_grade", "p_keep", "predicted_grade", "keep")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
@@ -61,6 +70,10 @@ def op6_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymize(load(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
 
 
+def op7_toxicity_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(load(spark, sf_dir, "documents").select("doc_id", "text"), load(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -75,5 +88,5 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(load(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op3_ngram_jaccard, op5_decontaminate, op6_pii_feistel, op8_token_counts, op9_mix_sources, op10_embedding_dedup)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_brown_lm, op3_ngram_jaccard, op4_quality_ordinal, op5_decontaminate, op6_pii_feistel, op7_toxicity_gru, op8_token_counts, op9_mix_sources, op10_embedding_dedup)}
 ORACLES: dict[str, str] = {}

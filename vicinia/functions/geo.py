@@ -77,8 +77,14 @@ def radius_polygon(lat: Column, lon: Column, radius_m: Column, points: int = 72,
 
 def path_length(path: Column) -> Column:
     """Meters along an array of (lat, lon)."""
-    legs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(path) - 1, F.lit(1))), lambda i: F.when(F.size(path) > 1, haversine(path[i - 1]["lat"], path[i - 1]["lon"], F.get(path, i)["lat"], F.get(path, i)["lon"])).otherwise(0.0))
-    return F.aggregate(legs, F.lit(0.0), lambda a, x: a + x)
+
+
+    def step(s: Column, p: Column) -> Column:
+        d = F.when(s["at"].isNull(), 0.0).otherwise(haversine(s["at"]["lat"], s["at"]["lon"], p["lat"], p["lon"]))
+        return F.struct((s["sum"] + d).alias("sum"), p.alias("at"))
+
+    nowhere = F.lit(None).cast("struct<lat:double,lon:double>")
+    return F.aggregate(path, F.struct(F.lit(0.0).alias("sum"), nowhere.alias("at")), step)["sum"]
 
 
 def path_upto(path: Column, meters: Column) -> Column:
@@ -112,10 +118,10 @@ def near_pairs(points: DataFrame, meters: float, key: str = "id") -> DataFrame:
     band = F.floor(F.col("lat") / dlat)
     p = points.where(valid_point(F.col("lat"), F.col("lon"))).select(F.col(key).alias("id"), "lat", "lon").withColumn("band", band)
     width = lambda b: dlat / F.greatest(F.lit(0.01), F.cos(F.radians(F.least(F.lit(89.0), F.greatest(F.abs((b - 2) * dlat), F.abs((b + 3) * dlat))))))
-    near = F.explode(F.array(*[F.lit(x) for x in (-1, 0, 1)]))
+    around = F.array(*[F.lit(x) for x in (-1, 0, 1)])
     left = p.withColumn("by", F.col("band")).withColumn("col", F.floor(F.col("lon") / width(F.col("by"))))
-    right = p.withColumn("by", F.col("band") + near).withColumn("col", F.floor(F.col("lon") / width(F.col("by"))))
-    right = right.withColumn("col", F.col("col") + near)
+    right = p.withColumn("dy", F.explode(around)).withColumn("by", F.col("band") + F.col("dy")).withColumn("dx", F.explode(around))
+    right = right.withColumn("col", F.floor(F.col("lon") / width(F.col("by"))) + F.col("dx"))
     l, r = (x.select(F.col("by"), F.col("col"), F.col("id").alias(f"id{k}"), F.col("lat").alias(f"lat{k}"), F.col("lon").alias(f"lon{k}")) for k, x in ((1, left), (2, right)))
     d = haversine(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
     return l.join(r, ["by", "col"]).where("id1 < id2").withColumn("distance_m", d).where(F.col("distance_m") <= meters).select("id1", "id2", "distance_m")

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import importlib
 
-def _modules():
-    return []
+MODULES = ("text_geo", "merging")
+
+
+def _registries():
+    return [importlib.import_module(f"vicinia.plans.{m}").query for m in MODULES]
 
 
 def queries() -> dict:
-    return {k: v for m in _modules() for k, v in m.QUERIES.items()}
+    return {k: v for r in _registries() for k, v in r.queries.items()}
 
 
 def oracle_sql() -> dict:
-    return {k: v for m in _modules() for k, v in m.ORACLES.items()}
+    return {k: v for r in _registries() for k, v in r.oracles.items()}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("text_geo", "merging")
+MODULES = ("text_geo", "merging", "search")
 
 
 def _registries():

@@ -14,7 +14,7 @@ from vicinia.sources.tables import candidates, establishments, load, products, v
 
 query = Registry()
 LEX = s.Lexicon(generic=["misc"], broad=["food", "snow"], typos={}, service_parts=["repair", "mending"], service_words=["haircut"], service_verbs=["fix", "mend"], service_objects=["phone", "bike"], location_words=["near", "me", "in"])
-QUERIES_ = ["dark blue", "blue", "dark red smog", "light", "smog ivory", "mint", "snow", "misc", "fix my phone", "phone repair", "haircut", "azure", "pale sky", "ivry", "dim"]
+QUERIES_ = ["blue anvil", "blue", "cold bolts", "light", "large gear", "ring", "snow", "misc", "fix my phone", "phone repair", "haircut", "gizmoo", "hot plate xl", "rod", "dim widget"]
 VALUES = "q(query) as (values " + ", ".join(f"('{x}')" for x in QUERIES_) + ")"
 
 
@@ -89,13 +89,13 @@ def match_services_scored(spark, sf_dir):
     return s.match_services(_queries(spark), products(spark, sf_dir).where("id % 20 = 0").select(F.col("id").alias("service_id"), F.col("normalized_name").alias("name")))
 
 
-_DUP = "select group_ as \"group\", term, n from (select lower(p_type) as group_, lower(p_name) as term, count(*) as n from part group by 1, 2) where n > 40"
+_DUP = "select group_ as \"group\", term, n from (select lower(p_type) as group_, lower(p_name) as term, count(*) as n from part group by 1, 2) where n > 8"
 
 
 @query(_DUP)
 def vocab_lint(spark, sf_dir):
     """G-A24: terms that repeat within a group."""
-    return products(spark, sf_dir).groupBy(F.col("product_group").alias("group"), F.col("normalized_name").alias("term")).agg(F.count("*").alias("n")).where("n > 40")
+    return products(spark, sf_dir).groupBy(F.col("product_group").alias("group"), F.col("normalized_name").alias("term")).agg(F.count("*").alias("n")).where("n > 8")
 
 
 SERVING_WITH = f"{MERGED_WITH}, srv as (select mrg.*, est.name, district, lat, lon, osm_category, app_category, freshness as est_freshness, opening_hours, website, normalized_name, product_group, priority from mrg join est on est.id = establishment_id join prod on prod.id = product_id where validation_status <> 'rejected' and active_status in ('active', 'temporarily_closed') and not closed_candidate and duplicate_of is null)"
@@ -123,13 +123,13 @@ def serving_counts(spark, sf_dir):
     return out
 
 
-Q, LAT, LON, R = "dark blue", 52.5, 13.4, 9000.0
+Q, LAT, LON, R = "blue anvil", 52.5, 13.4, 9000.0
 _BOX = "lat between 52.5e0 - 9000e0/111320e0 and 52.5e0 + 9000e0/111320e0 and abs(lon - 13.4e0) <= 9000e0 / (111320e0 * cos(radians(52.5e0)))"
 _MIN = "case primary_source when 'merchant_added' then 0 when 'website_extracted' then 0.33 when 'ai_generated' then 0.44 when 'rules_generated' then 0.53 else 0.28 end"
-_NC = "(contains(normalized_name, 'dark blue') or contains('dark blue', normalized_name))"
-_RANK = f"case when normalized_name = 'dark blue' then 100000 when {_NC} then 50000 when {sql_phrase(chr(39) + 'dark blue' + chr(39), 'normalized_name')} then 8000 else 0 end + 2000 * cast(confidence as double) + case validation_status when 'validated' then 1500 when 'likely' then 700 when 'rejected' then -10000 else 0 end + 230 * {_SR.format('primary_source')} + 280 * est_freshness - case when osm_category in ('mall', 'department_store') then 1800 else 0 end - m - 2"
+_NC = "(contains(normalized_name, 'blue anvil') or contains('blue anvil', normalized_name))"
+_RANK = f"case when normalized_name = 'blue anvil' then 100000 when {_NC} then 50000 when {sql_phrase(chr(39) + 'blue anvil' + chr(39), 'normalized_name')} then 8000 else 0 end + 2000 * cast(confidence as double) + case validation_status when 'validated' then 1500 when 'likely' then 700 when 'rejected' then -10000 else 0 end + 230 * {_SR.format('primary_source')} + 280 * est_freshness - case when osm_category in ('mall', 'department_store') then 1800 else 0 end - m - 2"
 _FP = "concat(trim(regexp_replace(lower(name), '\\s+', ' ', 'g')), '|', cast(floor(lat * 10000 + 0.5) as bigint), '|', cast(floor(lon * 10000 + 0.5) as bigint))"
-_SEARCH = f"{SERVING_WITH}, pre as (select * from srv where {_BOX} order by confidence desc, last_checked_at desc, establishment_id, product_id limit 450), hit as (select *, case when product_id in (3, 7, 12) then 2 when product_group in ('promo', 'economy', 'standard', 'small', 'large', 'medium') then 1 when contains(normalized_name, 'dark blue') then 0 end as strategy, {hav('52.5e0', '13.4e0', 'lat', 'lon')} as m from pre), ok as (select * from hit where strategy is not null and (strategy > 0 or (select count(*) from hit where strategy > 0) < 110) and confidence >= {_MIN} and m <= 9000), rk as (select *, {_RANK} as rank from ok), dd as (select *, row_number() over (partition by {_FP} order by rank desc, establishment_id, product_id) as rn from rk)"
+_SEARCH = f"{SERVING_WITH}, pre as (select * from srv where {_BOX} order by confidence desc, last_checked_at desc, establishment_id, product_id limit 450), hit as (select *, case when product_id in (3, 7, 12) then 2 when product_group in ('promo', 'economy', 'standard', 'small', 'large', 'medium') then 1 when contains(normalized_name, 'blue anvil') then 0 end as strategy, {hav('52.5e0', '13.4e0', 'lat', 'lon')} as m from pre), ok as (select * from hit where strategy is not null and (strategy > 0 or (select count(*) from hit where strategy > 0) < 110) and confidence >= {_MIN} and m <= 9000), rk as (select *, {_RANK} as rank from ok), dd as (select *, row_number() over (partition by {_FP} order by rank desc, establishment_id, product_id) as rn from rk)"
 
 
 @query(f"{_SEARCH} select establishment_id, product_id, round(m, 1) as distance_m, round(rank, 2) as rank, strategy from dd where rn = 1 order by dd.rank desc, establishment_id, product_id limit 80")
@@ -171,7 +171,7 @@ def group_fallback_guard(spark, sf_dir):
     return g.select("establishment_id", "product_id", keep.alias("keep"))
 
 
-_SRANK = f"case when normalized_name = 'dark blue' then 92000 when {_NC} then 46000 when {sql_phrase(chr(39) + 'dark blue' + chr(39), 'normalized_name')} then 8000 else 0 end + 2000 * cast(confidence as double) + case validation_status when 'validated' then 1500 when 'likely' then 700 else 0 end + 220 * {_SR.format('primary_source')} - m - 2"
+_SRANK = f"case when normalized_name = 'blue anvil' then 92000 when {_NC} then 46000 when {sql_phrase(chr(39) + 'blue anvil' + chr(39), 'normalized_name')} then 8000 else 0 end + 2000 * cast(confidence as double) + case validation_status when 'validated' then 1500 when 'likely' then 700 else 0 end + 220 * {_SR.format('primary_source')} - m - 2"
 
 
 @query(f"{SERVING_WITH}, m as (select *, {hav('52.5e0', '13.4e0', 'lat', 'lon')} as m from srv where confidence >= 0.7 and (primary_source <> 'rules_generated' or confidence >= 0.78) and establishment_id % 5 <> 0) select establishment_id, product_id, round({_SRANK}, 2) as rank from m where m <= 9000 order by {_SRANK} desc, establishment_id, product_id limit 80")
@@ -214,10 +214,10 @@ def establishment_page(spark, sf_dir):
     return s.page(establishments(spark, sf_dir), ["name", "id"], 40, 20).select("id", "name", "total")
 
 
-@query(f"{views('est', 'cand')}, k as (select establishment_id, count(distinct product_id) as n from cand group by 1) select id, lat, lon, coalesce(n, 0) as n_products from est left join k on id = establishment_id where active_status = 'active' and district ilike '%an%' and contains(app_category, 'o') order by id desc limit 200")
+@query(f"{views('est', 'cand')}, k as (select establishment_id, count(distinct product_id) as n from cand group by 1) select id, lat, lon, coalesce(n, 0) as n_products from est left join k on id = establishment_id where active_status = 'active' and district ilike '%1%' and contains(app_category, 'o') order by id desc limit 200")
 def map_points(spark, sf_dir):
     k = candidates(spark, sf_dir).groupBy(F.col("establishment_id").alias("id")).agg(F.countDistinct("product_id").alias("n_products"))
-    return s.map_points(establishments(spark, sf_dir), k, "an", "o", 100).select("id", "lat", "lon", "n_products")
+    return s.map_points(establishments(spark, sf_dir), k, "1", "o", 100).select("id", "lat", "lon", "n_products")
 
 
 _T2 = "t as (select p_partkey as id, lower(p_name) as term, p_size as priority from part where p_partkey % 25 = 0)"

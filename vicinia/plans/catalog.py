@@ -48,7 +48,7 @@ def sync_groups(spark, sf_dir):
     return k.sync_groups(p).select("p_partkey", "group_key", "family_slug")
 
 
-@query("select user_id % 50 as run_id, count(*) as items, count(*) filter (where event_type = 'error') as failed, case when count(*) filter (where event_type = 'error') = count(*) then 'failed' else 'done' end as status from events where user_id % 50 < 40 group by 1 union all select r, null, null, 'empty' from range(40, 50) t(r)")
+@query("select r as run_id, items, failed, case when items is null then 'empty' when failed = items then 'failed' else 'done' end as status from range(0, 50) t(r) left join (select user_id % 50 as run_id, count(*) as items, count(*) filter (where event_type = 'error') as failed from events where user_id % 50 < 40 group by 1) on run_id = r")
 def run_tracking(spark, sf_dir):
     i = load(spark, sf_dir, "events").where("user_id % 50 < 40").select((F.col("user_id") % 50).alias("run_id"), F.when(F.col("event_type") == "error", "failed").otherwise("ok").alias("status"), F.col("value").alias("cost"))
     return k.finish_runs(spark.range(50).select(F.col("id").alias("run_id")), i).select("run_id", "items", "failed", "status")

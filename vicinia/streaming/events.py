@@ -45,8 +45,9 @@ def split_failed(events: DataFrame, searches: str, failed: str, checkpoint: str)
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def rate_limit(events: DataFrame, key: str, at: str, seconds: int = 60, most: int = 120) -> DataFrame:
-    """(event_id, key, allowed). A key's window opens at its first event and lasts `seconds`, so it is state of its own, not window()."""
+def rate_limit(events: DataFrame, key: str, at: str, seconds: int = 60, most: int = 120, late: str = "1 hour") -> DataFrame:
+    """(event_id, key, allowed). A key's window opens at its first event and lasts `seconds`, so it is state of its own, not window().
+    A key's state goes once the watermark has passed its window."""
     us = seconds * 1_000_000
 
     def count(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -60,8 +61,8 @@ def rate_limit(events: DataFrame, key: str, at: str, seconds: int = 60, most: in
             opened, n = (t, 1) if opened is None or t >= opened + us else (opened, n + 1)
             ok.append(n <= most)
         state.update((int(opened), int(n)))
-        state.setTimeoutDuration(seconds * 1000)
+        state.setTimeoutTimestamp(max((int(opened) + us) // 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"event_id": rows["event_id"], key: rows[key], "allowed": ok})
 
-    e = events.select("event_id", key, F.unix_micros(F.col(at).cast("timestamp")).alias("_us"))
-    return e.groupBy(key).applyInPandasWithState(count, f"event_id long, {key} {e.schema[key].dataType.simpleString()}, allowed boolean", "opened long, n int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    e = events.withColumn("_at", F.col(at).cast("timestamp")).withWatermark("_at", late).select("event_id", key, "_at", F.unix_micros("_at").alias("_us"))
+    return e.groupBy(key).applyInPandasWithState(count, f"event_id long, {key} {e.schema[key].dataType.simpleString()}, allowed boolean", "opened long, n int", "append", GroupStateTimeout.EventTimeTimeout)

@@ -128,10 +128,18 @@ def quality(docs: DataFrame, grades: DataFrame, keep_from: int = 1, keep_above:
     empty and blank texts by their length alone. Without grades each text gets even odds of all grades. No rows give none."""
     spark = docs.sparkSession
     ids = grades.where(remainder(F.col("doc_id"), 5) != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    got = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "grade").toArrow()
-    rows = sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), got.column(2).to_pylist(), strict=True), key=lambda x: (x[0], x[1] or ""))
-    f = Features()
-    m = train([rows_of(t, f) for _, t, _ in rows], np.array([g for _, _, g in rows], np.int64))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "grade")
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = Features()
+        got = [(i, g, rows_of(t, f)) for b in batches for i, t, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+        got.sort(key=lambda x: (x[0], x[1], x[2].tobytes()))
+        m = train([x for _, _, x in got], np.array([g for _, g, _ in got], np.int64))
+        yield pa.RecordBatch.from_pydict({"w": pa.array([m.w.tobytes()], pa.binary()), "first": pa.array([m.first]), "steps": pa.array([[float(x) for x in m.steps]])})
+
+    # The sample is bounded, so one task trains; the weights come to the driver.
+    fitted = rows.repartition(1).mapInArrow(fit, "w binary, first double, steps array<double>").collect()
+    m = Ordinal(np.frombuffer(fitted[0]["w"], np.float32), fitted[0]["first"], np.array(fitted[0]["steps"])) if fitted else train([], np.zeros(0, np.int64))
     model_bc = spark.sparkContext.broadcast((m.w, m.first, m.steps))
     docs = docs.drop("held_out", "expected_grade", "p_keep", "predicted_grade", "keep")
     at = docs.columns.index("text")

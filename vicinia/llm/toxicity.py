@@ -9,6 +9,7 @@ words and n-grams in the training rows, and all of them are trained.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 
@@ -345,13 +346,23 @@ class Scorer:
         return self.scores(texts)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[tuple[str | None, int]]:
-    """At most `sample` labelled rows by hash of doc_id, out of those whose crc32(doc_id) mod 5 is not 0."""
+def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int = 5) -> dict[str, np.ndarray]:
+    """Parameters from at most `sample` labelled rows by hash of doc_id, out of those whose crc32(doc_id) mod 5 is not 0.
+
+    The sample is bounded, so one task trains; only the parameters come to the driver, in pieces of a megabyte."""
     marked = labels.where("toxic in (0, 1) and doc_id is not null").where(remainder(F.col("doc_id"), 5) != 0).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     ids = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    got = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic").toArrow()
-    rows = sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), got.column(2).to_pylist(), strict=True), key=lambda x: (x[0], x[1] or ""))
-    return [(t, y) for _, t, y in rows]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic")
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [x for b in batches for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+        got.sort(key=lambda x: (x[0], x[1] or ""))
+        blob = pickle.dumps(train([(t, y) for _, t, y in got], epochs).p)
+        for i in range(0, len(blob), 1 << 20):
+            yield pa.RecordBatch.from_pydict({"i": pa.array([i], pa.int64()), "part": pa.array([blob[i : i + (1 << 20)]], pa.binary())})
+
+    parts = rows.repartition(1).mapInArrow(fit, "i long, part binary").collect()
+    return pickle.loads(b"".join(bytes(r["part"]) for r in sorted(parts, key=lambda r: r["i"]))) if parts else train([]).p
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int = 5) -> DataFrame:
@@ -361,7 +372,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: i
     labels needs doc_id and toxic; where a doc_id is labelled both ways it counts as toxic, labels outside 0 and 1 are void. Without
     labels of both kinds each text gets the base rate. An empty table gives no rows. No column but text enters a score."""
     spark = docs.sparkSession
-    net_bc = spark.sparkContext.broadcast(train(training_rows(docs, labels, sample), epochs).p)
+    net_bc = spark.sparkContext.broadcast(trained(docs, labels, sample, epochs))
     docs = docs.drop("held_out", "score", "predicted")
     schema = docs.schema
     at = docs.columns.index("text")

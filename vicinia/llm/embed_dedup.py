@@ -145,7 +145,7 @@ def _checked(dim: int, cosine: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.95, seed: int = 17) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.98, seed: int = 17) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of vectors, which needs vec_id and embedding.
 
     A vector that is null, zero, of another length than most, or with null or non-finite components links with

@@ -157,7 +157,7 @@ def _product(pdf: pd.DataFrame) -> pd.DataFrame:
     found = {}
     for a, n in zip(starts[lengths > 1], lengths[lengths > 1], strict=True):
         found.setdefault(i[a : a + n].tobytes(), s[a : a + n])
-    return pd.DataFrame({"ids": [np.frombuffer(k, np.int64).tolist() for k in found], "sizes": [v.tolist() for v in found.values()]}, columns=["ids", "sizes"])
+    return pd.DataFrame({"ids": pd.Series([np.frombuffer(k, np.int64).tolist() for k in found], dtype=object), "sizes": pd.Series([v.tolist() for v in found.values()], dtype=object)})
 
 
 def _checked(n: int, t_num: int):

@@ -89,4 +89,20 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_brown_lm, op3_ngram_jaccard, op4_quality_ordinal, op5_decontaminate, op6_pii_feistel, op7_toxicity_gru, op8_token_counts, op9_mix_sources, op10_embedding_dedup)}
-ORACLES: dict[str, str] = {}
+_DAY = "timestamp '2024-01-01' + to_days(cast({0} + ('0x' || substr(md5(p), {1}, 3))::integer % 180 as integer))"
+_PICK = "('0x' || substr(md5(p), 1, 2))::integer"
+_HOST = "regexp_replace(regexp_extract(lower(coalesce(url, '')), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '\\.$', '')"
+_EXACT = f"concat({_HOST}, regexp_replace(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)', 1), '/$', ''))"
+
+ORACLES: dict[str, str] = {
+    "op1_url_filter": f"""
+with c as (select page_id, {_HOST} as host, {_EXACT} as ex, timestamp '2024-01-01' + to_hours(cast((page_id * 7919) % 9600 as integer)) as fetched_at from pages),
+h as (select distinct host as p from c where host <> ''), u as (select distinct ex as p from c where ex <> '' and host <> ''),
+e as (select 'block_hosts' as list, p, 'h' as kind, {_DAY.format(0, 3)} as a, {_DAY.format(180, 6)} as z from h where {_PICK} % 3 = 0
+union all select 'block_domains', p, 'd', {_DAY.format(60, 9)}, null from h where {_PICK} % 4 = 1
+union all select 'allow_hosts', p, 'h', {_DAY.format(120, 12)}, null from h where {_PICK} % 5 = 2
+union all select 'block_urls', p, 'u', {_DAY.format(0, 3)}, {_DAY.format(220, 6)} from u where {_PICK} % 16 = 3),
+m as (select page_id, list from c join e on a <= fetched_at and (z is null or fetched_at < z) and host <> '' and ((kind = 'h' and host = p) or (kind = 'u' and ex = p) or (kind = 'd' and (host = p or ends_with(host, concat('.', p)))))),
+g as (select page_id, string_agg(distinct list, ',' order by list) as lists, count(*) as n, bool_or(list not like 'allow%') and not bool_or(list like 'allow%') as blocked from m group by 1)
+select c.page_id, fetched_at, coalesce(blocked, false) as blocked, coalesce(lists, '') as lists, coalesce(n, 0) as n_matches from c left join g on g.page_id = c.page_id"""
+}

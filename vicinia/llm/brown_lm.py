@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vicinia.llm.common import materialize, partitions_for, words_of
+from vicinia.llm.common import discard, materialize, partitions_for, words_of
 
 #: Classes, the first of them that of the end of a text alone; ROUNDS of exchange after the seeding one.
 CLASSES, ROUNDS = 64, 1
@@ -33,7 +33,7 @@ CHUNK_TYPES, CHUNK_WORDS = 60_000, 800_000
 ALPHA = 20.0
 END = xxhash.xxh64_intdigest(b"")
 
-_CHUNK = "chunk string, doc_ids array<long>, lens binary, held binary, tokens binary, asks array<struct<b:int,lids:binary,hashes:binary,counts:binary>>"
+_CHUNK = "chunk string, doc_ids array<long>, lens binary, held binary, tokens binary, asks array<struct<b:int,start:int,hashes:binary,counts:binary>>"
 
 
 def is_held_out(doc_id: int | None) -> bool:
@@ -48,14 +48,18 @@ def _encoded(buckets: int):
         def closed():
             t = np.concatenate(tokens)
             hashes = np.array([xxhash.xxh64_intdigest(w) for w in lid], np.uint64)
+            b = (hashes % np.uint64(buckets)).astype(np.int64)
+            # Local numbers follow the bucket, so a bucket's words are a range and answers need no numbers.
+            order = np.lexsort((hashes, b))
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            t, hashes, b = rank[t], hashes[order], b[order]
             train = np.repeat(~np.array(held, bool), lens)
             counts = np.bincount(t[train], minlength=len(hashes)).astype(np.uint32)
-            b = (hashes % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(b, kind="stable").astype(np.uint32)
-            cut = np.r_[0, np.flatnonzero(np.diff(b[order])) + 1, len(order)]
-            asks = [{"b": int(b[order[x]]), "lids": order[x:y].tobytes(), "hashes": hashes[order[x:y]].tobytes(), "counts": counts[order[x:y]].tobytes()} for x, y in zip(cut[:-1], cut[1:], strict=True)]
+            cut = np.r_[0, np.flatnonzero(np.diff(b)) + 1, len(b)]
+            asks = [{"b": int(b[x]), "start": int(x), "hashes": hashes[x:y].tobytes(), "counts": counts[x:y].tobytes()} for x, y in zip(cut[:-1], cut[1:], strict=True)]
             small = np.uint16 if len(hashes) <= 65536 else np.uint32
-            row = {"chunk": [uuid.uuid4().hex], "doc_ids": [list(ids)], "lens": [np.array(lens, np.int64).tobytes()], "held": [np.array(held, np.uint8).tobytes()], "tokens": [t.astype(small).tobytes()], "asks": [asks]}
+            row = {"chunk": [uuid.uuid4().hex[:16]], "doc_ids": [list(ids)], "lens": [np.array(lens, np.int64).tobytes()], "held": [np.array(held, np.uint8).tobytes()], "tokens": [t.astype(small).tobytes()], "asks": [asks]}
             out = pa.RecordBatch.from_pydict(row, schema=schema)
             lid.clear()
             for x in (tokens, ids, lens, held):
@@ -63,7 +67,7 @@ def _encoded(buckets: int):
             return out
 
         binary = pa.binary()
-        schema = pa.schema([("chunk", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("lens", binary), ("held", binary), ("tokens", binary), ("asks", pa.list_(pa.struct([("b", pa.int32()), ("lids", binary), ("hashes", binary), ("counts", binary)])))])
+        schema = pa.schema([("chunk", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("lens", binary), ("held", binary), ("tokens", binary), ("asks", pa.list_(pa.struct([("b", pa.int32()), ("start", pa.int32()), ("hashes", binary), ("counts", binary)])))])
         for batch in batches:
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = words_of(t.as_py())
@@ -92,40 +96,64 @@ def _cat(cells, kind) -> np.ndarray:
     return np.frombuffer(b"".join(cells), kind) if cells else np.empty(0, kind)
 
 
+#: Of each bucket one row of kind 0 (hashes of its training words in order, counts, classes) and, for each chunk that has words of the
+#: bucket, one of kind 1: their places among those hashes, NOWHERE for a word that training has not seen.
+_LEXICON = "b int, kind int, chunk string, start int, words binary, counts binary, classes binary, total long, types long"
+NOWHERE = np.uint32(0xFFFFFFFF)
+
+
+def _state_row(b: int, u: np.ndarray, n: np.ndarray, c: np.ndarray) -> tuple:
+    return b, 0, "", 0, u.tobytes(), n.tobytes(), c.tobytes(), int(n.sum()), len(u)
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["b", "kind", "chunk", "start", "words", "counts", "classes", "total", "types"])
+
+
 def _vocabulary(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Training counts of the words of one bucket."""
+    """Training counts of the words of one bucket, and where each chunk's words are among them."""
     h, c = _cat(pdf["hashes"], np.uint64), _cat(pdf["counts"], np.uint32)
     u, inv = np.unique(h, return_inverse=True)
     n = np.bincount(inv, c, len(u)).astype(np.int64)
-    u, n = u[n > 0], n[n > 0]
-    return pd.DataFrame({"b": [int(pdf["b"].iloc[0])], "hashes": [u.tobytes()], "counts": [n.tobytes()], "classes": [np.zeros(len(u), np.uint8).tobytes()], "total": [int(n.sum())], "types": [len(u)]})
+    place = np.where(n > 0, np.cumsum(n > 0) - 1, NOWHERE).astype(np.uint32)
+    b = int(pdf["b"].iloc[0])
+    rows, at, places = [], 0, place[inv]
+    for chunk, start, x in zip(pdf["chunk"], pdf["start"], pdf["hashes"], strict=True):
+        k = len(x) // 8
+        rows.append((b, 1, chunk, start, places[at : at + k].tobytes(), b"", b"", 0, 0))
+        at += k
+    return _frame([_state_row(b, u[n > 0], n[n > 0], np.zeros(int((n > 0).sum()), np.uint8)), *rows])
 
 
-def _answers(ask: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-    """Classes and counts of the words that chunks ask one bucket for; CLASSES stands for a word that training has not seen."""
-    u, n, c = _cat(state["hashes"], np.uint64), _cat(state["counts"], np.int64), _cat(state["classes"], np.uint8)
-    out = []
-    for chunk, lids, hashes in zip(ask["chunk"], ask["lids"], ask["hashes"], strict=True):
-        h = np.frombuffer(hashes, np.uint64)
-        at = np.minimum(np.searchsorted(u, h), max(0, len(u) - 1))
-        known = u[at] == h if len(u) else np.zeros(len(h), bool)
-        cls, cnt = np.full(len(h), CLASSES, np.uint8), np.zeros(len(h), np.int64)
-        cls[known], cnt[known] = c[at[known]], n[at[known]]
-        out.append((chunk, lids, hashes, cls.tobytes(), cnt.tobytes(), int(ask["b"].iloc[0])))
-    return pd.DataFrame(out, columns=["chunk", "lids", "hashes", "classes", "counts", "b"])
+def _parts(lexicon: pd.DataFrame):
+    s = lexicon[lexicon["kind"] == 0]
+    return _cat(s["words"], np.uint64), _cat(s["counts"], np.int64), _cat(s["classes"], np.uint8), lexicon[lexicon["kind"] == 1]
 
 
-_ANSWERS = "chunk string, lids binary, hashes binary, classes binary, counts binary, b int"
+def _answers(counts: bool):
+    """Classes, and counts where asked for, of the words that chunks have in one bucket; CLASSES stands for a word that training has not seen."""
+
+    def run(lexicon: pd.DataFrame) -> pd.DataFrame:
+        _, n, c, asks = _parts(lexicon)
+        c, n = np.r_[c, np.uint8(CLASSES)], np.r_[n, 0]
+        out = []
+        for b, chunk, start, words in zip(asks["b"], asks["chunk"], asks["start"], asks["words"], strict=True):
+            at = np.minimum(np.frombuffer(words, np.uint32), len(c) - 1)
+            out.append((chunk, b, start, c[at].tobytes(), n[at].tobytes() if counts else b""))
+        return pd.DataFrame(out, columns=["chunk", "b", "start", "classes", "counts"])
+
+    return run
+
+
+_ANSWERS = "chunk string, b int, start int, classes binary, counts binary"
 
 
 def _laid(row, answers: pd.DataFrame):
     """Tokens of a chunk with the class and count of each local word."""
     lens, held = np.frombuffer(row.lens, np.int64), np.frombuffer(row.held, np.uint8).astype(bool)
     t = np.frombuffer(row.tokens, np.uint16 if len(row.tokens) == 2 * lens.sum() else np.uint32).astype(np.int64)
-    lids = _cat(answers["lids"], np.uint32)
-    cls, cnt = np.empty(len(lids), np.int64), np.empty(len(lids), np.int64)
-    cls[lids], cnt[lids] = _cat(answers["classes"], np.uint8), _cat(answers["counts"], np.int64)
-    return t, lens, held, cls, cnt
+    answers = answers.sort_values("start")
+    return t, lens, held, _cat(answers["classes"], np.uint8).astype(np.int64), _cat(answers["counts"], np.int64)
 
 
 def _before(c: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -147,48 +175,53 @@ def _contexts(words: bool):
             c = cls[t]
             p = _before(c, lens)
             pairs = np.bincount(p[train] * k + c[train], minlength=k * k).astype(np.int64)
-            out.append((-1, b"", b"", b"", pairs.tobytes()))
+            out.append((-1, "", b"", b"", pairs.tobytes(), b""))
             if not words:
                 continue
             after = np.r_[c[1:], 0]
             after[np.cumsum(lens) - 1] = CLASSES  # nothing follows an end
-            live = np.where(train & (after != CLASSES + 1))[0]
+            live = np.flatnonzero(train)
             both = np.concatenate([t[live] * (2 * k) + p[live], t[live] * (2 * k) + k + after[live]])
             cell, n = np.unique(both, return_counts=True)
             word, ctx = cell // (2 * k), (cell % (2 * k)).astype(np.uint8)
             first = np.searchsorted(word, np.arange(len(cls) + 1))
-            for b, lids, hashes in zip(answers["b"], answers["lids"], answers["hashes"], strict=True):
-                lid = np.frombuffer(lids, np.uint32).astype(np.int64)
-                each = first[lid + 1] - first[lid]
-                take = np.repeat(first[lid] - (np.cumsum(each) - each), each) + np.arange(each.sum())
-                out.append((b, hashes, each.astype(np.uint16).tobytes(), ctx[take].tobytes(), n[take].astype(np.uint32).tobytes()))
-        return pd.DataFrame(out, columns=["b", "hashes", "each", "ctx", "n"])
+            small = np.minimum(n, 255).astype(np.uint8)  # most counts are 1; from 255 on they follow apart
+            for b, start, classes in zip(answers["b"], answers["start"], answers["classes"], strict=True):
+                x, y = first[start], first[start + len(classes)]
+                each = np.diff(first[start : start + len(classes) + 1]).astype(np.uint8)
+                out.append((b, row.chunk, each.tobytes(), ctx[x:y].tobytes(), small[x:y].tobytes(), n[x:y][n[x:y] >= 255].astype(np.uint32).tobytes()))
+        return pd.DataFrame(out, columns=["b", "chunk", "each", "ctx", "n", "large"])
 
     return run
 
 
-_CONTEXTS = "b int, hashes binary, each binary, ctx binary, n binary"
+_CONTEXTS = "b int, chunk string, each binary, ctx binary, n binary, large binary"
 
 
 def _moved(pairs_bc, seeds_bc):
     """Exchange of one bucket's words against the class counts of the round's start."""
     k = CLASSES + 1
 
-    def run(ctx: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-        u, n, old = _cat(state["hashes"], np.uint64), _cat(state["counts"], np.int64), _cat(state["classes"], np.uint8).copy()
+    def run(ctx: pd.DataFrame, lexicon: pd.DataFrame) -> pd.DataFrame:
+        u, n, old, asks = _parts(lexicon)
         if not len(u):
-            return state[["b", "hashes", "counts", "classes", "total", "types"]]
+            return _frame([_state_row(int(lexicon["b"].iloc[0]), u, n, old)] if len(lexicon) else [])
         pairs, seeds = pairs_bc.value + 0.5, seeds_bc.value
         row, col = pairs.sum(1, keepdims=True), pairs.sum(0, keepdims=True)
         after = np.log(pairs / row)  # [class, next class]
         before = np.log(pairs / row / col)  # [previous class, class]; over the class's own count, as p(word | class) is
         gain = np.concatenate([before, after.T])[:, :CLASSES].astype(np.float32)
         new = np.empty(len(u), np.uint8)
-        h, each = _cat(ctx["hashes"], np.uint64), _cat(ctx["each"], np.uint16).astype(np.int64)
-        c, cnt = _cat(ctx["ctx"], np.uint8), _cat(ctx["n"], np.uint32)
-        at = np.minimum(np.searchsorted(u, h), len(u) - 1)
-        at = np.where(u[at] == h, at, len(u))  # words that only held-out texts hold
-        owner = np.repeat(at, each)
+        places = dict(zip(asks["chunk"], asks["words"], strict=True))
+        at = _cat([places[x] for x in ctx["chunk"]], np.uint32).astype(np.int64)
+        c = _cat(ctx["ctx"], np.uint8)
+        owner = np.repeat(np.minimum(at, len(u)), _cat(ctx["each"], np.uint8))  # words that only held-out texts hold come last
+        cnt = []
+        for x, more in zip(ctx["n"], ctx["large"], strict=True):
+            x = np.frombuffer(x, np.uint8).astype(np.int64)
+            x[x == 255] = np.frombuffer(more, np.uint32)
+            cnt.append(x)
+        cnt = np.concatenate(cnt) if cnt else np.empty(0, np.int64)
         order = np.argsort(owner, kind="stable")
         owner, c, cnt = owner[order], c[order], cnt[order]
         for lo in range(0, len(u), 20_000):
@@ -202,19 +235,16 @@ def _moved(pairs_bc, seeds_bc):
         fixed = np.isin(u, seeds)
         new[fixed] = old[fixed]
         new[u == np.uint64(END)] = 0
-        return pd.DataFrame({"b": [int(state["b"].iloc[0])], "hashes": [u.tobytes()], "counts": [n.tobytes()], "classes": [new.tobytes()], "total": [int(n.sum())], "types": [len(u)]})
+        return _frame([_state_row(int(lexicon["b"].iloc[0]), u, n, new)])
 
     return run
 
 
-_STATE = "b int, hashes binary, counts binary, classes binary, total long, types long"
-
-
 def _seeded(seeds_bc):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for h in pdf["hashes"]:
+            for h in pdf["words"]:
                 u = np.frombuffer(h, np.uint64)
                 c = np.full(len(u), CLASSES, np.uint8)  # no class yet
                 for i, s in enumerate(seeds_bc.value):
@@ -228,7 +258,7 @@ def _seeded(seeds_bc):
 def _tops(n: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for h, c in zip(pdf["hashes"], pdf["counts"], strict=True):
+            for h, c in zip(pdf["words"], pdf["counts"], strict=True):
                 u, k = np.frombuffer(h, np.uint64), np.frombuffer(c, np.int64)
                 best = np.lexsort((u, -k))[: n + 1]
                 yield pd.DataFrame({"h": u[best].view(np.int64), "n": k[best]})
@@ -293,9 +323,9 @@ def class_model_scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     buckets = partitions_for(spark, docs.count() * 12, 100_000)
     chunks = materialize(docs.mapInArrow(_encoded(buckets), _CHUNK), "chunks")
-    asks = chunks.select("chunk", F.inline("asks"))
     corpus = chunks.drop("asks")
-    state = materialize(asks.groupBy("b").applyInPandas(_vocabulary, _STATE), "words")
+    lexicon = materialize(chunks.select("chunk", F.inline("asks")).groupBy("b").applyInPandas(_vocabulary, _LEXICON), "lexicon")
+    places, state = lexicon.where("kind = 1"), lexicon.where("kind = 0")
     total, types = (int(x or 0) for x in state.agg(F.sum("total"), F.sum("types")).first())
 
     end = np.array([END], np.uint64)
@@ -303,10 +333,11 @@ def class_model_scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     seeds = np.r_[end, np.array([r["h"] for r in top], np.int64).view(np.uint64)]
     seeds_bc = spark.sparkContext.broadcast(seeds)
     none_bc = spark.sparkContext.broadcast(np.empty(0, np.uint64))
-    state = materialize(state.mapInPandas(_seeded(seeds_bc), _STATE), "words")
+    state = materialize(state.mapInPandas(_seeded(seeds_bc), _LEXICON), "words")
+    discard(spark)
 
-    def answers():
-        return asks.select("b", "chunk", "lids", "hashes").groupBy("b").cogroup(state.groupBy("b")).applyInPandas(_answers, _ANSWERS)
+    def whole():
+        return places.unionByName(state).groupBy("b")
 
     def pairs_of(counted: DataFrame) -> np.ndarray:
         cells = counted.where("b = -1").select("n").mapInArrow(_summed, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
@@ -316,18 +347,23 @@ def class_model_scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         return out.reshape(CLASSES + 1, CLASSES + 1)
 
     for r in range(rounds + 1):
-        counted = materialize(corpus.groupBy("chunk").cogroup(answers().groupBy("chunk")).applyInPandas(_contexts(True), _CONTEXTS), "contexts")
+        counted = materialize(corpus.groupBy("chunk").cogroup(whole().applyInPandas(_answers(False), _ANSWERS).groupBy("chunk")).applyInPandas(_contexts(True), _CONTEXTS), "contexts")
+        discard(spark)
         pairs_bc = spark.sparkContext.broadcast(pairs_of(counted))
-        state = materialize(counted.where("b >= 0").groupBy("b").cogroup(state.groupBy("b")).applyInPandas(_moved(pairs_bc, none_bc if r else seeds_bc), _STATE), "words")
+        moved = materialize(counted.where("b >= 0").groupBy("b").cogroup(whole()).applyInPandas(_moved(pairs_bc, none_bc if r else seeds_bc), _LEXICON), "words")
+        old, state = state, moved
+        discard(spark, counted, old)
 
-    answered = materialize(answers(), "answers")
-    counted = corpus.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInPandas(_contexts(False), _CONTEXTS)
+    answered = materialize(whole().applyInPandas(_answers(True), _ANSWERS), "answers")
+    counted = corpus.groupBy("chunk").cogroup(answered.drop("counts").withColumn("counts", F.lit(b"")).groupBy("chunk")).applyInPandas(_contexts(False), _CONTEXTS)
     pairs = pairs_of(counted)
     per = state.mapInPandas(_by_class, "c int, n long, once long").groupBy("c").agg(F.sum("n").alias("n"), F.sum("once").alias("once")).collect()
     n, once = np.zeros(CLASSES), np.zeros(CLASSES)
     for x in per:
         n[x["c"]], once[x["c"]] = x["n"], x["once"]
     model_bc = spark.sparkContext.broadcast(model_of(pairs, n, once))
+    del counted
+    discard(spark, state)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return corpus.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInPandas(_scored(total, types, model_bc), schema)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -60,7 +61,20 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete scratch tables that no plan reads any more, and let the shuffle files of plans that nobody holds go: Spark's
+    cleaner drops those when the driver's JVM collects its garbage, which a long run may otherwise put off until disks are full."""
+    jvm = spark.sparkContext._jvm
+    for t in tables:
+        path = jvm.org.apache.hadoop.fs.Path(t.scratch_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
 
 
 def keep_ids(df: DataFrame, ids: DataFrame, column: str, n_ids: int | None = None) -> DataFrame:

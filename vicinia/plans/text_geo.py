@@ -180,7 +180,7 @@ def freshness_decay(spark, sf_dir):
 @query("select event_id, floor(greatest(1, floor(epoch(timestamp '2024-02-01' - ts) / 3600 + 0.5)))::bigint as freshness_h, round((user_id * 3e0 + event_id % 1000 * 15e0) / 1000000, 6) as cost_usd, case when event_id % 600 between 200 and 299 then case when event_id % 2 = 0 then 0.92e0 else 0.84e0 end when event_id % 600 between 300 and 399 then 0.72e0 when event_id % 600 between 400 and 499 then 0.42e0 else 0.33e0 end as fetch_score from events")
 def event_scores(spark, sf_dir):
     e = load(spark, sf_dir, "events")
-    age = F.lit(1706745600.0) - F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    age = F.expr("timestampdiff(MICROSECOND, ts, timestamp_ntz'2024-02-01') / 1e6")
     return e.select("event_id", scores.freshness_hours(age).cast("long").alias("freshness_h"), scores.model_cost(F.col("user_id"), F.col("event_id") % 1000, 3.0, 15.0).alias("cost_usd"), scores.fetch_freshness(F.col("event_id") % 600, F.col("event_id") % 2 == 0).alias("fetch_score"))
 
 

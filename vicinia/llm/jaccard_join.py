@@ -198,8 +198,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, similarity_percent: int = 80
     """(doc_id, n_shingles, component_id) for each row of docs, which needs doc_id and text; other columns are ignored.
 
     Null, empty and blank texts have no shingles and link with nothing. Texts of the same words are one row of the matrix.
-    Rows that repeat a doc_id are kept, each with the result of its own text; a null doc_id is no node and gets its
-    own null component. An empty table gives an empty result."""
+    doc_id is a key: rows that repeat one with the same words get equal results; other words under the same doc_id are one
+    node with it. A null doc_id is no node; its row gets the component of documents with its words, else null. An empty
+    table gives an empty result. Texts of any length are used whole."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     survey = materialize(docs.mapInArrow(_survey(n), "kind int, id long, size long, k1 long, k2 long"), "survey")

@@ -13,19 +13,23 @@ TOKENIZER_FILE = "piece_bpe_32k.model"
 PII_KEY = "registered-query-key"
 
 
+def _start() -> Column:
+    return F.lit("2024-01-01").cast("timestamp_ntz")
+
+
 def _nibbles(text: Column, at: int, n: int) -> Column:
     return F.conv(F.substring(F.md5(text), at, n), 16, 10).cast("long")
 
 
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pages as captures: the table has no fetch time, so it follows from page_id (one an hour over 400 days)."""
-    return load(spark, sf_dir, "pages").select("page_id", "url", F.timestamp_seconds(F.lit(1_704_067_200) + F.pmod(F.col("page_id") * 7919, F.lit(9600)) * 3600).alias("fetched_at"))
+    return load(spark, sf_dir, "pages").select("page_id", "url", (_start() + F.make_dt_interval(hours=F.pmod(F.col("page_id") * 7919, F.lit(9600)).cast("int"))).alias("fetched_at"))
 
 
 def list_entries(pages: DataFrame) -> DataFrame:
     """Dated entries about the hosts that pages name: two lists by host, one by whole URL and one of parent domains, from digests."""
     host = url_filter.host_of(F.col("url"))
-    day = lambda base, at: F.timestamp_seconds(F.lit(1_704_067_200) + (F.lit(base) + F.pmod(_nibbles(F.col("p"), at, 3), F.lit(180))) * 86400)
+    day = lambda base, at: _start() + F.make_dt_interval(days=(F.lit(base) + F.pmod(_nibbles(F.col("p"), at, 3), F.lit(180))).cast("int"))
     row = lambda name, key, action, at: F.struct(F.lit(name).alias("list"), key.alias("key"), F.lit(action).alias("action"), at.alias("at"))
     hosts = pages.select(host.alias("p")).where("p <> ''").distinct()
     pick = _nibbles(F.col("p"), 1, 2)
@@ -33,9 +37,9 @@ def list_entries(pages: DataFrame) -> DataFrame:
     by_host = hosts.select(
         F.explode(
             F.concat(
-                F.when(pick % 3 == 0, F.array(row("block_hosts", key, "add", day(0, 3)), row("block_hosts", key, "remove", day(180, 6)))).otherwise(F.array().cast("array<struct<list:string,key:string,action:string,at:timestamp>>")),
-                F.when(pick % 4 == 1, F.array(row("block_domains", dom, "add", day(60, 9)))).otherwise(F.array().cast("array<struct<list:string,key:string,action:string,at:timestamp>>")),
-                F.when(pick % 5 == 2, F.array(row("allow_hosts", key, "add", day(120, 12)))).otherwise(F.array().cast("array<struct<list:string,key:string,action:string,at:timestamp>>")),
+                F.when(pick % 3 == 0, F.array(row("block_hosts", key, "add", day(0, 3)), row("block_hosts", key, "remove", day(180, 6)))).otherwise(F.array().cast("array<struct<list:string,key:string,action:string,at:timestamp_ntz>>")),
+                F.when(pick % 4 == 1, F.array(row("block_domains", dom, "add", day(60, 9)))).otherwise(F.array().cast("array<struct<list:string,key:string,action:string,at:timestamp_ntz>>")),
+                F.when(pick % 5 == 2, F.array(row("allow_hosts", key, "add", day(120, 12)))).otherwise(F.array().cast("array<struct<list:string,key:string,action:string,at:timestamp_ntz>>")),
             )
         ).alias("e")
     ).select("e.*")

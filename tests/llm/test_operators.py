@@ -85,6 +85,23 @@ def test_jaccard_against_all_pairs(spark, docs):
     assert len(edges) > 20
 
 
+def test_jaccard_large_group_of_differing_copies(spark):
+    """Edited copies of one text, of which only some link directly."""
+    r = random.Random(4)
+    base = [f"w{i}" for i in range(140)]
+    rows = []
+    for i in range(160):
+        w = list(base)
+        for k in r.sample(range(140), r.randint(1, 5)):
+            w[k] = f"x{i}_{k}"
+        rows.append((i, " ".join(w)))
+    sets = {i: shingles(t) for i, t in rows}
+    edges = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert 0.1 < len(edges) / (160 * 159 / 2) < 0.7
+    got = {x.doc_id: x.component_id for x in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == components_of(sets, edges)
+
+
 def test_jaccard_odd_rows(odd, none):
     rows = jaccard_join.jaccard_components(odd).collect()
     assert len(rows) == len(ODD)

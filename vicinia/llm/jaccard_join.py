@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vicinia.llm.common import keep_ids, materialize, partitions_for, words_of
@@ -146,7 +146,7 @@ def _columns(n: int, t_num: int, blocks: int, hot_bc):
 
 
 def _product(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Columns of one block with two rows or more, each as its sorted row ids; equal columns once."""
+    """Columns of one block with two rows or more, each as its sorted row ids; equal columns once, with their number m."""
     c = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["cols"]])
     i = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["ids"]])
     s = np.concatenate([np.frombuffer(x, np.int32) for x in pdf["sizes"]])
@@ -156,8 +156,8 @@ def _product(pdf: pd.DataFrame) -> pd.DataFrame:
     lengths = np.diff(np.r_[starts, len(c)])
     found = {}
     for a, n in zip(starts[lengths > 1], lengths[lengths > 1], strict=True):
-        found.setdefault(i[a : a + n].tobytes(), s[a : a + n])
-    return pd.DataFrame({"ids": pd.Series([np.frombuffer(k, np.int64).tolist() for k in found], dtype=object), "sizes": pd.Series([v.tolist() for v in found.values()], dtype=object)})
+        found.setdefault(i[a : a + n].tobytes(), [s[a : a + n], 0])[1] += 1
+    return pd.DataFrame({"ids": pd.Series([np.frombuffer(k, np.int64).tolist() for k in found], dtype=object), "sizes": pd.Series([v.tolist() for v, _ in found.values()], dtype=object), "m": pd.Series([m for _, m in found.values()], dtype="int64")})
 
 
 def _checked(n: int, t_num: int):
@@ -194,6 +194,16 @@ def _links(pairs: DataFrame, docs: DataFrame, n: int, t_num: int) -> DataFrame:
     return materialize(rows.groupBy("block").applyInPandas(_checked(n, t_num), "a long, b long"), "linked")
 
 
+def _can_link(h: Column | str, x: str, y: Column, t_num: int) -> Column:
+    """Whether sets of sizes x and y that share at most h of their kept columns can link.
+
+    Of the set whose kept part ends first in the column order, no kept column lies in the other set outside its kept part. So
+    the intersection has at most h columns and the fewer than t * max(x, y) + 1 that are not kept, and must have t / (1 + t) * (x + y)
+    of them. In y the bound falls up to x and rises after it: a range of sizes is ruled out if both of its ends are."""
+    h = F.col(h) if isinstance(h, str) else h
+    return (100 + t_num) * (100 * h + t_num * F.greatest(F.col(x), y)) >= 100 * t_num * (F.col(x) + y)
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, similarity_percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs, which needs doc_id and text; other columns are ignored.
 
@@ -216,7 +226,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, similarity_percent: int = 80
     one = keep_ids(docs, nodes.select(F.col("node").alias("doc_id")), "doc_id", kept)
     blocks = partitions_for(spark, shingles / 5, 500_000)
     kept_columns = one.mapInArrow(_columns(n, similarity_percent, blocks, hot_bc), "block long, cols binary, ids binary, sizes binary")
-    runs = materialize(kept_columns.groupBy("block").applyInPandas(_product, "ids array<long>, sizes array<int>").distinct(), "runs")
+    runs = materialize(kept_columns.groupBy("block").applyInPandas(_product, "ids array<long>, sizes array<int>, m long").groupBy("ids", "sizes").agg(F.sum("m").alias("m")), "runs")
 
     # A doc_id that repeats with other texts must not meet itself.
     fits = (F.col("a") != F.col("b")) & (100 * F.least("x", "y") >= similarity_percent * F.greatest("x", "y"))
@@ -225,13 +235,18 @@ def jaccard_components(docs: DataFrame, n: int = 5, similarity_percent: int = 80
     first = _links(star, one, n, similarity_percent)
     label = connected_components(first)
 
-    # Columns that still hold two components or more: their pairs across components, but for stars already checked.
-    long_ = runs.withColumn("run", F.xxhash64("ids")).select("run", F.explode(F.arrays_zip("ids", "sizes")).alias("r")).select("run", F.col("r.ids").alias("node"), F.col("r.sizes").alias("s"))
-    long_ = long_.join(label, "node", "left").withColumn("c", F.coalesce("component", "node"))
-    mixed = long_.groupBy("run").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("run")
-    open_ = materialize(long_.join(mixed, "run", "left_semi").select("run", "node", "s", "c"), "open")
-    left, right = (open_.select("run", F.col("node").alias(i), F.col("s").alias(s), F.col("c").alias(c)) for i, s, c in (("a", "x", "ca"), ("b", "y", "cb")))
-    across = left.join(right, "run").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits).select("a", "b").distinct().join(materialize(star, "stars"), ["a", "b"], "left_anti")
+    # Columns that still hold two components or more: what pairs across components the overlap bound leaves, but for stars
+    # already checked. h is the number of a row's kept columns that another row keeps as well.
+    hits = runs.select(F.explode("ids").alias("node"), "m").groupBy("node").agg(F.sum("m").alias("h"))
+    long_ = runs.withColumn("run", F.xxhash64("ids")).select("run", F.explode(F.arrays_zip("ids", "sizes")).alias("r")).select("run", F.col("r.ids").alias("node"), F.col("r.sizes").cast("long").alias("s"))
+    long_ = long_.join(hits, "node").join(label, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    ends = long_.groupBy("run").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("s").alias("least"), F.max("s").alias("most")).where("lo < hi").select("run", "least", "most")
+    low, high = F.greatest(F.col("least"), F.col("s") * similarity_percent / 100), F.least(F.col("most"), F.col("s") * 100 / similarity_percent)
+    able = materialize(long_.join(ends, "run").where(_can_link("h", "s", low, similarity_percent) | _can_link("h", "s", high, similarity_percent)).select("run", "node", "s", "c", "h"), "able")
+    mixed = able.groupBy("run").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("run")
+    open_ = materialize(able.join(mixed, "run", "left_semi"), "open")
+    left, right = (open_.select("run", F.col("node").alias(i), F.col("s").alias(s), F.col("c").alias(c), F.col("h").alias(h)) for i, s, c, h in (("a", "x", "ca", "ha"), ("b", "y", "cb", "hb")))
+    across = left.join(right, "run").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits & _can_link(F.least("ha", "hb"), "x", F.col("y"), similarity_percent)).select("a", "b").distinct().join(materialize(star, "stars"), ["a", "b"], "left_anti")
     second = _links(across, one, n, similarity_percent)
 
     component = connected_components(first.unionByName(second))

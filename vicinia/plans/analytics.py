@@ -46,8 +46,17 @@ def _rules(spark):
 
 @query(f"{views('est', 'prod')}, {_RULES}, p as (select * from prod where id % 10 = 0), ec as (select id as establishment_id, app_category from est union select id, app_category2 from est), j as (select establishment_id, p.id as product_id, r.app_category, cast(least(0.99, base_confidence + case when r.app_category in ('supermarket', 'pharmacy') then 0.04 else 0 end) as decimal(5,4)) as confidence, row_number() over (partition by establishment_id, p.id order by least(0.99, base_confidence + case when r.app_category in ('supermarket', 'pharmacy') then 0.04 else 0 end) desc, r.app_category desc) as rn from ec join r using (app_category) join p on p.product_group = r.product_group) select establishment_id, product_id, app_category, confidence, case when confidence >= 0.74 then 'likely' else 'unvalidated' end as validation_status from j where rn = 1")
 def rule_candidates(spark, sf_dir):
+    return _rule_candidates(spark, sf_dir, products(spark, sf_dir).where("id % 10 = 0"))
+
+
+def _rule_candidates(spark, sf_dir, p):
     e = establishments(spark, sf_dir).select("id", F.array("app_category", "app_category2").alias("app_categories"))
-    return c.rule_candidates(e, _rules(spark), products(spark, sf_dir).where("id % 10 = 0")).select("establishment_id", "product_id", "app_category", "confidence", "validation_status")
+    return c.rule_candidates(e, _rules(spark), p).select("establishment_id", "product_id", "app_category", "confidence", "validation_status")
+
+
+@query(query.without("rule_candidates", " where id % 10 = 0"))
+def rule_candidates_whole(spark, sf_dir):
+    return _rule_candidates(spark, sf_dir, products(spark, sf_dir))
 
 
 HINTS = [("name", "nail", "manicure", 0.8), ("name", "phone", "phone-repair", 0.85), ("category", "mobile_phone", "phone-repair", 0.75), ("category", "beauty", "haircut", 0.6), ("category", "chemist", "advice", 0.5)]
@@ -67,11 +76,20 @@ _BAG = f"b as (select page_id, case page_id % 3 when 0 then 'groceries' when 1 t
 
 @query(f"with {_WEIGHTS}, {_PN}, {_BAG}, j as (select page_id, product_id, round(case when contains(bag, concat(' ', name, ' ')) then 0.38e0 else 0 end + case when contains(bag, concat(' ', synonym, ' ')) then 0.27e0 else 0 end + 0.22e0 * coalesce(weight, 0), 4) as s from b join p on true left join wt on wt.category = b.category and wt.product_group = p.product_group where name <> 'gizmo' and (contains(bag, concat(' ', name, ' ')) or contains(bag, concat(' ', synonym, ' ')))) select page_id, product_id, least(s, 0.94e0) as confidence from j where s >= 0.46e0")
 def website_candidates(spark, sf_dir):
-    p = products(spark, sf_dir).where("id <= 40").select(F.col("id").alias("product_id"), "product_group", F.split("normalized_name", " ")[1].alias("name"), F.split("normalized_name", " ")[0].alias("synonym"))
+    return _website_candidates(spark, sf_dir, products(spark, sf_dir).where("id <= 40"))
+
+
+def _website_candidates(spark, sf_dir, p):
+    p = p.select(F.col("id").alias("product_id"), "product_group", F.split("normalized_name", " ")[1].alias("name"), F.split("normalized_name", " ")[0].alias("synonym"))
     b = load(spark, sf_dir, "pages").select("page_id", F.expr("case page_id % 3 when 0 then 'groceries' when 1 then 'electronics' else 'household' end").alias("category"), F.concat(text.normalize(F.col("html")), F.lit(" ring blue bolt")).alias("bag"))
     return c.website_candidates(b, p, spark.createDataFrame(WEIGHTS, "category string, product_group string, weight double"), ["gizmo"])
 
 
+@query(query.without("website_candidates", " where p_partkey <= 40"))
+def website_candidates_whole(spark, sf_dir):
+    return _website_candidates(spark, sf_dir, products(spark, sf_dir))
+
+
 @query(f"{views('est', 'prod')}, {_WEIGHTS}, cats as (select distinct app_category from est), w as (select category as app_category, product_group, weight from wt union all select app_category, 'medium', 0.43e0 from cats where not exists (select 1 from wt where wt.category = app_category and wt.product_group = 'medium')), j as (select est.id as establishment_id, prod.id as product_id, round(least(0.76e0, greatest(0.48e0, 0.82e0 * (weight + case when list_has_any(string_split(lower(name), ' '), string_split(normalized_name, ' ')) then 0.06e0 else 0 end))), 4) as confidence from est join w using (app_category) join prod on prod.product_group = w.product_group), r as (select *, row_number() over (partition by establishment_id order by confidence desc, product_id) as rn from j) select establishment_id, product_id, confidence from r where rn <= 10")
 def heuristic_candidates(spark, sf_dir):
     w = spark.createDataFrame(WEIGHTS, "app_category string, product_group string, weight double")
@@ -239,11 +257,20 @@ def curation_apply(spark, sf_dir):
 
 @query(f"{views('prod', 'cand')}, b as (select establishment_id, list(distinct normalized_name) as names from cand join prod on prod.id = product_id where cand.id % 3 <> 0 and product_id <= 60 group by 1), a as (select establishment_id, list(distinct normalized_name) as names from cand join prod on prod.id = product_id where cand.id % 4 <> 0 and product_id <= 60 group by 1) select establishment_id, array_to_string(list_sort(list_filter(a.names, lambda x: not list_contains(b.names, x)))[1:12], '|') as added, array_to_string(list_sort(list_filter(b.names, lambda x: not list_contains(a.names, x)))[1:12], '|') as removed, len(a.names) as n_after from b join a using (establishment_id)")
 def snapshot_compare(spark, sf_dir):
-    j = candidates(spark, sf_dir).where("product_id <= 60").join(products(spark, sf_dir).select(F.col("id").alias("product_id"), "normalized_name"), "product_id")
+    return _snapshot_compare(spark, sf_dir, candidates(spark, sf_dir).where("product_id <= 60"))
+
+
+def _snapshot_compare(spark, sf_dir, x):
+    j = x.join(products(spark, sf_dir).select(F.col("id").alias("product_id"), "normalized_name"), "product_id")
     names = lambda cond: j.where(cond).groupBy("establishment_id").agg(F.collect_set("normalized_name").alias("names"))
     return i.snapshot_compare(names("id % 3 <> 0"), names("id % 4 <> 0"))
 
 
+@query(query.without("snapshot_compare", " and product_id <= 60"))
+def snapshot_compare_whole(spark, sf_dir):
+    return _snapshot_compare(spark, sf_dir, candidates(spark, sf_dir))
+
+
 @query(f"{MERGED_WITH}, k as (select establishment_id, count(*) as n from mrg group by 1) select round(avg(n), 4) as mean, max(n) as max, quantile_cont(n, 0.5) as p50, quantile_cont(n, 0.9) as p90 from k")
 def density_percentiles(spark, sf_dir):
     return i.density(merged(spark, sf_dir).groupBy("establishment_id").agg(F.count("*").alias("n")))

@@ -89,6 +89,11 @@ def match_services_scored(spark, sf_dir):
     return s.match_services(_queries(spark), products(spark, sf_dir).where("id % 20 = 0").select(F.col("id").alias("service_id"), F.col("normalized_name").alias("name")))
 
 
+@query(query.without("match_services_scored", " where p_partkey % 20 = 0"))
+def match_services_scored_whole(spark, sf_dir):
+    return s.match_services(_queries(spark), products(spark, sf_dir).select(F.col("id").alias("service_id"), F.col("normalized_name").alias("name")))
+
+
 _DUP = "select group_ as \"group\", term, n from (select lower(p_type) as group_, lower(p_name) as term, count(*) as n from part group by 1, 2) where n > 8"
 
 
@@ -190,6 +195,11 @@ def no_result_guidance(spark, sf_dir):
     return s.no_result_guidance(establishments(spark, sf_dir).where("id % 10 = 3"), LAT, LON, 1.0).withColumn("nearest_m", F.round("nearest_m", 1))
 
 
+@query(query.without("no_result_guidance", " where id % 10 = 3"))
+def no_result_guidance_whole(spark, sf_dir):
+    return s.no_result_guidance(establishments(spark, sf_dir), LAT, LON, 1.0).withColumn("nearest_m", F.round("nearest_m", 1))
+
+
 _STRAT = "case when product_id in (3, 7, 12) then 2 when product_group = 'promo' then 1 when contains(normalized_name, 'blue') then 0 end"
 
 
@@ -229,6 +239,11 @@ def demand_term_mapping(spark, sf_dir):
     return s.theta_terms(_queries(spark), t)
 
 
+@query(query.without("demand_term_mapping", " where p_partkey % 25 = 0"))
+def demand_term_mapping_whole(spark, sf_dir):
+    return s.theta_terms(_queries(spark), products(spark, sf_dir).select(F.col("normalized_name").alias("term"), "priority"))
+
+
 @query(f"with {VALUES}, {_T2} select distinct query, term from q join t on {sql_phrase('query', 'term')}")
 def fuzzy_term_join(spark, sf_dir):
     """N16."""
@@ -236,6 +251,13 @@ def fuzzy_term_join(spark, sf_dir):
     return _queries(spark).join(F.broadcast(t), text.fuzzy_phrase(F.col("query"), F.col("term"))).select("query", "term")
 
 
+@query(query.without("fuzzy_term_join", " where p_partkey % 25 = 0"))
+def fuzzy_term_join_whole(spark, sf_dir):
+    """N16 over all terms; the queries, not the terms, are sent to every executor."""
+    t = products(spark, sf_dir).select(F.col("normalized_name").alias("term")).distinct()
+    return t.join(F.broadcast(_queries(spark)), text.fuzzy_phrase(F.col("query"), F.col("term"))).select("query", "term")
+
+
 @query(f"{SERVING_WITH}, m as (select *, {hav('52.5e0', '13.4e0', 'lat', 'lon')} as m from srv), x as (select establishment_id, product_id, district, case when product_id % 5 = 0 then 2 else 0 end + case when contains(normalized_name, 'blue') then 2 else 0 end + least(1.2e0, cast(confidence as double)) + case when primary_source = 'merchant_added' then 1 else 0 end + greatest(0, 1 - m / 3000) as score from m), r as (select *, row_number() over (partition by district order by score desc, establishment_id, product_id) as rn from x) select district, count(*) as n, round(avg(score), 4) as mean_score, count(*) filter (where score >= 3) as hits from r where rn <= 12 group by district")
 def benchmark_hit_rate(spark, sf_dir):
     """Q14, G-A21: top 12 by score per persona (district), and how many of them hit."""

@@ -265,6 +265,26 @@ def test_mix(spark, docs):
     assert sorted(map(str, rows)) == sorted(map(str, again))
 
 
+def test_mix_places_every_copy(spark):
+    """Small sources at their cap of three passes beside a large one: each copy has its shard, and all sources are spread."""
+    r = random.Random(6)
+    rows = [(i, " ".join(["w"] * r.randint(0 if i % 50 else 1, 30)), ("big", "capped", "tiny")[0 if i >= 900 else 1 + i % 2]) for i in range(6000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    source = {i: s for i, _, s in rows}
+    words, per = defaultdict(Counter), Counter()
+    for x in got:
+        assert len(x.copies) * x.size == x.taken and len(set(x.copies)) == len(x.copies)
+        assert x.size or not x.copies
+        for c in x.copies:
+            assert 0 <= c.shard < 16 and c.position is not None
+            words[source[x.doc_id]][c.shard] += x.size
+            per[c.shard] += 1
+    assert {len(x.copies) for x in got if source[x.doc_id] == "capped" and x.size} == {3}
+    assert all(len(words[s]) == 16 for s in words) and len({len(set(c.shard for c in x.copies)) for x in got if len(x.copies) == 3}) > 1
+    assert sum(sum(w.values()) for w in words.values()) == sum(x.taken for x in got)
+    assert max(per.values()) < 1.35 * min(per.values())
+
+
 def test_mix_odd_rows(odd, none):
     rows = mixing.mix(odd).collect()
     assert len(rows) == len(ODD) and all(r.taken <= 3 * r.size for r in rows)

@@ -1,11 +1,11 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree; DataFrame operations only.
 
 Each source gets its share of all words by weight, at most `most` times its own size, what is over being shared again by
-weight. A source that must repeat takes all its documents whole times first; the rest is an exact quota of blocks out of
-its documents, which a keyed hash permutes into blocks. A binary tree deals the block quotas out to output shards: at each node the
+weight. A keyed hash permutes a source's documents into blocks. A source that must repeat takes all its blocks whole times first;
+the rest is an exact quota of blocks. A binary tree deals all blocks taken, whole passes and rest, out to output shards: at each node the
 blocks of all sources go left or right, without replacement, so each child's counts are a multivariate-hypergeometric
 draw and quotas hold exactly at every level. A shard then draws its number of blocks of each source, disjoint from any
-other's because it takes the next ones of the permutation, and orders its documents by a local hash.
+other's because it takes the next ones of the permutation (each pass has its own), and orders its documents by a local hash.
 """
 
 from __future__ import annotations
@@ -63,7 +63,7 @@ def _split(counts: Column, node: Column, seed: int) -> Column:
 
 
 def splitting_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
-    """(shard, sk, first, blocks): how many drawn blocks of each source a shard gets, and from which on, out of (sk, blocks)."""
+    """(shard, sk, first, blocks): how many blocks taken of each source a shard gets, and from which on, out of (sk, blocks)."""
     depth = max(0, math.ceil(math.log2(shards)))
     node = quotas.agg(F.array_sort(F.collect_list(F.struct("sk", "blocks"))).alias("q")).select(F.lit(0).cast("long").alias("node"), F.col("q.sk").alias("sks"), F.col("q.blocks").alias("counts"))
     for _ in range(depth):
@@ -102,11 +102,11 @@ def drawn_blocks(blocks: Column, rest: Column, tries: int = 16) -> Column:
 
 
 def mix(docs: DataFrame, most: float = 3.0, weights: tuple[int, ...] = (1, 2, 3), shards: int = 16, blocks: int = BLOCKS, seed: int = 11) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, shard, position) for each row of docs (doc_id, text, source).
+    """(doc_id, size, source_size, target, taken, copies) for each row of docs (doc_id, text, source).
 
-    Null texts have size 0. Documents without words are taken with none. A null source is a source, the last. taken is size
-    times the whole passes over the source, plus size if the document's block is among those drawn. shard and position
-    place the drawn copy (null if it is not drawn); whole passes go to every place by `position` of pmod(hash, shards). Rows that
+    Null texts have size 0. A null source is a source, the last. taken is size times the whole passes over the source, plus
+    size if the document's block is among those drawn. copies has a (shard, position) for each copy taken, whole passes
+    first and the drawn one last; it is empty for documents that are not taken and for those without words. Rows that
     repeat are separate documents unless they are equal in id, text and source: those share a block. An empty table gives no rows."""
     rows = docs.select("doc_id", word_count(F.col("text")).alias("size"), "source")
     sk = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
@@ -122,12 +122,20 @@ def mix(docs: DataFrame, most: float = 3.0, weights: tuple[int, ...] = (1, 2, 3)
 
     # In the order of the permutation a block is drawn if it still fits, and one more if that ends nearer, so a source
     # misses its quota by half its smallest block left out at most. A source has `blocks` of them at most, so its list is bounded however many documents it has.
-    lists = per.where("bsize > 0").groupBy("sk").agg(F.array_sort(F.collect_list(F.struct("block", "bsize"))).alias("list")).join(target.select("sk", "rest"), "sk")
-    drawn = materialize(lists.select("sk", F.posexplode(drawn_blocks(F.col("list"), F.col("rest"))).alias("nth", "block")), "drawn")
-    quotas = drawn.groupBy("sk").agg(F.count("*").alias("blocks"))
+    lists = per.where("bsize > 0").groupBy("sk").agg(F.array_sort(F.collect_list(F.struct("block", "bsize"))).alias("list")).join(target.select("sk", "passes", "rest"), "sk")
+    chosen = drawn_blocks(F.col("list"), F.col("rest"))
+    last = F.transform(F.coalesce(chosen, F.array().cast("array<int>")), lambda b: F.struct(F.col("passes").alias("pass"), b.alias("block")))
+    passes = F.when(F.col("passes") > 0, F.sequence(F.lit(0).cast("long"), F.col("passes") - 1)).otherwise(F.array().cast("array<bigint>"))
+    whole = F.flatten(F.transform(passes, lambda p: F.transform(F.col("list"), lambda b: F.struct(p.alias("pass"), b["block"].alias("block")))))
+    # One order for each pass, by a keyed hash; the shards take the next ones of it.
+    keyed = F.transform(F.concat(whole, last), lambda x: F.struct(x["pass"].alias("pass"), F.xxhash64(F.lit(seed + 2), "sk", x["pass"], x["block"]).alias("turn"), x["block"].alias("block")))
+    taken = materialize(lists.select("sk", F.posexplode(F.array_sort(keyed)).alias("nth", "b")).select("sk", "nth", "b.pass", "b.block"), "taken")
+    quotas = taken.groupBy("sk").agg(F.count("*").alias("blocks"))
     tree = splitting_tree(quotas, shards, seed)
-    placed = drawn.join(tree, "sk").where((F.col("nth") >= F.col("first")) & (F.col("nth") < F.col("first") + F.col("blocks"))).select("sk", "block", "shard")
-    out = rows.join(target.select("sk", "source_size", "target", "passes"), "sk").join(placed, ["sk", "block"], "left")
-    copies = F.col("passes") + F.col("shard").isNotNull().cast("long")
-    order = F.when(F.col("shard").isNotNull(), F.xxhash64(F.lit(seed + 1), "shard", "h"))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), F.col("shard").cast("int").alias("shard"), order.alias("position"))
+    dealt = taken.join(tree, "sk").where((F.col("nth") >= F.col("first")) & (F.col("nth") < F.col("first") + F.col("blocks")))
+    placed = dealt.groupBy("sk", "block").agg(F.array_sort(F.collect_list(F.struct("pass", F.col("shard").cast("int").alias("shard")))).alias("at"))
+    out = rows.join(target.select("sk", "source_size", "target"), "sk").join(materialize(placed, "placed"), ["sk", "block"], "left")
+    at = F.when(F.col("size") > 0, F.col("at"))
+    copies = F.transform(at, lambda p: F.struct(p["shard"].alias("shard"), F.xxhash64(F.lit(seed + 1), p["shard"], "h", p["pass"]).alias("position")))
+    copies = F.coalesce(copies, F.array().cast("array<struct<shard:int,position:bigint>>"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size(copies)).alias("taken"), copies.alias("copies"))

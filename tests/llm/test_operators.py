@@ -204,6 +204,38 @@ def test_pii_formats_and_round_trip(spark):
     assert pii.pseudonymize(df.limit(0), "k").count() == 0
 
 
+def test_pii_day_first_dates_timestamps_and_grouped_cards(spark):
+    text = "né le 25/12/1984, 31/12/1999 et 12/31/1999; 32/01/1999, 31/04/1999, 30/02/2000, 29/02/2000, 29/02/1999; 1984-02-29T10:00, 1985-02-29T10:00Z, 1984-02-29x; 3782 822463 10005, 3056-930902-5904, 3782 822463 10006"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    out = pii.pseudonymize(df, "k", day_first=True).first()
+    for same in ("32/01/1999", "31/04/1999", "30/02/2000", "29/02/1999", "1985-02-29T10:00Z", "1984-02-29x", "3782 822463 10006"):
+        assert same in out.text
+    for gone in ("25/12/1984", "31/12/1999", "12/31/1999", "29/02/2000", "1984-02-29T", "3782 822463 10005", "3056-930902-5904"):
+        assert gone not in out.text
+    assert out.n_pseudonyms == 7
+    cards = out.text.rsplit("; ", 1)[1].split(", ")[:2]
+    assert [[len(x) for x in c.replace("-", " ").split()] for c in cards] == [[4, 6, 5], [4, 6, 4]] and all(luhn(c.replace(" ", "").replace("-", "")) for c in cards)
+    assert pii.pseudonymize(pii.pseudonymize(df, "k", day_first=True), "k", reverse=True, day_first=True).first().text == text
+
+
+def test_pii_late_dates_are_a_bijection(spark):
+    """All dates with a day over 12 of the cycle: each gets another of them, no two the same one."""
+    days = spark.range(146097).select(F.date_format(F.date_add(F.lit("1800-01-01").cast("date"), F.col("id").cast("int")), "dd/MM/yyyy").alias("m")).where("substring(m, 1, 2) > '12'")
+    moved = days.select("m", pii._late(F.col("m"), "k", False).alias("p"))
+    assert days.count() == pii.LATE == moved.select("p").distinct().count() == moved.join(days.withColumnRenamed("m", "p"), "p").count()
+    some = moved.where("m like '%/199_'").withColumn("back", pii._late(F.col("p"), "k", True))
+    assert some.where("back is null or back <> m").count() == 0 and some.where("p <> m").count() > 2000
+
+
+def test_pii_query_takes_dates_day_first(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "le 25/12/1984 à Paris")], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    a, b = queries.op6_pii_feistel(spark, str(tmp_path)).first().text, corpus_pipeline.replace_personal_data(spark, docs, SF).first().text
+    assert a == b and "25/12/1984" not in a
+
+
 def test_pii_is_a_bijection(spark):
     for a, b in ((7, 3), (10, 100), (1, 5)):
         got = [r.x for r in spark.range(a * b).select(pii.permuted(F.col("id"), a, b, "k", "t").alias("x")).collect()]

@@ -16,15 +16,17 @@ from vicinia.llm.common import let
 ROUNDS = 8
 #: The Gregorian cycle has 146097 = 189 * 773 days; the one that pseudonyms stay in begins here.
 CYCLE_START, CYCLE_A, CYCLE_B = "1800-01-01", 189, 773
+#: Of the cycle's days, all but the first twelve of each of its 4800 months; they lie in 297 * 298 = LATE + 9.
+MONTHS, LATE, LATE_A, LATE_B = 4800, 146097 - 12 * 4800, 297, 298
 
 #: Candidates by kind, in the order in which they are tried; none starts or ends inside a longer word or number.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3}[ .-]?\d{4}(?!\w)",
     "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)",
-    "card": r"(?<![\w.+-])(?:\d{4}(?:[ -]\d{4}){3}|\d{13,19})(?!\w|[.-]\d)",
+    "card": r"(?<![\w.+-])(?:\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{4,5}|\d{13,19})(?!\w|[.-]\d)",
     "ssn": r"(?<![\w.+-])\d{3}-\d{2}-\d{4}(?!\w|-\d)",
-    "date": r"(?<![\w.+/-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?!\w|[./-]\d)",
+    "date": r"(?<![\w.+/-])(?:\d{4}-\d{2}-\d{2}(?=[Tt]\d{2})|(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?!\w|[./-]\d))",
 }
 ANY = "|".join(PATTERNS.values())
 #: What any candidate holds; a cheap test that most texts fail.
@@ -123,17 +125,38 @@ def _ssn(m: Column, key: str, reverse: bool) -> Column:
     return F.when(ok, F.concat_ws("-", pad(new, 3), pad(F.pmod(F.floor(v / 9999), F.lit(99)).cast("long") + 1, 2), pad(F.pmod(v, F.lit(9999)) + 1, 4)))
 
 
-def _date(m: Column, key: str, reverse: bool) -> Column:
-    """Year-month-day; month/day/year, or day/month/year where only that is a date; day.month.year."""
+def _late(m: Column, key: str, reverse: bool) -> Column:
+    """Day/month/year with a day over 12, permuted among such dates, so that the pseudonym is none of month/day/year."""
+    start = F.lit(CYCLE_START).cast("date")
+    date = F.try_to_timestamp(m, F.lit("dd/MM/yyyy")).cast("date")
+    month = ((F.year(date) - 1800) * 12 + F.month(date) - 1).cast("long")
+    nth = F.datediff(date, start) - 12 * (month + 1)
+    # The domain has nine values more than there are dates: what lands on one moves on, ten times at most.
+    step = lambda x: permuted(x, LATE_A, LATE_B, key, "datedd/MM/yyyy", reverse)
+    new = F.aggregate(F.array(*map(F.lit, range(LATE_A * LATE_B - LATE))), step(nth), lambda x, _: F.when(x < LATE, x).otherwise(step(x)))
+
+    def back(n: Column) -> Column:
+        """The date at a place: its month is the last that begins at or before it, at most one off a constant rate."""
+        begin = lambda k: F.datediff(F.add_months(start, k.cast("int")), start) - 12 * k
+        guess = F.floor(n * MONTHS / LATE).cast("long")
+        at = F.array_max(F.filter(F.transform(F.array(*map(F.lit, range(-2, 3))), lambda d: guess + d), lambda k: begin(k) <= n))
+        return let(at, lambda k: F.date_add(start, (n + 12 * (k + 1)).cast("int")))
+
+    return F.when((nth >= 0) & (nth < LATE), let(new, lambda n: F.date_format(back(n), "dd/MM/yyyy")))
+
+
+def _date(m: Column, key: str, reverse: bool, day_first: bool = False) -> Column:
+    """Year-month-day; month/day/year, or with day_first day/month/year where only that is a date; day.month.year."""
 
     def moved(form: str) -> Column:
         day = F.datediff(F.try_to_timestamp(m, F.lit(form)).cast("date"), F.lit(CYCLE_START).cast("date")).cast("long")
         new = F.date_add(F.lit(CYCLE_START).cast("date"), permuted(day, CYCLE_A, CYCLE_B, key, "date" + form, reverse).cast("int"))
         return F.when((day >= 0) & (day < CYCLE_A * CYCLE_B), F.date_format(new, form))
 
-    first = lambda form: moved(form)
-    us = F.when(F.substring(m, 1, 2).cast("int") <= 12, first("MM/dd/yyyy"))
-    return F.when(m.contains("-"), first("yyyy-MM-dd")).when(m.contains("."), first("dd.MM.yyyy")).otherwise(us)
+    slashed = F.when(F.substring(m, 1, 2).cast("int") <= 12, moved("MM/dd/yyyy"))
+    if day_first:
+        slashed = slashed.otherwise(_late(m, key, reverse))
+    return F.when(m.contains("-"), moved("yyyy-MM-dd")).when(m.contains("."), moved("dd.MM.yyyy")).otherwise(slashed)
 
 
 def _shifted(text: Column, by: Column, sign: int) -> Column:
@@ -172,26 +195,27 @@ def _kind(m: Column) -> Column:
     )
 
 
-def pseudonym(m: Column, key: str, reverse: bool = False) -> Column:
+def pseudonym(m: Column, key: str, reverse: bool = False, day_first: bool = False) -> Column:
     """The pseudonym of one candidate; null if it is not valid."""
     k = _kind(m)
-    by_kind = {"email": _email, "phone": _phone, "ip": _ip, "ssn": _ssn, "date": _date, "card": _card}
+    by_kind = {"email": _email, "phone": _phone, "ip": _ip, "ssn": _ssn, "date": lambda *a: _date(*a, day_first), "card": _card}
     out = F.lit(None).cast("string")
     for kind, f in by_kind.items():
         out = F.when(k == kind, f(m, key, reverse)).otherwise(out)
     return out
 
 
-def pseudonymize(docs: DataFrame, key: str, column: str = "text", reverse: bool = False) -> DataFrame:
+def pseudonymize(docs: DataFrame, key: str, column: str = "text", reverse: bool = False, day_first: bool = False) -> DataFrame:
     """docs with `column` rewritten and n_pseudonyms added: a projection, without a shuffle or any Python on executors.
 
     Null stays null with 0 pseudonyms, empty stays empty. Texts of any length are rewritten whole; candidates that are
     not valid stay as they are. Repeated rows get equal results, no rows give none. Other columns are passed on; one
-    called n_pseudonyms is replaced. reverse=True with the same key undoes it."""
+    called n_pseudonyms is replaced. day_first takes slashed dates whose first part is over 12 as day/month/year; else they
+    stay as they are. reverse=True with the same key and day_first undoes it."""
     text = F.col(column)
     found = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     hits = "__pii_hits"
-    out = docs.withColumn(hits, F.transform(F.coalesce(found, F.array().cast("array<string>")), lambda m: F.struct(m.alias("m"), pseudonym(m, key, reverse).alias("p"))))
+    out = docs.withColumn(hits, F.transform(F.coalesce(found, F.array().cast("array<string>")), lambda m: F.struct(m.alias("m"), pseudonym(m, key, reverse, day_first).alias("p"))))
     glued = F.array_join(F.zip_with(F.split(text, ANY, -1), F.col(hits), lambda t, h: F.concat(t, F.coalesce(h["p"], h["m"], F.lit("")))), "")
     out = out.withColumn(column, F.when(F.size(hits) > 0, glued).otherwise(text))
     return out.withColumn("n_pseudonyms", F.size(F.filter(hits, lambda h: h["p"].isNotNull()))).drop(hits)

@@ -71,7 +71,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymize(load(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return pii.pseudonymize(load(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY, day_first=True)
 
 
 def op7_toxicity_gru(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """Queries over whole tables beside those that keep to a part of their input."""
 
+import duckdb
 import pytest
 
 from vicinia import registry
+from vicinia.plans.pages import SAMPLE
 
 SF = "/root/testdata/sf0.001"
 QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
@@ -21,3 +23,26 @@ def test_whole_guidance_is_by_the_nearest_of_all(spark):
     assert "where id % 10" not in ORACLES["no_result_guidance_whole"]
     part, whole = (QUERIES[n](spark, SF).first().nearest_m for n in ("no_result_guidance", "no_result_guidance_whole"))
     assert whole is not None and (part is None or whole <= part)
+
+
+def test_page_queries_read_the_table(spark, tmp_path):
+    """The hand-written page as one row of a table among others; a page of the table has its brands found."""
+    rows = [(7, SAMPLE), (8, ""), (9, None), (10, "<p>Nur Werkzeug Meister</p>")]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    jsonld, crumbs, brands = (QUERIES[n](spark, str(tmp_path)).collect() for n in ("html_jsonld", "html_breadcrumbs", "html_brands"))
+    assert len(jsonld) == 3 and {r.page_id for r in jsonld} == {7}
+    by = {r.page_id: r for r in crumbs}
+    assert set(by) == {7, 8, 9, 10} and by[7].crumbs.split("|")[:2] == ["Start", "Saws"] and by[7].description == 'Fine "tools"' and by[7].schema_hours == "Mo-Fr 09:00-18:00"
+    assert {r.page_id: r.brands for r in brands}[7].startswith("Acme") and "Nur Werkzeug" in {r.page_id: r.brands for r in brands}[10]
+
+
+@pytest.mark.parametrize("name", ["html_breadcrumbs", "html_brands"])
+def test_page_queries_give_all_pages(spark, name):
+    want = {x[0] for x in duckdb.sql(f"select page_id from '{SF}/pages.parquet'").fetchall()}
+    assert {r.page_id for r in QUERIES[name](spark, SF).collect()} == want
+
+
+def test_template_and_lenient_json_are_over_whole_tables(spark):
+    n = lambda t: spark.read.parquet(f"{SF}/{t}.parquet").count()
+    assert QUERIES["store_product_template_whole"](spark, SF).count() == n("supplier") * n("part")
+    assert QUERIES["json_lenient_parse_whole"](spark, SF).count() == n("events")

@@ -104,6 +104,11 @@ def store_product_template(spark, sf_dir):
     return osm.template(load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")), load(spark, sf_dir, "region").select(F.col("r_regionkey").alias("id"))).select("store_id", "product_id")
 
 
+@query("select s_suppkey as store_id, p_partkey as product_id from supplier, part")
+def store_product_template_whole(spark, sf_dir):
+    return osm.template(load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")), products(spark, sf_dir).select("id")).select("store_id", "product_id")
+
+
 @query()
 def seeded_sample(spark, sf_dir):
     return k.sample_rows(candidates(spark, sf_dir), 25, 7).select("id")

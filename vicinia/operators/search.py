@@ -13,6 +13,7 @@ from vicinia.operators.merging import dedupe_ranked
 # Limits of retrieval and of result lists, default radius and its range.
 PRE_RANK, TOP, TOP_SERVICES, TOP_CATEGORY, FEW = 450, 80, 80, 24, 110
 RADIUS, RADIUS_RANGE = 2000, (300, 15_000)
+PROFILE_RANK = {"validated": 4, "likely": 3, "unvalidated": 2, "rejected": 0}
 
 
 @dataclass
@@ -148,15 +149,77 @@ def keep_under_service_intent(strong: Column, trusted: Column, confidence: Colum
     return strong & trusted & (confidence >= 0.86)
 
 
-def profile_supports(services: Column, roles: Column, query: Column) -> Column:
-    """F16: a likely service meets the query, or a repair or service role."""
-    return F.exists(F.coalesce(services, F.array().cast("array<string>")), lambda s: text.contain_each_other(s, query)) | F.arrays_overlap(F.coalesce(roles, F.array().cast("array<string>")), F.array(F.lit("repair_service"), F.lit("service")))
+def _meets(terms: Column, query: Column) -> Column:
+    return F.exists(F.coalesce(terms, F.array().cast("array<string>")), lambda s: (s != "") & text.fuzzy_phrase(query, s))
 
 
-def profile_contradicts(products: Column, unlikely: Column, query: Column) -> Column:
-    """F16: the query is among unlikely terms and no likely product meets it."""
-    has = lambda a: F.exists(F.coalesce(a, F.array().cast("array<string>")), lambda s: text.contain_each_other(s, query))
-    return has(unlikely) & ~has(products)
+def _has_role(roles: Column, known: list[str]) -> Column:
+    return F.exists(F.coalesce(roles, F.array().cast("array<string>")), lambda r: r.isin(known))
+
+
+def profile_supports(services: Column, roles: Column, query: Column, service_roles: list[str]) -> Column:
+    """F16: a role of service, or a likely service that meets the query; false without a profile."""
+    return _has_role(roles, service_roles) | _meets(services, query)
+
+
+def profile_contradicts(found: Column, products: Column, roles: Column, query: Column, product_roles: list[str]) -> Column:
+    """F16: a profile was found that has no role of selling products and no likely product that meets the query."""
+    return F.coalesce(found, F.lit(False)) & ~_has_role(roles, product_roles) & ~_meets(products, query)
+
+
+def best_profiles(profiles: DataFrame) -> DataFrame:
+    """Of each store's profiles the best by validation, then by confidence in hundredths; the newest of equals."""
+    status = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in PROFILE_RANK.items() for x in kv]), F.coalesce("validation_status", F.lit(""))), F.lit(1))
+    score = status * 1000 + F.floor(F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)) * 100 + 0.5)
+    row = F.struct("store_type", "roles", "likely_products", "likely_services", F.col("confidence").cast("double").alias("role_confidence"))
+    return profiles.groupBy("establishment_id").agg(F.max_by(row, F.struct(score.alias("s"), F.col("updated_at").alias("u"))).alias("profile"))
+
+
+def with_profiles(rows: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Each row with its store's best profile, null without one."""
+    return rows.join(best_profiles(profiles), "establishment_id", "left")
+
+
+@dataclass
+class Plausibility:
+    """What F13 judges with: categories, words and roles, and the place categories that fit a product group. Everything is data of the caller."""
+
+    service_categories: list[str] = field(default_factory=list)
+    service_hints: list[str] = field(default_factory=list)
+    chains: list[str] = field(default_factory=list)
+    fits: dict[str, list[str]] = field(default_factory=dict)
+    strict_groups: list[str] = field(default_factory=list)
+    service_roles: list[str] = field(default_factory=list)
+    product_roles: list[str] = field(default_factory=list)
+
+
+def plausible(rows: DataFrame, query: str, lex: Lexicon, rules: Plausibility) -> DataFrame:
+    """F13 over rows with strategy and profile: service intent needs support, text or validation; service-only places and
+    group finds are guarded (F12); near names then stay; a profile may contradict all but canonical finds; the rest needs its source's confidence."""
+    c, q = F.col, F.lit(query)
+    yes = lambda x: F.coalesce(x, F.lit(False))
+    name, conf = c("normalized_name"), F.coalesce(c("confidence").cast("double"), F.lit(0.0))
+    validated = yes(c("validation_status") == "validated")
+    owner = validated | yes(c("primary_source").isin("merchant_added", "user_validated"))
+    trusted = owner | yes(c("primary_source") == "website_extracted")
+    near = yes((name != "") & text.fuzzy_phrase(q, name))
+    token = yes(F.exists(text.tokens(q), lambda x: (F.length(x) >= 4) & F.exists(text.tokens(name), lambda y: text.contain_each_other(x, y) | text.fuzzy_token(x, y))))
+    specific, service = is_specific(q, lex), is_service(q, lex)
+    at = lambda xs: yes(c("osm_category").isin(xs)) | yes(c("app_category").isin(xs))
+    chain = yes(text.any_of(text.normalize(c("name")), rules.chains))
+    fit = F.lit(False)
+    for group, places in rules.fits.items():
+        fit = fit | (yes(c("product_group") == group) & at(places))
+    served = profile_supports(c("profile.likely_services"), c("profile.roles"), q, rules.service_roles)
+    against = profile_contradicts(c("profile").isNotNull(), c("profile.likely_products"), c("profile.roles"), q, rules.product_roles)
+    beauty = yes(service_only_place(c("osm_category"), c("name"), rules.service_categories, rules.service_hints, rules.chains))
+    strategy = F.when(c("strategy") == 2, "canonical").otherwise("other")
+    rejected = yes(c("validation_status") == "rejected")
+    # The guard's rule on service places asks for the owner's word; a website is enough for its later rules.
+    unserved = specific & ~(near | token) & at(rules.service_categories) & ~chain & ~owner
+    guard = ~unserved & fallback_guard(specific, near | token, F.lit(False), chain, trusted, strategy, rejected, fit, conf, yes(c("product_group").isin(rules.strict_groups)), token)
+    rest = ~(specific & (c("strategy") != 2) & against) & (conf >= scores.min_confidence(c("primary_source")))
+    return rows.where((~service | served | near | validated) & ~(specific & beauty & ~owner) & guard & (near | rest))
 
 
 def serving(merged: DataFrame, establishments: DataFrame, products: DataFrame) -> DataFrame:
@@ -203,13 +266,18 @@ def rank_products(rows: DataFrame, query: str, lat: float, lon: float, radius_m:
     return rows.withColumn("rank", rank)
 
 
-def search(rows: DataFrame, query: str, lat: float, lon: float, radius_m: float = RADIUS, product_ids: list[int] | None = None, groups: list[str] | None = None, intents: list[str] | None = None, lex: Lexicon | None = None, top: int = TOP) -> DataFrame:
-    """Q10, the product part: box, strategies, confidence by source, rank, radius, one row a place, the best few."""
+def search(rows: DataFrame, query: str, lat: float, lon: float, radius_m: float = RADIUS, product_ids: list[int] | None = None, groups: list[str] | None = None, intents: list[str] | None = None, lex: Lexicon | None = None, top: int = TOP, profiles: DataFrame | None = None, rules: Plausibility | None = None) -> DataFrame:
+    """Q10, the product part: box, strategies, plausibility, rank, radius, one row a place, the best few.
+
+    With profiles and rules rows pass the whole chain F13 with their stores' profiles (N19), else the last link of it alone, confidence by source."""
     if lex and query in lex.generic:  # F24
         return rank_products(rows.limit(0), query, lat, lon, radius_m)
     lat_, lon_, r = clamp_params(lat, lon, radius_m)
     found = cascade(retrieve(rows, lat_, lon_, r), intents or [], product_ids or [], groups or [], query)
-    ok = found.where(F.col("confidence") >= scores.min_confidence(F.col("primary_source")))
+    if profiles is not None and rules is not None:
+        ok = plausible(with_profiles(found, profiles), query, lex or Lexicon(), rules)
+    else:
+        ok = found.where(F.col("confidence") >= scores.min_confidence(F.col("primary_source")))
     return dedupe_ranked(rank_products(ok, query, lat_, lon_, r)).orderBy(F.col("rank").desc(), "establishment_id", "product_id").limit(top)
 
 

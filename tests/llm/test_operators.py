@@ -102,6 +102,26 @@ def test_jaccard_large_group_of_differing_copies(spark):
     assert got == components_of(sets, edges)
 
 
+    blocks = {x.doc_id: x.component_id for x in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), block=12).collect()}
+    assert blocks == got
+
+
+def test_jaccard_repeated_ids_and_split_columns(spark, monkeypatch):
+    """Texts under one doc_id are one document; columns dealt into parts of a few rows lose no link."""
+    monkeypatch.setattr(jaccard_join, "SPLIT", 5)
+    r = random.Random(9)
+    texts = near_texts(2)
+    rows = [(r.randrange(40), t) for t in texts] + [(100 + i, f"{texts[0]} w{i}") for i in range(40)]
+    rows += rows[:9] + [(None, texts[0]), (None, "alone in the world")]
+    sets = [(i, shingles(t)) for i, t in rows]
+    edges = [(a, b) for a, x in sets for b, y in sets if a is not None and b is not None and 100 * len(x & y) >= 80 * len(x | y)]
+    want = components_of({i for i, _ in rows if i is not None}, edges)
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), block=12).collect()
+    assert sorted((x.doc_id, x.n_shingles) for x in got if x.doc_id is not None) == sorted((i, len(s)) for i, s in sets if i is not None)
+    assert {(x.doc_id, x.component_id) for x in got if x.doc_id is not None} == set(want.items())
+    assert {x.component_id for x in got if x.doc_id is None} == {want[rows[0][0]], None}
+
+
 def test_jaccard_odd_rows(odd, none):
     rows = jaccard_join.jaccard_components(odd).collect()
     assert len(rows) == len(ODD)

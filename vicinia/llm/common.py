@@ -66,15 +66,19 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return out
 
 
-def discard(spark: SparkSession, *tables: DataFrame) -> None:
-    """Delete scratch tables that no plan reads any more, and let the shuffle files of plans that nobody holds go: Spark's
-    cleaner drops those when the driver's JVM collects its garbage, which a long run may otherwise put off until disks are full."""
-    jvm = spark.sparkContext._jvm
+def remove(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete scratch tables that no plan reads any more."""
     for t in tables:
-        path = jvm.org.apache.hadoop.fs.Path(t.scratch_path)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t.scratch_path)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """remove(), and let the shuffle files of plans that nobody holds go: Spark's cleaner drops those when the
+    driver's JVM collects its garbage, which a long run may otherwise put off until disks are full."""
+    remove(spark, *tables)
     gc.collect()
-    jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
 
 
 def keep_ids(df: DataFrame, ids: DataFrame, column: str, n_ids: int | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vicinia.llm.common import materialize
+from vicinia.llm.common import materialize, remove
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -24,14 +24,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     """(node, component) for every node that has a link to another; component is its smallest node.
 
     Self links and null ends are ignored, repeated links count once, and no links give an empty result.
-    Each round is one written table of at most as many rows as there are links, so a lost executor
-    costs one round and no node's neighbours ever meet in one task."""
+    Each round is one written table of at most as many rows as there are links, so a lost executor costs one round.
+    The links of one node share a task's partition as rows; a join on it is split by adaptive execution where it is skewed."""
     x, y = F.col(a).cast("long"), F.col(b).cast("long")
     e = edges.where(x.isNotNull() & y.isNotNull() & (x != y)).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct()
     e = materialize(e, "links")
     seen = None
     for _ in range(max_rounds):
-        e = materialize(_small_star(_large_star(e)), "links")
+        last, e = e, materialize(_small_star(_large_star(e)), "links")
+        remove(edges.sparkSession, last)
         sig = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(sig) == seen:
             break

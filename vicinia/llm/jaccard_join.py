@@ -1,12 +1,14 @@
 """N-gram Jaccard join as a blocked sparse product of the document by shingle incidence.
 
-Rows of the incidence matrix are distinct texts, columns are hashed word shingles. Only the columns that the
-size-derived bound leaves are multiplied: with similarity t, two sets of sizes x and y can only link if they share one of
-the first x - ceil(t*x) + 1 columns of either in any common column order, and if t*max(x, y) <= min(x, y). Columns are
-ordered from rare to common, so passages that many documents share fall outside that part of nearly every row.
-The product is taken in column blocks (block = column modulo the number of blocks); what it leaves is checked exactly
-on the whole sets. Components need no more links than join them, so copies are never expanded into all pairs: first each
-column links its documents to one of them (a star), and only pairs that are still in different components follow.
+Rows of the incidence matrix are distinct texts, columns are hashed word shingles. With similarity t, two sets of sizes x and y
+can only link if t * max(x, y) <= min(x, y) and if they share one of the first x - ceil(t * x) + 1 columns of either in any common
+column order, so only those columns are kept; they are ordered from rare to common, and passages that many
+documents share fall outside the kept part of nearly every row. A first pass over column blocks finds which rows meet in a column.
+Rows that meet are dealt into cells of bounded size, and a cell takes the product of its own rows: for each row the
+overlap counts with all others accumulate over its kept columns, pairs below the bound that follows from both sizes are discarded, and
+what is left gets its overlap over all columns, which decides exactly. A cell gives a spanning forest of its links, as
+components need no more: no pair is ever a row of a table. Rows of one cell that is too large meet block by block: first each block
+by itself and with some rows of the whole cell, which joins most copies, then only blocks that rows of different components hold.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vicinia.llm.common import keep_ids, materialize, partitions_for, words_of
+from vicinia.llm.common import BROADCAST_IDS, discard, materialize, partitions_for, remove, words_of
 from vicinia.llm.components import connected_components
 
 #: Shingles that a task holds before it passes on what it has: bounds its memory, not the input.
@@ -29,6 +31,10 @@ CHUNK = 3_000_000
 HOT_COLUMNS = 400_000
 #: Words whose hashes a worker keeps.
 CACHE = 400_000
+#: A column that recurs more often is dealt into parts of about so many rows, so none has to fit in a task.
+SPLIT = 200_000
+#: Rows and shingles of a block of a cell, and rows of a cell of several blocks that all its blocks get.
+BLOCK, WEIGHT, PIVOTS = 1_000, 2_000_000, 64
 _M1, _M2, _MUL = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -62,6 +68,12 @@ def shingle_set(words: list[bytes], n: int, hashes: WordHash) -> np.ndarray:
     return np.unique(_mixed(h))
 
 
+def key_of(words: list[bytes]) -> tuple[int, int]:
+    """126 bits of a digest of the words."""
+    key = xxhash.xxh3_128_intdigest(b" ".join(words))
+    return key & (2**63 - 1), key >> 65
+
+
 def _survey(n: int):
     """Tasks give a row for each text (kind 0: id, its set's size, 128-bit key of its words) and for each shingle that recurs in the task's chunk (kind 1: shingle, count)."""
 
@@ -77,8 +89,7 @@ def _survey(n: int):
             sizes, k1, k2 = [], [], []
             for t in b.column(1):
                 words = words_of(t.as_py())
-                key = xxhash.xxh3_128_intdigest(b" ".join(words))
-                a, z = key & (2**63 - 1), key >> 65
+                key = a, z = key_of(words)
                 s = shingle_set(words, n, hashes)
                 sizes.append(len(s))
                 k1.append(a)
@@ -109,18 +120,29 @@ def _prefix(s: np.ndarray, t_num: int, hot: np.ndarray, counts: np.ndarray) -> n
     return s[np.lexsort((s, rank))[:p]]
 
 
+def node_of(doc_id: int, k1: int, k2: int, twice: bool) -> int:
+    """A row's node: its doc_id, or a digest of its words where a doc_id comes with several texts."""
+    return -1 - (k1 ^ k2) if twice else doc_id
+
+
 def _columns(n: int, t_num: int, blocks: int, hot_bc):
-    """Tasks give the kept part of their rows of the incidence matrix, dealt into column blocks."""
+    """Tasks give the kept part of their rows of the incidence matrix, dealt into column blocks; parts of split columns have negative ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, counts = hot_bc.value
-        hashes, cols, ids, sizes, held = WordHash(), [], [], [], 0
+        often, times = hot[counts > SPLIT], counts[counts > SPLIT]
+        hashes, cols, ids, sizes, held, seen = WordHash(), [], [], [], 0, set()
 
         def dealt():
             c = np.concatenate(cols)
             each = np.array([len(x) for x in cols])
             i, s = np.repeat(np.array(ids, np.int64), each), np.repeat(np.array(sizes, np.int32), each)
             block = (c % np.uint64(blocks)).astype(np.int64)
+            if len(often):
+                at = np.minimum(np.searchsorted(often, c), len(often) - 1)
+                split = often[at] == c
+                part = _mixed(i.view(np.uint64)) % (times[at] // SPLIT + 1).astype(np.uint64)
+                block = np.where(split, -1 - ((_mixed(c + part)) % np.uint64(blocks)).astype(np.int64), block)
             order = np.argsort(block, kind="stable")
             c, i, s, block = c[order], i[order], s[order], block[order]
             present, at = np.unique(block, return_index=True)
@@ -128,72 +150,131 @@ def _columns(n: int, t_num: int, blocks: int, hot_bc):
             return pa.RecordBatch.from_pydict({"block": pa.array(present), "cols": pa.array([c[x:y].tobytes() for x, y in zip(at, ends, strict=True)], pa.binary()), "ids": pa.array([i[x:y].tobytes() for x, y in zip(at, ends, strict=True)], pa.binary()), "sizes": pa.array([s[x:y].tobytes() for x, y in zip(at, ends, strict=True)], pa.binary())})
 
         for b in batches:
-            for doc_id, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                s = shingle_set(words_of(t.as_py()), n, hashes)
-                if not len(s):
+            for doc_id, t, copies, twice in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                words = words_of(t.as_py())
+                k1, k2 = key_of(words) if copies or twice else (0, 0)
+                node = node_of(doc_id, k1, k2, twice)
+                if not words or node in seen or copies and k1 in copies:
                     continue
+                seen.add(node)
+                s = shingle_set(words, n, hashes)
                 cols.append(_prefix(s, t_num, hot, counts))
-                ids.append(doc_id)
+                ids.append(node)
                 sizes.append(len(s))
                 held += len(cols[-1])
                 if held >= CHUNK:
                     yield dealt()
-                    cols, ids, sizes, held = [], [], [], 0
+                    cols, ids, sizes, held, seen = [], [], [], 0, set()
         if cols:
             yield dealt()
 
     return run
 
 
-def _product(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Columns of one block with two rows or more, each as its sorted row ids; equal columns once, with their number m."""
+def _runs(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Columns of one block with two rows or more, as (run, node, its size, m): columns of the same rows are one run, m their number.
+
+    Parts of a split column are one run by its hash, whichever rows they have."""
     c = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["cols"]])
     i = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["ids"]])
     s = np.concatenate([np.frombuffer(x, np.int32) for x in pdf["sizes"]])
     order = np.lexsort((i, c))
     c, i, s = c[order], i[order], s[order]
+    once = np.r_[True, (c[1:] != c[:-1]) | (i[1:] != i[:-1])] if len(c) else np.zeros(0, bool)
+    c, i, s = c[once], i[once], s[once]
+    if pdf["block"].iloc[0] < 0:
+        return pd.DataFrame({"run": c.view(np.int64), "node": i, "s": s.astype(np.int64), "m": np.ones(len(c), np.int64)})
     starts = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
     lengths = np.diff(np.r_[starts, len(c)])
-    found = {}
+    found: dict[bytes, list] = {}
     for a, n in zip(starts[lengths > 1], lengths[lengths > 1], strict=True):
         found.setdefault(i[a : a + n].tobytes(), [s[a : a + n], 0])[1] += 1
-    return pd.DataFrame({"ids": pd.Series([np.frombuffer(k, np.int64).tolist() for k in found], dtype=object), "sizes": pd.Series([v.tolist() for v, _ in found.values()], dtype=object), "m": pd.Series([m for _, m in found.values()], dtype="int64")})
+    each = np.array([len(k) // 8 for k in found], np.int64)
+    name = np.array([xxhash.xxh3_64_intdigest(k) for k in found], np.uint64).view(np.int64)
+    nodes = np.frombuffer(b"".join(found), np.int64)
+    size = np.concatenate([v for v, _ in found.values()]).astype(np.int64) if found else np.empty(0, np.int64)
+    return pd.DataFrame({"run": np.repeat(name, each), "node": nodes, "s": size, "m": np.repeat(np.array([m for _, m in found.values()], np.int64), each)})
+
+
+def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... for length[0] numbers, then those of the next."""
+    return np.repeat(start - (np.cumsum(length) - length), length) + np.arange(length.sum())
+
+
+def product(sets: list[np.ndarray], label: np.ndarray, side: np.ndarray, t_num: int, hot: np.ndarray, counts: np.ndarray) -> list[tuple[int, int]]:
+    """Links (i, j) between sets of different labels that join them, found row by row of the sparse product.
+
+    side: if some are 1, rows of side 0 meet those of side 1; else all rows meet each other. Labels that a link joins become one,
+    and pairs within one label are not looked at any more: the links returned are a spanning forest."""
+    n, label = len(sets), label.copy()
+    size = np.array([len(s) for s in sets], np.int64)
+    kept = [_prefix(s, t_num, hot, counts) for s in sets]
+    k_len = np.array([len(k) for k in kept], np.int64)
+    k_at = np.cumsum(k_len) - k_len
+    _, col = np.unique(np.concatenate(kept), return_inverse=True)
+    order = np.argsort(col, kind="stable")
+    holders = np.repeat(np.arange(n), k_len)[order]  # the rows of each kept column
+    c_at = np.searchsorted(col[order], np.arange(col.max() + 2))
+    names, whole = np.unique(np.concatenate(sets), return_inverse=True)
+    w_at = np.cumsum(size) - size
+    mark = np.zeros(len(names), bool)
+    two, links = bool(side.any()), []
+    for a in np.flatnonzero(side == 0):
+        mine = col[k_at[a] : k_at[a] + k_len[a]]
+        h = np.bincount(holders[_ranges(c_at[mine], c_at[mine + 1] - c_at[mine])], minlength=n)
+        x, y = np.maximum(size[a], size), np.minimum(size[a], size)
+        able = (h > 0) & (100 * y >= t_num * x) & ((100 + t_num) * (100 * h + t_num * x) >= 100 * t_num * (x + y)) & (label != label[a])
+        if two:
+            able &= side == 1
+        else:
+            able[: a + 1] = False
+        near = np.flatnonzero(able)
+        if not len(near):
+            continue
+        near = near[np.argsort(-h[near], kind="stable")]
+        mark[whole[w_at[a] : w_at[a] + size[a]]] = True
+        for k in range(0, len(near), 64):
+            b = near[k : k + 64]
+            b = b[label[b] != label[a]]
+            if not len(b):
+                continue
+            both = np.add.reduceat(mark[whole[_ranges(w_at[b], size[b])]].astype(np.int64), np.cumsum(size[b]) - size[b])
+            for j in b[100 * both >= t_num * (size[a] + size[b] - both)]:
+                if label[j] != label[a]:
+                    links.append((int(a), int(j)))
+                    label[label == label[j]] = label[a]
+        mark[whole[w_at[a] : w_at[a] + size[a]]] = False
+    return links
+
+
+def _met(n: int, t_num: int, hot_bc):
+    """Rows (part, side, label, node, k1, twice, text) arrive sorted by part; the rows of each part meet in one product."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, part, rows = WordHash(), None, {}
 
-def _checked(n: int, t_num: int):
-    """Exact check of the pairs of one block on whole sets: 100 * intersection >= t * union."""
+        def met():
+            if len(rows) < 2:
+                return pa.RecordBatch.from_pydict({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+            nodes = sorted(rows)
+            links = product([rows[i][2] for i in nodes], np.array([rows[i][1] for i in nodes], np.int64), np.array([rows[i][0] for i in nodes]), t_num, *hot_bc.value)
+            return pa.RecordBatch.from_pydict({"a": pa.array([nodes[i] for i, _ in links], pa.int64()), "b": pa.array([nodes[j] for _, j in links], pa.int64())})
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        hashes = WordHash()
-        texts = pdf[pdf["kind"] == 1]
-        sets = {i: shingle_set(words_of(t), n, hashes) for i, t in zip(texts["a"], texts["text"], strict=True)}
-        out = []
-        pairs = pdf[pdf["kind"] == 0]
-        for a, b in zip(pairs["a"], pairs["b"], strict=True):
-            x, y = sets[a], sets[b]
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            if 100 * both >= t_num * (len(x) + len(y) - both):
-                out.append((a, b))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        for b in batches:
+            for p, side, label, node, k1, twice, t in zip(*(b.column(i).to_pylist() for i in range(6)), b.column(6), strict=True):
+                if p != part:
+                    yield met()
+                    part, rows = p, {}
+                if node in rows:
+                    continue
+                words = words_of(t.as_py())
+                if not twice or key_of(words)[0] == k1:  # a row that only shares its doc_id has another text
+                    rows[node] = (side, label, shingle_set(words, n, hashes))
+        yield met()
 
     return run
 
 
-def _links(pairs: DataFrame, docs: DataFrame, n: int, t_num: int) -> DataFrame:
-    """The pairs (a, b) that link. Pairs are dealt into blocks of some hundreds; each block gets each text it needs once."""
-    spark = docs.sparkSession
-    pairs = materialize(pairs, "pairs")
-    count = pairs.count()
-    blocks = partitions_for(spark, count, 400)
-    often = pairs.groupBy("a").agg(F.ceil(F.count("*") / 300).cast("int").alias("parts"))
-    dealt = pairs.join(often, "a").select("a", "b", F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts"))), F.lit(blocks)).cast("int").alias("block"))
-    needs = dealt.select("block", F.col("a").alias("doc_id")).unionByName(dealt.select("block", F.col("b").alias("doc_id"))).distinct()
-    needed = needs.select("doc_id").distinct()
-    texts = keep_ids(docs, needed, "doc_id").join(needs, "doc_id").select("block", F.lit(1).alias("kind"), F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "text")
-    rows = dealt.select("block", F.lit(0).alias("kind"), "a", "b", F.lit(None).cast("string").alias("text")).unionByName(texts)
-    return materialize(rows.groupBy("block").applyInPandas(_checked(n, t_num), "a long, b long"), "linked")
-
-
 def _can_link(h: Column | str, x: str, y: Column, t_num: int) -> Column:
     """Whether sets of sizes x and y that share at most h of their kept columns can link.
 
@@ -204,51 +285,96 @@ def _can_link(h: Column | str, x: str, y: Column, t_num: int) -> Column:
     return (100 + t_num) * (100 * h + t_num * F.greatest(F.col(x), y)) >= 100 * t_num * (F.col(x) + y)
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, similarity_percent: int = 80) -> DataFrame:
+def _sized(small: DataFrame, rows: int) -> DataFrame:
+    """A side of a join: broadcast if it was counted at BROADCAST_IDS rows at most, else both sides are shuffled."""
+    return F.broadcast(small) if rows <= BROADCAST_IDS else small.hint("shuffle_merge")
+
+
+def jaccard_components(docs: DataFrame, n: int = 5, similarity_percent: int = 80, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs, which needs doc_id and text; other columns are ignored.
 
     Null, empty and blank texts have no shingles and link with nothing. Texts of the same words are one row of the matrix.
-    doc_id is a key: rows that repeat one with the same words get equal results; other words under the same doc_id are one
-    node with it. A null doc_id is no node; its row gets the component of documents with its words, else null. An empty
-    table gives an empty result. Texts of any length are used whole."""
-    spark = docs.sparkSession
+    Rows that repeat a doc_id are one document: with the same words they get equal results, with other words each text
+    has its own n_shingles and the document has the links of all its texts. A null doc_id is no node; its row gets the
+    component of documents with its words, else null. An empty table gives an empty result. Texts of any length are used whole."""
+    spark, t = docs.sparkSession, similarity_percent
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     survey = materialize(docs.mapInArrow(_survey(n), "kind int, id long, size long, k1 long, k2 long"), "survey")
     every = survey.where("kind = 0").select(F.col("id").alias("doc_id"), "size", "k1", "k2")
-    nodes = every.where("size > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.max("size").alias("size"))
-    nodes = materialize(nodes, "nodes")
-    kept, shingles = nodes.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     top = survey.where("kind = 1").groupBy("id").agg(F.sum("size").alias("c")).where("c >= 4").orderBy(F.desc("c"), "id").limit(HOT_COLUMNS).toPandas()
     hot = top["id"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hot)
     hot_bc = spark.sparkContext.broadcast((hot[order], top["c"].to_numpy(np.int64)[order]))
 
-    one = keep_ids(docs, nodes.select(F.col("node").alias("doc_id")), "doc_id", kept)
+    # A text's row of the matrix is that of its smallest doc_id; marks has the doc_ids whose rows are copies or differ from each other.
+    texts = every.where("size > 0 and doc_id is not null").groupBy("doc_id", "k1", "k2").agg(F.max("size").alias("size"))
+    texts = texts.join(texts.groupBy("k1", "k2").agg(F.min("doc_id").alias("first")), ["k1", "k2"])
+    twice = materialize(texts.groupBy("doc_id").agg((F.count("*") > 1).alias("twice"), F.collect_list(F.when(F.col("first") != F.col("doc_id"), F.col("k1"))).alias("copies")).where("twice or size(copies) > 0"), "marks")
+    texts = texts.join(_sized(twice.where("twice").select("doc_id", "twice"), twice.where("twice").count()), "doc_id", "left").withColumn("twice", F.coalesce("twice", F.lit(False)))
+    own = F.when(F.col("twice"), -1 - F.col("k1").bitwiseXOR(F.col("k2"))).otherwise(F.col("doc_id"))
+    nodes = materialize(texts.where("first = doc_id").select("k1", "k2", "doc_id", "size", "twice", own.alias("node")), "nodes")
+    shingles = nodes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+
+    one = docs.where("doc_id is not null and text is not null").join(_sized(twice, twice.count()), "doc_id", "left").select("doc_id", "text", "copies", F.coalesce("twice", F.lit(False)).alias("twice"))
     blocks = partitions_for(spark, shingles / 5, 500_000)
-    kept_columns = one.mapInArrow(_columns(n, similarity_percent, blocks, hot_bc), "block long, cols binary, ids binary, sizes binary")
-    runs = materialize(kept_columns.groupBy("block").applyInPandas(_product, "ids array<long>, sizes array<int>, m long").groupBy("ids", "sizes").agg(F.sum("m").alias("m")), "runs")
-
-    # A doc_id that repeats with other texts must not meet itself.
-    fits = (F.col("a") != F.col("b")) & (100 * F.least("x", "y") >= similarity_percent * F.greatest("x", "y"))
-    rest = F.explode(F.arrays_zip(F.slice("ids", 2, F.size("ids") - 1).alias("i"), F.slice("sizes", 2, F.size("sizes") - 1).alias("s")))
-    star = runs.select(F.col("ids")[0].alias("a"), F.col("sizes")[0].alias("x"), rest.alias("r")).select("a", F.col("r.i").alias("b"), "x", F.col("r.s").alias("y")).where(fits).select("a", "b").distinct()
-    first = _links(star, one, n, similarity_percent)
-    label = connected_components(first)
-
-    # Columns that still hold two components or more: what pairs across components the overlap bound leaves, but for stars
-    # already checked. h is the number of a row's kept columns that another row keeps as well.
-    hits = runs.select(F.explode("ids").alias("node"), "m").groupBy("node").agg(F.sum("m").alias("h"))
-    long_ = runs.withColumn("run", F.xxhash64("ids")).select("run", F.explode(F.arrays_zip("ids", "sizes")).alias("r")).select("run", F.col("r.ids").alias("node"), F.col("r.sizes").cast("long").alias("s"))
-    long_ = long_.join(hits, "node").join(label, "node", "left").withColumn("c", F.coalesce("component", "node"))
-    ends = long_.groupBy("run").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("s").alias("least"), F.max("s").alias("most")).where("lo < hi").select("run", "least", "most")
-    low, high = F.greatest(F.col("least"), F.col("s") * similarity_percent / 100), F.least(F.col("most"), F.col("s") * 100 / similarity_percent)
-    able = materialize(long_.join(ends, "run").where(_can_link("h", "s", low, similarity_percent) | _can_link("h", "s", high, similarity_percent)).select("run", "node", "s", "c", "h"), "able")
-    mixed = able.groupBy("run").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("run")
-    open_ = materialize(able.join(mixed, "run", "left_semi"), "open")
-    left, right = (open_.select("run", F.col("node").alias(i), F.col("s").alias(s), F.col("c").alias(c), F.col("h").alias(h)) for i, s, c, h in (("a", "x", "ca", "ha"), ("b", "y", "cb", "hb")))
-    across = left.join(right, "run").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits & _can_link(F.least("ha", "hb"), "x", F.col("y"), similarity_percent)).select("a", "b").distinct().join(materialize(star, "stars"), ["a", "b"], "left_anti")
-    second = _links(across, one, n, similarity_percent)
-
-    component = connected_components(first.unionByName(second))
-    groups = nodes.join(component, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component_id"))
+    kept = one.mapInArrow(_columns(n, t, blocks, hot_bc), "block long, cols binary, ids binary, sizes binary")
+    found = kept.groupBy("block").applyInPandas(_runs, "run long, node long, s long, m long")
+    runs = materialize(found.groupBy("run", "node", "s").agg(F.sum("m").alias("m")), "runs")
+    discard(spark)
+
+    # Rows of a run that by its sizes and all their shared columns can link with some other.
+    hits = runs.groupBy("node").agg(F.sum("m").alias("h"))
+    ends = runs.groupBy("run").agg(F.min("s").alias("least"), F.max("s").alias("most"))
+    low, high = F.greatest(F.col("least"), F.col("s") * t / 100), F.least(F.col("most"), F.col("s") * 100 / t)
+    able = runs.join(ends, "run").join(hits, "node").where(_can_link("h", "s", low, t) | _can_link("h", "s", high, t)).select("run", "node", "s")
+    able = materialize(able, "able")
+    # A cell has the runs that meet the same smallest row, at one remove: so most rows are in one or two, and copies in one.
+    heads = able.groupBy("run").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last").select("run", "head")
+    lone = able.join(heads, "run")
+    hubs = lone.groupBy("node").agg(F.min("head").alias("hub"))
+    cells = lone.join(hubs, "node").groupBy("run").agg(F.min("hub").alias("cell"))
+    dealt = materialize(able.join(cells, "run").select("cell", "run", "node", "s"), "cells")
+    rows = dealt.select("cell", "node", "s").distinct()
+    per = rows.groupBy("cell").agg(F.count("*").alias("c"), F.ceil(F.greatest(F.count("*") / block, F.sum("s") / WEIGHT)).cast("int").alias("k"))
+    per = materialize(per, "per")
+    home = F.pmod(F.xxhash64(F.lit(1), "node"), F.col("k")).cast("int")
+    shared = (F.col("k") > 1) & (F.pmod(F.xxhash64(F.lit(2), "node"), F.ceil(F.col("c") / PIVOTS)) == 0)
+    placed = rows.join(per, "cell").select("node", "s", F.lit(0).alias("side"), F.col("node").alias("label"), "cell", F.explode(F.when(shared, F.sequence(F.lit(0), F.col("k") - 1)).otherwise(F.array(home))).alias("i"))
+    placed = placed.select("node", "s", "side", "label", F.xxhash64("cell", "i").alias("part"))
+
+    def met(placed: DataFrame) -> DataFrame:
+        placed = materialize(placed.join(nodes.select("node", "doc_id", "k1", "twice"), "node"), "placed")
+        count, weight = placed.agg(F.count("*"), F.coalesce(F.sum("s"), F.lit(0))).first()
+        full = docs.join(_sized(placed, count), "doc_id").select("part", "side", "label", "node", "k1", "twice", "text")
+        full = full.repartition(partitions_for(spark, weight, 4_000_000), "part").sortWithinPartitions("part", "node")
+        out = materialize(full.mapInArrow(_met(n, t, hot_bc), "a long, b long"), "linked")
+        discard(spark, placed)
+        return out
+
+    links = met(placed)
+    if not per.where("k > 1").isEmpty():
+        # What large cells leave open: rows in runs that still hold several components, in blocks of the most frequent one and of the others.
+        label = connected_components(links)
+        large = dealt.join(per.where("k > 1").select("cell"), "cell").join(label, "node", "left").withColumn("label", F.coalesce("component", "node"))
+        mixed = large.groupBy("run").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("run")
+        open_ = materialize(large.join(mixed, "run", "left_semi").select("cell", "node", "s", "label").distinct(), "open")
+        main = open_.groupBy("cell", "label").agg(F.count("*").alias("c")).groupBy("cell").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
+        sides = open_.join(main, "cell").withColumn("in_main", F.col("label") == F.col("main"))
+        parts = lambda at: F.ceil(F.greatest(F.count(F.when(at, 1)) / block, F.coalesce(F.sum(F.when(at, F.col("s"))), F.lit(0)) / WEIGHT)).cast("int")
+        grid = sides.groupBy("cell").agg(parts(F.col("in_main")).alias("kl"), parts(~F.col("in_main")).alias("ks"))
+        sides = sides.join(grid, "cell").withColumn("i", F.pmod(F.xxhash64(F.lit(3), "node"), F.when(F.col("in_main"), F.col("kl")).otherwise(F.col("ks"))).cast("int"))
+        to = F.expr("""if(in_main, transform(sequence(0, ks - 1), j -> named_struct('part', xxhash64(cell, 1, j, i), 'side', 1)),
+            concat(transform(sequence(0, kl - 1), j -> named_struct('part', xxhash64(cell, 1, i, j), 'side', 0)),
+                transform(sequence(0, ks - 1), j -> named_struct('part', xxhash64(cell, 2, least(i, j), greatest(i, j)), 'side', if(j < i, 1, 0)))))""")
+        placed = sides.select("node", "s", "label", F.explode(to).alias("x")).select("node", "s", F.col("x.side").alias("side"), "label", F.col("x.part").alias("part"))
+        links = links.unionByName(met(placed))
+
+    # Texts under one doc_id are one document.
+    several = texts.where("twice").join(nodes.select("k1", "k2", "node"), ["k1", "k2"]).select("doc_id", "node")
+    several = several.join(several.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").select("a", F.col("node").alias("b"))
+    component = connected_components(links.unionByName(several)).join(nodes.select("node", "doc_id"), "node")
+    component = component.join(component.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("node", "component_id")
+    groups = materialize(nodes.join(component, "node", "left").select("k1", "k2", F.coalesce("component_id", "doc_id").alias("component_id")), "groups")
+    remove(spark, runs, able, dealt, per)
     return every.join(groups, ["k1", "k2"], "left").select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+

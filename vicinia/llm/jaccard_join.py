@@ -5,10 +5,11 @@ can only link if t * max(x, y) <= min(x, y) and if they share one of the first x
 column order, so only those columns are kept; they are ordered from rare to common, and passages that many
 documents share fall outside the kept part of nearly every row. A first pass over column blocks finds which rows meet in a column.
 Rows that meet are dealt into cells of bounded size, and a cell takes the product of its own rows: for each row the
-overlap counts with all others accumulate over its kept columns, pairs below the bound that follows from both sizes are discarded, and
-what is left gets its overlap over all columns, which decides exactly. A cell gives a spanning forest of its links, as
-components need no more: no pair is ever a row of a table. Rows of one cell that is too large meet block by block: first each block
-by itself and with some rows of the whole cell, which joins most copies, then only blocks that rows of different components hold.
+overlap counts with all others accumulate over its kept columns, and pairs below the bound that follows from both sizes are
+discarded. Only rows of pairs that are left are sent to their cell whole, where the overlap over all columns decides exactly. A cell
+gives a spanning forest of its links, as components need no more: no pair is ever a row of a table. Rows of one cell that is
+too large meet block by block: first each block by itself and with some rows of the whole cell, which joins most copies,
+then only blocks that rows of different components hold.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -201,6 +203,80 @@ def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.repeat(start - (np.cumsum(length) - length), length) + np.arange(length.sum())
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by part, the first column, as one table for each part of two rows or more."""
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b])
+        t = t if held is None else pa.concat_tables([held, t]).combine_chunks()
+        part = t.column(0).to_numpy()
+        at = np.r_[0, np.flatnonzero(part[1:] != part[:-1]) + 1]
+        for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            if y - x > 1:
+                yield t.slice(x, y - x)
+        held = t.slice(int(at[-1]))
+    if held is not None and held.num_rows > 1:
+        yield held
+
+
+def _may_link(h: np.ndarray, x: np.ndarray, y: np.ndarray, t_num: int) -> np.ndarray:
+    """Whether sets of sizes x >= y that share h kept columns can link: see _can_link."""
+    return (h > 0) & (100 * y >= t_num * x) & ((100 + t_num) * (100 * h + t_num * x) >= 100 * t_num * (x + y))
+
+
+def accumulated(runs: np.ndarray, length: np.ndarray, m: np.ndarray, cells: np.ndarray, size: np.ndarray, label: np.ndarray, side: np.ndarray, cell: int, t_num: int) -> np.ndarray:
+    """Rows of a cell that the bound leaves a partner of another label: overlap counts over runs, each m columns, row by row of the product.
+
+    runs, m and cells have length[0] entries of the first row, then those of the next. Of a pair that meets in several cells only the smallest
+    counts. side: if some are 1, rows of side 0 meet those of side 1; else all rows meet each other."""
+    n = len(length)
+    at = np.cumsum(length) - length
+    _, first, col = np.unique(runs, return_index=True, return_inverse=True)
+    order = np.argsort(col, kind="stable")
+    holders = np.repeat(np.arange(n), length)[order]
+    c_at = np.searchsorted(col[order], np.arange(len(first) + 1))
+    c_len, c_m, c_cell = np.diff(c_at), m[first].astype(float), cells[first]
+    two, left = bool(side.any()), np.zeros(n, bool)
+    for a in np.flatnonzero(side == 0):
+        mine = col[at[a] : at[a] + length[a]]
+        mine = mine[c_len[mine] > 1]
+        if not len(mine):
+            continue
+        who, each = holders[_ranges(c_at[mine], c_len[mine])], c_len[mine]
+        h = np.bincount(who, np.repeat(c_m[mine], each), n)
+        x, y = np.maximum(size[a], size), np.minimum(size[a], size)
+        able = _may_link(h, x, y, t_num) & (label != label[a])
+        if two:
+            able &= side == 1
+        else:
+            able[: a + 1] = False
+        if able.any():
+            least = np.full(n, np.iinfo(np.int64).max)
+            np.minimum.at(least, who, np.repeat(c_cell[mine], each))
+            able &= least == cell
+            if able.any():
+                left |= able
+                left[a] = True
+    return left
+
+
+def _able(t_num: int):
+    """Rows (part, cell, side, label, node, s, runs, m, cells) arrive sorted by part; gives those that accumulated() leaves, as (part, side, label, node)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _parts(batches):
+            lists = [t.column(i).combine_chunks() for i in (6, 7, 8)]
+            cell, side, label, size = (t.column(i).to_numpy() for i in (1, 2, 3, 5))
+            runs, m, cells = (x.flatten().to_numpy() for x in lists)
+            left = accumulated(runs, pc.list_value_length(lists[0]).to_numpy().astype(np.int64), m, cells, size, label, side, cell[0], t_num)
+            if left.any():
+                yield from t.select([0, 2, 3, 4]).filter(pa.array(left)).combine_chunks().to_batches()
+
+    return run
+
+
 def product(sets: list[np.ndarray], label: np.ndarray, side: np.ndarray, t_num: int, hot: np.ndarray, counts: np.ndarray) -> list[tuple[int, int]]:
     """Links (i, j) between sets of different labels that join them, found row by row of the sparse product.
 
@@ -223,7 +299,7 @@ def product(sets: list[np.ndarray], label: np.ndarray, side: np.ndarray, t_num:
         mine = col[k_at[a] : k_at[a] + k_len[a]]
         h = np.bincount(holders[_ranges(c_at[mine], c_at[mine + 1] - c_at[mine])], minlength=n)
         x, y = np.maximum(size[a], size), np.minimum(size[a], size)
-        able = (h > 0) & (100 * y >= t_num * x) & ((100 + t_num) * (100 * h + t_num * x) >= 100 * t_num * (x + y)) & (label != label[a])
+        able = _may_link(h, x, y, t_num) & (label != label[a])
         if two:
             able &= side == 1
         else:
@@ -326,29 +402,34 @@ def jaccard_components(docs: DataFrame, n: int = 5, similarity_percent: int = 80
     hits = runs.groupBy("node").agg(F.sum("m").alias("h"))
     ends = runs.groupBy("run").agg(F.min("s").alias("least"), F.max("s").alias("most"))
     low, high = F.greatest(F.col("least"), F.col("s") * t / 100), F.least(F.col("most"), F.col("s") * 100 / t)
-    able = runs.join(ends, "run").join(hits, "node").where(_can_link("h", "s", low, t) | _can_link("h", "s", high, t)).select("run", "node", "s")
+    able = runs.join(ends, "run").join(hits, "node").where(_can_link("h", "s", low, t) | _can_link("h", "s", high, t)).select("run", "node", "s", "m")
     able = materialize(able, "able")
     # A cell has the runs that meet the same smallest row, at one remove: so most rows are in one or two, and copies in one.
     heads = able.groupBy("run").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last").select("run", "head")
     lone = able.join(heads, "run")
     hubs = lone.groupBy("node").agg(F.min("head").alias("hub"))
     cells = lone.join(hubs, "node").groupBy("run").agg(F.min("hub").alias("cell"))
-    dealt = materialize(able.join(cells, "run").select("cell", "run", "node", "s"), "cells")
+    dealt = materialize(able.join(cells, "run").select("cell", "run", "node", "s", "m"), "cells")
+    lists = dealt.groupBy("node").agg(F.collect_list(F.struct("run", "m", "cell")).alias("l"))
+    lists = lists.select("node", *[F.col(f"l.{c}").alias(f"{c}s") for c in ("run", "m", "cell")])
     rows = dealt.select("cell", "node", "s").distinct()
     per = rows.groupBy("cell").agg(F.count("*").alias("c"), F.ceil(F.greatest(F.count("*") / block, F.sum("s") / WEIGHT)).cast("int").alias("k"))
     per = materialize(per, "per")
     home = F.pmod(F.xxhash64(F.lit(1), "node"), F.col("k")).cast("int")
     shared = (F.col("k") > 1) & (F.pmod(F.xxhash64(F.lit(2), "node"), F.ceil(F.col("c") / PIVOTS)) == 0)
     placed = rows.join(per, "cell").select("node", "s", F.lit(0).alias("side"), F.col("node").alias("label"), "cell", F.explode(F.when(shared, F.sequence(F.lit(0), F.col("k") - 1)).otherwise(F.array(home))).alias("i"))
-    placed = placed.select("node", "s", "side", "label", F.xxhash64("cell", "i").alias("part"))
+    placed = placed.select("node", "s", "side", "label", "cell", F.xxhash64("cell", "i").alias("part"))
 
     def met(placed: DataFrame) -> DataFrame:
-        placed = materialize(placed.join(nodes.select("node", "doc_id", "k1", "twice"), "node"), "placed")
-        count, weight = placed.agg(F.count("*"), F.coalesce(F.sum("s"), F.lit(0))).first()
-        full = docs.join(_sized(placed, count), "doc_id").select("part", "side", "label", "node", "k1", "twice", "text")
+        asked = placed.join(lists, "node").select("part", "cell", "side", "label", "node", "s", "runs", "ms", "cells")
+        asked = asked.repartition(partitions_for(spark, dealt.count(), 100_000), "part").sortWithinPartitions("part", "node")
+        left = asked.mapInArrow(_able(t), "part long, side int, label long, node long")
+        left = materialize(left.join(nodes.select("node", "doc_id", "k1", "twice", "size"), "node"), "left")
+        count, weight = left.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+        full = docs.join(_sized(left, count), "doc_id").select("part", "side", "label", "node", "k1", "twice", "text")
         full = full.repartition(partitions_for(spark, weight, 4_000_000), "part").sortWithinPartitions("part", "node")
         out = materialize(full.mapInArrow(_met(n, t, hot_bc), "a long, b long"), "linked")
-        discard(spark, placed)
+        discard(spark, left)
         return out
 
     links = met(placed)
@@ -366,7 +447,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, similarity_percent: int = 80
         to = F.expr("""if(in_main, transform(sequence(0, ks - 1), j -> named_struct('part', xxhash64(cell, 1, j, i), 'side', 1)),
             concat(transform(sequence(0, kl - 1), j -> named_struct('part', xxhash64(cell, 1, i, j), 'side', 0)),
                 transform(sequence(0, ks - 1), j -> named_struct('part', xxhash64(cell, 2, least(i, j), greatest(i, j)), 'side', if(j < i, 1, 0)))))""")
-        placed = sides.select("node", "s", "label", F.explode(to).alias("x")).select("node", "s", F.col("x.side").alias("side"), "label", F.col("x.part").alias("part"))
+        placed = sides.select("node", "s", "label", "cell", F.explode(to).alias("x")).select("node", "s", F.col("x.side").alias("side"), "label", "cell", F.col("x.part").alias("part"))
         links = links.unionByName(met(placed))
 
     # Texts under one doc_id are one document.

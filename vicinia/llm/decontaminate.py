@@ -1,24 +1,30 @@
 """Benchmark decontamination by SimHash windows and multi-index Hamming blocks; DataFrame operations only.
 
-Windows of a document have the size in words of a benchmark item. A window can only reach the similarity asked for if it shares a
-word shingle with the item, so windows are laid where a shared shingle of document and item puts them; no other window
-could pass the exact check. Each distinct window gets a 64-bit SimHash of its words and word pairs. Items are indexed
-by four 16-bit blocks of their own fingerprint with every value within RADIUS // 4 flips: two fingerprints within RADIUS
-agree on some block up to RADIUS // 4 bits (pigeonhole), so the equi-join on blocks finds all of them (Norouzi et al., 2012).
-Candidates are then checked exactly: the weight of the item's shingles that the window holds, over the weight of all
-of them, a shingle weighing ln(1 + items / items that hold it).
+Windows of a document have the size in words of a benchmark item and get a 64-bit SimHash of their words and word pairs. Items
+are indexed by four 16-bit blocks of their own fingerprint with every value within RADIUS // 4 flips: two fingerprints within
+RADIUS agree on some block up to RADIUS // 4 bits (pigeonhole), so the equi-join on blocks finds all of them (Norouzi et
+al., 2012). Candidates are then checked exactly: the weight of the item's shingles that the window holds, over the weight
+of all of them, a shingle weighing ln(1 + items / items that hold it).
+
+Of all windows only those are fingerprinted that can hold most of an item's weight. A window that holds some of an item's shingles
+holds them either all at one offset, and then the window at that offset holds them too; or at several, and
+then so does the window that starts at the first of them. So windows start at each offset at which document and item share a
+shingle, and at each shared shingle that another offset follows within an item's length. A window found by any item meets all items.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vicinia.llm.common import keep_ids, let, materialize, word_array
 
-#: Fingerprints up to so many bits apart are candidates. Half the words of a window may differ before an item is likely to be missed.
-RADIUS = 19
+#: Fingerprints up to so many bits apart are candidates. Of windows that have just the similarity 0.8 some 13 bits differ, with a
+#: deviation of about 3.3; a test holds the share that lies within the radius to 0.995.
+RADIUS = 23
 BLOCKS, BITS = 4, 16
+#: Item shingles that are sent to all tasks, 40 bytes each; with more the join is a shuffle, dealt by SALT as well as by shingle.
+BROADCAST_SPOTS, SALT = 200_000, 16
 
 
 def shingles(words: Column, k: int | Column) -> Column:
@@ -52,12 +58,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, similarity:
 
     docs needs doc_id and text, benchmark item_id and text; other columns are ignored. Null or blank texts and items hold and
     leak nothing. An item of fewer than n words is one shingle of all of them. Texts are searched whole. Rows that repeat, or
-    documents that share an id, count as one document. No items or no documents give no rows."""
-    items = benchmark.select("item_id", word_array(F.col("text")).alias("words")).where("size(words) > 0 and item_id is not null").groupBy("item_id").agg(F.max("words").alias("words"))
-    items = items.withColumn("k", F.least(F.size("words"), F.lit(n)))
-    shingled = items.select("item_id", "k", F.size("words").alias("len"), "words", shingles(F.col("words"), F.col("k")).alias("s"))
+    documents that share an id, count as one document. Texts that share an item_id are each searched for and weighed for
+    themselves; the row has the best of them. No items or no documents give no rows."""
+    items = benchmark.select("item_id", word_array(F.col("text")).alias("words")).where("size(words) > 0 and item_id is not null").distinct()
+    items = items.withColumn("k", F.least(F.size("words"), F.lit(n))).withColumn("item", F.xxhash64("item_id", "words"))
+    shingled = items.select("item", "item_id", "k", F.size("words").alias("len"), "words", shingles(F.col("words"), F.col("k")).alias("s"))
     shingled = materialize(shingled, "items")
-    spots = materialize(shingled.select("item_id", "k", "len", F.posexplode("s").alias("ipos", "h")), "spots")
+    spots = materialize(shingled.select("item", "k", "len", F.posexplode("s").alias("ipos", "h")), "spots")
     n_spots, n_items = spots.count(), shingled.count()
 
     texts = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
@@ -65,34 +72,44 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, similarity:
     for k in range(1, n + 1):  # shingle lengths: n, and those of items that are shorter
         if k < n and shingled.where(F.col("k") == k).isEmpty():
             continue
-        mine = spots.where(F.col("k") == k).select("h", "item_id", "ipos", "len")
-        mine = F.broadcast(mine) if n_spots <= 200_000 else mine
-        at = texts.select("doc_id", F.posexplode(shingles(word_array(F.col("text")), k)).alias("pos", "h")).join(mine, "h").select("doc_id", "item_id", F.greatest(F.col("pos") - F.col("ipos"), F.lit(0)).alias("start"), "len")
+        mine = spots.where(F.col("k") == k).select("h", "item", "ipos", "len")
+        seen = texts.select("doc_id", F.posexplode(shingles(word_array(F.col("text")), k)).alias("pos", "h"))
+        if n_spots <= BROADCAST_SPOTS:
+            at = seen.join(F.broadcast(mine), "h")
+        else:
+            at = seen.withColumn("salt", F.pmod("pos", F.lit(SALT))).join(mine.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), ["h", "salt"])
+        at = at.select("doc_id", "item", "len", "pos", (F.col("pos") - F.col("ipos")).alias("offset"))
         found = at if found is None else found.unionByName(at)
     found = materialize(found.distinct(), "anchors")
+    # Anchors of an item in a document in order of place; a change of offset makes those before it, within an item's length, starts as well.
+    there = Window.partitionBy("doc_id", "item")
+    changes = found.withColumn("change", F.when(F.lag("offset").over(there.orderBy("pos", "offset")) != F.col("offset"), F.col("pos")))
+    changes = changes.withColumn("next", F.min("change").over(there.orderBy(F.desc("pos"), F.desc("offset")).rowsBetween(Window.unboundedPreceding, -1)))
+    starts = F.array_distinct(F.concat(F.array(F.greatest("offset", F.lit(0))), F.when(F.col("next") - F.col("pos") < F.col("len"), F.array("pos")).otherwise(F.array().cast("array<int>"))))
 
     # One row a document: where windows start, by size. Each has its own places only.
-    places = found.select("doc_id", "start", "len").distinct()
+    places = materialize(changes.select("doc_id", F.explode(starts).alias("start"), "len").distinct(), "places")
     ids = places.select("doc_id").distinct()
     near = keep_ids(texts, ids, "doc_id").select("doc_id", word_array(F.col("text")).alias("words"))
     windows = near.join(places, "doc_id").select("doc_id", "start", "len", F.slice("words", F.col("start") + 1, F.col("len")).alias("w"))
     windows = materialize(windows.withColumn("key", F.sha2(F.concat_ws(" ", "w"), 256)), "windows")
     distinct = materialize(windows.groupBy("key").agg(F.max("w").alias("w")), "distinct")
     prints = materialize(distinct.join(simhashes(distinct, "key", "w"), "key"), "prints")
-    index_of_items = simhashes(shingled, "item_id", "words").withColumnRenamed("fp", "ifp")
+    index_of_items = simhashes(shingled, "item", "words").withColumnRenamed("fp", "ifp")
 
     def blocks(fp: str) -> Column:
         return F.explode(F.array(*[F.struct(F.lit(b).alias("block"), F.shiftrightunsigned(fp, BITS * b).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int").alias("value")) for b in range(BLOCKS)]))
 
     masks = F.array(*map(F.lit, _masks(radius // BLOCKS)))
-    index = index_of_items.select("item_id", "ifp", blocks("ifp").alias("x"))
-    index = index.select("item_id", "ifp", F.col("x.block").alias("block"), F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("x.value")))).alias("value"))
+    index = index_of_items.select("item", "ifp", blocks("ifp").alias("x"))
+    index = index.select("item", "ifp", F.col("x.block").alias("block"), F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("x.value")))).alias("value"))
     probes = prints.select("key", "fp", blocks("fp").alias("x")).select("key", "fp", F.col("x.block").alias("block"), F.col("x.value").alias("value"))
-    close = probes.join(index, ["block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= radius).select("key", "item_id").distinct()
+    close = probes.join(index, ["block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= radius).select("key", "item").distinct()
 
-    holders = spots.select("item_id", "h").distinct().groupBy("h").agg(F.count("*").alias("df"))
-    weighed = spots.select("item_id", "h", "k", "len").distinct().join(holders, "h").groupBy("item_id").agg(F.first("k").alias("k"), F.first("len").alias("len"), F.collect_list(F.struct("h", F.log(1 + F.lit(float(n_items)) / F.col("df")).alias("w"))).alias("s"))
-    held = close.join(prints.select("key", "w"), "key").join(weighed, "item_id").withColumn("ws", shingles(F.col("w"), F.col("k")))
+    holders = spots.select("item", "h").distinct().groupBy("h").agg(F.count("*").alias("df"))
+    weighed = spots.select("item", "h", "k", "len").distinct().join(holders, "h").groupBy("item").agg(F.first("k").alias("k"), F.first("len").alias("len"), F.collect_list(F.struct("h", F.log(1 + F.lit(float(n_items)) / F.col("df")).alias("w"))).alias("s"))
+    held = close.join(prints.select("key", "w"), "key").join(weighed, "item").withColumn("ws", shingles(F.col("w"), F.col("k")))
     total = lambda s: F.aggregate(s, F.lit(0.0), lambda a, x: a + x["w"])
-    held = held.select("key", "item_id", "len", (total(F.filter("s", lambda x: F.array_contains("ws", x["h"]))) / total(F.col("s"))).alias("similarity")).where(F.col("similarity") >= similarity)
+    held = held.select("key", "item", "len", (total(F.filter("s", lambda x: F.array_contains("ws", x["h"]))) / total(F.col("s"))).alias("similarity")).where(F.col("similarity") >= similarity)
+    held = held.join(shingled.select("item", "item_id"), "item")
     return windows.select("doc_id", "key", "len", "start").join(held, ["key", "len"]).groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), F.countDistinct("start").alias("n_windows"))

@@ -2,7 +2,8 @@
 
 p(word | history) = p(class | class before) * p(word | class). Classes come from distributed exchange clustering
 (Uszkoreit and Brants, 2008): the words are dealt into buckets, and in a round each bucket moves each of its words to the class
-in which the corpus is likeliest, all class counts being those of the round's start. Nothing of the size of
+in which the corpus is likeliest, all class counts being those of the round's start. Rounds go on until the likelihood of
+the classes rises by less than GAIN a word, ROUNDS times at most; a round that lowers it is undone. Nothing of the size of
 the vocabulary is sent to a driver or to all tasks: the corpus becomes chunks of integer words with a small vocabulary
 each, and per round the chunks ask the buckets for the classes of their words and send back counts of word and neighbouring class.
 
@@ -25,8 +26,9 @@ from pyspark.sql import functions as F
 
 from vicinia.llm.common import discard, materialize, partitions_for, words_of
 
-#: Classes, the first of them that of the end of a text alone; ROUNDS of exchange after the seeding one.
-CLASSES, ROUNDS = 64, 1
+#: Classes, the first of them that of the end of a text alone; at most ROUNDS of exchange after the seeding one, the
+#: last of them one that raises log p by less than GAIN a word: by a hundredth, so that perplexity falls by less than 1 %.
+CLASSES, ROUNDS, GAIN = 64, 3, 0.01
 #: A chunk closes at so many distinct words or words.
 CHUNK_TYPES, CHUNK_WORDS = 60_000, 800_000
 #: Pseudo-counts by which transitions lean on the share of classes.
@@ -313,9 +315,17 @@ def model_of(pairs: np.ndarray, per_class: np.ndarray, once: np.ndarray) -> dict
     return {"step": np.log10(step), "emit": emit, "unseen": np.log10(np.maximum(step @ left, 1e-300)), "guess": (step * left).argmax(1)}
 
 
-def class_model_scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs (doc_id, text).
+def likelihood(pairs: np.ndarray) -> float:
+    """Natural log of the corpus by class pairs, but for the part that no classes change (Brown et al., 1992)."""
+    part = lambda x: float((x * np.log(np.maximum(x, 1))).sum())
+    x = pairs[:CLASSES, :CLASSES].astype(float)
+    return part(x) - part(x.sum(0)) - part(x.sum(1))
 
+
+def class_model_scores(docs: DataFrame, rounds: int = ROUNDS, gain: float = GAIN, trace: list[float] | None = None) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) for each row of docs (doc_id, text).
+
+    perplexity is that of the text, its end included. trace gets the likelihood of each round's classes.
     held_out rows (crc32 of doc_id mod 7 is 2) are scored, not learnt from; a null doc_id is not held out. Null, empty and blank
     texts are their end alone. Repeated rows count and are scored each. Texts of any length are used whole, in one chunk. With
     no training words every word is unseen. An empty table gives no rows. Other columns are ignored."""
@@ -346,26 +356,44 @@ def class_model_scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             out[c["cell"]] = c["n"]
         return out.reshape(CLASSES + 1, CLASSES + 1)
 
+    best: tuple[DataFrame, np.ndarray, float] | None = None
     for r in range(rounds + 1):
         counted = materialize(corpus.groupBy("chunk").cogroup(whole().applyInPandas(_answers(False), _ANSWERS).groupBy("chunk")).applyInPandas(_contexts(True), _CONTEXTS), "contexts")
         discard(spark)
-        pairs_bc = spark.sparkContext.broadcast(pairs_of(counted))
+        pairs = pairs_of(counted)
+        now = likelihood(pairs)
+        # Classes count from the first that all words have, after the seeding round.
+        last, rise = best, now - best[2] if best else math.inf
+        if r and rise > 0:
+            best = state, pairs, now
+            if trace is not None:
+                trace.append(now)
+        if rise < gain * max(1, total):
+            discard(spark, counted)
+            break
+        pairs_bc = spark.sparkContext.broadcast(pairs)
         moved = materialize(counted.where("b >= 0").groupBy("b").cogroup(whole()).applyInPandas(_moved(pairs_bc, none_bc if r else seeds_bc), _LEXICON), "words")
         old, state = state, moved
-        discard(spark, counted, old)
-
+        discard(spark, counted, *([old] if not r else [last[0]] if last else []))
+    else:
+        answers = whole().applyInPandas(_answers(False), _ANSWERS)
+        pairs = pairs_of(corpus.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_contexts(False), _CONTEXTS))
+        if best is None or likelihood(pairs) > best[2]:
+            best = state, pairs, likelihood(pairs)
+            if trace is not None:
+                trace.append(best[2])
+    state, pairs, _ = best
     answered = materialize(whole().applyInPandas(_answers(True), _ANSWERS), "answers")
-    counted = corpus.groupBy("chunk").cogroup(answered.drop("counts").withColumn("counts", F.lit(b"")).groupBy("chunk")).applyInPandas(_contexts(False), _CONTEXTS)
-    pairs = pairs_of(counted)
     per = state.mapInPandas(_by_class, "c int, n long, once long").groupBy("c").agg(F.sum("n").alias("n"), F.sum("once").alias("once")).collect()
     n, once = np.zeros(CLASSES), np.zeros(CLASSES)
     for x in per:
         n[x["c"]], once[x["c"]] = x["n"], x["once"]
     model_bc = spark.sparkContext.broadcast(model_of(pairs, n, once))
-    del counted
+    del best
     discard(spark, state)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return corpus.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInPandas(_scored(total, types, model_bc), schema)
+    scored = corpus.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInPandas(_scored(total, types, model_bc), schema)
+    return scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,7 +404,3 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s += np.frombuffer(x, np.int64)
     at = np.flatnonzero(s)
     yield pa.RecordBatch.from_pydict({"cell": pa.array(at.astype(np.int32)), "n": pa.array(s[at])})
-
-
-def perplexity(score: float, n_tokens: int) -> float:
-    return math.pow(10.0, -score / max(1, n_tokens))

@@ -29,6 +29,8 @@ PATTERNS = {
     "date": r"(?<![\w.+/-])(?:\d{4}-\d{2}-\d{2}(?=[Tt]\d{2})|(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?!\w|[./-]\d))",
 }
 ANY = "|".join(PATTERNS.values())
+#: Country calling codes of one digit and of two; all others have three.
+CALLING_CODE = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 #: What any candidate holds; a cheap test that most texts fail.
 HINT = r"@|[0-9][0-9]|[0-9][.][0-9]"
 
@@ -98,9 +100,9 @@ def _card(m: Column, key: str, reverse: bool) -> Column:
 
 
 def _phone(m: Column, key: str, reverse: bool) -> Column:
-    """The country code stays."""
+    """The country code stays: what a separator sets off, else by the plan of calling codes."""
     code = F.regexp_extract(m, r"^\+\d{1,3}(?=[ .(-])", 0)
-    code = F.when(code == "", F.substring(m, 1, 2)).otherwise(code)
+    code = F.when(code == "", F.regexp_extract(m, CALLING_CODE, 0)).otherwise(code)
     rest = F.substring(m, F.length(code) + 1, F.length(m))
     return F.concat(code, let(let(_digits(rest), lambda d: _number(d, key, "phone", reverse)), lambda d: _refilled(rest, d)))
 
@@ -211,7 +213,7 @@ def pseudonymize(docs: DataFrame, key: str, column: str = "text", reverse: bool
     Null stays null with 0 pseudonyms, empty stays empty. Texts of any length are rewritten whole; candidates that are
     not valid stay as they are. Repeated rows get equal results, no rows give none. Other columns are passed on; one
     called n_pseudonyms is replaced. day_first takes slashed dates whose first part is over 12 as day/month/year; else they
-    stay as they are. reverse=True with the same key and day_first undoes it."""
+    stay as they are. Dates outside the 400 years from 1800 on stay too. reverse=True with the same key and day_first undoes it."""
     text = F.col(column)
     found = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     hits = "__pii_hits"

@@ -128,7 +128,8 @@ def quality(docs: DataFrame, grades: DataFrame, keep_from: int = 1, keep_above:
     empty and blank texts by their length alone. Without grades each text gets even odds of all grades. No rows give none."""
     spark = docs.sparkSession
     ids = grades.where(remainder(F.col("doc_id"), 5) != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "grade")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
+    rows = rows.groupBy("doc_id", "grade").agg(F.max("text").alias("text")).select("doc_id", "text", "grade")  # rows that repeat a doc_id count once
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Features()

@@ -20,8 +20,13 @@ from pyspark.sql import functions as F
 
 from vicinia.llm.common import remainder, words_of
 
-#: Labelled rows that training may use at most, by hash of doc_id; the only bounded sample here.
+#: Labelled rows that training may use at most, by hash of doc_id.
 SAMPLE = 8_000
+#: Of the harmless windows of those rows an epoch trains on the highest of so many texts and on SPREAD others for each text, and looks
+#: anew at the scores of so many. None takes all of them. They bound the work of the task that trains; scoring has no bounds.
+HARMLESS, SPREAD, RESCORED = 6_000, 0.25, 6_000
+#: Windows of one training step.
+STEP = 64
 WINDOW, STRIDE = 48, 32
 WORD_ROWS, GRAM_ROWS = 1 << 17, 1 << 15
 DW, DC, H = 8, 8, 8
@@ -148,8 +153,10 @@ def _shrunk(pos: np.ndarray, all_: np.ndarray, n_pos: int, n: int) -> np.ndarray
     return np.clip((pos - e) / np.sqrt(e * (1 - rate) + 2) / 3, -2, 2).astype(np.float32)
 
 
-def train(rows: list[tuple[str | None, int]], epochs: int = 5, seed: int = 5) -> Network:
-    """A network from (text, 0 or 1) rows. Without rows of both kinds it says the base rate for every text."""
+def train(rows: list[tuple[str | None, int]], epochs: int = 5, seed: int = 5, harmless: int | None = HARMLESS, spread: float | None = SPREAD, rescored: int | None = RESCORED) -> Network:
+    """A network from (text, 0 or 1) rows. Without rows of both kinds it says the base rate for every text.
+
+    With harmless, spread and rescored None, every epoch trains on every window and none is drawn."""
     net, r = Network(seed), np.random.default_rng(seed)
     y = np.array([int(t) for _, t in rows], np.float32)
     n_pos, n = int(y.sum()), len(y)
@@ -218,15 +225,17 @@ def train(rows: list[tuple[str | None, int]], epochs: int = 5, seed: int = 5) ->
         return out
 
     for epoch in range(epochs):
-        # For each text its highest window, a random one of the others for texts that are not toxic.
+        # For each text its highest window, and some of the others for texts that are not toxic.
         top = np.array([g + np.argmax(score[g:e]) for g, e in zip(group, np.r_[group[1:], len(owner)], strict=True)])
-        some = r.integers(0, len(owner), min(len(owner), max(256, len(top) // 4)))
-        some = some[y[owner[some]] == 0]
-        pool = np.concatenate([top[y[owner[top]] == 1], r.permutation(top[y[owner[top]] == 0])[: max(3000, 4 * n_pos)], some])
+        clean, rest = top[y[owner[top]] == 0], np.setdiff1d(np.flatnonzero(y[owner] == 0), top)
+        if harmless is not None:
+            clean = r.permutation(clean)[:harmless]
+        if spread is not None:
+            rest = r.permutation(rest)[: max(1, int(spread * len(top)))]
+        pool = np.concatenate([top[y[owner[top]] == 1], clean, rest])
         r.shuffle(pool)
-        size = 128 if len(pool) > 2000 else 32
-        for b in range(0, len(pool), size):
-            which = pool[b : b + size]
+        for b in range(0, len(pool), STEP):
+            which = pool[b : b + STEP]
             ids, live = pack(which)
             u, inv = np.unique(ids, return_inverse=True)
             inv = inv.reshape(ids.shape)
@@ -251,7 +260,7 @@ def train(rows: list[tuple[str | None, int]], epochs: int = 5, seed: int = 5) ->
             often = np.flatnonzero(y[owner] == 1)
             score[often] = scored(often)
             others = np.flatnonzero(y[owner] == 0)
-            others = others if len(others) <= 6_000 else r.permutation(others)[:6_000]
+            others = others if rescored is None else r.permutation(others)[:rescored]
             score[others] = scored(others)
     return net
 
@@ -346,18 +355,19 @@ class Scorer:
         return self.scores(texts)
 
 
-def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int = 5) -> dict[str, np.ndarray]:
+def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int = 5, harmless: int | None = HARMLESS, spread: float | None = SPREAD, rescored: int | None = RESCORED) -> dict[str, np.ndarray]:
     """Parameters from at most `sample` labelled rows by hash of doc_id, out of those whose crc32(doc_id) mod 5 is not 0.
 
-    The sample is bounded, so one task trains; only the parameters come to the driver, in pieces of a megabyte."""
+    harmless, spread and rescored bound what an epoch takes of the sample's harmless windows, as HARMLESS, SPREAD and RESCORED say; None
+    takes all. Rows that repeat a doc_id count once, with the greatest text. The sample is bounded, so one task trains; only the parameters come to the driver, in pieces of a megabyte."""
     marked = labels.where("toxic in (0, 1) and doc_id is not null").where(remainder(F.col("doc_id"), 5) != 0).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     ids = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text")).select("doc_id", "text", "toxic")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [x for b in batches for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
         got.sort(key=lambda x: (x[0], x[1] or ""))
-        blob = pickle.dumps(train([(t, y) for _, t, y in got], epochs).p)
+        blob = pickle.dumps(train([(t, y) for _, t, y in got], epochs, harmless=harmless, spread=spread, rescored=rescored).p)
         for i in range(0, len(blob), 1 << 20):
             yield pa.RecordBatch.from_pydict({"i": pa.array([i], pa.int64()), "part": pa.array([blob[i : i + (1 << 20)]], pa.binary())})
 

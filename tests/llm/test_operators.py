@@ -7,6 +7,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from vicinia.llm import brown_lm, components, decontaminate, embed_dedup, jaccard_join, mixing, pii, quality, queries, token_count, toxicity, url_filter
@@ -158,6 +159,33 @@ def test_embeddings_against_all_pairs(spark):
     assert embed_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_embeddings_of_several_lengths_and_repeated_ids(spark):
+    """Vectors meet those of their own length, however rare it is; rows that repeat an id with another vector have that vector's result."""
+    r = np.random.default_rng(8)
+    rows = [(i, r.standard_normal(8).tolist()) for i in range(40)] + [(100, [1.0, 2.0, 3.0]), (101, [2.0, 4.0, 6.0]), (102, [1.0, 2.0, 3.001]), (103, [-1.0, 0.0, 0.5]), (104, [5.0]), (105, [7.0]), (0, [1.0, 2.0, 3.0])]
+    got = Counter((x.vec_id, x.n_links, x.component_id) for x in embed_dedup.near_duplicates(spark.createDataFrame([(*x, "a") for x in rows], "vec_id long, embedding array<double>, unit string")).collect() if x.vec_id == 0 or x.vec_id >= 100)
+    near = [np.array(v) @ np.array(rows[0][1]) / np.linalg.norm(v) / np.linalg.norm(rows[0][1]) >= 0.9 for _, v in rows[1:40]]
+    want = Counter([(100, 3, 0), (101, 3, 0), (102, 3, 0), (103, 0, 103), (104, 1, 104), (105, 1, 104), (0, 3, 0), (0, sum(near), 0)])
+    assert got == want
+
+
+def test_embedding_sketches_lose_no_pair(spark):
+    """With one table and one direction all vectors meet by chance of one cell only, so what the sketches leave is what exact comparison of buckets gives."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(9)
+    x = r.standard_normal((300, 12))
+    x[150:] = x[:150] + 0.33 * r.standard_normal((150, 12))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    b = pa.RecordBatch.from_pydict({"rep": pa.array(range(300)), "unit": pa.array([v.tobytes() for v in x], pa.binary()), "weight": pa.array([1] * 300)})
+    out = next(embed_dedup._codes(2, 1, 3)(iter([b])))
+    rows = pa.RecordBatch.from_pydict({"cell": pa.array([5] * 300), "dim": pa.array([12] * 300), "t": pa.array([0] * 300), "rep": out.column(0), "side": pa.array([2] * 300), "sketch": out.column(4), "step": out.column(5), "off_by": out.column(6)})
+    left = {i for o in embed_dedup._maybe(0.9)(iter([rows])) for i in o.column(3).to_pylist()}
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    assert set(np.flatnonzero(near.any(1)).tolist()) <= left and len(left) < 300
+
+
 def test_embedding_hot_bucket_is_exact(spark):
     r = np.random.default_rng(5)
     base = r.standard_normal(16)
@@ -198,6 +226,45 @@ def test_decontamination_short_items_and_odd_rows(spark, odd):
     assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(odd, bench).collect()} == {(4, 1), (5, 1)}
 
 
+def test_decontamination_finds_windows_between_offsets(spark):
+    """Items with common first and last words: of one with words put in its middle only windows between its two offsets hold enough."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghijkl") for _ in range(6))
+    head, tail = [word() for _ in range(9)], [word() for _ in range(9)]
+    items = [head + [word() for _ in range(32)] + tail for _ in range(40)]
+    text = [word() for _ in range(30)] + items[7][:25] + [word() for _ in range(10)] + items[7][25:] + [word() for _ in range(30)]
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(text)), (2, " ".join(word() for _ in range(200)))], "doc_id long, text string")
+    got = {(x.doc_id, x.item_id): x.similarity for x in decontaminate.contaminated(docs, bench).collect()}
+    df = Counter(s for x in items for s in {tuple(x[i : i + 5]) for i in range(46)})
+    weight = {s: np.log(1 + 40 / n) for s, n in df.items()}
+    mine = {tuple(items[7][i : i + 5]) for i in range(46)}
+    best = max(sum(weight[s] for s in mine & {tuple(text[a + i : a + i + 5]) for i in range(46)}) for a in range(len(text))) / sum(weight[s] for s in mine)
+    assert best >= 0.8 and got == {(1, 7): pytest.approx(best)}
+
+
+def test_decontamination_keeps_all_texts_of_an_item_id(spark):
+    a, b = ("alpha beta gamma delta epsilon zeta eta theta", "one two three four five six seven eight nine")
+    bench = spark.createDataFrame([(1, a, "x"), (1, b, "y"), (1, b, "y"), (None, a, "x")], "item_id long, text string, similarity string")
+    docs = spark.createDataFrame([(1, f"so {a} there"), (2, f"so {b} there"), (3, "neither")], "doc_id long, text string")
+    assert {(x.doc_id, x.item_id) for x in decontaminate.contaminated(docs, bench).collect()} == {(1, 1), (2, 1)}
+
+
+def test_simhash_radius_keeps_windows_at_the_threshold(spark):
+    """Of windows with as many words changed at one end as similarity 0.8 allows, those within the radius."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghijkl") for _ in range(6))
+    rows = []
+    for i in range(600):
+        x = [word() for _ in range(r.randint(25, 90))]
+        lost = int(0.2 * (len(x) - 4))
+        rows.append((f"{i}a", x))
+        rows.append((f"{i}b", [word() for _ in range(lost)] + x[lost:] if i % 2 else x[: len(x) - lost] + [word() for _ in range(lost)]))
+    fp = {x.key: x.fp for x in decontaminate.simhashes(spark.createDataFrame(rows, "key string, w array<string>"), "key", "w").collect()}
+    off = [((fp[f"{i}a"] ^ fp[f"{i}b"]) & (2**64 - 1)).bit_count() for i in range(600)]
+    assert np.mean([x <= decontaminate.RADIUS for x in off]) >= 0.995
+
+
 def luhn(digits):
     d = [int(c) for c in reversed(digits)]
     return sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(d)) % 10 == 0
@@ -238,6 +305,16 @@ def test_pii_day_first_dates_timestamps_and_grouped_cards(spark):
     assert pii.pseudonymize(pii.pseudonymize(df, "k", day_first=True), "k", reverse=True, day_first=True).first().text == text
 
 
+def test_pii_country_codes_stay_without_separators(spark):
+    numbers = {"+4915112345678": "+49", "+12125557711": "+1", "+33612345678": "+33", "+3581234567890": "+358", "+79161234567": "+7", "+49 (151) 123-4567": "+49"}
+    df = spark.createDataFrame([(i, f"tel {n}.") for i, n in enumerate(numbers)], "doc_id long, text string")
+    out = pii.pseudonymize(df, "k")
+    got = [r.text for r in out.orderBy("doc_id").collect()]
+    for text, (n, code) in zip(got, numbers.items(), strict=True):
+        assert n not in text and text.startswith("tel " + code) and len(text) == len(f"tel {n}.")
+    assert [r.text for r in pii.pseudonymize(out.drop("n_pseudonyms"), "k", reverse=True).orderBy("doc_id").collect()] == [f"tel {n}." for n in numbers]
+
+
 def test_pii_late_dates_are_a_bijection(spark):
     """All dates with a day over 12 of the cycle: each gets another of them, no two the same one."""
     days = spark.range(146097).select(F.date_format(F.date_add(F.lit("1800-01-01").cast("date"), F.col("id").cast("int")), "dd/MM/yyyy").alias("m")).where("substring(m, 1, 2) > '12'")
@@ -375,6 +452,79 @@ def test_language_model(spark, docs):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
+def brute_classes(texts, rounds, gain):
+    """Exchange rounds on lists of words, each ended by b"": (classes, pair counts, likelihoods)."""
+    k = brown_lm.CLASSES
+    count = Counter(w for t in texts for w in t)
+    hashed = lambda w: xxhash.xxh64_intdigest(w)
+    signed = lambda h: h - 2**64 if h >= 2**63 else h
+    top = sorted((w for w in count if w), key=lambda w: (-count[w], signed(hashed(w))))[: k - 1]
+    cls = {w: k for w in count} | {w: i + 1 for i, w in enumerate(top)} | {b"": 0}
+
+    def pairs_of(cls):
+        x = np.zeros((k + 1, k + 1))
+        for t in texts:
+            for a, b in zip([b"", *t[:-1]], t, strict=True):
+                x[cls[a], cls[b]] += 1
+        return x
+
+    def moved(cls, fixed):
+        x = pairs_of(cls) + 0.5
+        row, col = x.sum(1, keepdims=True), x.sum(0, keepdims=True)
+        after, before = np.log(x / row), np.log(x / row / col)
+        score = {w: np.zeros(k) for w in cls}
+        for t in texts:
+            for i, w in enumerate(t):
+                score[w] += before[cls[t[i - 1]] if i else 0, :k]
+                if i + 1 < len(t) and cls[t[i + 1]] < k:
+                    score[w] += after[:k, cls[t[i + 1]]]
+        new = {}
+        for w, s in score.items():
+            s[0] = -np.inf
+            new[w] = cls[w] if w in fixed else int(s.argmax())
+        return new | {b"": 0}
+
+    cls = moved(cls, set(top))
+    best = cls, pairs_of(cls)
+    seen = [brown_lm.likelihood(best[1])]
+    for _ in range(rounds):
+        cls = moved(cls, set())
+        now = brown_lm.likelihood(pairs_of(cls))
+        rise = now - seen[-1]
+        if rise > 0:
+            best = cls, pairs_of(cls)
+            seen.append(now)
+        if rise < gain * sum(count.values()):
+            break
+    return *best, seen
+
+
+def test_language_model_against_brute_exchange(spark):
+    """Classes, likelihoods and scores of a small corpus as plain loops give them; the likelihood of the classes rises from round to round."""
+    r = random.Random(13)
+    kinds = [[f"{c}{i}" for i in range(100)] for c in "abcd"]  # words frequent enough that no two classes tie
+    text = lambda: " ".join(r.choice(kinds[(i + r.randint(0, 1)) % 4]) for i in range(r.randint(1, 60)))
+    rows = [(i, text()) for i in range(600)]
+    trace = []
+    got = {x.doc_id: x for x in brown_lm.class_model_scores(spark.createDataFrame(rows, "doc_id long, text string"), rounds=3, gain=1e-9, trace=trace).collect()}
+    tokens = {i: [*words_of(t), b""] for i, t in rows}
+    train = [t for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    cls, pairs, seen = brute_classes(train, 3, 1e-9)
+    assert trace == pytest.approx(seen) and len(trace) > 1 and trace == sorted(trace)
+    count = Counter(w for t in train for w in t)
+    per, once = np.zeros(brown_lm.CLASSES), np.zeros(brown_lm.CLASSES)
+    for w, n in count.items():
+        per[cls[w]] += n
+        once[cls[w]] += n == 1
+    m = brown_lm.model_of(pairs, per, once)
+    for i, t in tokens.items():
+        c, score = 0, 0.0
+        for w in t:
+            score += m["step"][c, cls[w]] + m["emit"][cls[w]] + np.log10(count[w]) if w in count else m["unseen"][c]
+            c = cls[w] if w in count else m["guess"][c]
+        assert got[i].score == pytest.approx(score) and got[i].perplexity == pytest.approx(10 ** (-score / len(t)))
+
+
 def test_language_model_sums_to_one():
     r = np.random.default_rng(0)
     k = brown_lm.CLASSES
@@ -420,6 +570,48 @@ def test_toxicity_gradients():
         assert g[k][at] == pytest.approx((up - down) / (2 * e), abs=2e-3), k
 
 
+def test_toxicity_trains_on_all_windows_if_told_to():
+    r = random.Random(3)
+    text = lambda bad: " ".join(["vile" if bad and r.random() < 0.1 else r.choice("abcdefghij") * 3 for _ in range(r.randint(5, 150))])
+    rows = [(text(i % 3 == 0), int(i % 3 == 0)) for i in range(240)] + [(None, 0), ("", 1)]
+    net = toxicity.train(rows, epochs=8, harmless=None, spread=None, rescored=None)
+    s = toxicity.Scorer(net).batch(["vile " * 6 + "aaa bbb", "aaa bbb ccc ddd"])
+    assert s[0] > 0.5 > s[1]
+
+
+def test_toxicity_scores_as_a_plain_network():
+    """Whole texts by loops over words and gates, one window at a time."""
+    net = toxicity.Network(4)
+    r = np.random.default_rng(2)
+    for k in ("att", "attv", "out", "cf", "cb"):
+        net.p[k] = r.standard_normal(net.p[k].shape).astype(np.float32)
+    p, h = net.p, toxicity.H
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def window(words):
+        x = []
+        for w in words:
+            g = toxicity.grams(w)
+            x.append(np.r_[p["word"][toxicity.word_row(w)], sum(p["gram"][i] for i in g) / len(g)].astype(float))
+        states = []
+        for k, seq in (("f", x), ("b", x[::-1])):
+            s, out = np.zeros(h), []
+            for v in seq:
+                g, a = v @ p[f"x{k}"] + p[f"c{k}"], s @ p[f"h{k}"]
+                z, reset = sig(g[:h] + a[:h]), sig(g[h : 2 * h] + a[h : 2 * h])
+                s = z * s + (1 - z) * np.tanh(g[2 * h :] + reset * a[2 * h :])
+                out.append(s)
+            states.append(out if k == "f" else out[::-1])
+        s = np.concatenate([np.array(states[0]), np.array(states[1])], 1)
+        e = np.exp(np.tanh(s @ p["att"]) @ p["attv"])
+        return (e / e.sum()) @ s @ p["out"] + p["bias"][0]
+
+    texts = [" ".join(f"w{i * 7 % 50}" for i in range(n)) for n in (1, 30, 48, 49, 130)]
+    for t, got in zip(texts, toxicity.Scorer(net).batch(texts), strict=True):
+        w = t.encode().split()
+        assert got == pytest.approx(sig(max(window(w[a : a + 48]) for a in range(0, max(1, len(w) - 16), 32))), abs=1e-4)
+
+
 def test_toxicity_learns_and_finds_late_words(spark):
     r = random.Random(1)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(3))
@@ -460,6 +652,38 @@ def test_quality(spark, docs, odd, none):
     assert (np.diff(m.thresholds) > 0).all()
 
 
+def test_quality_gradient_and_probabilities():
+    """One step of training against the numeric gradient of the cumulative-link likelihood; grades' chances sum to one."""
+    rows, y = [np.array([1, 2, 2]), np.array([3]), np.array([1, 4])], np.array([0, 1, 2])
+    m = quality.train([], np.array([0, 1, 2]))
+    m.w[[1, 2, 3, 4]] = [0.02, -0.01, 0.03, 0.01]
+
+    def loss(w, first, steps):
+        o = quality.Ordinal(w, first, steps)
+        t = np.concatenate([np.ones((3, 1)), o.tails(o.line(rows)), np.zeros((3, 1))], 1)
+        p = t[:, :-1] - t[:, 1:]
+        assert np.allclose(p.sum(1), 1) and (p > 0).all()
+        return -np.log(p[np.arange(3), y]).mean()
+
+    before = loss(m.w, m.first, m.steps)
+    trained = quality.train(rows, y, epochs=40)
+    assert loss(trained.w, trained.first, trained.steps) < before
+    w, g = m.w.astype(np.float64), np.zeros(5)
+    for i in range(1, 5):
+        up, down = w.copy(), w.copy()
+        up[i] += 1e-5
+        down[i] -= 1e-5
+        g[i] = (loss(up, m.first, m.steps) - loss(down, m.first, m.steps)) / 2e-5
+    tails = m.tails(m.line(rows))
+    upper, lower = np.concatenate([np.ones((3, 1)), tails], 1)[np.arange(3), y], np.concatenate([tails, np.zeros((3, 1))], 1)[np.arange(3), y]
+    ds = -(1 - upper - lower) / 3  # derivative of the mean of -log(upper - lower) by the line, of logistic tails
+    want = np.zeros(5)
+    for x, d in zip(rows, ds, strict=True):
+        for i in x:
+            want[i] += quality.SCALE * d / len(x)
+    assert g == pytest.approx(want, abs=1e-5)
+
+
 def test_url_filter_against_sql(spark):
     import duckdb
 
@@ -493,6 +717,17 @@ def test_pipeline(spark):
     assert not leaks
 
 
+def test_pipeline_keeps_one_row_of_repeated_ones(spark):
+    import corpus_pipeline as p
+
+    a, b = "one two three four five six seven", "other words that stand alone in here"
+    rows = [(5, a, "en", "s", 1), (5, a, "en", "s", 1), (None, a, "en", "s", 1), (9, a.upper(), "en", "s", 1), (None, b, "en", "s", 1), (None, b, "de", "s", 1), (7, None, "en", "s", 1), (7, None, "en", "s", 1), (None, "", "en", "s", 1), (None, "", "en", "s", 1), (8, b + " yes and more of it too", "en", "s", 1), (8, "short", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r.doc_id, r.text) for r in p.remove_near_duplicates(spark, docs, SF).collect())
+    assert got == Counter([(5, a), (None, b), (7, None), (7, None), (None, ""), (None, ""), (8, b + " yes and more of it too"), (8, "short")])
+    assert p.remove_near_duplicates(spark, docs.limit(0), SF).count() == 0
+
+
 def test_pipeline_stages_take_odd_rows(spark, odd):
     import corpus_pipeline as p
 

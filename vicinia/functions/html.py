@@ -24,9 +24,10 @@ def title(html: Column) -> Column:
 
 
 def meta_description(html: Column) -> Column:
-    """Name or property before content."""
-    c = F.regexp_extract(html, r"""(?is)<meta[^>]+(?:name|property)\s*=\s*["'](?:og:)?description["'][^>]*content\s*=\s*["']([^"']*)["']""", 1)
-    return F.nullif(text_of(c), F.lit(""))
+    """Of the first meta tag that has it, name or property and content in either order."""
+    named, content = r"""(?:name|property)\s*=\s*["'](?:og:)?description["']""", r"""content\s*=\s*["']([^"']*)["']"""
+    first, last = (F.regexp_extract(html, f"(?is)<meta[^>]+{x}[^>]*{y}", 1) for x, y in ((named, content), (content, named)))
+    return F.nullif(text_of(F.when(first != "", first).otherwise(last)), F.lit(""))
 
 
 def unique_texts(items: Column, most: int, longest: int = 320) -> Column:
@@ -88,6 +89,18 @@ def hours_in_text(html: Column) -> Column:
     return F.nullif(F.regexp_extract(text_of(html), r"(?i)\b((?:mo|tu|we|th|fr|sa|su)[a-z]*(?:\s*-\s*(?:mo|tu|we|th|fr|sa|su)[a-z]*)?\s*:?\s*[0-9]{1,2}:[0-9]{2}\s*-\s*[0-9]{1,2}:[0-9]{2})", 1), F.lit(""))
 
 
+def text_bag(title: Column, description: Column, lists: list[Column], entities: Column) -> tuple[Column, Column]:
+    """(text, names): normalized title, description, headings, breadcrumbs, categories and brands of a page in one text, and what its
+    product and offer entities (JSON strings) call themselves, their item, category and brand, which the text holds too."""
+    from vicinia.functions.text import stable_normalize
+
+    empty = F.array().cast("array<string>")
+    goods = F.filter(F.coalesce(entities, empty), lambda e: F.coalesce(F.get_json_object(e, "$['@type']"), F.lit("")).rlike("(?i)product|offer"))
+    names = F.flatten(F.transform(goods, lambda e: F.array_compact(F.array(*[F.get_json_object(e, p) for p in ("$.name", "$.itemOffered.name", "$.category", "$.brand.name")]))))
+    parts = F.concat(F.array(F.coalesce(title, F.lit("")), F.coalesce(description, F.lit(""))), *[F.coalesce(x, empty) for x in lists], names)
+    return F.trim(F.array_join(F.transform(parts, stable_normalize), " ")), F.filter(F.transform(names, stable_normalize), lambda x: x != "")
+
+
 def website_eligible(http_status: Column, n_headings: Column, n_categories: Column, n_schema: Column) -> Column:
     """F23."""
     return http_status.between(200, 299) & ((n_headings >= 2) | (n_categories >= 2) | (n_schema >= 1))

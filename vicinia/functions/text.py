@@ -2,25 +2,48 @@
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Latin letters that decompose to a base letter and a mark, and their base letters. Letters such as ß, ø and ł do not decompose.
-ACCENTED = "àáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩīĭįĵķĺļľñńņňòóôõöōŏőŕŗřśŝşšţťùúûüũūŭůűųŵýÿŷźżž"
-PLAIN = "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnoooooooorrrsssstt" + "uuuuuuuuuuwyyyzzz"
-assert len(ACCENTED) == len(PLAIN)
+MARKS = "[\u0300-\u036f]"
+
+
+@functools.cache
+def decomposed(form: str) -> dict[str, str]:
+    """Characters of the basic plane whose decomposition (NFD or NFKD), less its marks, holds a-z or 0-9, and what is left of each.
+
+    What decomposes to anything else becomes a blank in all normal forms here, so it needs no entry. Letters such as ß, ø and ł do not decompose."""
+    out = {}
+    for code in [*range(0x80, 0xD800), *range(0xE000, 0x10000)]:
+        left = "".join(x for x in unicodedata.normalize(form, chr(code)) if not "\u0300" <= x <= "\u036f").lower()
+        if left != chr(code) and any(x.isascii() and x.isalnum() for x in left):
+            out[chr(code)] = left
+    return out
+
+
+def unaccented(c: Column, form: str = "NFD") -> Column:
+    """Lower case with letters in their base form and marks gone."""
+    c, table = F.lower(c), decomposed(form)
+    one = {k: v for k, v in table.items() if len(v) == 1}
+    many = {k: v for k, v in table.items() if len(v) > 1}
+    c = F.translate(c, "".join(one), "".join(one.values()))
+    if many:
+        to = F.create_map(*[F.lit(x) for kv in many.items() for x in kv])
+        c = F.when(c.rlike("[" + "".join(many) + "]"), F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(to, x), x)), "")).otherwise(c)
+    return F.regexp_replace(c, MARKS, "")
 
 
 def normalize(c: Column) -> Column:
-    """Lower case, marks stripped, anything but a-z, 0-9 and blanks to a blank, blanks collapsed."""
-    c = F.regexp_replace(F.translate(F.lower(c), ACCENTED, PLAIN), "[̀-ͯ]", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(c, r"[^a-z0-9\s]", " "), r"\s+", " "))
+    """Lower case, marks stripped (NFD), anything but a-z, 0-9 and blanks to a blank, blanks collapsed."""
+    return F.trim(F.regexp_replace(F.regexp_replace(unaccented(c), r"[^a-z0-9\s]", " "), r"\s+", " "))
 
 
 def stable_normalize(c: Column) -> Column:
-    """Like normalize, with every run of other characters one blank."""
-    c = F.regexp_replace(F.translate(F.lower(F.trim(c)), ACCENTED, PLAIN), "[̀-ͯ]", "")
-    return F.trim(F.regexp_replace(c, "[^a-z0-9]+", " "))
+    """Compatibility forms too (NFKD), and every run of other characters one blank."""
+    return F.trim(F.regexp_replace(unaccented(F.trim(c), "NFKD"), "[^a-z0-9]+", " "))
 
 
 def analytics_normalize(c: Column, most: int = 64) -> Column:
@@ -30,7 +53,7 @@ def analytics_normalize(c: Column, most: int = 64) -> Column:
 
 def district_normalize(c: Column) -> Column:
     """Lower case without marks, sharp s as ss; punctuation stays."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.translate(F.lower(c), ACCENTED, PLAIN), "ß", "ss"), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(unaccented(c), "ß", "ss"), r"\s+", " "))
 
 
 def tokens(c: Column) -> Column:
@@ -72,7 +95,7 @@ def meaningful_overlap(query: Column, product: Column) -> Column:
 
 def slugify(c: Column) -> Column:
     """Lower case, runs of anything but a-z and 0-9 to a dash, none at the ends; null if nothing is left."""
-    return F.nullif(F.regexp_replace(F.regexp_replace(F.translate(F.lower(c), ACCENTED, PLAIN), "[^a-z0-9]+", "-"), "^-+|-+$", ""), F.lit(""))
+    return F.nullif(F.regexp_replace(F.regexp_replace(unaccented(c), "[^a-z0-9]+", "-"), "^-+|-+$", ""), F.lit(""))
 
 
 def term_score(query: Column, term: Column, broad: Column) -> Column:
@@ -136,6 +159,16 @@ def relative_day(day: Column, today: Column) -> Column:
     return F.when(n == 0, "today").when(n == 1, "yesterday").when((n > 1) & (n < 7), F.concat(n.cast("string"), F.lit(" days ago"))).otherwise(F.date_format(day, "yyyy-MM-dd"))
 
 
+def related_terms(query: Column, hints: list[tuple[str, list[str]]], quick: list[str], most: int = 4) -> Column:
+    """Terms of the hints whose trigger the query holds, then quick terms other than the query, `most` in all; three quick terms without a query."""
+    q = analytics_normalize(query)
+    lit = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
+    hinted = F.flatten(F.array(*[F.when(q.contains(t), lit(x)).otherwise(lit([])) for t, x in hints])) if hints else lit([])
+    others = F.filter(lit(quick), lambda t: analytics_normalize(t) != q)
+    # Hints count first; quick terms only fill up.
+    return F.when(q == "", lit(quick[:3])).otherwise(F.slice(F.array_distinct(F.concat(hinted, others)), 1, most))
+
+
 def hashes(c: Column) -> dict[str, Column]:
     """T17."""
     return {"sha1": F.sha1(c), "sha256": F.sha2(c, 256), "md5": F.md5(c)}

@@ -82,15 +82,28 @@ def website_candidates(pages: DataFrame, products: DataFrame, weights: DataFrame
 
 def heuristic_candidates(establishments: DataFrame, weights: DataFrame, products: DataFrame, most: int, essentials: list[str]) -> DataFrame:
     """The category's weight for the group, 0.43 for essentials without one, 0.06 more if the names share a word, 0.05 for a pharmacy; 0.82 of it within 0.48 and 0.76."""
-    p = products.select(F.col("id").alias("product_id"), "product_group", "normalized_name")
+    # A score depends on the category but for the shared word. So an establishment's best are among the best of its category and the products
+    # that share a word with it, and of these among the best of each (category, word): no establishment meets all products.
+    p = products.select(F.col("id").alias("product_id"), "product_group", F.array_distinct(text.tokens(F.col("normalized_name"))).alias("words"))
     rows = weights.select("app_category", "product_group", "weight")
     e = establishments.select(F.col("id").alias("establishment_id"), "app_category", text.tokens(text.normalize(F.col("name"))).alias("nt"))
-    cats = e.select("app_category").distinct()
-    extra = cats.join(F.broadcast(p.where(F.col("product_group").isin(essentials)).select("product_group").distinct()), F.lit(True)).join(F.broadcast(rows), ["app_category", "product_group"], "left_anti").withColumn("weight", F.lit(0.43))
-    offers = rows.unionByName(extra).join(p, "product_group")
-    s = F.col("weight") + F.when(F.arrays_overlap("nt", text.tokens(F.col("normalized_name"))), 0.06).otherwise(0.0) + F.when(F.col("app_category") == "pharmacy", 0.05).otherwise(0.0)
-    j = e.join(offers, "app_category").withColumn("confidence", F.round(scores.clamp(0.82 * s, 0.48, 0.76), 4))
-    return j.withColumn("rn", F.row_number().over(Window.partitionBy("establishment_id").orderBy(F.col("confidence").desc(), "product_id"))).where(F.col("rn") <= most).select("establishment_id", "product_id", "confidence")
+    extra = e.select("app_category").distinct().withColumn("product_group", F.explode(F.array(*map(F.lit, essentials)).cast("array<string>")))
+    extra = extra.join(rows, ["app_category", "product_group"], "left_anti").withColumn("weight", F.lit(0.43))
+    s = F.col("weight") + F.when(F.col("app_category") == "pharmacy", 0.05).otherwise(0.0)
+    offers = rows.unionByName(extra).join(p, "product_group").withColumn("s", s)
+    conf = lambda x: F.round(scores.clamp(0.82 * x, 0.48, 0.76), 4)
+
+    def best(df: DataFrame, keys: list[str], score: Column) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy(conf(score).desc(), "product_id")
+        return df.withColumn("confidence", conf(score)).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most).drop("rn")
+
+    plain = best(offers, ["app_category"], F.col("s")).select("app_category", "product_id", "confidence")
+    worded = offers.select("app_category", "product_id", "s", F.explode("words").alias("w"))
+    worded = best(worded, ["app_category", "w"], F.col("s") + 0.06).select("app_category", "w", "product_id", "confidence")
+    asked = e.select("establishment_id", "app_category", F.explode(F.array_distinct("nt")).alias("w"))
+    found = e.join(plain, "app_category").select("establishment_id", "product_id", "confidence").unionByName(asked.join(worded, ["app_category", "w"]).select("establishment_id", "product_id", "confidence"))
+    found = found.groupBy("establishment_id", "product_id").agg(F.max("confidence").alias("confidence"))
+    return found.withColumn("rn", F.row_number().over(Window.partitionBy("establishment_id").orderBy(F.col("confidence").desc(), "product_id"))).where(F.col("rn") <= most).select("establishment_id", "product_id", "confidence")
 
 
 def model_candidates(output: DataFrame, pool: DataFrame) -> DataFrame:
@@ -128,6 +141,24 @@ def capabilities(roles: Column, products: Column, services: Column) -> dict[str,
     }
 
 
+def ambiguous(est: DataFrame, demand: DataFrame, least: int = 3) -> DataFrame:
+    """establishments with for_candidates (rules of middling confidence, more than 8 merged rows, or demand in the district) and
+    for_profile (8 product or 6 service candidates, no website, or that demand).
+
+    est: (id, district, rules_mid_conf, merged_total, product_candidates, service_candidates, has_website); demand: (district, unresolved) by spelling."""
+    key = lambda c: text.stable_normalize(F.coalesce(F.col(c), F.lit("")))
+    d = demand.groupBy(key("district").alias("dk")).agg(F.sum("unresolved").alias("unresolved")).where((F.col("dk") != "") & (F.col("unresolved") >= least))
+    j = est.withColumn("dk", key("district")).join(d, "dk", "left")
+    wanted, n = F.col("unresolved").isNotNull(), lambda c: F.coalesce(F.col(c), F.lit(0))
+    return j.select(*est.columns, ((n("rules_mid_conf") > 0) | (n("merged_total") > 8) | wanted).alias("for_candidates"), ((n("product_candidates") >= 8) | (n("service_candidates") >= 6) | ~F.coalesce("has_website", F.lit(False)) | wanted).alias("for_profile"))
+
+
+def service_aliases(services: DataFrame, listed: DataFrame) -> DataFrame:
+    """Listed aliases (slug, lang, alias, priority) with the id of their service (id, slug); blank ones and unknown slugs drop out, equal ones keep the highest priority."""
+    a = listed.select("slug", "lang", F.lower(F.trim("alias")).alias("alias"), "priority").where("alias <> ''")
+    return services.select(F.col("id").alias("service_id"), "slug").join(a, "slug").groupBy("service_id", "lang", "alias").agg(F.max("priority").alias("priority"))
+
+
 def suspicious(categories: Column, group: Column, fits: dict[str, list[str]], status: Column, source: Column) -> Column:
     """C11: no category of the place fits the group, and nobody vouches for the row."""
     ok = F.coalesce(F.try_element_at(F.create_map(*[x for k, v in fits.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]), group), F.array().cast("array<string>"))

@@ -69,8 +69,33 @@ def finish_runs(runs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, n: int, seed: int) -> DataFrame:
-    """A seeded sample of n rows."""
-    return df.orderBy(F.rand(seed)).limit(n)
+    """A seeded sample of n rows, by a keyed hash of their id: the same however the rows are dealt out."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), "id").limit(n)
+
+
+def visible(df: DataFrame) -> DataFrame:
+    """rows that any reader may see: not switched off, and not rejected, as far as the table has such columns."""
+    for c, ok in (("is_active", F.coalesce(F.col("is_active"), F.lit(True)) if "is_active" in df.columns else None), ("validation_status", F.coalesce(F.col("validation_status"), F.lit("")) != "rejected" if "validation_status" in df.columns else None)):
+        df = df.where(ok) if c in df.columns else df
+    return df
+
+
+def category_label(app_categories: Column, osm_category: Column, unknown: str) -> Column:
+    """P8."""
+    return F.coalesce(F.try_element_at(app_categories, F.lit(1)), osm_category, F.lit(unknown))
+
+
+def locale_keys(*columns: str, locale: str = "de") -> list[Column]:
+    """Sort keys in the order of a locale, letters before marks and case, by Spark's collation; the plain column last, for ties."""
+    return [*[F.collate(F.col(c), locale) for c in columns], *[F.col(c) for c in columns]]
+
+
+def result_record(rows: DataFrame) -> DataFrame:
+    """Serving rows as nested records: offer, store and product structs; the name by language, the website of the store or else the row's source."""
+    offer = F.struct(F.concat_ws("_", F.lit("candidate"), F.col("establishment_id").cast("string"), F.col("product_id").cast("string"), F.coalesce("primary_source", F.lit("unknown"))).alias("id"), F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)).alias("confidence"), F.coalesce("validation_status", F.lit("unvalidated")).alias("status"))
+    store = F.struct(F.col("establishment_id").alias("id"), F.coalesce("name", F.lit("")).alias("name"), F.col("lat").alias("lat"), F.col("lon").alias("lng"), F.coalesce("website", "source_url").alias("website"))
+    product = F.struct(F.col("product_id").alias("id"), F.coalesce("name_en", "name_de", "name_es", "normalized_name").alias("name"), F.col("normalized_name").alias("normalized_name"))
+    return rows.select(offer.alias("offer"), store.alias("store"), product.alias("product"), "rank")
 
 
 def register_functions(spark: SparkSession) -> None:

@@ -103,6 +103,45 @@ def apply_suggestions(suggestions: DataFrame, rules: DataFrame, top: int, overwr
     return j.select("app_category", "product_group", conf.alias("base_confidence"), op.alias("op"))
 
 
+def look_backs(searches: DataFrame, as_of: Column, days: tuple[int, ...] = (30, 14, 7)) -> DataFrame:
+    """For each rolling look-back the searches, the unresolved ones and the days that have some; one pass over the longest."""
+    r = F.greatest(F.coalesce("results", F.lit(0)), F.lit(0))
+    within = lambda n: F.col("ts") >= as_of - F.expr(f"interval {n} days")
+    rows = searches.where(within(max(days)) & (F.col("ts") < as_of)).select("ts", r.alias("r"), F.explode(F.array_compact(F.array(*[F.when(within(n), n) for n in days]))).alias("days"))
+    return rows.groupBy("days").agg(F.count("*").alias("n"), F.count_if(F.col("r") == 0).alias("unresolved"), F.countDistinct(F.to_date("ts")).alias("active_days"))
+
+
+def affected(rows: DataFrame, changed: Column, key: str = "establishment_id") -> DataFrame:
+    """G-A20: how many rows a change touches, and of how many keys."""
+    return rows.where(changed).agg(F.count("*").alias("n_rows"), F.countDistinct(key).alias("n_keys"))
+
+
+def open_demand(failed: DataFrame) -> DataFrame:
+    """G-A11: terms that are still unresolved and when the last was asked for."""
+    return failed.where("not resolved").agg(F.countDistinct(F.lower(F.trim("query"))).alias("unresolved_terms"), F.max("ts").alias("last_seen"))
+
+
+def flag_totals(queue: DataFrame) -> DataFrame:
+    """G-A11: how many places of a review queue have each flag."""
+    return queue.select(F.explode(F.split("flags", r"\|")).alias("flag")).groupBy("flag").agg(F.count("*").alias("n"))
+
+
+def stores_per_product(merged: DataFrame, products: DataFrame) -> DataFrame:
+    """G-A12: stores of each product, those without any included."""
+    n = merged.where("validation_status <> 'rejected'").groupBy("product_id").agg(F.countDistinct("establishment_id").alias("n_stores"))
+    return products.select(F.col("id").alias("product_id")).join(n, "product_id", "left").withColumn("n_stores", F.coalesce("n_stores", F.lit(0)))
+
+
+def coverage(est: DataFrame, merged: DataFrame, top: int = 10) -> DataFrame:
+    """G-A22: of the places those with website, hours and products, the mean confidence and the most common place categories."""
+    has = merged.select(F.col("establishment_id").alias("id")).distinct().withColumn("has", F.lit(True))
+    base = est.join(has, "id", "left").agg(F.count("*").alias("places"), F.count("website").alias("with_website"), F.count_if(F.col("opening_hours") != "").alias("with_hours"), F.count("has").alias("with_products"))
+    mean = merged.agg(F.round(F.avg(F.col("confidence").cast("double")), 4).alias("mean_confidence"))
+    cats = est.groupBy("osm_category").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "osm_category").limit(top)
+    best = cats.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("by"), "osm_category"))), lambda x: x["osm_category"]), "|").alias("top_categories"))
+    return base.join(F.broadcast(mean)).join(F.broadcast(best))  # one row each
+
+
 def snapshot_compare(before: DataFrame, after: DataFrame, most: int = 12) -> DataFrame:
     """Names added and removed per establishment between two snapshots (establishment_id, names)."""
     j = before.withColumnRenamed("names", "b").join(after.withColumnRenamed("names", "a"), "establishment_id")

@@ -95,20 +95,32 @@ def infer_groups(queries: DataFrame, vocabulary: DataFrame, broad: list[str], mo
         s = text.term_score(F.col("query"), F.col("term"), F.col("term").isin(broad))
         return pairs.withColumn("s", s).where("s > 0").groupBy("query", "group").agg((F.max("s") + F.least(F.count("*") - 1, F.lit(2))).alias("score"))
 
-    scoped = best(scope.join(F.broadcast(vocabulary), "group"))
+    scoped = best(scope.join(vocabulary, "group"))
     rest = queries.join(scoped.select("query").distinct(), "query", "left_anti").select("query")
-    found = scoped.unionByName(best(rest.join(F.broadcast(vocabulary), F.length("term") > 0)))
+    found = scoped.unionByName(best(vocabulary.join(_checked_broadcast(rest), F.length("term") > 0)))
     w = Window.partitionBy("query")
     short = (F.size(text.tokens(F.col("query"))) == 1) & (F.length("query") < 5)
     r = found.withColumn("top", F.max("score").over(w)).withColumn("rn", F.row_number().over(w.orderBy(F.col("score").desc(), "group")))
     return r.where((F.col("score") >= F.greatest(F.lit(2), F.col("top") - 3)) & (F.col("rn") <= F.when(short, 1).otherwise(most))).select("query", "group", F.col("score").cast("int").alias("score"))
 
 
+#: Queries that are matched against a whole catalogue at once; they are the side that every task gets.
+MOST_QUERIES = 20_000
+
+
+def _checked_broadcast(queries: DataFrame) -> DataFrame:
+    """The queries for a scan of the catalogue: sent to every task, once counted. More than MOST_QUERIES have to come in parts."""
+    n = queries.limit(MOST_QUERIES + 1).count()
+    if n > MOST_QUERIES:
+        raise ValueError(f"match at most {MOST_QUERIES} queries at a time")
+    return F.broadcast(queries)
+
+
 def match_products(queries: DataFrame, names: DataFrame) -> DataFrame:
     """Q4: (query, product_id, tier): products of the first tier that has any: 1 equal, 2 mutual containment, 3 near words. names: (product_id, name)."""
     q, n = F.col("query"), F.col("name")
     tier = F.when(q == n, 1).when(text.contain_each_other(q, n), 2).when(text.fuzzy_phrase(q, n), 3)
-    per = queries.join(F.broadcast(names), F.length("name") > 0).withColumn("tier", tier).where("tier is not null").groupBy("query", "product_id").agg(F.min("tier").alias("tier"))
+    per = names.join(_checked_broadcast(queries), F.length("name") > 0).withColumn("tier", tier).where("tier is not null").groupBy("query", "product_id").agg(F.min("tier").alias("tier"))
     return per.withColumn("first", F.min("tier").over(Window.partitionBy("query"))).where("tier = first").drop("first")
 
 
@@ -117,7 +129,7 @@ def match_services(queries: DataFrame, names: DataFrame, most: int = 24) -> Data
     q, n = F.col("query"), F.col("name")
     shared = F.exists(text.tokens(q), lambda x: (F.length(x) >= 3) & F.array_contains(text.tokens(n), x))
     s = F.when(q == n, 100).otherwise(0) + F.when(text.contain_each_other(q, n), 40).otherwise(0) + F.when(text.fuzzy_phrase(q, n), 22).otherwise(0) + F.when(shared, 10).otherwise(0) + F.when(q.contains("repair") & n.contains("repair"), 3).otherwise(0)
-    per = queries.join(F.broadcast(names), F.length("name") > 0).withColumn("s", s).groupBy("query", "service_id").agg(F.max("s").alias("score"))
+    per = names.join(_checked_broadcast(queries), F.length("name") > 0).withColumn("s", s).groupBy("query", "service_id").agg(F.max("s").alias("score"))
     w = Window.partitionBy("query")
     r = per.withColumn("top", F.max("score").over(w)).withColumn("rn", F.row_number().over(w.orderBy(F.col("score").desc(), "service_id")))
     return r.where((F.col("score") >= F.greatest(F.lit(14), F.col("top") - 40)) & (F.col("rn") <= most)).select("query", "service_id", "score")
@@ -127,10 +139,15 @@ def theta_terms(queries: DataFrame, terms: DataFrame, most: int = 3) -> DataFram
     """(query, term, priority): equal, or both of 4 letters and one holds the other; the best few by priority."""
     q, t = F.col("query"), F.col("term")
     hit = (q == t) | ((F.length(q) >= 4) & (F.length(t) >= 4) & text.contain_each_other(q, t))
-    j = queries.join(F.broadcast(terms), hit)
+    j = terms.join(_checked_broadcast(queries), hit)
     return j.withColumn("rn", F.row_number().over(Window.partitionBy("query").orderBy(F.col("priority").desc(), "term"))).where(F.col("rn") <= most).select("query", "term", "priority")
 
 
+def fuzzy_terms(queries: DataFrame, terms: DataFrame) -> DataFrame:
+    """(query, term) of near words; the terms are scanned, the queries sent along."""
+    return terms.join(_checked_broadcast(queries), text.fuzzy_phrase(F.col("query"), F.col("term"))).select("query", "term")
+
+
 def fallback_guard(specific: Column, strong: Column, service_only: Column, chain: Column, trusted: Column, strategy: Column, rejected: Column, fit: Column, confidence: Column, strict_group: Column, token: Column) -> Column:
     """whether a row found by group stays, the first rule that applies deciding."""
     c = F.coalesce(confidence.cast("double"), F.lit(0.0))
@@ -249,6 +266,7 @@ def cascade(rows: DataFrame, intents: list[str], product_ids: list[int], groups:
     canonical = F.col("product_id").isin(product_ids) if product_ids else F.lit(False)
     grouped = F.col("product_group").isin(groups) if groups else F.lit(False)
     named = F.col("normalized_name").contains(name) if name else F.lit(False)
+    # by name, an equal name or one that holds the query.
     tagged = rows.withColumn("strategy", F.when(canonical, 2).when(grouped, 1).when(named, 0)).where("strategy is not null")
     strong = tagged.where("strategy > 0")
     n = strong.limit(FEW).count() if product_ids or groups else 0
@@ -335,6 +353,36 @@ def catalog_search(products: DataFrame, q: str, columns: list[str], most: int =
     return products.where(cond).orderBy(columns[0], "id").limit(most)
 
 
+def nearest(rows: DataFrame, lat: float, lon: float, radius_m: float, top: int = 180) -> DataFrame:
+    """The nearest rows within a radius."""
+    return geo.within_radius(rows, lat, lon, radius_m).orderBy("distance_m", "establishment_id", "product_id").limit(top)
+
+
+TESTS = {"eq": lambda c, v: c == v, "neq": lambda c, v: c != v, "gte": lambda c, v: c >= v, "lte": lambda c, v: c <= v, "in": lambda c, v: c.isin(v), "ilike": lambda c, v: c.ilike(v), "contains": lambda c, v: c.contains(v), "not_null": lambda c, v: c.isNotNull()}
+
+
+def scan(df: DataFrame, columns: list[str], where: list[tuple] | None = None, order: list[tuple[str, bool, bool]] | None = None, offset: int = 0, limit: int | None = None, count: bool = False) -> DataFrame:
+    """A projection of the rows that pass all tests, (column, test, value) or ("or", tests); order by (column, descending, nulls first), a range, and the exact number of all matches."""
+    one = lambda t: TESTS[t[1]](F.col(t[0]), t[2] if len(t) > 2 else None)
+    for t in where or []:
+        some = [one(x) for x in t[1]] if t[0] == "or" else [one(t)]
+        cond = some[0]
+        for x in some[1:]:
+            cond = cond | x
+        df = df.where(cond)
+    n = df.count() if count else None
+    keys = {(False, False): "asc_nulls_last", (False, True): "asc_nulls_first", (True, False): "desc_nulls_last", (True, True): "desc_nulls_first"}
+    out = df.orderBy(*[getattr(F.col(c), keys[d, f])() for c, d, f in order]) if order else df
+    out = out.select(*columns).offset(offset) if offset else out.select(*columns)
+    out = out.limit(limit) if limit is not None else out
+    return out.withColumn("total", F.lit(n).cast("long")) if count else out
+
+
+def after(df: DataFrame, key: str, last, limit: int) -> DataFrame:
+    """The next rows by key after one that is known; `last` None begins."""
+    return (df if last is None else df.where(F.col(key) > last)).orderBy(key).limit(limit)
+
+
 def page(df: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
     """A page and the exact number of all rows."""
     n = df.count()

@@ -44,19 +44,10 @@ def _rules(spark):
     return spark.createDataFrame(RULES, "app_category string, product_group string, b string").withColumn("base_confidence", F.col("b").cast("decimal(5,4)")).drop("b")
 
 
-@query(f"{views('est', 'prod')}, {_RULES}, p as (select * from prod where id % 10 = 0), ec as (select id as establishment_id, app_category from est union select id, app_category2 from est), j as (select establishment_id, p.id as product_id, r.app_category, cast(least(0.99, base_confidence + case when r.app_category in ('supermarket', 'pharmacy') then 0.04 else 0 end) as decimal(5,4)) as confidence, row_number() over (partition by establishment_id, p.id order by least(0.99, base_confidence + case when r.app_category in ('supermarket', 'pharmacy') then 0.04 else 0 end) desc, r.app_category desc) as rn from ec join r using (app_category) join p on p.product_group = r.product_group) select establishment_id, product_id, app_category, confidence, case when confidence >= 0.74 then 'likely' else 'unvalidated' end as validation_status from j where rn = 1")
+@query(f"{views('est', 'prod')}, {_RULES}, ec as (select id as establishment_id, app_category from est union select id, app_category2 from est), j as (select establishment_id, p.id as product_id, r.app_category, cast(least(0.99, base_confidence + case when r.app_category in ('supermarket', 'pharmacy') then 0.04 else 0 end) as decimal(5,4)) as confidence, row_number() over (partition by establishment_id, p.id order by least(0.99, base_confidence + case when r.app_category in ('supermarket', 'pharmacy') then 0.04 else 0 end) desc, r.app_category desc) as rn from ec join r using (app_category) join prod p on p.product_group = r.product_group) select establishment_id, product_id, app_category, confidence, case when confidence >= 0.74 then 'likely' else 'unvalidated' end as validation_status from j where rn = 1")
 def rule_candidates(spark, sf_dir):
-    return _rule_candidates(spark, sf_dir, products(spark, sf_dir).where("id % 10 = 0"))
-
-
-def _rule_candidates(spark, sf_dir, p):
     e = establishments(spark, sf_dir).select("id", F.array("app_category", "app_category2").alias("app_categories"))
-    return c.rule_candidates(e, _rules(spark), p).select("establishment_id", "product_id", "app_category", "confidence", "validation_status")
-
-
-@query(query.without("rule_candidates", " where id % 10 = 0"))
-def rule_candidates_whole(spark, sf_dir):
-    return _rule_candidates(spark, sf_dir, products(spark, sf_dir))
+    return c.rule_candidates(e, _rules(spark), products(spark, sf_dir)).select("establishment_id", "product_id", "app_category", "confidence", "validation_status")
 
 
 HINTS = [("name", "nail", "manicure", 0.8), ("name", "phone", "phone-repair", 0.85), ("category", "mobile_phone", "phone-repair", 0.75), ("category", "beauty", "haircut", 0.6), ("category", "chemist", "advice", 0.5)]
@@ -70,26 +61,17 @@ def service_candidates(spark, sf_dir):
 
 WEIGHTS = [("groceries", "promo", 0.9), ("electronics", "standard", 0.5), ("groceries", "small", 0.4), ("household", "large", 0.8)]
 _WEIGHTS = "wt(category, product_group, weight) as (values " + ", ".join(f"('{a}', '{b}', {x}e0)" for a, b, x in WEIGHTS) + ")"
-_PN = "p as (select p_partkey as product_id, lower(p_type) as product_group, split_part(lower(p_name), ' ', 2) as name, split_part(lower(p_name), ' ', 1) as synonym from part where p_partkey <= 40)"
+_PN = "p as (select p_partkey as product_id, lower(p_type) as product_group, split_part(lower(p_name), ' ', 2) as name, split_part(lower(p_name), ' ', 1) as synonym from part)"
 _BAG = f"b as (select page_id, case page_id % 3 when 0 then 'groceries' when 1 then 'electronics' else 'household' end as category, concat(' ', {NORM.format('html')}, ' ring blue bolt ') as bag from pages)"
 
 
 @query(f"with {_WEIGHTS}, {_PN}, {_BAG}, j as (select page_id, product_id, round(case when contains(bag, concat(' ', name, ' ')) then 0.38e0 else 0 end + case when contains(bag, concat(' ', synonym, ' ')) then 0.27e0 else 0 end + 0.22e0 * coalesce(weight, 0), 4) as s from b join p on true left join wt on wt.category = b.category and wt.product_group = p.product_group where name <> 'gizmo' and (contains(bag, concat(' ', name, ' ')) or contains(bag, concat(' ', synonym, ' ')))) select page_id, product_id, least(s, 0.94e0) as confidence from j where s >= 0.46e0")
 def website_candidates(spark, sf_dir):
-    return _website_candidates(spark, sf_dir, products(spark, sf_dir).where("id <= 40"))
-
-
-def _website_candidates(spark, sf_dir, p):
-    p = p.select(F.col("id").alias("product_id"), "product_group", F.split("normalized_name", " ")[1].alias("name"), F.split("normalized_name", " ")[0].alias("synonym"))
+    p = products(spark, sf_dir).select(F.col("id").alias("product_id"), "product_group", F.split("normalized_name", " ")[1].alias("name"), F.split("normalized_name", " ")[0].alias("synonym"))
     b = load(spark, sf_dir, "pages").select("page_id", F.expr("case page_id % 3 when 0 then 'groceries' when 1 then 'electronics' else 'household' end").alias("category"), F.concat(text.normalize(F.col("html")), F.lit(" ring blue bolt")).alias("bag"))
     return c.website_candidates(b, p, spark.createDataFrame(WEIGHTS, "category string, product_group string, weight double"), ["gizmo"])
 
 
-@query(query.without("website_candidates", " where p_partkey <= 40"))
-def website_candidates_whole(spark, sf_dir):
-    return _website_candidates(spark, sf_dir, products(spark, sf_dir))
-
-
 @query(f"{views('est', 'prod')}, {_WEIGHTS}, cats as (select distinct app_category from est), w as (select category as app_category, product_group, weight from wt union all select app_category, 'medium', 0.43e0 from cats where not exists (select 1 from wt where wt.category = app_category and wt.product_group = 'medium')), j as (select est.id as establishment_id, prod.id as product_id, round(least(0.76e0, greatest(0.48e0, 0.82e0 * (weight + case when list_has_any(string_split(lower(name), ' '), string_split(normalized_name, ' ')) then 0.06e0 else 0 end))), 4) as confidence from est join w using (app_category) join prod on prod.product_group = w.product_group), r as (select *, row_number() over (partition by establishment_id order by confidence desc, product_id) as rn from j) select establishment_id, product_id, confidence from r where rn <= 10")
 def heuristic_candidates(spark, sf_dir):
     w = spark.createDataFrame(WEIGHTS, "app_category string, product_group string, weight double")
@@ -116,11 +98,17 @@ def alias_bootstrap(spark, sf_dir):
     return c.alias_bootstrap(products(spark, sf_dir))
 
 
-@query(f"{views('est')} select id, true as supports_products, app_category in ('electronics') as supports_services, app_category = 'electronics' as supports_repair from est where app_category in ('electronics', 'groceries')")
+_CAP = "select id, case app_category when 'electronics' then ['repair'] when 'groceries' then ['grocery', 'retail'] when 'household' then ['retail'] else [] end as roles, case when id % 3 = 0 then [osm_category] else [] end as goods, case when id % 4 = 0 then ['Phone Repair', 'Advice'] when id % 4 = 1 then ['Haircut'] else [] end as jobs from est"
+
+
+@query(f"{views('est')}, x as ({_CAP}) select id, len(goods) > 0 or list_has_any(roles, ['retail', 'grocery']) as supports_products, len(jobs) > 0 or list_has_any(roles, ['service', 'repair']) as supports_services, len(list_filter(jobs, lambda j: j ilike '%repair%')) > 0 as supports_repair from x")
 def capability_flags(spark, sf_dir):
-    e = establishments(spark, sf_dir).where("app_category in ('electronics', 'groceries')")
-    f = c.capabilities(F.array("osm_category"), F.array("app_category"), F.when(F.col("app_category") == "electronics", F.array(F.lit("Phone Repair"))))
-    return e.select("id", *[x.alias(k) for k, x in f.items()])
+    lit = lambda *xs: F.array(*map(F.lit, xs)).cast("array<string>")
+    cat, n = F.col("app_category"), F.col("id") % 4
+    roles = F.when(cat == "electronics", lit("repair")).when(cat == "groceries", lit("grocery", "retail")).when(cat == "household", lit("retail")).otherwise(lit())
+    goods = F.when(F.col("id") % 3 == 0, F.array("osm_category"))
+    jobs = F.when(n == 0, lit("Phone Repair", "Advice")).when(n == 1, lit("Haircut"))
+    return establishments(spark, sf_dir).select("id", *[x.alias(k) for k, x in c.capabilities(roles, goods, jobs).items()])
 
 
 @query(f"{views('est')} select id, array_to_string(list_sort(list_distinct([lower(replace(osm_category, '_', ' ')), 'shop'])), '|') as likely, round(least(0.92e0, greatest(0.45e0, freshness)), 4) as confidence, least(0.92e0, greatest(0.45e0, freshness)) < 0.82e0 as needs_review from est where osm_category <> 'x'")
@@ -255,22 +243,13 @@ def curation_apply(spark, sf_dir):
     return i.apply_suggestions(_suggest(spark, sf_dir), _rules(spark).withColumn("base_confidence", F.col("base_confidence").cast("double")), 5)
 
 
-@query(f"{views('prod', 'cand')}, b as (select establishment_id, list(distinct normalized_name) as names from cand join prod on prod.id = product_id where cand.id % 3 <> 0 and product_id <= 60 group by 1), a as (select establishment_id, list(distinct normalized_name) as names from cand join prod on prod.id = product_id where cand.id % 4 <> 0 and product_id <= 60 group by 1) select establishment_id, array_to_string(list_sort(list_filter(a.names, lambda x: not list_contains(b.names, x)))[1:12], '|') as added, array_to_string(list_sort(list_filter(b.names, lambda x: not list_contains(a.names, x)))[1:12], '|') as removed, len(a.names) as n_after from b join a using (establishment_id)")
+@query(f"{views('prod', 'cand')}, b as (select establishment_id, list(distinct normalized_name) as names from cand join prod on prod.id = product_id where cand.id % 3 <> 0 group by 1), a as (select establishment_id, list(distinct normalized_name) as names from cand join prod on prod.id = product_id where cand.id % 4 <> 0 group by 1) select establishment_id, array_to_string(list_sort(list_filter(a.names, lambda x: not list_contains(b.names, x)))[1:12], '|') as added, array_to_string(list_sort(list_filter(b.names, lambda x: not list_contains(a.names, x)))[1:12], '|') as removed, len(a.names) as n_after from b join a using (establishment_id)")
 def snapshot_compare(spark, sf_dir):
-    return _snapshot_compare(spark, sf_dir, candidates(spark, sf_dir).where("product_id <= 60"))
-
-
-def _snapshot_compare(spark, sf_dir, x):
-    j = x.join(products(spark, sf_dir).select(F.col("id").alias("product_id"), "normalized_name"), "product_id")
+    j = candidates(spark, sf_dir).join(products(spark, sf_dir).select(F.col("id").alias("product_id"), "normalized_name"), "product_id")
     names = lambda cond: j.where(cond).groupBy("establishment_id").agg(F.collect_set("normalized_name").alias("names"))
     return i.snapshot_compare(names("id % 3 <> 0"), names("id % 4 <> 0"))
 
 
-@query(query.without("snapshot_compare", " and product_id <= 60"))
-def snapshot_compare_whole(spark, sf_dir):
-    return _snapshot_compare(spark, sf_dir, candidates(spark, sf_dir))
-
-
 @query(f"{MERGED_WITH}, k as (select establishment_id, count(*) as n from mrg group by 1) select round(avg(n), 4) as mean, max(n) as max, quantile_cont(n, 0.5) as p50, quantile_cont(n, 0.9) as p90 from k")
 def density_percentiles(spark, sf_dir):
     return i.density(merged(spark, sf_dir).groupBy("establishment_id").agg(F.count("*").alias("n")))
@@ -302,3 +281,76 @@ def event_dedupe(spark, sf_dir):
 def insert_ignore(spark, sf_dir):
     x = candidates(spark, sf_dir)
     return c.insert_new(x.where("id % 2 = 0"), x.groupBy("establishment_id", "product_id").agg(F.min("id").alias("id")), ["establishment_id", "product_id"])
+
+
+_LB = " union all ".join(f"select {n} as days, ts, results from se where ts >= timestamp '2024-01-30' - interval {n} day and ts < timestamp '2024-01-30'" for n in (30, 14, 7))
+
+
+@query(f"with {_SE} select days, count(*) as n, count(*) filter (where results = 0) as unresolved, count(distinct cast(ts as date)) as active_days from ({_LB}) group by 1")
+def look_backs(spark, sf_dir):
+    """R3."""
+    return i.look_backs(searches(spark, sf_dir), F.lit("2024-01-30").cast("timestamp_ntz"))
+
+
+@query(f"{views('est', 'prod', 'cand')}, {_SUS} select count(*) as n_rows, count(distinct establishment_id) as n_keys from sus where suspicious")
+def affected_rows(spark, sf_dir):
+    """G-A20."""
+    return i.affected(suspects(spark, sf_dir), F.col("suspicious"))
+
+
+@query(f"with {_SE} select count(distinct term) as unresolved_terms, max(ts) as last_seen from se where results <= 0 and event_id % 3 <> 0")
+def open_demand(spark, sf_dir):
+    f = i.failed_events(searches(spark, sf_dir)).select(F.col("term").alias("query"), "ts", (F.col("event_id") % 3 == 0).alias("resolved"))
+    return i.open_demand(f)
+
+
+@query(f"{query.oracles['review_queue'].replace(' select id, flags, score from s', ', t as (select id, flags, score from s')}) select unnest(string_split(flags, '|')) as flag, count(*) as n from t group by 1")
+def review_flag_totals(spark, sf_dir):
+    """G-A11."""
+    return i.flag_totals(review_queue(spark, sf_dir))
+
+
+@query(f"{MERGED_WITH}, k as (select product_id, count(distinct establishment_id) as n from mrg where validation_status <> 'rejected' group by 1) select prod.id as product_id, coalesce(n, 0) as n_stores from prod left join k on product_id = prod.id")
+def stores_per_product(spark, sf_dir):
+    """G-A12."""
+    return i.stores_per_product(merged(spark, sf_dir), products(spark, sf_dir))
+
+
+@query(f"{MERGED_WITH}, t as (select osm_category, count(*) as n from est group by 1 order by 2 desc, 1 limit 10) select (select count(*) from est) as places, (select count(website) from est) as with_website, (select count(*) from est where opening_hours <> '') as with_hours, (select count(distinct establishment_id) from mrg) as with_products, (select round(avg(cast(confidence as double)), 4) from mrg) as mean_confidence, (select string_agg(osm_category, '|' order by n desc, osm_category) from t) as top_categories")
+def coverage(spark, sf_dir):
+    """G-A22."""
+    return i.coverage(establishments(spark, sf_dir), merged(spark, sf_dir))
+
+
+_NB = "nb as (select establishment_id, count(*) filter (where source_type = 'rules_generated' and confidence between 0.55 and 0.58) as mid, count(distinct product_id) as merged_total, count(distinct case when product_id % 9 = 0 then product_id end) as pc, count(distinct case when product_id % 11 = 0 then product_id end) as sc from cand group by 1)"
+
+
+@query(f"{views('est', 'cand')}, {_NB}, dm as (select district, cast(count(*) filter (where id % 40 = 0) as bigint) as u from est group by 1 having count(*) filter (where id % 40 = 0) >= 3) select est.id, coalesce(mid, 0) > 0 or coalesce(merged_total, 0) > 600 + 8 or dm.u is not null as for_candidates, coalesce(pc, 0) >= 8 or coalesce(sc, 0) >= 6 or website is null or dm.u is not null as for_profile from est left join nb on establishment_id = est.id left join dm on dm.district = est.district")
+def ambiguous_places(spark, sf_dir):
+    """F22; merged rows beyond 600 count here, since a place of the tables has hundreds."""
+    x = candidates(spark, sf_dir)
+    n = x.groupBy(F.col("establishment_id").alias("id")).agg(
+        F.count_if((F.col("source_type") == "rules_generated") & F.col("confidence").between(0.55, 0.58)).alias("rules_mid_conf"), (F.countDistinct("product_id") - 600).alias("merged_total"),
+        F.countDistinct(F.when(F.col("product_id") % 9 == 0, F.col("product_id"))).alias("product_candidates"), F.countDistinct(F.when(F.col("product_id") % 11 == 0, F.col("product_id"))).alias("service_candidates"))
+    e = establishments(spark, sf_dir).select("id", "district", F.col("website").isNotNull().alias("has_website")).join(n, "id", "left")
+    # Demand by two spellings of the district, which count as one.
+    d = establishments(spark, sf_dir).groupBy("district", (F.col("id") % 80 == 0).alias("k")).agg(F.count_if(F.col("id") % 40 == 0).alias("unresolved")).select(F.when(F.col("k"), F.concat(F.lit(" "), F.lower("district"), F.lit("!"))).otherwise(F.col("district")).alias("district"), "unresolved")
+    return c.ambiguous(e, d).select("id", "for_candidates", "for_profile")
+
+
+_SL = "sl as (select * from (values ('phone-repair', 'en', ' Phone Repair ', 100), ('phone-repair', 'en', 'phone repair', 70), ('phone-repair', 'de', 'Handyreparatur', 90), ('haircut', 'en', 'Haircut', 100), ('haircut', 'en', '  ', 100), ('nothing', 'en', 'none', 10)) t(slug, lang, alias, priority))"
+
+
+@query(f"with {_SL}, sv as (select p_partkey as id, case p_partkey % 3 when 0 then 'phone-repair' when 1 then 'haircut' else concat('s', p_partkey) end as slug from part) select id as service_id, lang, lower(trim(alias)) as alias, max(priority) as priority from sv join sl using (slug) where trim(alias) <> '' group by 1, 2, 3")
+def service_aliases(spark, sf_dir):
+    """S21."""
+    listed = [("phone-repair", "en", " Phone Repair ", 100), ("phone-repair", "en", "phone repair", 70), ("phone-repair", "de", "Handyreparatur", 90), ("haircut", "en", "Haircut", 100), ("haircut", "en", "  ", 100), ("nothing", "en", "none", 10)]
+    s = load(spark, sf_dir, "part").selectExpr("p_partkey as id", "case p_partkey % 3 when 0 then 'phone-repair' when 1 then 'haircut' else concat('s', p_partkey) end as slug")
+    return c.service_aliases(s, spark.createDataFrame(listed, "slug string, lang string, alias string, priority int"))
+
+
+@query(f"{views('est')}, x as (select id, case when id % 4 = 0 then ['old'] else [] end as old, case when id % 3 = 0 then 'pipeline' else 'manual' end as origin from est) select id, array_to_string(case when len(old) = 0 or origin = 'pipeline' then [osm_category] else old end, '|') as categories from x join est using (id)")
+def overwrite_categories(spark, sf_dir):
+    """C2."""
+    old = F.when(F.col("id") % 4 == 0, F.array(F.lit("old"))).otherwise(F.array().cast("array<string>"))
+    return establishments(spark, sf_dir).select("id", F.array_join(c.overwrite_categories(old, F.when(F.col("id") % 3 == 0, "pipeline").otherwise("manual"), F.array("osm_category")), "|").alias("categories"))

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vicinia.operators import catalog as k
+from vicinia.operators import search as s
 from vicinia.operators.candidates import alias_bootstrap
-from vicinia.plans.merging import MERGED_WITH, merged
+from vicinia.plans.analytics import _RULES, _rules
+from vicinia.plans.merging import _CONF, _ORDER, _Q, _STATUS, _W, MERGED_WITH, merged
 from vicinia.plans.registry import Registry
+from vicinia.plans.search import SERVING_WITH
 from vicinia.sources import osm
 from vicinia.sources.tables import candidates, establishments, load, products, views
 
@@ -92,24 +95,19 @@ def address_and_district(spark, sf_dir):
 
 @query("select concat('node/', s_suppkey) as external_id, case when s_suppkey % 4 = 0 then 'second_hand' else 'bakery' end as category from supplier where s_suppkey % 3 <> 0 and s_suppkey % 5 <> 0")
 def osm_projection(spark, sf_dir):
-    s = load(spark, sf_dir, "supplier")
+    sup = load(spark, sf_dir, "supplier")
     tags = F.create_map(F.lit("name"), F.expr("case when s_suppkey % 3 = 0 then ' ' else s_name end"), F.lit("shop"), F.lit("bakery"), F.lit("second_hand"), F.expr("case when s_suppkey % 4 = 0 then 'only' else 'no' end"))
-    e = s.select(F.lit("node").alias("type"), F.col("s_suppkey").alias("id"), F.expr("case when s_suppkey % 2 = 0 then 52.5e0 end").alias("lat"), F.expr("case when s_suppkey % 2 = 0 then 13.4e0 end").alias("lon"), F.when(F.col("s_suppkey") % 5 != 0, F.struct(F.lit(52.4).alias("lat"), F.lit(13.3).alias("lon"))).alias("center"), tags.alias("tags"))
+    e = sup.select(F.lit("node").alias("type"), F.col("s_suppkey").alias("id"), F.expr("case when s_suppkey % 2 = 0 then 52.5e0 end").alias("lat"), F.expr("case when s_suppkey % 2 = 0 then 13.4e0 end").alias("lon"), F.when(F.col("s_suppkey") % 5 != 0, F.struct(F.lit(52.4).alias("lat"), F.lit(13.3).alias("lon"))).alias("center"), tags.alias("tags"))
     e = e.withColumn("lat", F.expr("case when id % 5 = 0 then null else lat end"))
     return osm.project(e, ["bakery", "second_hand"]).select("external_id", "category")
 
 
-@query("select s_suppkey as store_id, r_regionkey as product_id from supplier, region")
-def store_product_template(spark, sf_dir):
-    return osm.template(load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")), load(spark, sf_dir, "region").select(F.col("r_regionkey").alias("id"))).select("store_id", "product_id")
-
-
 @query("select s_suppkey as store_id, p_partkey as product_id from supplier, part")
-def store_product_template_whole(spark, sf_dir):
+def store_product_template(spark, sf_dir):
     return osm.template(load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")), products(spark, sf_dir).select("id")).select("store_id", "product_id")
 
 
-@query()
+@query(f"{views('cand')} select id from cand order by md5(concat('7:', id)), id limit 25")
 def seeded_sample(spark, sf_dir):
     return k.sample_rows(candidates(spark, sf_dir), 25, 7).select("id")
 
@@ -125,3 +123,90 @@ def daily_window_stream(spark, sf_dir):
     q = st.daily(e, "ts").writeStream.format("memory").queryName("daily_window").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table("daily_window")
+
+
+@query("select p_partkey as product_id, p_name as alias from part where not (p_partkey % 5 = 0 or p_partkey % 3 = 0)")
+def visible_rows(spark, sf_dir):
+    """switched-off and rejected rows are not shown; a null switch counts as on."""
+    a = load(spark, sf_dir, "part").selectExpr("p_partkey as product_id", "p_name as alias", "case when p_partkey % 5 = 0 then false when p_partkey % 2 = 0 then true end as is_active", "case when p_partkey % 3 = 0 then 'rejected' when p_partkey % 2 = 0 then 'likely' end as validation_status")
+    return k.visible(a).select("product_id", "alias")
+
+
+@query(f"{views('est')} select id, case when id % 3 = 0 then app_category when id % 4 <> 0 then osm_category else 'Other' end as label from est")
+def category_label(spark, sf_dir):
+    """P8."""
+    e = establishments(spark, sf_dir)
+    return e.select("id", k.category_label(F.when(F.col("id") % 3 == 0, F.array("app_category", "app_category2")).otherwise(F.array().cast("array<string>")), F.when(F.col("id") % 4 != 0, F.col("osm_category")), "Other").alias("label"))
+
+
+_OWN = "source_type = 'rules_generated' and generation_method = 'district_refresh'"
+_PAIR = "{0}.establishment_id = {1}.establishment_id and {0}.product_id = {1}.product_id"
+REFRESH_WITH = f"""{MERGED_WITH}, {_RULES}, cx as (select id, establishment_id, product_id, source_type, case when source_type = 'rules_generated' and id % 2 = 0 then 'district_refresh' else generation_method end as generation_method, confidence, validation_status from cand),
+cu as (select * from cx where id in (select min(id) from cx group by establishment_id, product_id, source_type, generation_method)),
+de as (select * from est where district ilike '%a%' and active_status in ('active', 'temporarily_closed')), mine as (select cu.* from cu join de on de.id = establishment_id),
+lk as (select distinct establishment_id, product_id from mine where {_OWN} and validation_status in ('validated', 'rejected')), ec as (select id as establishment_id, app_category from de union select id, app_category2 from de),
+mk as (select establishment_id, p.id as product_id, cast(max(greatest(0.3, least(0.99, base_confidence + case when app_category in ('supermarket', 'pharmacy') then 0.04 else 0 end))) as decimal(5,4)) as confidence from ec join r using (app_category) join prod p on p.product_group = r.product_group group by 1, 2),
+nw as (select * from mk where not exists (select 1 from lk where {_PAIR.format('lk', 'mk')})),
+af as (select establishment_id, product_id, source_type, confidence, validation_status from mine where not ({_OWN}) or not exists (select 1 from nw where {_PAIR.format('nw', 'mine')}) union all select establishment_id, product_id, 'rules_generated', confidence, case when confidence >= 0.74 then 'likely' else 'unvalidated' end from nw),
+m2 as (select establishment_id, product_id, first(source_type order by {_W} desc, confidence desc) as primary_source, {_CONF} as confidence, {_STATUS} as validation_status from af where validation_status <> 'rejected' group by 1, 2),
+rk as (select m2.*, product_group, priority, row_number() over (partition by establishment_id order by {_ORDER}) as store_rank, row_number() over (partition by establishment_id, product_group order by {_ORDER}) as group_rank from m2 join prod on prod.id = product_id),
+qu as (select *, ({_Q}) as quota from rk), sl as (select *, row_number() over (partition by establishment_id order by quota desc, store_rank) as selected_rank from qu where store_rank <= 8 or quota),
+bs as (select establishment_id, product_id, confidence, validation_status from sl where selected_rank <= 8), sa as (select mrg.establishment_id, product_id, mrg.confidence, mrg.validation_status from mrg join de on de.id = mrg.establishment_id where mrg.validation_status = 'validated'),
+pt as (select * from bs where validation_status = 'validated' or not exists (select 1 from sa where {_PAIR.format('sa', 'bs')})), done as (select * from pt union all select * from sa where not exists (select 1 from pt where {_PAIR.format('pt', 'sa')}))"""
+
+
+@query(f"{REFRESH_WITH} select establishment_id, product_id, confidence, validation_status from done")
+def district_refresh(spark, sf_dir):
+    """K12 for districts with "a" in their name: locked pairs, clamp, merge, best rows, and validated rows that stay."""
+    from vicinia.operators.refresh import district_refresh as refresh
+
+    x = candidates(spark, sf_dir).withColumn("generation_method", F.expr("case when source_type = 'rules_generated' and id % 2 = 0 then 'district_refresh' else generation_method end"))
+    e = establishments(spark, sf_dir).withColumn("app_categories", F.array("app_category", "app_category2"))
+    # Of a pair, source and method there is one row.
+    x = x.join(x.groupBy("establishment_id", "product_id", "source_type", "generation_method").agg(F.min("id").alias("id")).select("id"), "id", "left_semi")
+    return refresh("a", e, _rules(spark), products(spark, sf_dir), x, merged(spark, sf_dir), 8, ["promo", "small"])[1]
+
+
+_NAMES = "case p_partkey % 4 when 0 then 'Zebra' when 1 then 'Äpfel' when 2 then 'apfel' else 'öl' end"
+
+
+@query(f"select cast(n as bigint) as n, name from (values (1, 'apfel'), (2, 'Äpfel'), (3, 'öl'), (4, 'Zebra')) t(n, name)")
+def locale_order(spark, sf_dir):
+    """Names in German order, numbered in that order."""
+    from pyspark.sql import Window
+
+    names = load(spark, sf_dir, "part").selectExpr(f"{_NAMES} as name").distinct()
+    return names.select(F.row_number().over(Window.orderBy(*k.locale_keys("name"))).cast("long").alias("n"), "name")
+
+
+@query(f"{SERVING_WITH} select concat('candidate_', establishment_id, '_', product_id, '_', primary_source) as offer_id, cast(confidence as double) as confidence, name as store_name, coalesce(website, 'https://source.example') as website, case when product_id % 2 = 0 then upper(normalized_name) else normalized_name end as product_name from srv")
+def result_records(spark, sf_dir):
+    """P1, P2, N12."""
+    v = s.serving(merged(spark, sf_dir), establishments(spark, sf_dir), products(spark, sf_dir))
+    v = v.withColumn("source_url", F.lit("https://source.example")).withColumn("name_en", F.lit(None).cast("string")).withColumn("name_de", F.when(F.col("product_id") % 2 == 0, F.upper("normalized_name"))).withColumn("name_es", F.lit(None).cast("string")).withColumn("rank", F.lit(1.0))
+    r = k.valid_results(k.result_record(v))
+    return r.select(F.col("offer.id").alias("offer_id"), F.col("offer.confidence").alias("confidence"), F.col("store.name").alias("store_name"), F.col("store.website").alias("website"), F.col("product.name").alias("product_name"))
+
+
+@query("select l_orderkey, l_linenumber, l_partkey as product_id, s_name as store_name, lower(p_name) as product_name from lineitem join supplier on s_suppkey = l_suppkey join part on p_partkey = l_partkey where l_suppkey % 7 <> 0 and l_partkey % 5 <> 0 and l_quantity >= 45")
+def offers_joined(spark, sf_dir):
+    """Offers of unknown products and of stores without a place drop out."""
+    o = load(spark, sf_dir, "lineitem").where("l_quantity >= 45").selectExpr("l_orderkey", "l_linenumber", "l_suppkey as store_id", "l_partkey as product_id")
+    st = load(spark, sf_dir, "supplier").selectExpr("s_suppkey as id", "s_name as name", "case when s_suppkey % 7 <> 0 then 52.5e0 else 99e0 end as lat", "13.4e0 as lng")
+    p = load(spark, sf_dir, "part").where("p_partkey % 5 <> 0").selectExpr("p_partkey as id", "lower(p_name) as normalized_name")
+    return osm.offers(st, p, o).select("l_orderkey", "l_linenumber", "product_id", F.col("store.name").alias("store_name"), F.col("product.normalized_name").alias("product_name"))
+
+
+@query("select c_custkey from customer where lower(c_mktsegment) in ('building', 'machinery') and contains(cast(c_custkey + 10000 as varchar), '1010')")
+def scope_filter(spark, sf_dir):
+    """a named scope and a postal code in the address."""
+    c = load(spark, sf_dir, "customer").selectExpr("c_custkey", "c_mktsegment as district", "concat('Main St, ', cast(c_custkey + 10000 as string), ' Berlin') as address")
+    return osm.in_scope(c, {"inner": ["Building", "Machinery"]}, "inner", "D-10 10").select("c_custkey")
+
+
+@query("select distinct concat('node/', s_suppkey) as external_id, 'Mitte' as district from supplier where s_suppkey % 2 = 0 or s_suppkey % 3 = 0")
+def subzone_import(spark, sf_dir):
+    """Areas that overlap, one forced district."""
+    tags = F.create_map(F.lit("name"), F.col("s_name"), F.lit("shop"), F.lit("bakery"), F.lit("addr:suburb"), F.lit("Elsewhere"))
+    e = load(spark, sf_dir, "supplier").select(F.lit("node").alias("type"), F.col("s_suppkey").alias("id"), F.lit(52.5).alias("lat"), F.lit(13.4).alias("lon"), F.lit(None).cast("struct<lat:double,lon:double>").alias("center"), tags.alias("tags"))
+    return osm.subzones({"north": e.where("id % 2 = 0"), "south": e.where("id % 3 = 0")}, ["bakery"], "Mitte").select("external_id", "district")

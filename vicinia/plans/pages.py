@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vicinia.functions import hours, html
 from vicinia.plans.registry import Registry
+from vicinia.plans.text_geo import NORM
 from vicinia.sources.tables import establishments, load, views
 
 query = Registry()
@@ -88,14 +89,8 @@ def html_brands(spark, sf_dir):
     return load(spark, sf_dir, "pages").select("page_id", F.array_join(html.brands(F.col("html")), "|").alias("brands"))
 
 
-@query("select * from (values (1, '{\"a\":1}'), (2, '{\"b\":{\"c\":2}}'), (3, null), (4, null)) t(id, found)")
-def json_lenient_parse(spark, sf_dir):
-    df = spark.createDataFrame([(1, '{"a":1}'), (2, 'Sure: {"b":{"c":2}} done'), (3, "{no"), (4, None)], "id int, s string")
-    return df.select("id", html.lenient_json(F.col("s")).alias("found"))
-
-
 @query("select event_id, case when event_id % 3 < 2 then props end as found from events")
-def json_lenient_parse_whole(spark, sf_dir):
+def json_lenient_parse(spark, sf_dir):
     """X13 over the props of all events: as they are, between words, and cut short."""
     e = load(spark, sf_dir, "events").select("event_id", F.expr("case event_id % 3 when 0 then props when 1 then concat('Sure: ', props, ' done') else substring(props, 1, length(props) - 1) end").alias("s"))
     return e.select("event_id", html.lenient_json(F.col("s")).alias("found"))
@@ -105,3 +100,12 @@ def json_lenient_parse_whole(spark, sf_dir):
 def json_merge(spark, sf_dir):
     e = load(spark, sf_dir, "events")
     return e.select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"), html.merge_json(F.col("props"), F.to_json(F.struct(F.col("event_type").alias("t")))).alias("merged"))
+
+
+@query(f"select page_id, trim(concat_ws(' ', {NORM.format(_clean(_TITLE))}, 'fine tools', {NORM.format("array_to_string(regexp_extract_all(html, '(?is)<h[1-3][^>]*>(.*?)</h[1-3]>', 1), ' ')")}, case when page_id % 2 = 0 then 'saw acme' end)) as bag, case when page_id % 2 = 0 then 'saw|acme' else '' end as names from pages")
+def page_text_bag(spark, sf_dir):
+    """X14 with entities made from page_id, since the pages have none."""
+    entity = F.array(F.lit('{"@type": "Product", "name": "Saw", "brand": {"name": "Acme"}}'), F.lit('{"@type": "Store", "name": "Not this"}'))
+    heads = F.array(F.array_join(F.regexp_extract_all("html", F.lit("(?is)<h[1-3][^>]*>(.*?)</h[1-3]>"), F.lit(1)), " "))
+    bag, names = html.text_bag(html.title(F.col("html")), F.lit("Fine tools"), [heads], F.when(F.col("page_id") % 2 == 0, entity))
+    return load(spark, sf_dir, "pages").select("page_id", F.trim(F.regexp_replace(bag, " +", " ")).alias("bag"), F.array_join(names, "|").alias("names"))

@@ -15,8 +15,3 @@ class Registry:
             return f
 
         return add
-
-    def without(self, name: str, cut: str) -> str:
-        """The SQL of a query without a filter that keeps to a part of its input; the query's own SQL stays."""
-        assert cut in self.oracles[name], name
-        return self.oracles[name].replace(cut, "")

@@ -84,13 +84,8 @@ _SHARED = sql_exists(_TOK.format("query"), "x", f"length(x) >= 3 and list_contai
 _SS = f"(case when query = name then 100 else 0 end + case when contains(query, name) or contains(name, query) then 40 else 0 end + case when {sql_phrase('query', 'name')} then 22 else 0 end + case when {_SHARED} then 10 else 0 end + case when contains(query, 'repair') and contains(name, 'repair') then 3 else 0 end)"
 
 
-@query(f"with {VALUES}, n as (select p_partkey as service_id, lower(p_name) as name from part where p_partkey % 20 = 0), t as (select query, service_id, {_SS} as score from q, n), f as (select *, max(score) over (partition by query) as top, row_number() over (partition by query order by score desc, service_id) as rn from t) select query, service_id, score from f where score >= greatest(14, top - 40) and rn <= 24")
+@query(f"with {VALUES}, n as (select p_partkey as service_id, lower(p_name) as name from part), t as (select query, service_id, {_SS} as score from q, n), f as (select *, max(score) over (partition by query) as top, row_number() over (partition by query order by score desc, service_id) as rn from t) select query, service_id, score from f where score >= greatest(14, top - 40) and rn <= 24")
 def match_services_scored(spark, sf_dir):
-    return s.match_services(_queries(spark), products(spark, sf_dir).where("id % 20 = 0").select(F.col("id").alias("service_id"), F.col("normalized_name").alias("name")))
-
-
-@query(query.without("match_services_scored", " where p_partkey % 20 = 0"))
-def match_services_scored_whole(spark, sf_dir):
     return s.match_services(_queries(spark), products(spark, sf_dir).select(F.col("id").alias("service_id"), F.col("normalized_name").alias("name")))
 
 
@@ -190,13 +185,8 @@ def category_store_fallback(spark, sf_dir):
     return s.category_fallback(establishments(spark, sf_dir), ["groceries", "household"], LAT, LON, R).select("id", F.round("rank", 2).alias("rank"), "confidence")
 
 
-@query(f"{views('est')}, m as (select {hav('52.5e0', '13.4e0', 'lat', 'lon')} as m from est where id % 10 = 3), n as (select min(m) as nearest from m where m <= 15000) select round(nearest, 1) as nearest_m, least(15e0, greatest(0.5e0, ceil((nearest / 1000 + 0.2e0) / 0.5e0) * 0.5e0, 1.5e0)) as suggested_km, case when nearest is null then 'catalog_gap' else 'expand_radius' end as advice from n")
+@query(f"{views('est')}, m as (select {hav('52.5e0', '13.4e0', 'lat', 'lon')} as m from est), n as (select min(m) as nearest from m where m <= 15000) select round(nearest, 1) as nearest_m, least(15e0, greatest(0.5e0, ceil((nearest / 1000 + 0.2e0) / 0.5e0) * 0.5e0, 1.5e0)) as suggested_km, case when nearest is null then 'catalog_gap' else 'expand_radius' end as advice from n")
 def no_result_guidance(spark, sf_dir):
-    return s.no_result_guidance(establishments(spark, sf_dir).where("id % 10 = 3"), LAT, LON, 1.0).withColumn("nearest_m", F.round("nearest_m", 1))
-
-
-@query(query.without("no_result_guidance", " where id % 10 = 3"))
-def no_result_guidance_whole(spark, sf_dir):
     return s.no_result_guidance(establishments(spark, sf_dir), LAT, LON, 1.0).withColumn("nearest_m", F.round("nearest_m", 1))
 
 
@@ -230,32 +220,18 @@ def map_points(spark, sf_dir):
     return s.map_points(establishments(spark, sf_dir), k, "1", "o", 100).select("id", "lat", "lon", "n_products")
 
 
-_T2 = "t as (select p_partkey as id, lower(p_name) as term, p_size as priority from part where p_partkey % 25 = 0)"
+_T2 = "t as (select p_partkey as id, lower(p_name) as term, p_size as priority from part)"
 
 
 @query(f"with {VALUES}, {_T2}, j as (select query, term, priority, row_number() over (partition by query order by priority desc, term) as rn from q join t on query = term or (length(query) >= 4 and length(term) >= 4 and (contains(query, term) or contains(term, query)))) select query, term, priority from j where rn <= 3")
 def demand_term_mapping(spark, sf_dir):
-    t = products(spark, sf_dir).where("id % 25 = 0").select(F.col("normalized_name").alias("term"), "priority")
-    return s.theta_terms(_queries(spark), t)
-
-
-@query(query.without("demand_term_mapping", " where p_partkey % 25 = 0"))
-def demand_term_mapping_whole(spark, sf_dir):
     return s.theta_terms(_queries(spark), products(spark, sf_dir).select(F.col("normalized_name").alias("term"), "priority"))
 
 
 @query(f"with {VALUES}, {_T2} select distinct query, term from q join t on {sql_phrase('query', 'term')}")
 def fuzzy_term_join(spark, sf_dir):
-    """N16."""
-    t = products(spark, sf_dir).where("id % 25 = 0").select(F.col("normalized_name").alias("term")).distinct()
-    return _queries(spark).join(F.broadcast(t), text.fuzzy_phrase(F.col("query"), F.col("term"))).select("query", "term")
-
-
-@query(query.without("fuzzy_term_join", " where p_partkey % 25 = 0"))
-def fuzzy_term_join_whole(spark, sf_dir):
-    """N16 over all terms; the queries, not the terms, are sent to every executor."""
-    t = products(spark, sf_dir).select(F.col("normalized_name").alias("term")).distinct()
-    return t.join(F.broadcast(_queries(spark)), text.fuzzy_phrase(F.col("query"), F.col("term"))).select("query", "term")
+    """N16 over all terms."""
+    return s.fuzzy_terms(_queries(spark), products(spark, sf_dir).select(F.col("normalized_name").alias("term")).distinct())
 
 
 @query(f"{SERVING_WITH}, m as (select *, {hav('52.5e0', '13.4e0', 'lat', 'lon')} as m from srv), x as (select establishment_id, product_id, district, case when product_id % 5 = 0 then 2 else 0 end + case when contains(normalized_name, 'blue') then 2 else 0 end + least(1.2e0, cast(confidence as double)) + case when primary_source = 'merchant_added' then 1 else 0 end + greatest(0, 1 - m / 3000) as score from m), r as (select *, row_number() over (partition by district order by score desc, establishment_id, product_id) as rn from x) select district, count(*) as n, round(avg(score), 4) as mean_score, count(*) filter (where score >= 3) as hits from r where rn <= 12 group by district")
@@ -271,16 +247,114 @@ def benchmark_hit_rate(spark, sf_dir):
     return r.where("rn <= 12").groupBy("district").agg(F.count("*").alias("n"), F.round(F.avg("score"), 4).alias("mean_score"), F.count_if(F.col("score") >= 3).alias("hits"))
 
 
-_AT = ["2024-01-15 10:30:00", "2024-01-19 23:30:00", "2024-01-20 00:30:00", "2024-01-17 11:30:00", "2024-03-31 00:30:00"]
+#: Moments in UTC with what a clock in Berlin shows: day of the week (0 Monday) and minute of the day; the last is just before summer time.
+MOMENTS = [("2024-01-15 10:30:00", 0, 690), ("2024-01-19 23:30:00", 5, 30), ("2024-01-20 00:30:00", 5, 90), ("2024-01-17 11:30:00", 2, 750), ("2024-03-31 00:30:00", 6, 90), ("2024-06-21 18:30:00", 4, 1230)]
+_MOMENTS = "mo(moment, dow, m) as (values " + ", ".join(f"(timestamp '{a}', {d}, {m})" for a, d, m in MOMENTS) + ")"
+_DOW = "cast((instr('motuwethfrsasu', {0}) - 1) / 2 as integer)"
+_MIN_OF = "cast(string_split({0}, ':')[1] as integer) * 60 + cast(string_split({0}, ':')[2] as integer)"
+#: The rule for the forms of the table: rules at semicolons, days before the first time, spans after it, each past midnight if it ends before it starts.
+_HOURS = f"""{views('est')}, {_MOMENTS}, ru as (select id, trim(unnest(string_split(opening_hours, ';'))) as r from est),
+rs as (select id, lower(regexp_extract(r, '^([A-Za-z, -]*)', 1)) as days, regexp_replace(r, '^[A-Za-z, -]*', '') as spans from ru where regexp_matches(r, '[0-9]:[0-9]')),
+dd as (select id, days, spans, trim(unnest(string_split(days, ','))) as d from rs),
+de as (select id, days, spans, {_DOW.format("substr(d, 1, 2)")} as a, {_DOW.format("case when contains(d, '-') then substr(trim(string_split(d, '-')[2]), 1, 2) else substr(d, 1, 2) end")} as b from dd),
+sp as (select id, a, b, trim(unnest(string_split(spans, ','))) as s from de),
+se as (select id, a, (b - a + 7) % 7 as more, {_MIN_OF.format("string_split(s, '-')[1]")} as f, {_MIN_OF.format("string_split(s, '-')[2]")} as t from sp),
+hit as (select distinct id, moment from se, mo where case when t <= f then ((dow - a + 7) % 7 <= more and m >= f) or ((dow - 1 - a + 14) % 7 <= more and m < t) else (dow - a + 7) % 7 <= more and m >= f and m < t end),
+st as (select est.id, mo.moment, case when trim(opening_hours) = '' then 'unknown' when contains(opening_hours, '24/7') then 'open' when hit.id is not null then 'open' when regexp_matches(opening_hours, '[0-9]:[0-9]') or regexp_matches(lower(opening_hours), '\\b(off|closed)\\b') then 'closed' else 'unknown' end as status from est cross join mo left join hit on hit.id = est.id and hit.moment = mo.moment)"""
 
 
-@query()
+@query(f"{_HOURS} select id, moment, status from st")
 def opening_status_by_time(spark, sf_dir):
-    at = F.explode(F.array(*[F.lit(t).cast("timestamp") for t in _AT]))
-    return establishments(spark, sf_dir).withColumn("at", at).select("id", "at", opening_status(F.col("opening_hours"), F.col("at")).alias("status"))
+    moment = F.explode(F.array(*[F.lit(t).cast("timestamp_ntz") for t, _, _ in MOMENTS]))
+    return establishments(spark, sf_dir).withColumn("moment", moment).select("id", "moment", opening_status(F.col("opening_hours"), F.col("moment").cast("timestamp")).alias("status"))
 
 
-@query(f"{views('est')} select id, case when trim(opening_hours) = '' then 'unknown' when contains(opening_hours, '24/7') then 'open' when opening_hours = 'off' then 'closed' when id % 6 = 0 then 'open' when id % 6 = 2 then 'closed' else 'open' end as status from est")
+@query(f"{_HOURS} select id, status from st where moment = timestamp '{MOMENTS[0][0]}'")
 def opening_status_now(spark, sf_dir):
-    """D10 on a Monday at 10:30 in winter, Berlin 11:30: the weekday shop and the second morning span are open, the night one is not."""
-    return establishments(spark, sf_dir).select("id", opening_status(F.col("opening_hours"), F.lit("2024-01-15 10:30:00").cast("timestamp")).alias("status"))
+    """D10 on a Monday at 10:30 UTC in winter."""
+    return establishments(spark, sf_dir).select("id", opening_status(F.col("opening_hours"), F.lit(MOMENTS[0][0]).cast("timestamp")).alias("status"))
+
+
+@query(f"{SERVING_WITH}, m as (select *, {hav('52.5e0', '13.4e0', 'lat', 'lon')} as m from srv) select establishment_id, product_id, round(m, 1) as distance_m from m where m <= 9000 order by m.m, establishment_id, product_id limit 180")
+def nearest_first(spark, sf_dir):
+    """L9."""
+    return s.nearest(_serving(spark, sf_dir), LAT, LON, R).select("establishment_id", "product_id", F.round("distance_m", 1).alias("distance_m"))
+
+
+@query(f"{views('est')}, f as (select * from est where freshness >= 0.2 and seen_days <= 80 and app_category in ('groceries', 'household') and (name ilike '%market%' or contains(osm_category, 'o')) and enrich_days is not null and active_status <> 'inactive') select id, name, website, (select count(*) from f) as total from f order by website desc nulls last, name nulls first, id limit 40 offset 5")
+def table_scan(spark, sf_dir):
+    """S10."""
+    tests = [("freshness", "gte", 0.2), ("seen_days", "lte", 80), ("app_category", "in", ["groceries", "household"]), ("or", [("name", "ilike", "%market%"), ("osm_category", "contains", "o")]), ("enrich_days", "not_null"), ("active_status", "neq", "inactive")]
+    return s.scan(establishments(spark, sf_dir), ["id", "name", "website"], tests, [("website", True, False), ("name", False, True), ("id", False, True)], 5, 40, count=True)
+
+
+@query(f"{views('cand')} select id, establishment_id from cand where id > 2000000000 order by id limit 500")
+def keyset_batch(spark, sf_dir):
+    """S12."""
+    return s.after(candidates(spark, sf_dir), "id", 2_000_000_000, 500).select("id", "establishment_id")
+
+
+_STATUS = "case id % 3 when 0 then 'open' when 1 then 'closed' else 'unknown' end"
+
+
+def _shown(spark, sf_dir):
+    e = establishments(spark, sf_dir).selectExpr("id as establishment_id", f"{_STATUS} as status", "(id * 37) % 1000 as distance_m", "id % 11 as rank", "case when id % 4 = 0 then 'independent' else 'chain' end as ownership")
+    return e, e.where("establishment_id % 2 = 0").select("establishment_id")
+
+
+@query(f"{views('est')} select id as establishment_id from est where {_STATUS} = 'open' and id % 2 = 0 and id % 4 = 0")
+def result_filters(spark, sf_dir):
+    """F21."""
+    e, saved = _shown(spark, sf_dir)
+    return s.result_filters(e, True, saved, True).select("establishment_id")
+
+
+@query(f"{views('est')} select id as establishment_id, {_STATUS} as status from est order by case {_STATUS} when 'open' then 0 when 'unknown' then 1 else 2 end, (id * 37) % 1000, id % 11 desc, id limit 30")
+def display_order(spark, sf_dir):
+    """L6."""
+    return s.display_order(_shown(spark, sf_dir)[0], 30).select("establishment_id", "status")
+
+
+@query(f"{SERVING_WITH} select establishment_id, product_id from srv where false")
+def generic_query(spark, sf_dir):
+    """a generic query finds nothing."""
+    return s.search(_serving(spark, sf_dir), "misc", LAT, LON, R, lex=LEX).select("establishment_id", "product_id")
+
+
+@query(f"{MERGED_WITH} select establishment_id, product_id, contains(normalized_name, 'blue') and (primary_source = 'merchant_added' or mrg.validation_status = 'validated') and confidence >= 0.86 as keep from mrg join prod on prod.id = product_id")
+def service_intent_products(spark, sf_dir):
+    """F11."""
+    p = products(spark, sf_dir).select(F.col("id").alias("product_id"), "normalized_name")
+    trusted = (F.col("primary_source") == "merchant_added") | (F.col("validation_status") == "validated")
+    return merged(spark, sf_dir).join(p, "product_id").select("establishment_id", "product_id", s.keep_under_service_intent(F.col("normalized_name").contains("blue"), trusted, F.col("confidence")).alias("keep"))
+
+
+@query(f"{views('est')}, x as (select id, case when id % 3 = 0 then ['repair'] when id % 3 = 1 then ['retail'] else [] end as roles, case when id % 4 = 0 then ['phone repair'] else [] end as jobs, case when id % 5 = 0 then ['fix my phone'] else [] end as goods, id % 7 <> 0 as found from est) select id, list_has_any(roles, ['repair']) or len(jobs) > 0 as supports, found and not list_has_any(roles, ['retail']) and len(goods) = 0 as contradicts from x")
+def profile_judgement(spark, sf_dir):
+    """F16 for the query phone repair."""
+    lit = lambda *xs: F.array(*map(F.lit, xs)).cast("array<string>")
+    n = F.col("id")
+    roles = F.when(n % 3 == 0, lit("repair")).when(n % 3 == 1, lit("retail")).otherwise(lit())
+    q, jobs, goods = F.lit("phone repair"), F.when(n % 4 == 0, lit("phone repair")), F.when(n % 5 == 0, lit("phone repairs"))
+    return establishments(spark, sf_dir).select("id", s.profile_supports(jobs, roles, q, ["repair"]).alias("supports"), s.profile_contradicts(n % 7 != 0, goods, roles, q, ["retail"]).alias("contradicts"))
+
+
+@query("select item_id, array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(strip_accents(lower(text)), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda x: x <> '' and x not in ('near', 'me', 'in'))[1:4], ' ') as query from benchmark")
+def sanitized_query(spark, sf_dir):
+    """Q9."""
+    return load(spark, sf_dir, "benchmark").select("item_id", s.sanitize(F.col("text"), LEX).alias("query"))
+
+
+@query("with x as (select event_id, case event_id % 4 when 0 then 'Fix my phone' when 1 then '' when 2 then 'cake' else 'food & cake' end as q from events) select event_id, case event_id % 4 when 0 then 'repair|battery|food|cake' when 1 then 'food|cake|light' when 2 then 'food|light|tools' else 'bread|milk|food|cake' end as terms from x")
+def related_terms(spark, sf_dir):
+    """T14."""
+    q = F.expr("case event_id % 4 when 0 then 'Fix my phone' when 1 then '' when 2 then 'cake' else 'food & cake' end")
+    r = text.related_terms(q, [("phone", ["repair", "battery"]), ("food", ["bread", "milk"])], ["food", "cake", "light", "tools"])
+    return load(spark, sf_dir, "events").select("event_id", F.array_join(r, "|").alias("terms"))
+
+
+@query("select user_id, case when p > 0 and s > 0 then 'products_plus_services' when p > 0 then 'products_only' else 'services_fallback_only' end as mode from (select user_id, count(*) filter (where event_type = 'purchase') as p, count(*) filter (where event_type = 'click') as s from events group by 1)")
+def result_modes(spark, sf_dir):
+    """P3."""
+    n = lambda t: F.count_if(F.col("event_type") == t)
+    return load(spark, sf_dir, "events").groupBy("user_id").agg(n("purchase").alias("p"), n("click").alias("s")).select("user_id", scores.result_mode(F.col("p"), F.col("s")).alias("mode"))

@@ -24,7 +24,7 @@ from vicinia.llm.common import remainder, words_of
 SAMPLE = 8_000
 #: Of the harmless windows of those rows an epoch trains on the highest of so many texts and on SPREAD others for each text, and looks
 #: anew at the scores of so many. None takes all of them. They bound the work of the task that trains; scoring has no bounds.
-HARMLESS, SPREAD, RESCORED = 6_000, 0.25, 6_000
+HARMLESS, SPREAD, RESCORED = 4_000, 0.25, 6_000
 #: Windows of one training step.
 STEP = 64
 WINDOW, STRIDE = 48, 32

@@ -51,14 +51,15 @@ def filter_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     A capture is blocked if an add entry of a block list is in force for one of its keys at fetch time and no allow list (a list named
     allow...) holds one as well. Null or unparsable URLs and null fetch times match nothing and are kept. Repeated rows count
     each for themselves. No entries block nothing."""
-    rows = captures.select("page_id", "url", "fetched_at").withColumn("row", F.xxhash64("page_id", "url", "fetched_at"))
+    # 128 bits stand for a row on its way through the join: captures by the ten billion don't meet in them.
+    rows = captures.select("page_id", "url", "fetched_at").withColumn("row", F.xxhash64("page_id", "url", "fetched_at")).withColumn("row2", F.xxhash64(F.lit(2), "fetched_at", "url", "page_id"))
     active = intervals(entries).where("action = 'add'").groupBy("key").agg(F.collect_list(F.struct("list", "valid_from", "valid_to")).alias("spans"))
     salted = active.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALT)))))
-    asked = rows.select("row", "fetched_at", F.explode(F.array_distinct(lookup_keys(F.col("url")))).alias("key")).where("fetched_at is not null").distinct().withColumn("salt", F.pmod("row", F.lit(SALT)).cast("int"))
+    asked = rows.select("row", "row2", "fetched_at", F.explode(F.array_distinct(lookup_keys(F.col("url")))).alias("key")).where("fetched_at is not null").distinct().withColumn("salt", F.pmod("row", F.lit(SALT)).cast("int"))
     valid = F.filter("spans", lambda s: (s["valid_from"] <= F.col("fetched_at")) & (s["valid_to"].isNull() | (F.col("fetched_at") < s["valid_to"])))
-    hits = asked.join(salted, ["key", "salt"]).select("row", F.explode(valid).alias("s")).select("row", F.col("s.list").alias("list"))
-    per = hits.groupBy("row").agg(F.array_sort(F.collect_set("list")).alias("lists"), F.count("*").alias("n"))
-    out = rows.join(per, "row", "left")
+    hits = asked.join(salted, ["key", "salt"]).select("row", "row2", F.explode(valid).alias("s")).select("row", "row2", F.col("s.list").alias("list"))
+    per = hits.groupBy("row", "row2").agg(F.array_sort(F.collect_set("list")).alias("lists"), F.count("*").alias("n"))
+    out = rows.join(per, ["row", "row2"], "left")
     lists = F.coalesce("lists", F.array().cast("array<string>"))
     allowed, listed = F.exists(lists, lambda x: x.startswith("allow")), F.exists(lists, lambda x: ~x.startswith("allow"))
     return out.select("page_id", "fetched_at", (listed & ~allowed).alias("blocked"), F.array_join(lists, ",").alias("lists"), F.coalesce("n", F.lit(0)).cast("long").alias("n_matches"))

@@ -10,6 +10,7 @@ from vicinia.operators import search as s
 from vicinia.plans.merging import _SR, _ST, MERGED_WITH, merged
 from vicinia.plans.registry import Registry
 from vicinia.plans.text_geo import _FUZ, _TOK, hav, sql_exists, sql_phrase
+from vicinia.sources.scratch import built
 from vicinia.sources.tables import candidates, establishments, load, products, views
 
 query = Registry()
@@ -101,19 +102,24 @@ def vocab_lint(spark, sf_dir):
 SERVING_WITH = f"{MERGED_WITH}, srv as (select mrg.*, est.name, district, lat, lon, osm_category, app_category, freshness as est_freshness, opening_hours, website, normalized_name, product_group, priority from mrg join est on est.id = establishment_id join prod on prod.id = product_id where validation_status <> 'rejected' and active_status in ('active', 'temporarily_closed') and not closed_candidate and duplicate_of is null)"
 
 
-def _serving(spark, sf_dir):
+def _made(spark, sf_dir):
     return s.serving(merged(spark, sf_dir), establishments(spark, sf_dir), products(spark, sf_dir))
 
 
+def _serving(spark, sf_dir):
+    """The serving dataset as searches read it: a table sorted by place that is written once, so a box or a store reaches the scan."""
+    return built(spark, "serving", sf_dir, lambda: _made(spark, sf_dir), s.write_serving)
+
+
 @query(f"{SERVING_WITH} select establishment_id, product_id, district, normalized_name, product_group, confidence, validation_status from srv")
 def serving_dataset(spark, sf_dir):
-    return _serving(spark, sf_dir).select("establishment_id", "product_id", "district", "normalized_name", "product_group", "confidence", "validation_status")
+    return _made(spark, sf_dir).select("establishment_id", "product_id", "district", "normalized_name", "product_group", "confidence", "validation_status")
 
 
 @query(f"{SERVING_WITH} select (select count(*) from cand) as candidates, (select count(*) from mrg) as merged, (select count(*) from srv) as serving, (select count(distinct establishment_id) from srv) as stores, (select count(*) from est where website is not null) as with_website")
 def serving_counts(spark, sf_dir):
     """G-A19."""
-    v = _serving(spark, sf_dir).agg(F.count("*").alias("serving"), F.countDistinct("establishment_id").alias("stores"))
+    v = _made(spark, sf_dir).agg(F.count("*").alias("serving"), F.countDistinct("establishment_id").alias("stores"))
     c = candidates(spark, sf_dir).agg(F.count("*").alias("candidates"))
     g = merged(spark, sf_dir).agg(F.count("*").alias("merged"))
     w = establishments(spark, sf_dir).agg(F.count("website").alias("with_website"))

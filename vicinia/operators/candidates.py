@@ -46,7 +46,7 @@ def rule_candidates(establishments: DataFrame, rules: DataFrame, products: DataF
     e = establishments.select(F.col("id").alias("establishment_id"), F.explode(F.array_distinct("app_categories")).alias("app_category"))
     by_group = products.select(F.col("id").alias("product_id"), "product_group")
     both = by_group.union(facets.select("product_id", F.col("facet").alias("product_group"))).distinct() if facets is not None else by_group
-    offers = F.broadcast(rules).join(both, "product_group")
+    offers = rules.join(both, "product_group")
     boost = F.when(F.col("app_category").isin("supermarket", "pharmacy"), F.lit("0.04")).otherwise(F.lit("0")).cast("decimal(5,4)")
     c = e.join(offers, "app_category").withColumn("confidence", F.least(F.lit("0.99").cast("decimal(5,4)"), F.col("base_confidence") + boost).cast("decimal(5,4)"))
     best = c.groupBy("establishment_id", "product_id").agg(F.max_by(F.struct("app_category", "product_group", "confidence"), F.struct("confidence", F.col("app_category"))).alias("b"))
@@ -59,7 +59,10 @@ def service_candidates(establishments: DataFrame, hints: DataFrame, most: int =
     """Services by hints (kind in name/category, hint, slug, confidence); groceries give none; the best few of each place."""
     name = text.normalize(F.col("name"))
     h = hints.withColumnRenamed("confidence", "hint_confidence")
-    j = establishments.where("app_category <> 'groceries'").join(F.broadcast(h), ((F.col("kind") == "name") & name.contains(F.col("hint"))) | ((F.col("kind") == "category") & (F.col("osm_category") == F.col("hint"))))
+    e = establishments.where("app_category <> 'groceries'")
+    # Hints by category meet by key; those by name are parts of it, a list that each task gets.
+    by_category = e.join(h.where("kind = 'category'"), F.col("osm_category") == F.col("hint"))
+    j = by_category.unionByName(e.join(h.where("kind = 'name'"), name.contains(F.col("hint"))))
     best = j.groupBy(F.col("id").alias("establishment_id"), "slug").agg(F.max("hint_confidence").alias("confidence"))
     return best.withColumn("rn", F.row_number().over(Window.partitionBy("establishment_id").orderBy(F.col("confidence").desc(), "slug"))).where(F.col("rn") <= most).drop("rn")
 
@@ -75,7 +78,7 @@ def website_candidates(pages: DataFrame, products: DataFrame, weights: DataFrame
     padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
     has = lambda c: padded(F.col("bag")).contains(padded(F.col(c)))
     j = words.join(keys, "w").where(has("name") | F.coalesce(has("synonym"), F.lit(False))).drop("w").distinct()
-    j = j.join(F.broadcast(weights), ["category", "product_group"], "left")
+    j = j.join(weights, ["category", "product_group"], "left")
     raw = F.when(has("name"), 0.38).otherwise(0.0) + F.when(F.coalesce(has("synonym"), F.lit(False)), 0.27).otherwise(0.0) + F.when(schema if schema is not None else F.lit(False), 0.34).otherwise(0.0) + 0.22 * F.coalesce("weight", F.lit(0.0))
     return j.withColumn("confidence", F.round(raw, 4)).where(F.col("confidence") >= 0.46).select("page_id", "product_id", F.least(F.col("confidence"), F.lit(0.94)).alias("confidence"))
 

@@ -129,7 +129,7 @@ def valid_results(rows: DataFrame) -> DataFrame:
 
 def seed_pairs(est: DataFrame, products: DataFrame, rules: DataFrame) -> DataFrame:
     """Pairs by a rule table (category, kind in group/name, value, confidence); the best rule of each pair."""
-    r = F.broadcast(rules)
+    r = rules
     by_group = products.join(r.where("kind = 'group'"), F.col("product_group") == F.col("value"))
     by_name = products.join(r.where("kind = 'name'"), F.col("normalized_name") == F.col("value"))
     offers = by_group.unionByName(by_name).select(F.col("id").alias("product_id"), "category", "confidence")

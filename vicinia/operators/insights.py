@@ -176,16 +176,21 @@ def valid_events(searches: DataFrame) -> DataFrame:
 
 
 def fixed_window_limit(events: DataFrame, key: str, at: str, seconds: int = 60, most: int = 120) -> DataFrame:
-    """R1 in batch: windows open at a key's first event and last `seconds`; events beyond `most` in a window are not allowed. Each key's events fold
-    in time order, on the JVM; a key's own history is one array."""
-    e = events.select("event_id", key, F.unix_micros(F.col(at).cast("timestamp")).alias("us"))
-    sorted_ = F.array_sort(F.collect_list(F.struct("us", "event_id")))
-    start = F.struct(F.lit(None).cast("long").alias("open"), F.lit(0).alias("n"), F.array().cast("array<struct<event_id:bigint,n:int>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        fresh = s["open"].isNull() | (x["us"] >= s["open"] + seconds * 1_000_000)
-        n = F.when(fresh, 1).otherwise(s["n"] + 1)
-        return F.struct(F.when(fresh, x["us"]).otherwise(s["open"]).alias("open"), n.alias("n"), F.concat(s["out"], F.array(F.struct(x["event_id"].alias("event_id"), n.alias("n")))).alias("out"))
+    """R1 in batch: windows open at a key's first event and last `seconds`; events beyond `most` in a window are not allowed.
 
-    folded = e.groupBy(key).agg(sorted_.alias("xs")).select(key, F.explode(F.aggregate("xs", start, step)["out"]).alias("o"))
-    return folded.select(F.col("o.event_id").alias("event_id"), key, F.col("o.n").alias("n_in_window"), (F.col("o.n") <= most).alias("allowed"))
+    A key's times fold, in order, into the times at which its windows open; that array of numbers is all that meets in one row. Events then find
+    their window and place in it by windows over the key and over the opening."""
+    e = events.select("event_id", key, F.unix_micros(F.col(at).cast("timestamp")).alias("us"))
+    start = F.struct(F.lit(None).cast("long").alias("open"), F.array().cast("array<bigint>").alias("out"))
+
+    def step(s: Column, us: Column) -> Column:
+        fresh = s["open"].isNull() | (us >= s["open"] + seconds * 1_000_000)
+        return F.when(fresh, F.struct(us.alias("open"), F.concat(s["out"], F.array(us)).alias("out"))).otherwise(s)
+
+    times = e.groupBy(key).agg(F.array_sort(F.collect_set("us")).alias("xs"))
+    opens = times.select(key, F.explode(F.aggregate("xs", start, step)["out"]).alias("us")).select(F.lit(None).cast(e.schema["event_id"].dataType).alias("event_id"), key, "us", F.col("us").alias("open"))
+    both = e.withColumn("open", F.lit(None).cast("long")).unionByName(opens)
+    order = Window.partitionBy(key).orderBy("us", F.col("open").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    placed = both.withColumn("opened", F.last("open", True).over(order)).where("open is null")
+    n = F.row_number().over(Window.partitionBy(key, "opened").orderBy("us", "event_id"))
+    return placed.select("event_id", key, n.alias("n_in_window")).withColumn("allowed", F.col("n_in_window") <= most)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # Weights by which the primary source of a merged pair is chosen.
 MERGE_WEIGHT = {"merchant_added": 6, "user_validated": 5, "validated": 5, "website_extracted": 4, "imported": 3, "rules_generated": 2, "ai_generated": 1}
+#: Rows of the largest result list that greedy_two_key() takes.
+MOST_RESULTS = 100_000
 SERVICE_PRIORITY = {"merchant_added": 6, "user_validated": 5, "website_extracted": 4, "imported": 3, "rules_generated": 2, "ai_generated": 1}
 
 
@@ -88,10 +90,13 @@ def dedupe_ranked(rows: DataFrame) -> DataFrame:
 def greedy_two_key(rows: DataFrame, order: list[str], key1: str, key2: str) -> DataFrame:
     """W10, general: in rank order a row stays if neither of its keys has been seen on a row that stayed.
 
-    For keys that are not functions of each other. Works on one partition per connected group of keys, so call it on a ranked,
-    limited result."""
+    For keys that are not functions of each other. Each row's fate hangs on all before it, so this is for a ranked result list: one
+    task gets it, and more than MOST_RESULTS rows are refused."""
     import pandas as pd
 
+    if rows.limit(MOST_RESULTS + 1).count() > MOST_RESULTS:
+        raise ValueError(f"a result list of at most {MOST_RESULTS} rows is wanted")
+
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b, out = set(), set(), []
         for i, x, y in zip(pdf.index, pdf[key1], pdf[key2], strict=True):
@@ -197,7 +202,7 @@ def prune_nonserving(cands: DataFrame, merged: DataFrame, scope: Column | None =
 
 def category_mismatch(cands: DataFrame, rules: DataFrame) -> DataFrame:
     """K5: candidates that a rule (osm_category, product_group) forbids, rejected; repeated matches count once."""
-    return cands.where("validation_status not in ('validated', 'rejected')").join(F.broadcast(rules.distinct()), ["osm_category", "product_group"], "left_semi").withColumn("validation_status", F.lit("rejected"))
+    return cands.where("validation_status not in ('validated', 'rejected')").join(rules.distinct(), ["osm_category", "product_group"], "left_semi").withColumn("validation_status", F.lit("rejected"))
 
 
 def relabel_legacy(cands: DataFrame, method: str) -> DataFrame:

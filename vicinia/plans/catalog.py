@@ -114,15 +114,17 @@ def seeded_sample(spark, sf_dir):
 
 @query("select cast(ts as date) as day, count(*) as n, count(*) filter (where event_type = 'error') as failed from events group by 1")
 def daily_window_stream(spark, sf_dir):
-    """R3 as a stream over the folder's events, run until nothing is left; complete output into a memory table."""
+    """R3 as a stream over the folder's events, run until nothing is left; each batch writes the complete days anew."""
+    from vicinia.sources import scratch
     from vicinia.streaming import events as st
 
     batch = load(spark, sf_dir, "events")
     src = spark.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "false").parquet(sf_dir)
     e = src.select(F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type") == "error", 0).otherwise(1).alias("results"))
-    q = st.daily(e, "ts").writeStream.format("memory").queryName("daily_window").outputMode("complete").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table("daily_window")
+    root = scratch.new(spark, "daily-window")
+    days = st.daily(e, "ts").writeStream.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{root}/days"))
+    days.option("checkpointLocation", f"{root}/state").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{root}/days")
 
 
 @query("select p_partkey as product_id, p_name as alias from part where not (p_partkey % 5 = 0 or p_partkey % 3 = 0)")

@@ -20,14 +20,21 @@ def folder(spark: SparkSession) -> str | None:
     return root.rstrip("/") if root else None
 
 
+def new(spark: SparkSession, name: str) -> str:
+    """A path of its own in that folder; on a cluster spark.checkpoint.dir has to name one."""
+    root = folder(spark)
+    if root is None:
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
 def built(spark: SparkSession, name: str, source: str, make: Callable[[], DataFrame], write: Callable[[DataFrame, str], None]) -> DataFrame:
     """The table `name` over a source folder, written at its first use in an application; worked out anew each time where there is no folder for it."""
     key = (spark.sparkContext.applicationId, name, source)
     if key not in _BUILT:
-        root = folder(spark)
-        if root is None:
+        if folder(spark) is None:
             return make()
-        path = f"{root}/{name}-{uuid.uuid4().hex}"
+        path = new(spark, name)
         write(make(), path)
         _BUILT[key] = path
     return spark.read.parquet(_BUILT[key])

@@ -420,6 +420,38 @@ def test_mix_odd_rows(odd, none):
     assert mixing.mix(none).count() == 0
 
 
+def test_mix_draws_blocks_as_plain_loops_do(spark):
+    def plain(blocks, rest, tries=16):
+        found = []
+        for r in range(tries):
+            at = int(len(blocks) * r / tries)
+            total, out = 0, []
+            for b, size in blocks[at:] + blocks[:at]:
+                if total + size <= rest:
+                    total, out = total + size, [*out, b]
+            left = rest - total
+            near = min(((abs(left - size), b) for b, size in blocks if b not in out), default=(left, None))
+            found.append((near[0], r, [*out, near[1]]) if near[0] < left else (left, r, out))
+        return min(found)[2]
+
+    r = random.Random(5)
+    cases = []
+    for i in range(40):
+        blocks = [(b, r.randint(1, 60)) for b in sorted(r.sample(range(200), r.randint(1, 40)))]
+        cases.append((i, blocks, r.uniform(0, sum(s for _, s in blocks))))
+    df = spark.createDataFrame([(i, b, x) for i, b, x in cases], "i int, list array<struct<block:int,bsize:bigint>>, rest double")
+    got = {x.i: x.out for x in df.select("i", mixing.drawn_blocks(F.col("list"), F.col("rest")).alias("out")).collect()}
+    assert got == {i: plain(b, x) for i, b, x in cases}
+
+
+def test_splitting_tree_draws_like_a_shuffled_deck(spark):
+    """A left half's share of a source over many seeds: mean and spread of a hypergeometric draw."""
+    n, k = 60, 24
+    left = [sum(x.blocks for x in mixing.splitting_tree(spark.createDataFrame([("a", k), ("b", n - k)], "sk string, blocks long"), 2, seed).where("sk = 'a' and shard = 0").collect()) for seed in range(16)]
+    mean, var = k / 2, k * (n - k) * (n / 2) * (n / 2) / (n * n * (n - 1))
+    assert abs(np.mean(left) - mean) < 4 * np.sqrt(var / 16) and 0.25 * var < np.var(left) < 2.5 * var
+
+
 def test_splitting_tree_keeps_quotas(spark):
     q = spark.createDataFrame([("a", 100), ("b", 37), ("c", 1)], "sk string, blocks long")
     rows = mixing.splitting_tree(q, 8, 1).collect()

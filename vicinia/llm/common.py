@@ -19,6 +19,18 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_IDS = 1_000_000
 
 
+#: Texts that go to a Python worker at a time; Spark's own number of rows makes batches of 60 MB of long texts, several times over in a task.
+TEXTS_A_BATCH = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have the session send rows to Python workers in batches of at most TEXTS_A_BATCH; a smaller number that is set stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if not 0 < now <= TEXTS_A_BATCH:
+        spark.conf.set(name, str(TEXTS_A_BATCH))
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

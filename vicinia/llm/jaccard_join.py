@@ -24,15 +24,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vicinia.llm.common import BROADCAST_IDS, discard, materialize, partitions_for, remove, words_of
+from vicinia.llm.common import BROADCAST_IDS, discard, materialize, partitions_for, remove, small_batches, words_of
 from vicinia.llm.components import connected_components
 
 #: Shingles that a task holds before it passes on what it has: bounds its memory, not the input.
-CHUNK = 3_000_000
+CHUNK = 2_000_000
 #: Columns whose counts are sent to all tasks to order the rest: 12 bytes each. Others count as rare, which costs time only.
 HOT_COLUMNS = 400_000
 #: Words whose hashes a worker keeps.
-CACHE = 400_000
+CACHE = 200_000
 #: A column that recurs more often is dealt into parts of about so many rows, so none has to fit in a task.
 SPLIT = 200_000
 #: Rows and shingles of a block of a cell, and rows of a cell of several blocks that all its blocks get.
@@ -374,6 +374,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, similarity_percent: int = 80
     has its own n_shingles and the document has the links of all its texts. A null doc_id is no node; its row gets the
     component of documents with its words, else null. An empty table gives an empty result. Texts of any length are used whole."""
     spark, t = docs.sparkSession, similarity_percent
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     survey = materialize(docs.mapInArrow(_survey(n), "kind int, id long, size long, k1 long, k2 long"), "survey")
     every = survey.where("kind = 0").select(F.col("id").alias("doc_id"), "size", "k1", "k2")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vicinia.llm.common import remainder, words_of
+from vicinia.llm.common import remainder, small_batches, words_of
 
 #: Labelled rows that training may use at most, by hash of doc_id.
 SAMPLE = 8_000
@@ -382,6 +382,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: i
     labels needs doc_id and toxic; where a doc_id is labelled both ways it counts as toxic, labels outside 0 and 1 are void. Without
     labels of both kinds each text gets the base rate. An empty table gives no rows. No column but text enters a score."""
     spark = docs.sparkSession
+    small_batches(spark)
     net_bc = spark.sparkContext.broadcast(trained(docs, labels, sample, epochs))
     docs = docs.drop("held_out", "score", "predicted")
     schema = docs.schema

@@ -72,15 +72,20 @@ def website_candidates(pages: DataFrame, products: DataFrame, weights: DataFrame
 
     pages: (page_id, bag, category), bag normalized. A product can only reach the threshold if its name or synonym stands in the bag, or
     its schema names it, so pages meet products by shared first words (an equi-join) and the containment is checked after that."""
-    words = pages.select("page_id", "bag", "category", F.explode(F.array_distinct(text.tokens(F.col("bag")))).alias("w"))
+    # Products of the same name, synonym and group have the same fate on a page, so those meet the pages; a page's bag joins its pairs once.
+    words = pages.select("page_id", F.explode(F.array_distinct(text.tokens(F.col("bag")))).alias("w"))
     named = products.where(~F.col("name").isin(generic) & (F.length("name") > 0))
-    keys = named.select("product_id", "product_group", "name", "synonym", F.explode(F.array_distinct(F.array_compact(F.array(F.element_at(text.tokens(F.col("name")), 1), F.try_element_at(text.tokens(F.coalesce("synonym", F.lit(""))), F.lit(1)))))).alias("w"))
+    kinds = named.select("product_group", "name", "synonym").distinct()
+    keys = kinds.select("*", F.explode(F.array_distinct(F.array_compact(F.array(F.element_at(text.tokens(F.col("name")), 1), F.try_element_at(text.tokens(F.coalesce("synonym", F.lit(""))), F.lit(1)))))).alias("w"))
     padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
-    has = lambda c: padded(F.col("bag")).contains(padded(F.col(c)))
-    j = words.join(keys, "w").where(has("name") | F.coalesce(has("synonym"), F.lit(False))).drop("w").distinct()
+    has = lambda c: F.coalesce(padded(F.col("bag")).contains(padded(F.col(c))), F.lit(False))
+    j = words.join(keys, "w").drop("w").distinct().join(pages.select("page_id", "bag", "category"), "page_id").where(has("name") | has("synonym"))
     j = j.join(weights, ["category", "product_group"], "left")
-    raw = F.when(has("name"), 0.38).otherwise(0.0) + F.when(F.coalesce(has("synonym"), F.lit(False)), 0.27).otherwise(0.0) + F.when(schema if schema is not None else F.lit(False), 0.34).otherwise(0.0) + 0.22 * F.coalesce("weight", F.lit(0.0))
-    return j.withColumn("confidence", F.round(raw, 4)).where(F.col("confidence") >= 0.46).select("page_id", "product_id", F.least(F.col("confidence"), F.lit(0.94)).alias("confidence"))
+    raw = F.when(has("name"), 0.38).otherwise(0.0) + F.when(has("synonym"), 0.27).otherwise(0.0) + F.when(schema if schema is not None else F.lit(False), 0.34).otherwise(0.0) + 0.22 * F.coalesce("weight", F.lit(0.0))
+    found = j.withColumn("confidence", F.round(raw, 4)).where(F.col("confidence") >= 0.46).select("page_id", "product_group", "name", "synonym", F.least(F.col("confidence"), F.lit(0.94)).alias("confidence"))
+    f, p = found.alias("f"), named.select("product_id", "product_group", "name", "synonym").alias("p")
+    same = (F.col("f.product_group") == F.col("p.product_group")) & (F.col("f.name") == F.col("p.name")) & F.col("f.synonym").eqNullSafe(F.col("p.synonym"))
+    return f.join(p, same).select("f.page_id", "p.product_id", "f.confidence")
 
 
 def heuristic_candidates(establishments: DataFrame, weights: DataFrame, products: DataFrame, most: int, essentials: list[str]) -> DataFrame:

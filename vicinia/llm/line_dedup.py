@@ -247,5 +247,6 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
         return F.struct(F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size(stay)).cast("long").alias("n_dropped"), F.array_join(F.transform(stay, lambda i: lines[i]), "\n").alias("text"))
 
     whole = F.struct(F.size(lines_of(text)).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"), F.coalesce(text, F.lit("")).alias("text"))
-    done = texts.join(gone, ["doc", "version"], "left").select("doc_id", F.when(F.col("gone").isNull(), whole).otherwise(let(lines_of(text), kept)).alias("r"))
+    # Texts are dealt by document at every size; the small side is hashed, so texts are not sorted.
+    done = texts.join(gone.hint("shuffle_hash"), ["doc", "version"], "left").select("doc_id", F.when(F.col("gone").isNull(), whole).otherwise(let(lines_of(text), kept)).alias("r"))
     return done.select("doc_id", "r.text", "r.n_lines", "r.n_dropped")

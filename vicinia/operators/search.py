@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vicinia.functions import geo, scores, text
+from vicinia.operators.matching import mutual_containments, near_phrases
 from vicinia.operators.merging import dedupe_ranked
 
 # Limits of retrieval and of result lists, default radius and its range.
@@ -89,47 +90,38 @@ def candidate_groups(queries: DataFrame, index: DataFrame) -> DataFrame:
 def infer_groups(queries: DataFrame, vocabulary: DataFrame, broad: list[str], most: int = 4) -> DataFrame:
     """Q3: (query, group, score): best term score and a bonus for further matches in the candidate groups, or in all if none scores;
     kept from max(2, top - 3) on, one for a single short word."""
-    scope = candidate_groups(queries, vocabulary_index(vocabulary))
-
-    def best(pairs: DataFrame) -> DataFrame:
-        s = text.term_score(F.col("query"), F.col("term"), F.col("term").isin(broad))
-        return pairs.withColumn("s", s).where("s > 0").groupBy("query", "group").agg((F.max("s") + F.least(F.count("*") - 1, F.lit(2))).alias("score"))
-
-    scoped = best(scope.join(vocabulary, "group"))
-    rest = queries.join(scoped.select("query").distinct(), "query", "left_anti").select("query")
-    found = scoped.unionByName(best(vocabulary.join(_checked_broadcast(rest), F.length("term") > 0)))
+    # A score is above 0 just where texts are near, so the near ones are found once, and the candidate groups only choose among them.
+    q = queries.select("query").distinct()
+    scope = candidate_groups(q, vocabulary_index(vocabulary)).withColumn("scoped", F.lit(True))
+    hits = near_phrases(q, vocabulary.select("term")).join(vocabulary, "term").withColumn("s", text.term_score(F.col("query"), F.col("term"), F.col("term").isin(broad)))
+    scored = hits.groupBy("query", "group").agg((F.max("s") + F.least(F.count("*") - 1, F.lit(2))).alias("score")).join(scope, ["query", "group"], "left")
+    found = scored.withColumn("any", F.max("scoped").over(Window.partitionBy("query"))).where("scoped or any is null")
     w = Window.partitionBy("query")
     short = (F.size(text.tokens(F.col("query"))) == 1) & (F.length("query") < 5)
     r = found.withColumn("top", F.max("score").over(w)).withColumn("rn", F.row_number().over(w.orderBy(F.col("score").desc(), "group")))
     return r.where((F.col("score") >= F.greatest(F.lit(2), F.col("top") - 3)) & (F.col("rn") <= F.when(short, 1).otherwise(most))).select("query", "group", F.col("score").cast("int").alias("score"))
 
 
-#: Queries that are matched against a whole catalogue at once; they are the side that every task gets.
-MOST_QUERIES = 20_000
-
-
-def _checked_broadcast(queries: DataFrame) -> DataFrame:
-    """The queries for a scan of the catalogue: sent to every task, once counted. More than MOST_QUERIES have to come in parts."""
-    n = queries.limit(MOST_QUERIES + 1).count()
-    if n > MOST_QUERIES:
-        raise ValueError(f"match at most {MOST_QUERIES} queries at a time")
-    return F.broadcast(queries)
-
-
 def match_products(queries: DataFrame, names: DataFrame) -> DataFrame:
     """Q4: (query, product_id, tier): products of the first tier that has any: 1 equal, 2 mutual containment, 3 near words. names: (product_id, name)."""
     q, n = F.col("query"), F.col("name")
-    tier = F.when(q == n, 1).when(text.contain_each_other(q, n), 2).when(text.fuzzy_phrase(q, n), 3)
-    per = names.join(_checked_broadcast(queries), F.length("name") > 0).withColumn("tier", tier).where("tier is not null").groupBy("query", "product_id").agg(F.min("tier").alias("tier"))
-    return per.withColumn("first", F.min("tier").over(Window.partitionBy("query"))).where("tier = first").drop("first")
+    named = names.where(F.length("name") > 0)
+    pairs = near_phrases(queries, named.select(n.alias("term"))).withColumnRenamed("term", "name")
+    per = pairs.withColumn("tier", F.when(q == n, 1).when(text.contain_each_other(q, n), 2).otherwise(3))
+    first = per.withColumn("first", F.min("tier").over(Window.partitionBy("query"))).where("tier = first")
+    return first.join(named, "name").groupBy("query", "product_id").agg(F.min("tier").alias("tier"))
 
 
 def match_services(queries: DataFrame, names: DataFrame, most: int = 24) -> DataFrame:
-    """Q5: (query, service_id, score): 100 equal, 40 containment, 22 near, 10 a word of 3 shared, 3 both about repair; kept from max(14, top - 40) on."""
+    """Q5: (query, service_id, score): 100 equal, 40 containment, 22 near, 10 a word of 3 shared, 3 both about repair; kept from max(14, top - 40) on.
+
+    Without one of the first three a score is 13 at most, so only what meets by them is scored."""
     q, n = F.col("query"), F.col("name")
     shared = F.exists(text.tokens(q), lambda x: (F.length(x) >= 3) & F.array_contains(text.tokens(n), x))
     s = F.when(q == n, 100).otherwise(0) + F.when(text.contain_each_other(q, n), 40).otherwise(0) + F.when(text.fuzzy_phrase(q, n), 22).otherwise(0) + F.when(shared, 10).otherwise(0) + F.when(q.contains("repair") & n.contains("repair"), 3).otherwise(0)
-    per = names.join(_checked_broadcast(queries), F.length("name") > 0).withColumn("s", s).groupBy("query", "service_id").agg(F.max("s").alias("score"))
+    named = names.where(F.length("name") > 0)
+    scored = near_phrases(queries, named.select(n.alias("term"))).withColumnRenamed("term", "name").withColumn("s", s)
+    per = scored.join(named, "name").groupBy("query", "service_id").agg(F.max("s").alias("score"))
     w = Window.partitionBy("query")
     r = per.withColumn("top", F.max("score").over(w)).withColumn("rn", F.row_number().over(w.orderBy(F.col("score").desc(), "service_id")))
     return r.where((F.col("score") >= F.greatest(F.lit(14), F.col("top") - 40)) & (F.col("rn") <= most)).select("query", "service_id", "score")
@@ -138,14 +130,14 @@ def match_services(queries: DataFrame, names: DataFrame, most: int = 24) -> Data
 def theta_terms(queries: DataFrame, terms: DataFrame, most: int = 3) -> DataFrame:
     """(query, term, priority): equal, or both of 4 letters and one holds the other; the best few by priority."""
     q, t = F.col("query"), F.col("term")
-    hit = (q == t) | ((F.length(q) >= 4) & (F.length(t) >= 4) & text.contain_each_other(q, t))
-    j = terms.join(_checked_broadcast(queries), hit)
+    hit = (q == t) | ((F.length(q) >= 4) & (F.length(t) >= 4))
+    j = mutual_containments(queries, terms).where(hit).join(terms.select("term", "priority"), "term")
     return j.withColumn("rn", F.row_number().over(Window.partitionBy("query").orderBy(F.col("priority").desc(), "term"))).where(F.col("rn") <= most).select("query", "term", "priority")
 
 
 def fuzzy_terms(queries: DataFrame, terms: DataFrame) -> DataFrame:
-    """(query, term) of near words; the terms are scanned, the queries sent along."""
-    return terms.join(_checked_broadcast(queries), text.fuzzy_phrase(F.col("query"), F.col("term"))).select("query", "term")
+    """(query, term) of near words."""
+    return near_phrases(queries, terms)
 
 
 def fallback_guard(specific: Column, strong: Column, service_only: Column, chain: Column, trusted: Column, strategy: Column, rejected: Column, fit: Column, confidence: Column, strict_group: Column, token: Column) -> Column:

@@ -177,11 +177,11 @@ def profile_contradicts(found: Column, products: Column, roles: Column, query: C
 
 
 def best_profiles(profiles: DataFrame) -> DataFrame:
-    """Of each store's profiles the best by validation, then by confidence in hundredths; the newest of equals."""
+    """Of each store's profiles the best by validation, then by confidence in hundredths; the newest of equals, and of those the last store type."""
     status = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in PROFILE_RANK.items() for x in kv]), F.coalesce("validation_status", F.lit(""))), F.lit(1))
     score = status * 1000 + F.floor(F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)) * 100 + 0.5)
     row = F.struct("store_type", "roles", "likely_products", "likely_services", F.col("confidence").cast("double").alias("role_confidence"))
-    return profiles.groupBy("establishment_id").agg(F.max_by(row, F.struct(score.alias("s"), F.col("updated_at").alias("u"))).alias("profile"))
+    return profiles.groupBy("establishment_id").agg(F.max_by(row, F.struct(score.alias("s"), F.col("updated_at").alias("u"), F.col("store_type").alias("t"))).alias("profile"))
 
 
 def with_profiles(rows: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -202,7 +202,7 @@ class Plausibility:
     product_roles: list[str] = field(default_factory=list)
 
 
-def plausible(rows: DataFrame, query: str, lex: Lexicon, rules: Plausibility) -> DataFrame:
+def plausible(rows: DataFrame, query: str | Column, lex: Lexicon, rules: Plausibility) -> DataFrame:
     """F13 over rows with strategy and profile: service intent needs support, text or validation; service-only places and
     group finds are guarded (F12); near names then stay; a profile may contradict all but canonical finds; the rest needs its source's confidence."""
     c, q = F.col, F.lit(query)
@@ -265,7 +265,7 @@ def cascade(rows: DataFrame, intents: list[str], product_ids: list[int], groups:
     return tagged if n < FEW else strong
 
 
-def rank_products(rows: DataFrame, query: str, lat: float, lon: float, radius_m: float, hours: Column | None = None, service_intent: bool = False, generic_places: list[str] | None = None) -> DataFrame:
+def rank_products(rows: DataFrame, query: str | Column, lat: float | Column, lon: float | Column, radius_m: float | Column, hours: Column | None = None, service_intent: bool = False, generic_places: list[str] | None = None) -> DataFrame:
     """D3, F2: distance, rank and the exact radius."""
     q = F.lit(query)
     n = F.col("normalized_name")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("text_geo", "merging", "search", "analytics", "pages", "catalog")
+MODULES = ("text_geo", "merging", "search", "batch", "analytics", "pages", "catalog")
 
 
 def _registries():

@@ -38,3 +38,11 @@ def built(spark: SparkSession, name: str, source: str, make: Callable[[], DataFr
         write(make(), path)
         _BUILT[key] = path
     return spark.read.parquet(_BUILT[key])
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table of the shared folder: lineage ends there, and what several plans read is worked out once."""
+    path = new(df.sparkSession, name)
+    schema = df.schema
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vicinia.functions import geo, hours, html, scores, text
-from vicinia.operators import merging, search
+from vicinia.operators import merging, ordering, search
 
 
 def one(spark, col, **values):
@@ -116,7 +116,7 @@ def test_greedy_two_key_equals_sequential_model(spark):
     r = random.Random(2)
     rows = [(i, r.randint(0, 8), r.choice("abcdef"), r.random()) for i in range(40)]
     df = spark.createDataFrame(rows, "id long, store long, place string, rank double")
-    got = {x.id for x in merging.greedy_two_key(df, ["-rank"], "store", "place").collect()}
+    got = {x.id for x in ordering.greedy_two_key(df, ["-rank"], "store", "place").collect()}
     s, p, want = set(), set(), set()
     for i, a, b, _ in sorted(rows, key=lambda x: -x[3]):
         if a not in s and b not in p:

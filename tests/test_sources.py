@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vicinia.functions import text
-from vicinia.operators import catalog, merging, search
+from vicinia.operators import catalog, search
 from vicinia.sources import osm, scratch, tables
 
 
@@ -66,17 +66,3 @@ def test_phones_days_and_stamps(spark):
     assert [(r.p, r.d) for r in got] == [("+493012345", "today"), ("0301234", "5 days ago"), ("", "2023-12-31")]
     stamped = catalog.stamp(spark.createDataFrame([(1, True), (2, False)], "id int, hit boolean"), F.col("hit")).orderBy("id").collect()
     assert stamped[0].updated_at is not None and stamped[1].updated_at is None
-
-
-def test_greedy_two_key_is_for_result_lists(spark, monkeypatch):
-    df = spark.createDataFrame([(1, 9.0, "a", "x"), (2, 8.0, "a", "y"), (3, 7.0, "b", "x"), (4, 6.0, "b", "y")], "id int, rank double, k1 string, k2 string")
-    assert sorted(r.id for r in merging.greedy_two_key(df, ["-rank", "id"], "k1", "k2").collect()) == [1, 4]
-    monkeypatch.setattr(merging, "MOST_RESULTS", 3)
-    with pytest.raises(ValueError, match="at most 3"):
-        merging.greedy_two_key(df, ["-rank"], "k1", "k2")
-
-
-def test_searches_refuse_too_many_queries(spark, monkeypatch):
-    monkeypatch.setattr(search, "MOST_QUERIES", 1)
-    with pytest.raises(ValueError, match="at most 1"):
-        search.fuzzy_terms(spark.createDataFrame([("a",), ("b",)], "query string"), spark.createDataFrame([("a",)], "term string"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vicinia.functions import scores
+from vicinia.sources import scratch
 
 
 def term_insights(searches: DataFrame) -> DataFrame:
@@ -175,22 +176,53 @@ def valid_events(searches: DataFrame) -> DataFrame:
     return searches.where(F.length("term").between(1, 160) & (F.col("radius_km").isNull() | F.col("radius_km").between(0, 50)) & F.col("results").between(-1, 5000))
 
 
+def _next_cells(cells: DataFrame, keys: list[str], of: str, many: int = 1024) -> DataFrame:
+    """(keys, of, after): for each cell of a key the next cell that has events. Cells are looked through block by block and blocks one by one, so a key's timeline
+    is spread over tasks by blocks of `many` cells."""
+    c = cells.withColumn("block", F.expr(f"{of} div {many}"))
+    inner = c.withColumn("after", F.lead(of).over(Window.partitionBy(*keys, "block").orderBy(of)))
+    blocks = c.groupBy(*keys, "block").agg(F.min(of).alias("first"))
+    blocks = blocks.withColumn("later", F.lead("first").over(Window.partitionBy(*keys).orderBy("block"))).drop("first")
+    return inner.join(blocks, [*keys, "block"]).select(*keys, of, F.coalesce("after", "later").alias("after"))
+
+
+def window_openings(times: DataFrame, key: str, seconds: int) -> DataFrame:
+    """(key, us) of the events that open a window, over distinct times (key, us) in microseconds: a key's first, and from each opening the first event `seconds` later or more.
+
+    Pointer jumping: each event points to the first one that is a window away; pointers double from round to round, and each round marks what those marked
+    so far point to. After r rounds the first 2^r openings of every key are marked. A key's events meet by cells of one window's length, and never all in one task."""
+    span = seconds * 1_000_000
+    t = times.select(F.col(key).alias("k"), "us").distinct().withColumn("cell", F.floor(F.col("us") / span).cast("long"))
+    cells = t.groupBy("k", "cell").agg(F.min("us").alias("first_us"))
+    # The first event a window later lies in the next cell, not before the same place of it; else it is the first of the next cell after that which has any.
+    probes = t.select("k", (F.col("cell") + 1).alias("cell"), (F.col("us") + span).alias("at"), "us", F.lit(None).cast("long").alias("event"))
+    seen = probes.unionByName(t.select("k", "cell", F.col("us").alias("at"), F.lit(None).cast("long").alias("us"), F.col("us").alias("event")))
+    down = Window.partitionBy("k", "cell").orderBy(F.desc("at"), F.col("us").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    near = seen.withColumn("to", F.last("event", True).over(down)).where("us is not null").select("k", "us", (F.col("cell") - 1).alias("cell"), "to")
+    after = _next_cells(cells.select("k", "cell"), ["k"], "cell")
+    second = after.select("k", F.col("cell").alias("after"), F.col("after").alias("second"))
+    far = after.join(second, ["k", "after"], "left").select("k", "cell", F.when(F.col("after") == F.col("cell") + 1, F.col("second")).otherwise(F.col("after")).alias("far_cell"))
+    far = far.join(cells.select("k", F.col("cell").alias("far_cell"), F.col("first_us").alias("far")), ["k", "far_cell"]).select("k", "cell", "far")
+    start = t.groupBy("k").agg(F.min("us").alias("us")).withColumn("open", F.lit(True))
+    now = near.join(far, ["k", "cell"], "left").select("k", "us", F.coalesce("to", "far").alias("to")).join(start, ["k", "us"], "left")
+    now = scratch.written(now, "pointers")
+    while not now.where("to is not null and open").isEmpty():
+        marks = now.where("open and to is not null").select("k", F.col("to").alias("us")).distinct().withColumn("hit", F.lit(True))
+        jump = now.select("k", F.col("us").alias("to"), F.col("to").alias("further"))
+        more = now.join(marks, ["k", "us"], "left").join(jump, ["k", "to"], "left")
+        now = scratch.written(more.select("k", "us", F.col("further").alias("to"), F.coalesce("open", "hit").alias("open")), "pointers")
+    return now.where("open").select(F.col("k").alias(key), "us")
+
+
 def fixed_window_limit(events: DataFrame, key: str, at: str, seconds: int = 60, most: int = 120) -> DataFrame:
-    """R1 in batch: windows open at a key's first event and last `seconds`; events beyond `most` in a window are not allowed.
-
-    A key's times fold, in order, into the times at which its windows open; that array of numbers is all that meets in one row. Events then find
-    their window and place in it by windows over the key and over the opening."""
-    e = events.select("event_id", key, F.unix_micros(F.col(at).cast("timestamp")).alias("us"))
-    start = F.struct(F.lit(None).cast("long").alias("open"), F.array().cast("array<bigint>").alias("out"))
-
-    def step(s: Column, us: Column) -> Column:
-        fresh = s["open"].isNull() | (us >= s["open"] + seconds * 1_000_000)
-        return F.when(fresh, F.struct(us.alias("open"), F.concat(s["out"], F.array(us)).alias("out"))).otherwise(s)
-
-    times = e.groupBy(key).agg(F.array_sort(F.collect_set("us")).alias("xs"))
-    opens = times.select(key, F.explode(F.aggregate("xs", start, step)["out"]).alias("us")).select(F.lit(None).cast(e.schema["event_id"].dataType).alias("event_id"), key, "us", F.col("us").alias("open"))
-    both = e.withColumn("open", F.lit(None).cast("long")).unionByName(opens)
-    order = Window.partitionBy(key).orderBy("us", F.col("open").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    placed = both.withColumn("opened", F.last("open", True).over(order)).where("open is null")
-    n = F.row_number().over(Window.partitionBy(key, "opened").orderBy("us", "event_id"))
-    return placed.select("event_id", key, n.alias("n_in_window")).withColumn("allowed", F.col("n_in_window") <= most)
+    """R1 in batch: windows open at a key's first event and last `seconds`; events beyond `most` in a window are not allowed. Events without a key or a time are in no window.
+
+    Windows are at least their length apart, so an event's opening is in its own cell of that length or the one before."""
+    span = seconds * 1_000_000
+    e = events.select("event_id", F.col(key).alias("k"), F.unix_micros(F.col(at).cast("timestamp")).alias("us")).where("k is not null and us is not null")
+    opens = window_openings(e, "k", seconds).select("k", F.col("us").alias("opened"), F.floor(F.col("us") / span).cast("long").alias("cell"))
+    opens = opens.select("k", "opened", F.explode(F.array("cell", F.col("cell") + 1)).alias("cell")).groupBy("k", "cell").agg(F.array_sort(F.collect_list("opened")).alias("opens"))  # two at most
+    placed = e.withColumn("cell", F.floor(F.col("us") / span).cast("long")).join(opens, ["k", "cell"])
+    placed = placed.withColumn("opened", F.array_max(F.filter("opens", lambda o: o <= F.col("us"))))
+    n = F.row_number().over(Window.partitionBy("k", "opened").orderBy("us", "event_id"))
+    return placed.select("event_id", F.col("k").alias(key), n.alias("n_in_window")).withColumn("allowed", F.col("n_in_window") <= most)

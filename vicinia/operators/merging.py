@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 # Weights by which the primary source of a merged pair is chosen.
 MERGE_WEIGHT = {"merchant_added": 6, "user_validated": 5, "validated": 5, "website_extracted": 4, "imported": 3, "rules_generated": 2, "ai_generated": 1}
-#: Rows of the largest result list that greedy_two_key() takes.
-MOST_RESULTS = 100_000
 SERVICE_PRIORITY = {"merchant_added": 6, "user_validated": 5, "website_extracted": 4, "imported": 3, "rules_generated": 2, "ai_generated": 1}
 
 
@@ -87,29 +85,6 @@ def dedupe_ranked(rows: DataFrame) -> DataFrame:
     return rows.withColumn("fingerprint", fingerprint()).withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
 
-def greedy_two_key(rows: DataFrame, order: list[str], key1: str, key2: str) -> DataFrame:
-    """W10, general: in rank order a row stays if neither of its keys has been seen on a row that stayed.
-
-    For keys that are not functions of each other. Each row's fate hangs on all before it, so this is for a ranked result list: one
-    task gets it, and more than MOST_RESULTS rows are refused."""
-    import pandas as pd
-
-    if rows.limit(MOST_RESULTS + 1).count() > MOST_RESULTS:
-        raise ValueError(f"a result list of at most {MOST_RESULTS} rows is wanted")
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b, out = set(), set(), []
-        for i, x, y in zip(pdf.index, pdf[key1], pdf[key2], strict=True):
-            if x not in a and y not in b:
-                a.add(x)
-                b.add(y)
-                out.append(i)
-        return pdf.loc[out]
-
-    names = [o.lstrip("-") for o in order]
-    return rows.groupBy(F.lit(1).alias("_")).applyInPandas(lambda pdf: keep(pdf.sort_values(names, ascending=[not o.startswith("-") for o in order], kind="stable")), rows.schema)
-
-
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], values: list[str], protect: Column | None = None) -> DataFrame:
     """The table after an upsert, with op in insert, update, keep. Rows for which `protect` holds (over o_ columns) stay as they are, and
     so do rows whose values are not distinct from the new ones."""

@@ -119,6 +119,6 @@ def lenient_json(c: Column) -> Column:
 
 
 def merge_json(a: Column, b: Column) -> Column:
-    """Object concatenation; keys of b win."""
-    m = lambda c: F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    """Object concatenation; keys of b win. Values keep their types, objects and lists included. What is no object, or repeats a key, counts as an empty one."""
+    m = lambda c: F.coalesce(F.try_variant_get(F.try_parse_json(c), "$", "map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>"))
     return F.to_json(F.map_concat(F.map_filter(m(a), lambda k, _: ~F.map_contains_key(m(b), k)), m(b)))

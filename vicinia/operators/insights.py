@@ -65,12 +65,26 @@ def district_overview(est: DataFrame, top: int = 5) -> DataFrame:
     return base.join(best, "district")
 
 
-def review_queue(est: DataFrame, top: int = 160) -> DataFrame:
-    """G-A11, L5: flags of what a place lacks, their weights as a score; the highest first, then the oldest."""
-    rules = [("missing_categories", F.coalesce("app_category", F.lit("")) == "", 2), ("missing_products", F.col("n_products") == 0, 2), ("low_validation", F.col("validated_share") < 0.2, 1), ("missing_hours", F.col("opening_hours") == "", 1), ("stale", F.col("seen_days") > 60, 1)]
-    flags = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c, _ in rules]))
+#: Days after which a place counts as stale, and places that a review queue shows.
+STALE_DAYS, QUEUE = 120, 160
+
+
+def review_flags(est: DataFrame, as_of: Column, stale_days: int = STALE_DAYS) -> DataFrame:
+    """G-A11: flags of what a place lacks, and their weights as a score. n_products and n_validated count merged rows that are not rejected; a place that has products but no
+    validated one is low on validation, one that is active needs opening hours, and one not updated within the days is stale."""
+    none = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    n, v = F.coalesce("n_products", F.lit(0)), F.coalesce("n_validated", F.lit(0))
+    old = F.coalesce(F.col("updated_at") < as_of - F.expr(f"interval {stale_days} days"), F.lit(False))
+    active = F.coalesce(F.col("active_status") == "active", F.lit(False))
+    rules = [("missing_categories", none(F.col("app_category")), 2), ("missing_products", n == 0, 2), ("low_validation", (n > 0) & (v == 0), 1), ("missing_opening_hours", active & none(F.col("opening_hours")), 1), ("stale_data", old, 1)]
+    flags = F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c, _ in rules]))
     score = sum((F.when(c, w).otherwise(0) for _, c, w in rules), F.lit(0))
-    return est.withColumn("flags", F.array_join(flags, "|")).withColumn("score", score).where("score > 0").orderBy(F.desc("score"), "updated_at", "id").limit(top)
+    return est.withColumn("flags", F.array_join(flags, "|")).withColumn("score", score).where("score > 0")
+
+
+def review_queue(flagged: DataFrame, top: int = QUEUE) -> DataFrame:
+    """G-A11, L5: the flagged places with the highest score, of these those not updated for longest."""
+    return flagged.orderBy(F.desc("score"), F.col("updated_at").asc_nulls_first(), "id").limit(top)
 
 
 def catalog_overview(products: DataFrame, sample: int = 6) -> DataFrame:
@@ -122,9 +136,9 @@ def open_demand(failed: DataFrame) -> DataFrame:
     return failed.where("not resolved").agg(F.countDistinct(F.lower(F.trim("query"))).alias("unresolved_terms"), F.max("ts").alias("last_seen"))
 
 
-def flag_totals(queue: DataFrame) -> DataFrame:
-    """G-A11: how many places of a review queue have each flag."""
-    return queue.select(F.explode(F.split("flags", r"\|")).alias("flag")).groupBy("flag").agg(F.count("*").alias("n"))
+def flag_totals(flagged: DataFrame) -> DataFrame:
+    """G-A11: how many places have each flag, whether the queue shows them or not."""
+    return flagged.select(F.explode(F.split("flags", r"\|")).alias("flag")).groupBy("flag").agg(F.count("*").alias("n"))
 
 
 def stores_per_product(merged: DataFrame, products: DataFrame) -> DataFrame:

@@ -1,12 +1,16 @@
-"""The refresh of one district as a whole: rule candidates, merge and best rows, written over what may be replaced."""
+"""Refreshes: of one district as a whole, and of the serving dataset, the freshness scores and the audit log as far as something has changed."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vicinia.functions import scores
 from vicinia.operators.candidates import rule_candidates
-from vicinia.operators.merging import merge_candidates, top_k
+from vicinia.operators.merging import keep_latest, merge_candidates, top_k
+from vicinia.operators.search import serving
+from vicinia.sources import scratch
+from vicinia.sources.versions import Versioned
 
 METHOD = "district_refresh"
 
@@ -17,30 +21,75 @@ def district_refresh(district: str, establishments: DataFrame, rules: DataFrame,
     Places are those of the district (case-blind, part of its name) that are active or closed for a time. Each gets the rule candidates of its
     categories, confidence within 0.3 and 0.99, but for pairs whose rule candidate was validated or rejected; they replace those of
     an earlier refresh. All candidates that are not rejected are merged, and the best `per_store` rows of a place, 3 to 20, stand in for
-    all merged rows that are not validated. A validated pair keeps its row unless the new one is validated too."""
+    all merged rows that are not validated. A validated pair keeps its row unless the new one is validated too.
+
+    What several steps read (the places' candidates, the new ones, all after the upsert, the best) is written once."""
     per_store = min(max(per_store, 3), 20)
     name = district.strip().replace("%", "").replace("_", "")
     if not name:
         raise ValueError("a district is needed")
     e = establishments.where(F.col("district").ilike(f"%{name}%") & F.col("active_status").isin("active", "temporarily_closed"))
     pair, ids = ["establishment_id", "product_id"], e.select(F.col("id").alias("establishment_id"))
-    mine = cands.join(ids, "establishment_id", "left_semi")
+    mine = scratch.written(cands.join(ids, "establishment_id", "left_semi"), "mine")
     own = (F.col("source_type") == "rules_generated") & (F.col("generation_method") == METHOD)
     locked = mine.where(own & F.col("validation_status").isin("validated", "rejected")).select(*pair).distinct()
     made = rule_candidates(e, rules, products, facets).join(locked, pair, "left_anti")
     confidence = F.greatest(F.lit("0.3").cast("decimal(5,4)"), F.col("confidence")).cast("decimal(5,4)")
-    new = made.select(*pair, "source_type", F.lit(METHOD).alias("generation_method"), confidence.alias("confidence"), "validation_status")
+    new = scratch.written(made.select(*pair, "source_type", F.lit(METHOD).alias("generation_method"), confidence.alias("confidence"), "validation_status"), "new")
     # An upsert by pair, source and method: a row that is there keeps its id and gets the new values.
     old = mine.where(own).select(*pair, F.col("id").alias("old_id"))
     taken = F.coalesce("old_id", -F.abs(F.xxhash64(*pair)) - 1)
     fresh = new.join(old, pair, "left").select(taken.alias("id"), *pair, "source_type", "generation_method", "confidence", "validation_status", F.lit(None).cast(cands.schema["checked_at"].dataType).alias("checked_at"))
     kept = mine.where(~own).select(*fresh.columns).unionByName(mine.where(own).join(new, pair, "left_anti").select(*fresh.columns))
-    after = kept.unionByName(fresh)
+    after = scratch.written(kept.unionByName(fresh), "after")
 
     p = products.select(F.col("id").alias("product_id"), "product_group", "priority")
     best = top_k(merge_candidates(after, exclude_rejected=True).join(p, "product_id", "left").fillna({"product_group": "uncategorized", "priority": 50}), per_store, quota_groups)
     safe = merged.join(ids, "establishment_id", "left_semi").where("validation_status = 'validated'").select(*pair, "confidence", "validation_status")
-    rows = best.select(*pair, "confidence", "validation_status")
+    rows, safe = scratch.written(best.select(*pair, "confidence", "validation_status"), "best"), scratch.written(safe, "safe")
     # A new row takes the place of a validated one only if it is validated as well.
     put = rows.where("validation_status = 'validated'").unionByName(rows.where("validation_status <> 'validated'").join(safe, pair, "left_anti"))
     return after, put.unionByName(safe.join(put, pair, "left_anti"))
+
+
+def changed_owners(old: DataFrame, new: DataFrame, key: str, values: list[str], owner: str = "establishment_id") -> DataFrame:
+    """The owners of rows that were added, dropped or changed between two snapshots (the keys that K3 finds), on both sides where a row moved."""
+    # Rows of the two sides cancel out, so keys that repeat do no harm.
+    rows = lambda df, sign: df.select(owner, key, *values, F.lit(sign).alias("sign"))
+    return rows(old, 1).unionByName(rows(new, -1)).groupBy(owner, key, *values).agg(F.sum("sign").alias("sign")).where(f"sign <> 0 and {owner} is not null").select(owner).distinct()
+
+
+def refresh_serving(store: Versioned, changed: DataFrame | None, cands: DataFrame, establishments: DataFrame, products: DataFrame) -> int:
+    """The serving dataset after a change, as a new version; the number of establishments worked out anew.
+
+    `changed` names establishments whose candidates or own rows differ from those that the store was built from; None builds all. Only their candidates are
+    merged, and only parts of the table that hold them are written; other parts stay as they are, file by file. A change of a product's
+    name or group touches the establishments that offer it, which the caller names."""
+    if changed is None or store.read() is None:
+        full = serving(merge_candidates(cands), establishments, products)
+        store.replace(full)
+        return establishments.count()
+    ids = scratch.written(changed.select(F.col("establishment_id").cast("long").alias("establishment_id")).where("establishment_id is not null").distinct(), "changed")
+    parts = store.parts_of(ids)
+    if not parts:
+        return 0
+    mine = establishments.join(ids.withColumnRenamed("establishment_id", "id"), "id", "left_semi")
+    fresh = serving(merge_candidates(cands.join(ids, "establishment_id", "left_semi")), mine, products)
+    rest = store.read(parts).join(ids, "establishment_id", "left_anti")
+    store.replace(rest.select(*fresh.columns).unionByName(fresh), parts)
+    return ids.count()
+
+
+def refresh_freshness(establishments: DataFrame, as_of: Column, scope: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """V1: (establishments, updated_rows) with the freshness of those in scope worked out from last_seen_at, last_imported_at and last_enriched_at; a missing time counts as a year ago."""
+    days = lambda c: (F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(F.col(c).cast("timestamp"))) / 86_400_000_000.0
+    mine = F.coalesce(scope, F.lit(False)) if scope is not None else F.lit(True)
+    score = scores.freshness(days("last_seen_at"), days("last_imported_at"), days("last_enriched_at"), F.coalesce("closed_candidate", F.lit(False)), F.col("active_status"))
+    return establishments.withColumn("freshness", F.when(mine, score).otherwise(F.col("freshness"))), establishments.agg(F.count_if(mine).alias("updated_rows"))
+
+
+def prune_audit(log: DataFrame, n: int = 1) -> tuple[DataFrame, DataFrame]:
+    """V1: (log, deleted_rows) without all but the newest n (1 at least) rows of a candidate; rows of validated and rejected ones stay. Rows as JSON of K3: the new row says the status, else the old."""
+    status = F.coalesce(F.get_json_object("new_row", "$.validation_status"), F.get_json_object("old_row", "$.validation_status"))
+    gone = scratch.written(keep_latest(log, "candidate_id", "changed_at", "id", n, status.isin("validated", "rejected")).select("id"), "gone")
+    return log.join(gone, "id", "left_anti"), gone.agg(F.count("*").alias("deleted_rows"))

@@ -193,14 +193,20 @@ def district_overview(spark, sf_dir):
     return i.district_overview(establishments(spark, sf_dir))
 
 
-_RQ = "q as (select id, opening_hours, seen_days, case when id % 9 = 0 then '' else app_category end as cat, coalesce(n, 0) as n_products, coalesce(v, 0) as vs from est left join (select establishment_id, count(*) as n, count(*) filter (where validation_status = 'validated') / count(*) as v from cand where establishment_id % 4 <> 0 group by 1) on establishment_id = id)"
+_RF = f"""q as (select id, active_status, opening_hours, date '2024-06-01' - cast(seen_days + import_days as integer) as updated_at, case when id % 9 = 0 then '' else app_category end as cat, coalesce(n, 0) as n, coalesce(v, 0) as v from est left join (select establishment_id, count(*) as n, count(*) filter (where validation_status = 'validated') as v from mrg where validation_status <> 'rejected' group by 1) on establishment_id = id),
+s as (select id, updated_at, concat_ws('|', case when cat = '' then 'missing_categories' end, case when n = 0 then 'missing_products' end, case when n > 0 and v = 0 then 'low_validation' end, case when active_status = 'active' and trim(opening_hours) = '' then 'missing_opening_hours' end, case when updated_at < date '2024-06-01' - 120 then 'stale_data' end) as flags,
+case when cat = '' then 2 else 0 end + case when n = 0 then 2 else 0 end + case when n > 0 and v = 0 then 1 else 0 end + case when active_status = 'active' and trim(opening_hours) = '' then 1 else 0 end + case when updated_at < date '2024-06-01' - 120 then 1 else 0 end as score from q)"""
 
 
-@query(f"{views('est', 'cand')}, {_RQ}, s as (select id, concat_ws('|', case when cat = '' then 'missing_categories' end, case when n_products = 0 then 'missing_products' end, case when vs < 0.2 then 'low_validation' end, case when opening_hours = '' then 'missing_hours' end, case when seen_days > 60 then 'stale' end) as flags, case when cat = '' then 2 else 0 end + case when n_products = 0 then 2 else 0 end + case when vs < 0.2 then 1 else 0 end + case when opening_hours = '' then 1 else 0 end + case when seen_days > 60 then 1 else 0 end as score from q) select id, flags, score from s where score > 0 order by score desc, id limit 160")
+def _flagged(spark, sf_dir):
+    k = merged(spark, sf_dir).where("validation_status <> 'rejected'").groupBy(F.col("establishment_id").alias("id")).agg(F.count("*").alias("n_products"), F.count_if(F.col("validation_status") == "validated").alias("n_validated"))
+    e = establishments(spark, sf_dir).join(k, "id", "left").withColumn("app_category", F.expr("case when id % 9 = 0 then '' else app_category end")).withColumn("updated_at", F.expr("date_sub(date'2024-06-01', cast(seen_days + import_days as int))"))
+    return i.review_flags(e, F.lit("2024-06-01").cast("date"))
+
+
+@query(f"{MERGED_WITH}, {_RF} select id, flags, score from s where score > 0 order by score desc, updated_at, id limit 160")
 def review_queue(spark, sf_dir):
-    k = candidates(spark, sf_dir).where("establishment_id % 4 <> 0").groupBy(F.col("establishment_id").alias("id")).agg(F.count("*").alias("n_products"), (F.count_if(F.col("validation_status") == "validated") / F.count("*")).alias("validated_share"))
-    e = establishments(spark, sf_dir).join(k, "id", "left").fillna(0, ["n_products"]).fillna(0.0, ["validated_share"]).withColumn("app_category", F.expr("case when id % 9 = 0 then '' else app_category end")).withColumn("updated_at", F.col("id"))
-    return i.review_queue(e).select("id", "flags", "score")
+    return i.review_queue(_flagged(spark, sf_dir)).select("id", "flags", "score")
 
 
 @query(f"{views('prod')}, r as (select *, row_number() over (partition by product_group order by normalized_name, id) as rn from prod) select product_group, count(*) as n, string_agg(normalized_name, '|' order by rn) filter (where rn <= 6) as sample from r group by 1")
@@ -304,10 +310,10 @@ def open_demand(spark, sf_dir):
     return i.open_demand(f)
 
 
-@query(f"{query.oracles['review_queue'].replace(' select id, flags, score from s', ', t as (select id, flags, score from s')}) select unnest(string_split(flags, '|')) as flag, count(*) as n from t group by 1")
+@query(f"{MERGED_WITH}, {_RF} select unnest(string_split(flags, '|')) as flag, count(*) as n from s where score > 0 group by 1")
 def review_flag_totals(spark, sf_dir):
     """G-A11."""
-    return i.flag_totals(review_queue(spark, sf_dir))
+    return i.flag_totals(_flagged(spark, sf_dir))
 
 
 @query(f"{MERGED_WITH}, k as (select product_id, count(distinct establishment_id) as n from mrg where validation_status <> 'rejected' group by 1) select prod.id as product_id, coalesce(n, 0) as n_stores from prod left join k on product_id = prod.id")

@@ -96,10 +96,18 @@ def json_lenient_parse(spark, sf_dir):
     return e.select("event_id", html.lenient_json(F.col("s")).alias("found"))
 
 
-@query("select event_id, cast(json_extract(props, '$.k') as integer) as k, concat('{\"k\":\"', cast(json_extract(props, '$.k') as integer), '\",\"t\":\"', event_type, '\"}') as merged from events")
+_MORE = "json_object('t', event_type, 'ids', [event_id, user_id], 'of', json_object('ok', event_type <> 'error', 'user', user_id), 'k', case when event_id % 2 = 0 then 'none' end)"
+
+
+@query(f"select event_id, concat('{{', string_agg(concat(to_json(key), ':', val), ',' order by key), '}}') as merged from (select event_id, unnest(json_keys(j)) as key, json_extract(j, concat('$.', unnest(json_keys(j))))::varchar as val from (select event_id, concat(left(props, length(props) - 1), ', \"t\":\"\", \"old\":[1,{{\"a\":null}}]}}') as p, {_MORE} as m, p::json as pj from events) x, lateral (select json_object('k', json_extract(m, '$.k'), 'old', json_extract(pj, '$.old'), 't', json_extract(m, '$.t'), 'ids', json_extract(m, '$.ids'), 'of', json_extract(m, '$.of')) as j)) group by 1")
 def json_merge(spark, sf_dir):
+    """X12 over the props of all events and an object with a text, a list, an object and a null or text in place of a number; keys in order."""
     e = load(spark, sf_dir, "events")
-    return e.select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"), html.merge_json(F.col("props"), F.to_json(F.struct(F.col("event_type").alias("t")))).alias("merged"))
+    a = F.concat(F.expr("left(props, length(props) - 1)"), F.lit(', "t":"", "old":[1,{"a":null}]}'))
+    b = F.to_json(F.struct(F.col("event_type").alias("t"), F.array("event_id", "user_id").alias("ids"), F.struct(F.col("user_id").alias("user"), (F.col("event_type") != "error").alias("ok")).alias("of"), F.when(F.col("event_id") % 2 == 0, "none").alias("k")), {"ignoreNullFields": "false"})
+    m = F.from_json(html.merge_json(a, b), "map<string,variant>")
+    keys = F.array_sort(F.map_keys(m))
+    return e.select("event_id", F.concat(F.lit("{"), F.array_join(F.transform(keys, lambda k: F.concat(F.lit('"'), k, F.lit('":'), F.to_json(m[k]))), ","), F.lit("}")).alias("merged"))
 
 
 @query(f"select page_id, trim(concat_ws(' ', {NORM.format(_clean(_TITLE))}, 'fine tools', {NORM.format("array_to_string(regexp_extract_all(html, '(?is)<h[1-3][^>]*>(.*?)</h[1-3]>', 1), ' ')")}, case when page_id % 2 = 0 then 'saw acme' end)) as bag, case when page_id % 2 = 0 then 'saw|acme' else '' end as names from pages")

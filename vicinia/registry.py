@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("text_geo", "merging", "search", "batch", "ordered", "analytics", "pages", "catalog")
+MODULES = ("text_geo", "merging", "search", "batch", "ordered", "changing", "analytics", "pages", "catalog")
 
 
 def _registries():

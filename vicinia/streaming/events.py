@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from vicinia.sources.versions import Versioned
+
 
 def read_events(spark: SparkSession, path: str, schema, files_a_trigger: int = 16) -> DataFrame:
     """Files of a folder as they arrive."""
@@ -66,3 +68,43 @@ def rate_limit(events: DataFrame, key: str, at: str, seconds: int = 60, most: in
 
     e = events.withColumn("_at", F.col(at).cast("timestamp")).withWatermark("_at", late).select("event_id", key, "_at", F.unix_micros("_at").alias("_us"))
     return e.groupBy(key).applyInPandasWithState(count, f"event_id long, {key} {e.schema[key].dataType.simpleString()}, allowed boolean", "opened long, n int", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def upsert_stream(events: DataFrame, store: Versioned, at: list[str], checkpoint: str, name: str = "events") -> StreamingQuery:
+    """The last event of each key of the store, kept as a versioned table; what is there now and then stop. Events are compared by `at`, and an older one never replaces a newer.
+
+    A batch writes the parts of the table that it touches and then switches to them together with its own number. A batch that runs again because the
+    stream died before its own bookkeeping finds its number and does nothing; one that died before the switch has changed nothing and is done anew."""
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        if store.manifest()["batches"].get(name, -1) >= batch_id:
+            return
+        rows = batch.where(F.col(store.key).isNotNull())
+        parts = store.parts_of(rows)
+        if not parts:
+            return
+        old = store.read(parts)
+        both = rows if old is None else rows.unionByName(old)
+        row = F.struct(*batch.columns)
+        last = both.groupBy(store.key).agg(F.max_by(row, F.struct(*at)).alias("r")).select("r.*")
+        store.replace(last.select(*batch.columns), parts, (name, batch_id))
+
+    return events.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def sliding_look_backs(searches: DataFrame, at: str, days: tuple[int, ...] = (30, 14, 7), late: str = "1 day") -> DataFrame:
+    """R3 as a stream: at the end of each UTC day, for each look-back, the searches, the unresolved ones and the days that had some.
+
+    Two stateful steps: days are counted first, and sliding windows of the longest look-back then add up days, so state is one row a day and one a window, however many
+    searches there are. Rows later than `late` are dropped with their day; a day end is given once the watermark has passed it, and only where the longest look-back has a search."""
+    r = F.greatest(F.coalesce("results", F.lit(0)), F.lit(0))
+    day = searches.withWatermark(at, late).groupBy(F.window(at, "1 day").alias("d")).agg(F.count("*").alias("n"), F.count_if(r == 0).alias("unresolved"))
+    day = day.select(F.window_time("d").alias("at"), F.col("d.end").alias("day_end"), "n", "unresolved")
+    each = day.withColumn("w", F.window("at", f"{max(days)} days", "1 day"))
+    sums = []
+    for k in days:
+        inside = F.col("day_end") > F.col("w.end") - F.expr(f"interval {k} days")
+        sums += [F.sum(F.when(inside, F.col("n")).otherwise(0)).alias(f"n_{k}"), F.sum(F.when(inside, F.col("unresolved")).otherwise(0)).alias(f"unresolved_{k}"), F.count_if(inside).alias(f"active_days_{k}")]
+    out = each.groupBy("w").agg(*sums)
+    rows = [F.struct(F.lit(k).alias("days"), F.col(f"n_{k}").alias("n"), F.col(f"unresolved_{k}").alias("unresolved"), F.col(f"active_days_{k}").alias("active_days")) for k in days]
+    return out.select(F.col("w.end").alias("day_end"), F.explode(F.array(*rows)).alias("r")).select("day_end", "r.*")

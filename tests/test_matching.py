@@ -73,3 +73,30 @@ def test_plans_have_no_nested_loop(spark):
 def test_empty_sides(spark):
     q, t = frame(spark, ["a"], "query"), frame(spark, ["a"], "term")
     assert matching.near_phrases(q.limit(0), t).collect() == [] and matching.near_phrases(q, t.limit(0)).collect() == []
+
+
+def test_phrases_stand_as_whole_words(spark):
+    r = random.Random(8)
+    pages = [(i, [r.choice("abcde") for _ in range(r.randint(0, 60))]) for i in range(40)] + [(90, ["the"] * 500 + ["rare", "the"])]
+    phrases = ["a", "a b", "b a c", "a a", "a a a", "e d c b", "the rare", "rare the", "the the", "zz", "a zz", "", None, "a b"]
+    got = {(x.page_id, x.phrase): x.n for x in matching.phrase_hits(spark.createDataFrame(pages, "page_id long, words array<string>"), spark.createDataFrame([(p,) for p in phrases], "phrase string")).collect()}
+    want = {}
+    for i, ws in pages:
+        for p in {p for p in phrases if p}:
+            ps = p.split(" ")
+            n = sum(ws[k : k + len(ps)] == ps for k in range(len(ws)))
+            if n:
+                want[i, p] = n
+    assert got == want
+
+
+def test_website_candidates_by_name_synonym_and_schema(spark):
+    from vicinia.operators.candidates import website_candidates
+
+    pages = spark.createDataFrame([(1, "we sell a blue anvil here", "shop"), (2, "anvils of iron", "shop"), (3, "iron blue anvil", "none"), (4, "", "shop")], "page_id long, bag string, category string")
+    products = spark.createDataFrame([(7, "tools", "blue anvil", ["iron"]), (8, "tools", "blue anvil", ["iron"]), (9, "tools", "hammer", None), (10, "misc", "we", ["sell"])], "product_id long, product_group string, name string, synonyms array<string>")
+    weights = spark.createDataFrame([("shop", "tools", 0.9)], "category string, product_group string, weight double")
+    schema = spark.createDataFrame([(4, "hammer drill"), (3, "anvil"), (4, "")], "page_id long, schema_name string")
+    got = {(r.page_id, r.product_id): r.confidence for r in website_candidates(pages, products, weights, ["we"], schema).collect()}
+    assert got == {(1, 7): 0.578, (1, 8): 0.578, (2, 7): 0.468, (2, 8): 0.468, (3, 7): 0.94, (3, 8): 0.94, (4, 9): 0.538}
+    assert {(r.page_id, r.product_id) for r in website_candidates(pages, products, weights, ["we"]).collect()} == {(1, 7), (1, 8), (2, 7), (2, 8), (3, 7), (3, 8)}

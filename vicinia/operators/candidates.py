@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vicinia.functions import scores, text
+from vicinia.operators.matching import mutual_containments, phrase_hits
 
 
 def classify_categories(osm: Column, words: Column, osm_map: dict[str, list[str]], keywords: dict[str, str], default: str = "household", most: int = 5) -> tuple[Column, Column]:
@@ -67,25 +68,29 @@ def service_candidates(establishments: DataFrame, hints: DataFrame, most: int =
     return best.withColumn("rn", F.row_number().over(Window.partitionBy("establishment_id").orderBy(F.col("confidence").desc(), "slug"))).where(F.col("rn") <= most).drop("rn")
 
 
-def website_candidates(pages: DataFrame, products: DataFrame, weights: DataFrame, generic: list[str], schema: Column | None = None) -> DataFrame:
-    """Products that a page speaks of: 0.38 by name, 0.27 by a synonym, 0.34 by schema, 0.22 times the page category's weight for the group; from 0.46 on, 0.94 at most.
-
-    pages: (page_id, bag, category), bag normalized. A product can only reach the threshold if its name or synonym stands in the bag, or
-    its schema names it, so pages meet products by shared first words (an equi-join) and the containment is checked after that."""
-    # Products of the same name, synonym and group have the same fate on a page, so those meet the pages; a page's bag joins its pairs once.
-    words = pages.select("page_id", F.explode(F.array_distinct(text.tokens(F.col("bag")))).alias("w"))
-    named = products.where(~F.col("name").isin(generic) & (F.length("name") > 0))
-    kinds = named.select("product_group", "name", "synonym").distinct()
-    keys = kinds.select("*", F.explode(F.array_distinct(F.array_compact(F.array(F.element_at(text.tokens(F.col("name")), 1), F.try_element_at(text.tokens(F.coalesce("synonym", F.lit(""))), F.lit(1)))))).alias("w"))
-    padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
-    has = lambda c: F.coalesce(padded(F.col("bag")).contains(padded(F.col(c))), F.lit(False))
-    j = words.join(keys, "w").drop("w").distinct().join(pages.select("page_id", "bag", "category"), "page_id").where(has("name") | has("synonym"))
-    j = j.join(weights, ["category", "product_group"], "left")
-    raw = F.when(has("name"), 0.38).otherwise(0.0) + F.when(has("synonym"), 0.27).otherwise(0.0) + F.when(schema if schema is not None else F.lit(False), 0.34).otherwise(0.0) + 0.22 * F.coalesce("weight", F.lit(0.0))
-    found = j.withColumn("confidence", F.round(raw, 4)).where(F.col("confidence") >= 0.46).select("page_id", "product_group", "name", "synonym", F.least(F.col("confidence"), F.lit(0.94)).alias("confidence"))
-    f, p = found.alias("f"), named.select("product_id", "product_group", "name", "synonym").alias("p")
-    same = (F.col("f.product_group") == F.col("p.product_group")) & (F.col("f.name") == F.col("p.name")) & F.col("f.synonym").eqNullSafe(F.col("p.synonym"))
-    return f.join(p, same).select("f.page_id", "p.product_id", "f.confidence")
+def website_candidates(pages: DataFrame, products: DataFrame, weights: DataFrame, generic: list[str], schema_names: DataFrame | None = None) -> DataFrame:
+    """Products that a page speaks of: 0.38 by name, 0.27 by a synonym, 0.34 if what its schema names holds the name or is held by it, 0.22 times the page
+    category's weight for the group; from 0.46 on, 0.94 at most.
+
+    pages: (page_id, bag, category), bag normalized; products: (product_id, product_group, name, synonyms), an array; schema_names: (page_id, schema_name). Names and synonyms are found as
+    runs of whole words by a positional index. Products of one group, name and synonyms have the same fate on a page, so such kinds meet the pages, not products."""
+    kind = ["product_group", "name", "synonyms"]
+    named = products.where(~F.col("name").isin(generic) & (F.length("name") > 0)).withColumn("synonyms", F.coalesce("synonyms", F.array().cast("array<string>")))
+    kinds = named.select(*kind).distinct()
+    words = kinds.select(*kind, F.explode("synonyms").alias("phrase"))
+    hits = phrase_hits(pages.select("page_id", text.tokens(F.col("bag")).alias("words")), kinds.select(F.col("name").alias("phrase")).unionByName(words.select("phrase")))
+    flag = lambda df, **on: df.select("page_id", *kind, *[F.lit(on.get(k, False)).alias(k) for k in ("by_name", "by_synonym", "by_schema")])
+    found = flag(hits.join(kinds, F.col("phrase") == F.col("name")), by_name=True).unionByName(flag(hits.join(words, "phrase"), by_synonym=True))
+    if schema_names is not None:
+        alike = mutual_containments(kinds.select(F.col("name").alias("query")), schema_names.where("schema_name <> ''").select(F.col("schema_name").alias("term")))
+        said = schema_names.join(alike, F.col("schema_name") == F.col("term")).select("page_id", F.col("query").alias("name"))
+        found = found.unionByName(flag(said.join(kinds, "name"), by_schema=True))
+    found = found.groupBy("page_id", *kind).agg(*[F.max(k).alias(k) for k in ("by_name", "by_synonym", "by_schema")])
+    j = found.join(pages.select("page_id", "category"), "page_id").join(weights, ["category", "product_group"], "left")
+    some = lambda k, x: F.when(F.col(k), x).otherwise(0.0)
+    raw = some("by_name", 0.38) + some("by_synonym", 0.27) + some("by_schema", 0.34) + 0.22 * F.coalesce("weight", F.lit(0.0))
+    likely = j.withColumn("confidence", F.round(raw, 4)).where(F.col("confidence") >= 0.46).select("page_id", *kind, F.least(F.col("confidence"), F.lit(0.94)).alias("confidence"))
+    return likely.join(named, kind).select("page_id", "product_id", "confidence")
 
 
 def heuristic_candidates(establishments: DataFrame, weights: DataFrame, products: DataFrame, most: int, essentials: list[str]) -> DataFrame:

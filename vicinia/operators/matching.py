@@ -102,3 +102,22 @@ def near_phrases(queries: DataFrame, terms: DataFrame) -> DataFrame:
     rarest = asked.join(met, "a").groupBy("query", "of").agg(F.count("*").alias("found"), F.min_by("a", F.struct("df", "a")).alias("a")).where("found = of")
     pairs = rarest.join(near, "a").select("query", "b").join(posted, "b").select("query", "term").distinct()
     return pairs.where(text.fuzzy_phrase(F.col("query"), F.col("term"))).unionByName(mutual_containments(q, t)).distinct()
+
+
+def phrase_hits(pages: DataFrame, phrases: DataFrame, key: str = "page_id") -> DataFrame:
+    """(key, phrase, n): how often each phrase (column phrase, words set apart by single blanks) stands in a page (key and words, an array) as a run of whole words.
+
+    A positional index: a phrase looks up its rarest word, which gives the places where it may start, and each start looks up its other words by page and place. A
+    common word is thus looked up only where the rare ones of its phrase stand; a phrase of one common word costs what it finds. Each start has as many
+    rows as the phrase has words, and none meets a page's text."""
+    p = phrases.where("phrase is not null and phrase <> ''").select("phrase").distinct()
+    parts = p.select("phrase", F.size(F.split("phrase", " ")).alias("of"), F.posexplode(F.split("phrase", " ")).alias("i", "w"))
+    index = pages.select(key, F.posexplode("words").alias("at", "w")).join(parts.select("w").distinct(), "w", "left_semi")
+    holders = index.groupBy("w").agg(F.count("*").alias("df"))
+    # A phrase with a word that stands nowhere is not found.
+    rarest = parts.join(holders, "w").groupBy("phrase", "of").agg(F.count("*").alias("found"), F.min_by(F.struct("i", "w"), F.struct("df", "i")).alias("r")).where("found = of")
+    starts = index.join(rarest.select("phrase", "of", "r.i", "r.w"), "w").select(key, "phrase", "of", (F.col("at") - F.col("i")).alias("start")).where("start >= 0")
+    one = starts.where("of = 1").select(key, "phrase")
+    more = starts.where("of > 1").join(parts.select("phrase", "i", "w"), "phrase").withColumn("at", F.col("start") + F.col("i"))
+    whole = more.join(index, [key, "at", "w"]).groupBy(key, "phrase", "start", "of").agg(F.count("*").alias("found")).where("found = of").select(key, "phrase")
+    return one.unionByName(whole).groupBy(key, "phrase").agg(F.count("*").alias("n"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vicinia.functions import text
 from vicinia.operators import candidates as c
 from vicinia.operators import insights as i
+from vicinia.operators.matching import phrase_hits
 from vicinia.plans.merging import MERGED_WITH, merged
 from vicinia.plans.registry import Registry
 from vicinia.plans.search import SERVING_WITH, _serving
@@ -61,15 +62,30 @@ def service_candidates(spark, sf_dir):
 
 WEIGHTS = [("groceries", "promo", 0.9), ("electronics", "standard", 0.5), ("groceries", "small", 0.4), ("household", "large", 0.8)]
 _WEIGHTS = "wt(category, product_group, weight) as (values " + ", ".join(f"('{a}', '{b}', {x}e0)" for a, b, x in WEIGHTS) + ")"
-_PN = "p as (select p_partkey as product_id, lower(p_type) as product_group, split_part(lower(p_name), ' ', 2) as name, split_part(lower(p_name), ' ', 1) as synonym from part)"
-_BAG = f"b as (select page_id, case page_id % 3 when 0 then 'groceries' when 1 then 'electronics' else 'household' end as category, concat(' ', {NORM.format('html')}, ' ring blue bolt ') as bag from pages)"
+#: The catalogue of pages: what benchmark items open with, words that pages of the same languages use.
+_NT = f"string_split({NORM.format('text')}, ' ')"
+_PN = f"p as (select item_id as product_id, case item_id % 3 when 0 then 'promo' when 1 then 'small' else 'large' end as product_group, array_to_string({_NT}[1:2], ' ') as name, [{_NT}[3], array_to_string({_NT}[4:5], ' ')] as synonyms from benchmark)"
+_BAG = f"b as (select page_id, case page_id % 3 when 0 then 'groceries' when 1 then 'electronics' else 'household' end as category, concat(' ', {NORM.format('html')}, ' ') as bag from pages)"
+_SAYS = "contains(bag, concat(' ', {0}, ' '))"
 
 
-@query(f"with {_WEIGHTS}, {_PN}, {_BAG}, j as (select page_id, product_id, round(case when contains(bag, concat(' ', name, ' ')) then 0.38e0 else 0 end + case when contains(bag, concat(' ', synonym, ' ')) then 0.27e0 else 0 end + 0.22e0 * coalesce(weight, 0), 4) as s from b join p on true left join wt on wt.category = b.category and wt.product_group = p.product_group where name <> 'gizmo' and (contains(bag, concat(' ', name, ' ')) or contains(bag, concat(' ', synonym, ' ')))) select page_id, product_id, least(s, 0.94e0) as confidence from j where s >= 0.46e0")
+@query(f"with {_WEIGHTS}, {_PN}, {_BAG}, j as (select page_id, product_id, {_SAYS.format('name')} as n, {_SAYS.format('synonyms[1]')} or {_SAYS.format('synonyms[2]')} as y, coalesce(weight, 0) as w from b join p on true left join wt on wt.category = b.category and wt.product_group = p.product_group where name <> 'the and'), s as (select page_id, product_id, round(case when n then 0.38e0 else 0 end + case when y then 0.27e0 else 0 end + 0.22e0 * w, 4) as s from j where n or y) select page_id, product_id, least(s, 0.94e0) as confidence from s where s >= 0.46e0")
 def website_candidates(spark, sf_dir):
-    p = products(spark, sf_dir).select(F.col("id").alias("product_id"), "product_group", F.split("normalized_name", " ")[1].alias("name"), F.split("normalized_name", " ")[0].alias("synonym"))
-    b = load(spark, sf_dir, "pages").select("page_id", F.expr("case page_id % 3 when 0 then 'groceries' when 1 then 'electronics' else 'household' end").alias("category"), F.concat(text.normalize(F.col("html")), F.lit(" ring blue bolt")).alias("bag"))
-    return c.website_candidates(b, p, spark.createDataFrame(WEIGHTS, "category string, product_group string, weight double"), ["gizmo"])
+    """C6 over the pages' own words: names and synonyms are the first words of benchmark items."""
+    w = F.split(text.normalize(F.col("text")), " ")
+    words = lambda a, n: F.array_join(F.slice(w, a, n), " ")
+    p = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("product_id"), F.expr("case item_id % 3 when 0 then 'promo' when 1 then 'small' else 'large' end").alias("product_group"), words(1, 2).alias("name"), F.array(words(3, 1), words(4, 2)).alias("synonyms"))
+    b = load(spark, sf_dir, "pages").select("page_id", F.expr("case page_id % 3 when 0 then 'groceries' when 1 then 'electronics' else 'household' end").alias("category"), text.normalize(F.col("html")).alias("bag"))
+    return c.website_candidates(b, p, spark.createDataFrame(WEIGHTS, "category string, product_group string, weight double"), ["the and"])
+
+
+# Blanks doubled, a phrase with its own pair of blanks overlaps no other find of it, so finds are counted by what is left without them.
+@query(f"with {_PN}, {_BAG}, f as (select distinct concat(' ', replace(phrase, ' ', '  '), ' ') as ph, phrase from (select unnest(list_concat([name], synonyms)) as phrase from p) where phrase <> ''), w as (select page_id, replace(bag, ' ', '  ') as t from b), n as (select page_id, phrase, (length(t) - length(replace(t, ph, ''))) // length(ph) as n from w, f where contains(t, ph)) select page_id, phrase, n from n")
+def page_phrases(spark, sf_dir):
+    """How often each name and synonym stands in each page."""
+    w = F.split(text.normalize(F.col("text")), " ")
+    f = load(spark, sf_dir, "benchmark").select(F.explode(F.array(*[F.array_join(F.slice(w, a, n), " ") for a, n in ((1, 2), (3, 1), (4, 2))])).alias("phrase"))
+    return phrase_hits(load(spark, sf_dir, "pages").select("page_id", text.tokens(text.normalize(F.col("html"))).alias("words")), f)
 
 
 @query(f"{views('est', 'prod')}, {_WEIGHTS}, cats as (select distinct app_category from est), w as (select category as app_category, product_group, weight from wt union all select app_category, 'medium', 0.43e0 from cats where not exists (select 1 from wt where wt.category = app_category and wt.product_group = 'medium')), j as (select est.id as establishment_id, prod.id as product_id, round(least(0.76e0, greatest(0.48e0, 0.82e0 * (weight + case when list_has_any(string_split(lower(name), ' '), string_split(normalized_name, ' ')) then 0.06e0 else 0 end))), 4) as confidence from est join w using (app_category) join prod on prod.product_group = w.product_group), r as (select *, row_number() over (partition by establishment_id order by confidence desc, product_id) as rn from j) select establishment_id, product_id, confidence from r where rn <= 10")

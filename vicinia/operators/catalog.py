@@ -27,6 +27,13 @@ def establishment_detail(est: DataFrame, merged: DataFrame, products: DataFrame,
     return est.where(F.col("id") == establishment_id).join(each, F.col("id") == F.col("establishment_id"), "left").drop("establishment_id")
 
 
+def products_json(est: DataFrame, rows: DataFrame, fields: list[str], order: list) -> DataFrame:
+    """G-A17: each establishment (establishment_id and more) with its rows as a JSON array of objects in order, [] where it has none. Null fields are written."""
+    one = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)], F.struct(*fields).alias("row"))
+    text = F.to_json(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["row"]), {"ignoreNullFields": "false"})
+    return est.join(rows.groupBy("establishment_id").agg(text.alias("products")), "establishment_id", "left").withColumn("products", F.coalesce("products", F.lit("[]")))
+
+
 def edit(old: DataFrame, new: DataFrame, allowed: list[str], key: str = "id") -> tuple[DataFrame, DataFrame]:
     """The table after edits of allowed fields, and events with before and after; one more with added and removed categories where the sets differ."""
     fields = [c for c in allowed if c in new.columns]

@@ -58,9 +58,11 @@ def top_k(merged: DataFrame, k: int = 8, quota_groups: list[str] | None = None,
 
 
 def service_winner(cands: DataFrame) -> DataFrame:
-    """The row of each (establishment, service) with the highest priority, confidence, time and id."""
+    """W4, G-A3: of the rows of each (establishment, service) that are not rejected the one with the highest priority, confidence, time and id, and the sources and ids of all of them."""
     key = F.struct(_weight(F.col("source_type"), SERVICE_PRIORITY), "confidence", "checked_at", "id")
-    return cands.groupBy("establishment_id", "product_id").agg(F.max_by(F.struct("id", "source_type", "confidence", "validation_status"), key).alias("w"), F.array_sort(F.collect_set("source_type")).alias("merged_sources")).select("establishment_id", "product_id", "w.*", "merged_sources")
+    best = F.max_by(F.struct("id", "source_type", "confidence", "validation_status"), key).alias("w")
+    every = [F.array_sort(F.collect_set("source_type")).alias("merged_sources"), F.array_sort(F.collect_list("id")).alias("merged_candidate_ids")]
+    return cands.where("validation_status <> 'rejected'").groupBy("establishment_id", "product_id").agg(best, *every).select("establishment_id", "product_id", "w.*", "merged_sources", "merged_candidate_ids")
 
 
 def strategy_merge(rows: DataFrame) -> DataFrame:

@@ -114,24 +114,12 @@ def alias_bootstrap(spark, sf_dir):
     return c.alias_bootstrap(products(spark, sf_dir))
 
 
-_CAP = "select id, case app_category when 'electronics' then ['repair'] when 'groceries' then ['grocery', 'retail'] when 'household' then ['retail'] else [] end as roles, case when id % 3 = 0 then [osm_category] else [] end as goods, case when id % 4 = 0 then ['Phone Repair', 'Advice'] when id % 4 = 1 then ['Haircut'] else [] end as jobs from est"
-
-
-@query(f"{views('est')}, x as ({_CAP}) select id, len(goods) > 0 or list_has_any(roles, ['retail', 'grocery']) as supports_products, len(jobs) > 0 or list_has_any(roles, ['service', 'repair']) as supports_services, len(list_filter(jobs, lambda j: j ilike '%repair%')) > 0 as supports_repair from x")
-def capability_flags(spark, sf_dir):
-    lit = lambda *xs: F.array(*map(F.lit, xs)).cast("array<string>")
-    cat, n = F.col("app_category"), F.col("id") % 4
-    roles = F.when(cat == "electronics", lit("repair")).when(cat == "groceries", lit("grocery", "retail")).when(cat == "household", lit("retail")).otherwise(lit())
-    goods = F.when(F.col("id") % 3 == 0, F.array("osm_category"))
-    jobs = F.when(n == 0, lit("Phone Repair", "Advice")).when(n == 1, lit("Haircut"))
-    return establishments(spark, sf_dir).select("id", *[x.alias(k) for k, x in c.capabilities(roles, goods, jobs).items()])
-
-
-@query(f"{views('est')} select id, array_to_string(list_sort(list_distinct([lower(replace(osm_category, '_', ' ')), 'shop'])), '|') as likely, round(least(0.92e0, greatest(0.45e0, freshness)), 4) as confidence, least(0.92e0, greatest(0.45e0, freshness)) < 0.82e0 as needs_review from est where osm_category <> 'x'")
+@query(f"{views('est')} select id, array_to_string(list_sort(list_distinct([lower(app_category), replace(lower(osm_category), '_', ' '), 'shop'])), '|') as roles, array_to_string(list_sort(list_distinct([lower(replace(osm_category, '_', ' ')), 'shop'])), '|') as likely, array_to_string(list_sort(list_distinct([lower(app_category2), {NORM.format('name')}])), '|') as unlikely, round(least(0.92e0, greatest(0.45e0, freshness)), 4) as confidence, least(0.92e0, greatest(0.45e0, freshness)) < 0.82e0 as needs_review from (select * replace (replace(app_category, '_', ' ') as app_category, replace(app_category2, '_', ' ') as app_category2) from est)")
 def store_profiles(spark, sf_dir):
-    p = c.profile(F.array("osm_category"), F.array(F.col("osm_category"), F.lit("SHOP"), F.col("osm_category"), F.lit(" ")), F.array().cast("array<string>"), F.col("freshness"))
-    e = establishments(spark, sf_dir)
-    return e.select("id", F.array_join(F.sort_array(p["likely"]), "|").alias("likely"), F.round(p["confidence"], 4).alias("confidence"), p["needs_review"].alias("needs_review"))
+    """All parts of a sanitised profile."""
+    p = c.profile(F.array("app_category", "osm_category", F.lit("Shop"), F.lit(" ")), F.array(F.col("osm_category"), F.lit("SHOP"), F.col("osm_category"), F.lit(" ")), F.array("app_category2", "name", "app_category2"), F.col("freshness"))
+    show = lambda x: F.array_join(F.sort_array(x), "|")
+    return establishments(spark, sf_dir).select("id", show(p["roles"]).alias("roles"), show(p["likely"]).alias("likely"), show(p["unlikely"]).alias("unlikely"), F.round(p["confidence"], 4).alias("confidence"), p["needs_review"].alias("needs_review"))
 
 
 # Searches from events: the term is the event type, an error or a value under 20 found nothing.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vicinia.operators import batch as b
+from vicinia.operators import candidates as c
 from vicinia.operators import search as s
 from vicinia.plans.registry import Registry
 from vicinia.plans.search import _FP, _MIN, _SERVICE, _SPECIFIC, LEX, SERVING_WITH, _serving
@@ -46,9 +47,9 @@ bp as (select * from (select establishment_id, roles, likely_products, likely_se
 
 
 def profiles(spark, sf_dir):
-    c = candidates(spark, sf_dir).join(products(spark, sf_dir).select(F.col("id").alias("product_id"), "normalized_name"), "product_id").join(establishments(spark, sf_dir).select(F.col("id").alias("establishment_id"), "osm_category"), "establishment_id")
+    rows = candidates(spark, sf_dir).join(products(spark, sf_dir).select(F.col("id").alias("product_id"), "normalized_name"), "product_id").join(establishments(spark, sf_dir).select(F.col("id").alias("establishment_id"), "osm_category"), "establishment_id")
     n = lambda x: F.count_if(F.col("validation_status") == x)
-    g = c.groupBy("establishment_id", F.col("source_type").alias("store_type"), "osm_category").agg(
+    g = rows.groupBy("establishment_id", F.col("source_type").alias("store_type"), "osm_category").agg(
         F.slice(F.array_sort(F.collect_set(F.when(F.col("validation_status") == "validated", F.col("normalized_name")))), 1, 3).alias("likely_products"),
         F.max("confidence").alias("confidence"),
         F.when(2 * n("validated") > F.count("*"), "validated").when(2 * n("rejected") > F.count("*"), "rejected").otherwise("likely").alias("validation_status"),
@@ -95,6 +96,27 @@ def best_profile(spark, sf_dir):
     return s.best_profiles(_profiles(spark, sf_dir)).select("establishment_id", show("roles"), show("likely_products"), show("likely_services"))
 
 
+_ASKED = "qs(query) as (values ('phone repair'), ('blue anvil'), ('cold hammer'))"
+
+
+@query(f"{views('est', 'prod', 'cand')}, {_PROFILES}, {_ASKED}, x as (select est.id, query, roles, likely_products, likely_services from est left join bp on bp.establishment_id = est.id, qs) select id, query, coalesce(list_contains(roles, 'sells_services'), false) or {_MEETS('likely_services')} as supports, roles is not null and not coalesce(list_contains(roles, 'sells_products'), false) and not {_MEETS('likely_products')} as contradicts from x")
+def profile_judgement(spark, sf_dir):
+    """F16: what each store's best profile says about some queries."""
+    p = F.col("profile")
+    e = establishments(spark, sf_dir).select(F.col("id").alias("establishment_id"))
+    x = s.with_profiles(e, _profiles(spark, sf_dir)).withColumn("query", F.explode(F.array(*map(F.lit, ("phone repair", "blue anvil", "cold hammer")))))
+    return x.select(F.col("establishment_id").alias("id"), "query", s.profile_supports(p["likely_services"], p["roles"], F.col("query"), ["sells_services"]).alias("supports"), s.profile_contradicts(p.isNotNull(), p["likely_products"], p["roles"], F.col("query"), ["sells_products"]).alias("contradicts"))
+
+
+@query(f"{views('est', 'prod', 'cand')}, {_PROFILES} select id, coalesce(len(likely_products) > 0, false) as supports_products, coalesce(len(likely_services) > 0, false) as supports_services, coalesce(len(list_filter(likely_services, lambda j: j ilike '%repair%')) > 0, false) as supports_repair from est left join bp on bp.establishment_id = id")
+def capability_flags(spark, sf_dir):
+    """What the best profile of each store supports."""
+    p = F.col("profile")
+    rows = s.with_profiles(establishments(spark, sf_dir).select(F.col("id").alias("establishment_id")), _profiles(spark, sf_dir))
+    flags = c.capabilities(p["roles"], p["likely_products"], p["likely_services"])
+    return rows.select(F.col("establishment_id").alias("id"), *[F.coalesce(x, F.lit(False)).alias(k) for k, x in flags.items()])
+
+
 _NC = "(contains(normalized_name, query) or contains(query, normalized_name))"
 _RANK = f"case when normalized_name = query then 100000 when {_NC} then 50000 when near then 8000 else 0 end + 2000 * cast(confidence as double) + case validation_status when 'validated' then 1500 when 'likely' then 700 when 'rejected' then -10000 else 0 end + 230 * {_SR.format('primary_source')} + 280 * est_freshness - case when osm_category in ('mall', 'department_store') then 1800 else 0 end - m - 2"
 _BATCH = f"""{SERVING_WITH}, {_SEARCHES}, {_PROFILES},
@@ -116,8 +138,7 @@ def _found(spark, sf_dir):
 @query(f'{_BATCH} select search_id, establishment_id, product_id, strategy, round(m, 1) as distance_m, round("rank", 2) as "rank", nth from best where nth <= 80')
 def search_batch(spark, sf_dir):
     """Q10 for all users' searches of all days, each with its own place, radius, query and intent, through the chain of plausibility."""
-    c = F.col
-    return _found(spark, sf_dir).select("search_id", "establishment_id", "product_id", "strategy", F.round("distance_m", 1).alias("distance_m"), F.round("rank", 2).alias("rank"), c("nth").cast("long").alias("nth"))
+    return _found(spark, sf_dir).select("search_id", "establishment_id", "product_id", "strategy", F.round("distance_m", 1).alias("distance_m"), F.round("rank", 2).alias("rank"), F.col("nth").cast("long").alias("nth"))
 
 
 @query(

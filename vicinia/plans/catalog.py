@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from vicinia.operators import catalog as k
 from vicinia.operators import search as s
+from vicinia.operators import seeding as sd
 from vicinia.operators.candidates import alias_bootstrap
 from vicinia.plans.analytics import _RULES, _rules
 from vicinia.plans.merging import _CONF, _ORDER, _Q, _STATUS, _W, MERGED_WITH, merged
 from vicinia.plans.registry import Registry
 from vicinia.plans.search import SERVING_WITH
+from vicinia.plans.text_geo import NORM
 from vicinia.sources import osm
 from vicinia.sources.tables import candidates, establishments, load, products, views
 
@@ -169,16 +171,91 @@ def district_refresh(spark, sf_dir):
     return refresh("a", e, _rules(spark), products(spark, sf_dir), x, merged(spark, sf_dir), 8, ["promo", "small"])[1]
 
 
-_NAMES = "case p_partkey % 4 when 0 then 'Zebra' when 1 then 'Äpfel' when 2 then 'apfel' else 'öl' end"
+_NAMES = "case p_partkey % 3 when 0 then translate(p_name, 'aou', 'äöü') when 1 then upper(p_name) else p_name end"
 
 
-@query(f"select cast(n as bigint) as n, name from (values (1, 'apfel'), (2, 'Äpfel'), (3, 'öl'), (4, 'Zebra')) t(n, name)")
+@query(f"select row_number() over (order by name collate de, name) as n, name from (select distinct {_NAMES} as name from part)")
 def locale_order(spark, sf_dir):
-    """Names in German order, numbered in that order."""
-    from pyspark.sql import Window
+    """The catalogue's names in German order, numbered in that order."""
+    from vicinia.operators.ordering import numbered
 
     names = load(spark, sf_dir, "part").selectExpr(f"{_NAMES} as name").distinct()
-    return names.select(F.row_number().over(Window.orderBy(*k.locale_keys("name"))).cast("long").alias("n"), "name")
+    return numbered(names, k.locale_keys("name")).select("n", "name")
+
+
+_SEEDS = {
+    "product_id": "p_partkey",
+    "group_key": "lower(p_type)",
+    "normalized_name": "lower(p_name)",
+    "display_name_en": "p_name",
+    "display_name_de": "case when p_partkey % 3 = 0 then upper(p_name) end",
+    "display_name_es": "case when p_partkey % 4 = 0 then concat(p_name, ' es') end",
+}
+
+
+def _seeds(spark, sf_dir):
+    entry = "named_struct('lang', {0}, 'term', {1}, 'priority', cast({2} as double), 'is_active', {3})"
+    more = {
+        "synonyms": "split(p_name, ' ')",
+        "aliases": f"array({entry.format(chr(39) + 'DE' + chr(39), 'p_brand', 'p_size * 3.0', 'p_size % 2 = 0')}, {entry.format('null', 'lower(p_brand)', 'null', 'null')})",
+        "facets": "array(p_brand, upper(p_type), ' ')",
+        "use_cases": f"case when p_partkey % 2 = 0 then array({entry.format('null', 'p_container', 'null', 'null')}, {entry.format(chr(39) + 'en' + chr(39), 'lower(p_container)', '-5', 'false')}) end",
+    }
+    p = load(spark, sf_dir, "part").withColumn("p_container", F.expr("concat('for ', p_type)"))
+    return p.selectExpr(*[f"{e} as {n}" for n, e in (_SEEDS | more).items()], "p_size as priority")
+
+
+_SEED_ROWS = "select p_partkey as product_id, 'und' as lang, lower(p_name) as alias, 100 as priority, true as is_active, 0 as pos from part union all select p_partkey, 'en', p_name, 90, true, 1 from part union all select p_partkey, 'de', upper(p_name), 90, true, 2 from part where p_partkey % 3 = 0 union all select p_partkey, 'es', concat(p_name, ' es'), 90, true, 3 from part where p_partkey % 4 = 0 union all select p_partkey, 'und', w, 75, true, 4 + i from (select p_partkey, unnest(string_split(p_name, ' ')) as w, unnest(range(len(string_split(p_name, ' ')))) as i from part) union all select p_partkey, 'de', p_brand, least(100, floor(p_size * 3.0 + 0.5)), p_size % 2 = 0, 50 from part union all select p_partkey, 'und', lower(p_brand), 70, true, 51 from part"
+_SEED_ALIAS = f"sa as (select product_id, lang, alias, cast(priority as integer) as priority, is_active from (select *, row_number() over (partition by product_id, lang, lower(alias) order by pos) as rn from ({_SEED_ROWS})) where rn = 1)"
+_SEED_FACET = "sf as (select distinct product_id, facet from (select p_partkey as product_id, unnest([lower(p_type), lower(p_brand)]) as facet from part))"
+_SEED_USE = "su as (select p_partkey as product_id, 'und' as lang, concat('for ', p_type) as use_case, 65 as priority, true as is_active from part where p_partkey % 2 = 0 union all select p_partkey, 'en', concat('for ', lower(p_type)), 0, false from part where p_partkey % 2 = 0)"
+
+
+@query(f"with {_SEED_ALIAS}, {_SEED_FACET}, {_SEED_USE} select 'alias' as kind, product_id, lang, alias as value, priority, is_active from sa union all select 'facet', product_id, null, facet, null, null from sf union all select 'use_case', product_id, lang, use_case, priority, is_active from su")
+def seed_children(spark, sf_dir):
+    """Aliases, facets and use cases of the whole catalogue."""
+    x = _seeds(spark, sf_dir)
+    row = lambda df, kind, value, own: df.select(F.lit(kind).alias("kind"), "product_id", F.col("lang") if own else F.lit(None).cast("string").alias("lang"), F.col(value).alias("value"), F.col("priority") if own else F.lit(None).cast("int").alias("priority"), F.col("is_active") if own else F.lit(None).cast("boolean").alias("is_active"))
+    return row(sd.seed_aliases(x), "alias", "alias", True).unionByName(row(sd.seed_facets(x), "facet", "facet", False)).unionByName(row(sd.seed_use_cases(x), "use_case", "use_case", True))
+
+
+_SAMPLE = "{0} as (select product_id, array_to_string(list(v order by rn), '|') as {0}, count(*) as {0}_count from (select product_id, v, row_number() over (partition by product_id order by p desc, v) as rn from (select product_id, {2} as v, max({3}) as p from {1} group by 1, 2)) where rn <= {4} group by 1)"
+
+
+@query(
+    f"{MERGED_WITH}, {_SEED_ALIAS}, {_SEED_FACET}, {_SEED_USE}, {_SAMPLE.format('aliases', 'sa', 'alias', 'priority', 8)}, {_SAMPLE.format('facets', 'sf', 'facet', '0', 6)}, {_SAMPLE.format('use_cases', 'su', 'use_case', 'priority', 5)}, st as (select product_id, count(*) as store_count from mrg where validation_status <> 'rejected' group by 1), "
+    "f as (select prod.id as product_id, product_group as \"group\", priority, normalized_name, coalesce(store_count, 0) as store_count, coalesce(aliases, '') as aliases, coalesce(aliases_count, 0) as aliases_count, coalesce(facets, '') as facets, coalesce(use_cases, '') as use_cases from prod left join st on st.product_id = prod.id left join aliases a on a.product_id = prod.id left join facets c on c.product_id = prod.id left join use_cases u on u.product_id = prod.id) "
+    "select product_id, \"group\", store_count, aliases, aliases_count, facets, use_cases from f order by priority desc, store_count desc, aliases_count desc, normalized_name, product_id limit 320"
+)
+def family_connections(spark, sf_dir):
+    """G-A12: samples of aliases, facets and use cases."""
+    x = _seeds(spark, sf_dir)
+    rows = sd.family_connections(x.select("product_id", "group_key", F.col("group_key").alias("product_group"), "normalized_name", "priority"), sd.seed_aliases(x), sd.seed_facets(x), sd.seed_use_cases(x), merged(spark, sf_dir).where("validation_status <> 'rejected'"))
+    show = lambda c: F.array_join(c, "|").alias(c)
+    return rows.select("product_id", "group", "store_count", show("aliases"), "aliases_count", show("facets"), show("use_cases"))
+
+
+@query(
+    f"with v as (select lower(p_type) as grp, concat(p_name, case when p_partkey % 5 = 0 then '!' else '' end) as term, {NORM.format('p_name')} as n from part union all select 'nothing', null, null union all select 'blank', '?!', ''), t as (select p_name as wrong, case p_partkey % 4 when 0 then p_name when 1 then concat(p_name, 's') when 2 then '' else string_split(p_name, ' ')[1] end as \"right\" from part), tn as (select *, {NORM.format('wrong')} as w, {NORM.format(chr(34) + 'right' + chr(34))} as r from t), "
+    "k as (select n as x from v union select unnest(string_split(n, ' ')) from v union select 'misc'), "
+    "z as (select 'group_without_terms' as issue, 'error' as severity, grp as subject, null as detail from v group by grp having count(term) = 0 union all select 'empty_term', 'error', grp, term from v where term is not null and n = '' union all select 'duplicate_term', 'error', n, grp from v where n <> '' group by grp, n having count(*) > 1 union all select 'term_in_several_groups', 'warning', n, array_to_string(list_sort(list(distinct grp)), '|') from v where n <> '' group by n having count(distinct grp) > 1 "
+    "union all select 'empty_typo', 'error', wrong, \"right\" from tn where w = '' or r = '' union all select 'typo_of_itself', 'warning', w, r from tn where w <> '' and w = r union all select 'unknown_typo_target', 'error', w, r from tn where w <> '' and r <> '' and r not in (select x from k where x is not null)) select issue, severity, subject, detail from z"
+)
+def vocabulary_lint(spark, sf_dir):
+    """G-A24: all that is wrong with a vocabulary of the whole catalogue and with its corrections."""
+    p = load(spark, sf_dir, "part")
+    v = p.select(F.lower("p_type").alias("group"), F.expr("concat(p_name, case when p_partkey % 5 = 0 then '!' else '' end)").alias("term"))
+    v = v.unionByName(spark.createDataFrame([("nothing", None), ("blank", "?!")], "group string, term string"))
+    t = p.select(F.col("p_name").alias("wrong"), F.expr("case p_partkey % 4 when 0 then p_name when 1 then concat(p_name, 's') when 2 then '' else split(p_name, ' ')[0] end").alias("right"))
+    return sd.vocabulary_lint(v, ["misc"], [], t)
+
+
+@query(f"""{SERVING_WITH}, j as (select establishment_id, concat('[', string_agg(concat('{{"product_id":', product_id, ',"normalized_name":"', normalized_name, '","confidence":', confidence, ',"website":', coalesce('"' || website || '"', 'null'), '}}'), ',' order by confidence desc, normalized_name, product_id), ']') as products from srv where product_group <> 'promo' and confidence >= 0.9 group by 1) select id as establishment_id, coalesce(products, '[]') as products from est left join j on j.establishment_id = id""")
+def products_json(spark, sf_dir):
+    """G-A17: the surest products of each establishment as a JSON array, [] where there is none."""
+    v = s.serving(merged(spark, sf_dir), establishments(spark, sf_dir), products(spark, sf_dir)).where("product_group <> 'promo' and confidence >= 0.9")
+    e = establishments(spark, sf_dir).select(F.col("id").alias("establishment_id"))
+    return k.products_json(e, v, ["product_id", "normalized_name", "confidence", "website"], [-F.col("confidence"), F.col("normalized_name"), F.col("product_id")])
 
 
 @query(f"{SERVING_WITH} select concat('candidate_', establishment_id, '_', product_id, '_', primary_source) as offer_id, cast(confidence as double) as confidence, name as store_name, coalesce(website, 'https://source.example') as website, case when product_id % 2 = 0 then upper(normalized_name) else normalized_name end as product_name from srv")

@@ -63,9 +63,11 @@ def merge_top_k_quota(spark, sf_dir):
 _SP = "case source_type when 'merchant_added' then 6 when 'website_extracted' then 4 when 'imported' then 3 when 'rules_generated' then 2 else 1 end"
 
 
-@query(f"{views('cand')}, r as (select *, row_number() over (partition by establishment_id, product_id order by {_SP} desc, confidence desc, checked_at desc, id desc) as rn from cand) select establishment_id, product_id, id, source_type, confidence from r where rn = 1")
+@query(f"{views('cand')}, r as (select *, row_number() over (partition by establishment_id, product_id order by {_SP} desc, confidence desc, checked_at desc, id desc) as rn from cand where validation_status <> 'rejected'), g as (select establishment_id, product_id, array_to_string(list_sort(list(distinct source_type)), '|') as sources, array_to_string(list_sort(list(id)), '|') as ids from r group by 1, 2) select r.establishment_id, r.product_id, id, source_type, confidence, sources, ids from r join g on g.establishment_id = r.establishment_id and g.product_id = r.product_id where rn = 1")
 def merge_services(spark, sf_dir):
-    return m.service_winner(candidates(spark, sf_dir)).select("establishment_id", "product_id", "id", "source_type", "confidence")
+    """W4, G-A3."""
+    show = lambda c: F.array_join(F.col(c).cast("array<string>"), "|")
+    return m.service_winner(candidates(spark, sf_dir)).select("establishment_id", "product_id", "id", "source_type", "confidence", show("merged_sources").alias("sources"), show("merged_candidate_ids").alias("ids"))
 
 
 @query(f"{views('cand')}, r as (select establishment_id, product_id, id, (id % 4) * 1000000 + {_ST} * 100000 + {_SR.format('source_type')} * 10000 + floor(confidence * 1000 + 0.5) as score from cand), k as (select *, row_number() over (partition by establishment_id, product_id order by score desc, id) as rn from r) select establishment_id, product_id, id, cast(score as bigint) as score from k where rn = 1")

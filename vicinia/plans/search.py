@@ -335,16 +335,6 @@ def service_intent_products(spark, sf_dir):
     return merged(spark, sf_dir).join(p, "product_id").select("establishment_id", "product_id", s.keep_under_service_intent(F.col("normalized_name").contains("blue"), trusted, F.col("confidence")).alias("keep"))
 
 
-@query(f"{views('est')}, x as (select id, case when id % 3 = 0 then ['repair'] when id % 3 = 1 then ['retail'] else [] end as roles, case when id % 4 = 0 then ['phone repair'] else [] end as jobs, case when id % 5 = 0 then ['fix my phone'] else [] end as goods, id % 7 <> 0 as found from est) select id, list_has_any(roles, ['repair']) or len(jobs) > 0 as supports, found and not list_has_any(roles, ['retail']) and len(goods) = 0 as contradicts from x")
-def profile_judgement(spark, sf_dir):
-    """F16 for the query phone repair."""
-    lit = lambda *xs: F.array(*map(F.lit, xs)).cast("array<string>")
-    n = F.col("id")
-    roles = F.when(n % 3 == 0, lit("repair")).when(n % 3 == 1, lit("retail")).otherwise(lit())
-    q, jobs, goods = F.lit("phone repair"), F.when(n % 4 == 0, lit("phone repair")), F.when(n % 5 == 0, lit("phone repairs"))
-    return establishments(spark, sf_dir).select("id", s.profile_supports(jobs, roles, q, ["repair"]).alias("supports"), s.profile_contradicts(n % 7 != 0, goods, roles, q, ["retail"]).alias("contradicts"))
-
-
 @query("select item_id, array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(strip_accents(lower(text)), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda x: x <> '' and x not in ('near', 'me', 'in'))[1:4], ' ') as query from benchmark")
 def sanitized_query(spark, sf_dir):
     """Q9."""

@@ -76,7 +76,18 @@ def geo_path_length(spark, sf_dir):
     return establishments(spark, sf_dir).select("id", F.round(geo.path_length(route), 2).alias("route_m"))
 
 
-@query()
+_CORNER = "lat + {0} * cos({1}) / 111320e0 as a{2}, lon + {0} * sin({1}) / (111320e0 * greatest(0.1e0, abs(cos(radians(lat))))) as o{2}"
+_WOB = "500 * (1 + 0.05e0 * sin(3 * {0}))"
+_ARC = "(({0}) * (2 * pi() / 72))"
+
+
+@query(
+    f"{views('est')}, st as (select id, lat, lon, unnest(range(72)) as i from est), co as (select id, {_CORNER.format(_WOB.format(_ARC.format('i')), _ARC.format('i'), 1)}, {_CORNER.format(_WOB.format(_ARC.format('i + 1')), _ARC.format('i + 1'), 2)} from st), rg as (select id, sum({hav('a1', 'o1', 'a2', 'o2')}) as ring from co group by 1), "
+    f"pt as (select id, 52.5e0 as a0, 13.4e0 as o0, (52.5e0 + lat) / 2 as a1, (13.4e0 + lon) / 2 + 0.06e0 * (lat - 52.5e0) as o1, lat as a2, lon as o2 from est), ln as (select *, {hav('a0', 'o0', 'a1', 'o1')} as l1, {hav('a1', 'o1', 'a2', 'o2')} as l2 from pt), "
+    "fr as (select *, case when l1 > 0 then least(1e0, 1000e0 / l1) else 1e0 end as f1, case when l2 > 0 then least(1e0, greatest(0e0, 1000e0 - l1) / l2) else 1e0 end as f2 from ln), "
+    f"cu as (select id, {hav('a0', 'o0', 'a0 + (a1 - a0) * f1', 'o0 + (o1 - o0) * f1')} as d1, case when l1 >= 1000 then 0 else {hav('a1', 'o1', 'a1 + (a2 - a1) * f2', 'o1 + (o2 - o1) * f2')} end as d2 from fr) "
+    "select rg.id, 73 as corners, round(ring, 1) as ring_m, round(d1 + d2, 1) as sliced_m from rg join cu on cu.id = rg.id"
+)
 def geo_polygon_and_slice(spark, sf_dir):
     route = geo.fallback_route(F.lit(52.5), F.lit(13.4), F.col("lat"), F.col("lon"))
     ring = geo.radius_polygon(F.col("lat"), F.col("lon"), F.lit(500.0), wobble=0.05)

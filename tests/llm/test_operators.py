@@ -243,6 +243,27 @@ def test_decontamination_finds_windows_between_offsets(spark):
     assert best >= 0.8 and got == {(1, 7): pytest.approx(best)}
 
 
+def test_decontamination_of_items_with_a_common_opening(spark, monkeypatch):
+    """Items and documents that share an opening, and nothing else, bring no rows together; real copies are still found."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    opening = [word() for _ in range(14)]
+    items = [(i, " ".join(opening + [word() for _ in range(30)])) for i in range(400)]
+    rows = [(i, " ".join([word() for _ in range(5)] + opening + [word() for _ in range(30)])) for i in range(400)]
+    rows += [(1_000 + i, "before it " + items[i][1] + " and after") for i in range(5)]
+    sizes, real = Counter(), decontaminate.materialize
+
+    def counted(df, name, *more):
+        out = real(df, name, *more)
+        sizes[name] += out.count()
+        return out
+
+    monkeypatch.setattr(decontaminate, "materialize", counted)
+    got = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(x.doc_id, x.item_id) for x in got.collect()} == {(1_000 + i, i) for i in range(5)}
+    assert sizes["met"] < 100 and sizes["anchors"] < 10_000 and sizes["windows"] < 1_000
+
+
 def test_decontamination_keeps_all_texts_of_an_item_id(spark):
     a, b = ("alpha beta gamma delta epsilon zeta eta theta", "one two three four five six seven eight nine")
     bench = spark.createDataFrame([(1, a, "x"), (1, b, "y"), (1, b, "y"), (None, a, "x")], "item_id long, text string, similarity string")

@@ -6,10 +6,13 @@ RADIUS agree on some block up to RADIUS // 4 bits (pigeonhole), so the equi-join
 al., 2012). Candidates are then checked exactly: the weight of the item's shingles that the window holds, over the weight
 of all of them, a shingle weighing ln(1 + items / items that hold it).
 
-Of all windows only those are fingerprinted that can hold most of an item's weight. A window that holds some of an item's shingles
-holds them either all at one offset, and then the window at that offset holds them too; or at several, and
-then so does the window that starts at the first of them. So windows start at each offset at which document and item share a
-shingle, and at each shared shingle that another offset follows within an item's length. A window found by any item meets all items.
+Of all windows only those are fingerprinted that can hold enough of an item's weight. An item's heaviest shingles, the ones that fewest items
+hold, are taken until they weigh more than a window may lack: each window that passes holds one of these, so documents meet items by them
+alone, and a phrase that many items open with brings nothing together. Around such a place all of the item's shingles are looked up. A
+window that passes holds them either all at one offset, and then the window at that offset holds them too; or at several, and then so does
+the window that starts at the first of them. So windows start at each such offset, and at each shared shingle that another offset follows
+within an item's length. A window meets all items of its size by the index: of pairs that have nothing in common, 0.42 rows each meet in some
+block and 1.2 % lie within the radius, so the work grows with windows that hold a rare shingle times items of one size.
 """
 
 from __future__ import annotations
@@ -17,13 +20,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vicinia.llm.common import keep_ids, let, materialize, word_array
+from vicinia.llm.common import discard, keep_ids, let, materialize, word_array
 
 #: Fingerprints up to so many bits apart are candidates. Of windows that have just the similarity 0.8 some 13 bits differ, with a
 #: deviation of about 3.3; a test holds the share that lies within the radius to 0.995.
 RADIUS = 23
 BLOCKS, BITS = 4, 16
-#: Item shingles that are sent to all tasks, 40 bytes each; with more the join is a shuffle, dealt by SALT as well as by shingle.
+#: Rare item shingles that are sent to all tasks, 40 bytes each; with more the join is a shuffle, dealt by SALT as well as by shingle.
 BROADCAST_SPOTS, SALT = 200_000, 16
 
 
@@ -64,22 +67,39 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, similarity:
     items = items.withColumn("k", F.least(F.size("words"), F.lit(n))).withColumn("item", F.xxhash64("item_id", "words"))
     shingled = items.select("item", "item_id", "k", F.size("words").alias("len"), "words", shingles(F.col("words"), F.col("k")).alias("s"))
     shingled = materialize(shingled, "items")
+    n_items = shingled.count()
     spots = materialize(shingled.select("item", "k", "len", F.posexplode("s").alias("ipos", "h")), "spots")
-    n_spots, n_items = spots.count(), shingled.count()
+    own = spots.select("item", "h", "k", "len").distinct()
+    weights = own.join(own.groupBy("h").agg(F.count("*").alias("df")), "h").withColumn("w", F.log(1 + F.lit(float(n_items)) / F.col("df")))
+    weights = materialize(weights.select("item", "h", "k", "len", "w"), "weights")
+    heavy = Window.partitionBy("item").orderBy(F.desc("w"), "h").rowsBetween(Window.unboundedPreceding, -1)
+    before, total = F.coalesce(F.sum("w").over(heavy), F.lit(0.0)), F.sum("w").over(Window.partitionBy("item"))
+    # Of what may be lacking a hair more, so that rounding loses none.
+    rare = weights.withColumn("rare", before <= (1 - similarity) * total * (1 + 1e-9)).where("rare").select("item", "h", "k", "len")
+    rare = materialize(rare, "rare")
+    n_rare = rare.count()
 
     texts = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    found = None
+    met = None
     for k in range(1, n + 1):  # shingle lengths: n, and those of items that are shorter
         if k < n and shingled.where(F.col("k") == k).isEmpty():
             continue
-        mine = spots.where(F.col("k") == k).select("h", "item", "ipos", "len")
+        mine = rare.where(F.col("k") == k).select("h", "item", "len", "k")
         seen = texts.select("doc_id", F.posexplode(shingles(word_array(F.col("text")), k)).alias("pos", "h"))
-        if n_spots <= BROADCAST_SPOTS:
+        if n_rare <= BROADCAST_SPOTS:
             at = seen.join(F.broadcast(mine), "h")
         else:
             at = seen.withColumn("salt", F.pmod("pos", F.lit(SALT))).join(mine.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), ["h", "salt"])
-        at = at.select("doc_id", "item", "len", "pos", (F.col("pos") - F.col("ipos")).alias("offset"))
-        found = at if found is None else found.unionByName(at)
+        at = at.select("doc_id", "item", "len", "k", F.floor(F.col("pos") / F.col("len")).cast("int").alias("region"))
+        met = at if met is None else met.unionByName(at)
+    met = materialize(met.distinct(), "met")
+    # All of the item's shingles in the region, of an item's length, and in those beside it: no window with a place in it reaches further.
+    worded = keep_ids(texts, met.select("doc_id").distinct(), "doc_id").select("doc_id", word_array(F.col("text")).alias("words"))
+    first = F.greatest(F.lit(0), (F.col("region") - 1) * F.col("len"))
+    part = F.slice("words", first + 1, (F.col("region") + 2) * F.col("len") - first + F.col("k") - 1)
+    around = worded.join(met, "doc_id").select("doc_id", "item", "len", "k", first.alias("first"), part.alias("part"))
+    around = around.select("doc_id", "item", "len", "first", F.posexplode(shingles(F.col("part"), F.col("k"))).alias("at", "h"))
+    found = around.join(spots.select("item", "h", "ipos"), ["item", "h"]).select("doc_id", "item", "len", (F.col("first") + F.col("at")).alias("pos"), (F.col("first") + F.col("at") - F.col("ipos")).alias("offset"))
     found = materialize(found.distinct(), "anchors")
     # Anchors of an item in a document in order of place; a change of offset makes those before it, within an item's length, starts as well.
     there = Window.partitionBy("doc_id", "item")
@@ -92,24 +112,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, similarity:
     ids = places.select("doc_id").distinct()
     near = keep_ids(texts, ids, "doc_id").select("doc_id", word_array(F.col("text")).alias("words"))
     windows = near.join(places, "doc_id").select("doc_id", "start", "len", F.slice("words", F.col("start") + 1, F.col("len")).alias("w"))
-    windows = materialize(windows.withColumn("key", F.sha2(F.concat_ws(" ", "w"), 256)), "windows")
-    distinct = materialize(windows.groupBy("key").agg(F.max("w").alias("w")), "distinct")
+    windows = materialize(windows.withColumn("key", F.sha2(F.concat_ws(" ", F.col("len").cast("string"), F.array_join("w", " ")), 256)), "windows")
+    distinct = materialize(windows.groupBy("key", "len").agg(F.max("w").alias("w")), "distinct")
     prints = materialize(distinct.join(simhashes(distinct, "key", "w"), "key"), "prints")
-    index_of_items = simhashes(shingled, "item", "words").withColumnRenamed("fp", "ifp")
+    index_of_items = simhashes(shingled, "item", "words").withColumnRenamed("fp", "ifp").join(shingled.select("item", "len"), "item")
 
     def blocks(fp: str) -> Column:
         return F.explode(F.array(*[F.struct(F.lit(b).alias("block"), F.shiftrightunsigned(fp, BITS * b).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int").alias("value")) for b in range(BLOCKS)]))
 
     masks = F.array(*map(F.lit, _masks(radius // BLOCKS)))
-    index = index_of_items.select("item", "ifp", blocks("ifp").alias("x"))
-    index = index.select("item", "ifp", F.col("x.block").alias("block"), F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("x.value")))).alias("value"))
-    probes = prints.select("key", "fp", blocks("fp").alias("x")).select("key", "fp", F.col("x.block").alias("block"), F.col("x.value").alias("value"))
-    close = probes.join(index, ["block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= radius).select("key", "item").distinct()
+    index = index_of_items.select("item", "len", "ifp", blocks("ifp").alias("x"))
+    index = index.select("item", "len", "ifp", F.col("x.block").alias("block"), F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("x.value")))).alias("value"))
+    probes = prints.select("key", "len", "fp", blocks("fp").alias("x")).select("key", "len", "fp", F.col("x.block").alias("block"), F.col("x.value").alias("value"))
+    close = probes.join(index, ["len", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= radius).select("key", "item").distinct()
 
-    holders = spots.select("item", "h").distinct().groupBy("h").agg(F.count("*").alias("df"))
-    weighed = spots.select("item", "h", "k", "len").distinct().join(holders, "h").groupBy("item").agg(F.first("k").alias("k"), F.first("len").alias("len"), F.collect_list(F.struct("h", F.log(1 + F.lit(float(n_items)) / F.col("df")).alias("w"))).alias("s"))
+    weighed = weights.groupBy("item").agg(F.first("k").alias("k"), F.first("len").alias("len"), F.collect_list(F.struct("h", "w")).alias("s"))
     held = close.join(prints.select("key", "w"), "key").join(weighed, "item").withColumn("ws", shingles(F.col("w"), F.col("k")))
     total = lambda s: F.aggregate(s, F.lit(0.0), lambda a, x: a + x["w"])
     held = held.select("key", "item", "len", (total(F.filter("s", lambda x: F.array_contains("ws", x["h"]))) / total(F.col("s"))).alias("similarity")).where(F.col("similarity") >= similarity)
     held = held.join(shingled.select("item", "item_id"), "item")
-    return windows.select("doc_id", "key", "len", "start").join(held, ["key", "len"]).groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), F.countDistinct("start").alias("n_windows"))
+    leaks = windows.select("doc_id", "key", "len", "start").join(held, ["key", "len"]).groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), F.countDistinct("start").alias("n_windows"))
+    leaks = materialize(leaks, "leaks")
+    discard(docs.sparkSession, shingled, spots, weights, rare, met, found, places, windows, distinct, prints)
+    return leaks

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vicinia.llm import decontaminate, jaccard_join, mixing, pii, toxicity
-from vicinia.llm.common import drop_ids, keep_ids, load, materialize, word_array
+from vicinia.llm.common import drop_ids, keep_ids, load, materialize, remove, word_array
 from vicinia.llm.queries import PII_KEY
 
 
@@ -41,7 +41,7 @@ def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with pseudonyms in place of personal data; n_chars follows the text. Each row for itself; null and empty texts stay as they are."""
-    done = pii.pseudonymize(docs, PII_KEY, day_first=True)
+    done = pii.pseudonymize(docs, PII_KEY)
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return done.select(*docs.columns)
@@ -65,7 +65,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
+    docs, last = load(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        if last is not None:  # nothing reads the stage before any more
+            remove(spark, last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -187,7 +187,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.9
     reps = materialize(reps.select("rep", "unit", "weight", "first"), "vectors")  # written, so the numbers stay
     n = reps.count()
     k, tables = shape(n, cosine, recall)
-    coded = materialize(reps.mapInArrow(_codes(k, tables, seed), "rep long, unit binary, weight long, codes binary, sketch binary, step double, off_by double"), "codes").withColumn("dim", (F.octet_length("unit") / 8).cast("int"))
+    codes = materialize(reps.mapInArrow(_codes(k, tables, seed), "rep long, unit binary, weight long, codes binary, sketch binary, step double, off_by double"), "codes")
+    coded = codes.withColumn("dim", (F.octet_length("unit") / 8).cast("int"))
 
     slots = F.expr(f"transform(sequence(0, {tables - 1}), t -> named_struct('t', t, 'code', substring(codes, t * 4 + 1, 4)))")
     dealt = coded.select("rep", "dim", F.explode(slots).alias("s")).select("rep", "dim", F.col("s.t").alias("t"), F.col("s.code").alias("code"))
@@ -216,4 +217,6 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.9
     per = reps.join(links, "rep", "left").join(comp, "rep", "left")
     per = per.select("unit", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n"), F.coalesce("c", "first").alias("c"))
     out = units.join(per, "unit", "left").select("vec_id", F.when(F.col("vec_id").isNull(), 0).otherwise(F.coalesce("n", F.lit(0))).cast("long").alias("n_links"), F.when(F.col("vec_id").isNotNull(), F.coalesce("c", "vec_id")).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    out = materialize(out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))), "result")
+    discard(spark, units, reps, codes, found)
+    return out

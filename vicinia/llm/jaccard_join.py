@@ -421,6 +421,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, similarity_percent: int = 80
     placed = rows.join(per, "cell").select("node", "s", F.lit(0).alias("side"), F.col("node").alias("label"), "cell", F.explode(F.when(shared, F.sequence(F.lit(0), F.col("k") - 1)).otherwise(F.array(home))).alias("i"))
     placed = placed.select("node", "s", "side", "label", "cell", F.xxhash64("cell", "i").alias("part"))
 
+    linked: list[DataFrame] = []
+
     def met(placed: DataFrame) -> DataFrame:
         asked = placed.join(lists, "node").select("part", "cell", "side", "label", "node", "s", "runs", "ms", "cells")
         asked = asked.repartition(partitions_for(spark, dealt.count(), 100_000), "part").sortWithinPartitions("part", "node")
@@ -431,6 +433,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, similarity_percent: int = 80
         full = full.repartition(partitions_for(spark, weight, 4_000_000), "part").sortWithinPartitions("part", "node")
         out = materialize(full.mapInArrow(_met(n, t, hot_bc), "a long, b long"), "linked")
         discard(spark, left)
+        linked.append(out)
         return out
 
     links = met(placed)
@@ -457,6 +460,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, similarity_percent: int = 80
     component = connected_components(links.unionByName(several)).join(nodes.select("node", "doc_id"), "node")
     component = component.join(component.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("node", "component_id")
     groups = materialize(nodes.join(component, "node", "left").select("k1", "k2", F.coalesce("component_id", "doc_id").alias("component_id")), "groups")
-    remove(spark, runs, able, dealt, per)
-    return every.join(groups, ["k1", "k2"], "left").select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
-
+    out = every.join(groups, ["k1", "k2"], "left").select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = materialize(out, "components")
+    remove(spark, survey, twice, nodes, runs, able, dealt, per, groups, *linked)
+    return out

@@ -147,7 +147,7 @@ def _late(m: Column, key: str, reverse: bool) -> Column:
     return F.when((nth >= 0) & (nth < LATE), let(new, lambda n: F.date_format(back(n), "dd/MM/yyyy")))
 
 
-def _date(m: Column, key: str, reverse: bool, day_first: bool = False) -> Column:
+def _date(m: Column, key: str, reverse: bool, day_first: bool = True) -> Column:
     """Year-month-day; month/day/year, or with day_first day/month/year where only that is a date; day.month.year."""
 
     def moved(form: str) -> Column:
@@ -197,7 +197,7 @@ def _kind(m: Column) -> Column:
     )
 
 
-def pseudonym(m: Column, key: str, reverse: bool = False, day_first: bool = False) -> Column:
+def pseudonym(m: Column, key: str, reverse: bool = False, day_first: bool = True) -> Column:
     """The pseudonym of one candidate; null if it is not valid."""
     k = _kind(m)
     by_kind = {"email": _email, "phone": _phone, "ip": _ip, "ssn": _ssn, "date": lambda *a: _date(*a, day_first), "card": _card}
@@ -207,13 +207,14 @@ def pseudonym(m: Column, key: str, reverse: bool = False, day_first: bool = Fals
     return out
 
 
-def pseudonymize(docs: DataFrame, key: str, column: str = "text", reverse: bool = False, day_first: bool = False) -> DataFrame:
+def pseudonymize(docs: DataFrame, key: str, column: str = "text", reverse: bool = False, day_first: bool = True) -> DataFrame:
     """docs with `column` rewritten and n_pseudonyms added: a projection, without a shuffle or any Python on executors.
 
     Null stays null with 0 pseudonyms, empty stays empty. Texts of any length are rewritten whole; candidates that are
     not valid stay as they are. Repeated rows get equal results, no rows give none. Other columns are passed on; one
-    called n_pseudonyms is replaced. day_first takes slashed dates whose first part is over 12 as day/month/year; else they
-    stay as they are. Dates outside the 400 years from 1800 on stay too. reverse=True with the same key and day_first undoes it."""
+    called n_pseudonyms is replaced. Slashed dates whose first part is over 12 are day/month/year; with day_first=False they stay as they are.
+    Dates outside the 400 years from 1800 on stay too, as do phone numbers that neither start with + nor have a listed form, IBANs and IPv6
+    addresses, which have no format here. reverse=True with the same key and day_first undoes it."""
     text = F.col(column)
     found = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     hits = "__pii_hits"

@@ -121,7 +121,7 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def quality(docs: DataFrame, grades: DataFrame, keep_from: int = 1, keep_above: float = 0.5, sample: int = SAMPLE) -> DataFrame:
-    """docs with held_out, expected_grade, p_keep, predicted_grade and keep added; columns of those names are replaced.
+    """docs with held_out (false without a doc_id), expected_grade, p_keep, predicted_grade and keep added; columns of those names are replaced.
 
     Learns from at most `sample` rows of grades (doc_id, grade 0..2) whose crc32(doc_id) mod 5 is not 0; keep says that the chance of
     grade keep_from or more is keep_above at least. Each row of docs is scored over its whole text, repeated rows alike; null,
@@ -157,4 +157,4 @@ def quality(docs: DataFrame, grades: DataFrame, keep_from: int = 1, keep_above:
 
     ddl = ", ".join([*(f"`{c.name}` {c.dataType.simpleString()}" for c in docs.schema), "expected_grade double", "p_keep double", "predicted_grade int"])
     out = docs.mapInArrow(run, ddl)
-    return out.withColumn("held_out", remainder(F.col("doc_id"), 5) == 0).withColumn("keep", F.col("p_keep") >= keep_above)
+    return out.withColumn("held_out", F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False))).withColumn("keep", F.col("p_keep") >= keep_above)

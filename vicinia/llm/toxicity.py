@@ -376,7 +376,7 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: in
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int = 5) -> DataFrame:
-    """docs with held_out, score and predicted added (columns of those names are replaced); rows that repeat are each scored.
+    """docs with held_out (false without a doc_id), score and predicted added (columns of those names are replaced); rows that repeat are each scored.
 
     Scores every overlapping window of every whole text; null, empty and blank texts get the probability of no evidence.
     labels needs doc_id and toxic; where a doc_id is labelled both ways it counts as toxic, labels outside 0 and 1 are void. Without
@@ -398,4 +398,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: i
 
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), "score double"])
     out = docs.mapInArrow(run, ddl)
-    return out.withColumn("held_out", remainder(F.col("doc_id"), 5) == 0).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return out.withColumn("held_out", F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

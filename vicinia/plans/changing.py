@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vicinia.operators import merging as m
 from vicinia.operators import refresh as r
 from vicinia.plans.registry import Registry
 from vicinia.plans.search import SERVING_WITH

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from vicinia.functions import scores, text
 from vicinia.functions.hours import opening_status
 from vicinia.operators import search as s
-from vicinia.plans.merging import _SR, _ST, MERGED_WITH, merged
+from vicinia.plans.merging import _SR, MERGED_WITH, merged
 from vicinia.plans.registry import Registry
-from vicinia.plans.text_geo import _FUZ, _TOK, hav, sql_exists, sql_phrase
+from vicinia.plans.text_geo import _TOK, hav, sql_exists, sql_phrase
 from vicinia.sources.scratch import built
 from vicinia.sources.tables import candidates, establishments, load, products, views
 

@@ -164,6 +164,15 @@ def snapshot_compare(before: DataFrame, after: DataFrame, most: int = 12) -> Dat
     return j.select("establishment_id", show("a", "b").alias("added"), show("b", "a").alias("removed"), F.size("a").alias("n_after"))
 
 
+def stage_counts(candidates: DataFrame, merged: DataFrame, serving: DataFrame, est: DataFrame) -> DataFrame:
+    """G-A19: one row of what each stage of the pipeline holds: candidates, merged pairs, serving rows and stores, places with a website."""
+    parts = [candidates.agg(F.count("*").alias("candidates")), merged.agg(F.count("*").alias("merged")), serving.agg(F.count("*").alias("serving"), F.countDistinct("establishment_id").alias("stores")), est.agg(F.count("website").alias("with_website"))]
+    out = parts[0]
+    for x in parts[1:]:  # one row each
+        out = out.join(F.broadcast(x))
+    return out
+
+
 def density(per_store: DataFrame) -> DataFrame:
     """G-A22: mean, maximum and percentiles of products per store."""
     return per_store.agg(F.round(F.avg("n"), 4).alias("mean"), F.max("n").alias("max"), F.percentile("n", 0.5).alias("p50"), F.percentile("n", 0.9).alias("p90"))

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from vicinia.functions import scores, text
 from vicinia.functions.hours import opening_status
 from vicinia.operators import search as s
+from vicinia.operators.insights import stage_counts
 from vicinia.plans.merging import _SR, MERGED_WITH, merged
 from vicinia.plans.registry import Registry
-from vicinia.plans.text_geo import _TOK, hav, sql_exists, sql_phrase
+from vicinia.plans.text_geo import _TOK, NORM, hav, sql_exists, sql_phrase
 from vicinia.sources.scratch import built
 from vicinia.sources.tables import candidates, establishments, load, products, views
 
@@ -119,14 +120,7 @@ def serving_dataset(spark, sf_dir):
 @query(f"{SERVING_WITH} select (select count(*) from cand) as candidates, (select count(*) from mrg) as merged, (select count(*) from srv) as serving, (select count(distinct establishment_id) from srv) as stores, (select count(*) from est where website is not null) as with_website")
 def serving_counts(spark, sf_dir):
     """G-A19."""
-    v = _made(spark, sf_dir).agg(F.count("*").alias("serving"), F.countDistinct("establishment_id").alias("stores"))
-    c = candidates(spark, sf_dir).agg(F.count("*").alias("candidates"))
-    g = merged(spark, sf_dir).agg(F.count("*").alias("merged"))
-    w = establishments(spark, sf_dir).agg(F.count("website").alias("with_website"))
-    out = c
-    for x in (g, v, w):  # one row each
-        out = out.join(F.broadcast(x))
-    return out
+    return stage_counts(candidates(spark, sf_dir), merged(spark, sf_dir), _made(spark, sf_dir), establishments(spark, sf_dir))
 
 
 Q, LAT, LON, R = "blue anvil", 52.5, 13.4, 9000.0
@@ -341,12 +335,16 @@ def sanitized_query(spark, sf_dir):
     return load(spark, sf_dir, "benchmark").select("item_id", s.sanitize(F.col("text"), LEX).alias("query"))
 
 
-@query("with x as (select event_id, case event_id % 4 when 0 then 'Fix my phone' when 1 then '' when 2 then 'cake' else 'food & cake' end as q from events) select event_id, case event_id % 4 when 0 then 'repair|battery|food|cake' when 1 then 'food|cake|light' when 2 then 'food|light|tools' else 'bread|milk|food|cake' end as terms from x")
+RELATED = [("anvil", ["hammer", "forge"]), ("blue", ["azure", "blue anvil", "hammer"]), ("light", ["lamp"]), ("b", ["bolt"])]
+QUICK = ["blue bolt", "hammer", "red ring", "cold gear"]
+_NAMED = "case when p_partkey % 9 = 0 then ' ' when p_partkey % 5 = 0 then concat('  ', upper(p_name), '!') else p_name end"
+_HINTED = "list_concat(" + ", ".join(f"case when contains(q, '{t}') then {xs} else [] end" for t, xs in RELATED) + ")"
+
+
+@query(f"with n as (select p_partkey, substr({NORM.format(_NAMED)}, 1, 64) as q from part), l as (select p_partkey, q, list_concat({_HINTED}, list_filter({QUICK}, lambda x: x <> q)) as a from n) select p_partkey, case when q = '' then array_to_string({QUICK[:3]}, '|') else array_to_string(list_filter(a, lambda x, i: list_position(a, x) = i)[1:4], '|') end as terms from l")
 def related_terms(spark, sf_dir):
-    """T14."""
-    q = F.expr("case event_id % 4 when 0 then 'Fix my phone' when 1 then '' when 2 then 'cake' else 'food & cake' end")
-    r = text.related_terms(q, [("phone", ["repair", "battery"]), ("food", ["bread", "milk"])], ["food", "cake", "light", "tools"])
-    return load(spark, sf_dir, "events").select("event_id", F.array_join(r, "|").alias("terms"))
+    """T14 for all names of the catalogue, some blank, some shouted."""
+    return load(spark, sf_dir, "part").select("p_partkey", F.array_join(text.related_terms(F.expr(_NAMED), RELATED, QUICK), "|").alias("terms"))
 
 
 @query("select user_id, case when p > 0 and s > 0 then 'products_plus_services' when p > 0 then 'products_only' else 'services_fallback_only' end as mode from (select user_id, count(*) filter (where event_type = 'purchase') as p, count(*) filter (where event_type = 'click') as s from events group by 1)")

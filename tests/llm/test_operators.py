@@ -1,5 +1,6 @@
 """Operators against brute force, exact round trips, held-out rows and odd input."""
 
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -492,6 +493,41 @@ def test_splitting_tree_keeps_quotas(spark):
     assert max(per.values()) - min(per.values()) <= 2 and len({b for _, _, b in by["a"]}) > 1
 
 
+def test_hypergeometric_inverse_by_exact_chances(spark):
+    """Each count comes up for as much of [0, 1) as its exact chance, also for urns of millions and for those without a choice."""
+    urns = [(5, 7, 4), (1, 30, 15), (30, 1, 15), (0, 9, 4), (9, 0, 4), (6, 6, 12), (0, 0, 0), (40, 60, 50)]
+    us = [(i + 0.5) / 500 for i in range(500)]
+    df = spark.createDataFrame([(g, b, n, u) for g, b, n in urns for u in us], "g long, b long, n long, u double")
+    got = defaultdict(Counter)
+    for r in df.select("g", "b", "n", mixing.hypergeometric(F.col("g"), F.col("b"), F.col("n"), F.col("u")).alias("x")).collect():
+        got[r.g, r.b, r.n][r.x] += 1
+    for g, b, n in urns:
+        want = {x: math.comb(g, x) * math.comb(b, n - x) / math.comb(g + b, n) for x in range(n + 1)}
+        assert sum(got[g, b, n].values()) == 500
+        for x in range(n + 1):
+            assert abs(got[g, b, n][x] / 500 - want[x]) <= 2 / 500, (g, b, n, x)
+    big = spark.createDataFrame([(3_000_000, 27_000_000, 15_000_000, u / 40) for u in range(1, 40)], "g long, b long, n long, u double")
+    xs = sorted(r.x for r in big.select(mixing.hypergeometric(F.col("g"), F.col("b"), F.col("n"), F.col("u")).alias("x")).collect())
+    sd = (1.5e7 * 0.1 * 0.9 * 0.5) ** 0.5
+    # The walk starts at the likeliest count, so u does not order the counts; equally spaced u still give the quantiles.
+    assert abs(xs[19] - 1_500_000) < 0.06 * sd and abs(xs[33] - xs[19] - 1.0364 * sd) < 0.12 * sd
+
+
+def test_splitting_tree_over_many_sources(spark):
+    """Groups of groups of sources: quotas and shards' sizes hold, reruns agree, and no shard is a source's own."""
+    quota = {f"s{i:04d}": 1 + i * 7 % 90 for i in range(600)}
+    q = spark.createDataFrame(list(quota.items()), "sk string, blocks long")
+    counts = {r.sk: r.counts for r in mixing.shard_counts(q, 4, 3).collect()}
+    assert counts == {r.sk: r.counts for r in mixing.shard_counts(q.repartition(3), 4, 3).collect()}
+    assert {k: sum(v) for k, v in counts.items()} == quota and all(min(v) >= 0 and len(v) == 4 for v in counts.values())
+    per = [sum(v[i] for v in counts.values()) for i in range(4)]
+    assert max(per) - min(per) <= 2
+    # Sum of squared deviations of all counts, over their variances: near the number of terms.
+    z = [(c - n / 4) ** 2 / (n * 0.25 * 0.75) for k, n in quota.items() for c in counts[k]]
+    assert 0.85 < sum(z) / len(z) < 1.15
+    assert mixing.shard_counts(q.limit(0), 4, 3).count() == 0
+
+
 def test_language_model(spark, docs):
     rows = {r.doc_id: r for r in brown_lm.class_model_scores(docs).collect()}
     tokens = {r.doc_id: [*words_of(r.text), b""] for r in docs.collect()}

@@ -1,5 +1,6 @@
 """Searches in batch against one search at a time and brute force."""
 
+import datetime as dt
 import math
 import random
 
@@ -97,3 +98,31 @@ def test_profiles_of_a_store_are_one(spark):
     best = search.best_profiles(plans.profiles(spark, SF))
     assert best.count() == best.select("establishment_id").distinct().count() == plans.profiles(spark, SF).select("establishment_id").distinct().count()
     assert best.where(F.size("profile.roles") == 0).count() == 0
+
+
+def test_retrieve_by_bands_is_that_of_all_rows(spark):
+    """Points in dense, sparse and empty places get the best rows of their boxes, ties and nulls included, through several bands."""
+    rng = random.Random(3)
+    rows, k = [], 0
+    for e in range(60):
+        lat, lon = (52.5 + rng.uniform(-0.004, 0.004), 13.4 + rng.uniform(-0.004, 0.004)) if e < 50 else (52.8 + e / 100, 13.0)
+        for _ in range(20):
+            k += 1
+            rows.append((e, k, lat, lon, rng.choice(["0.9000", "0.5500", "0.5501", None]), rng.choice([dt.datetime(2024, 1, d) for d in (1, 2, 3)] + [None])))
+    df = spark.createDataFrame(rows, "establishment_id long, product_id long, lat double, lon double, c string, last_checked_at timestamp").withColumn("confidence", F.col("c").cast("decimal(5,4)")).drop("c")
+    points = [(52.5, 13.4, 400.0), (52.5, 13.4, 60.0), (53.31, 13.0, 900.0), (10.0, 10.0, 900.0)]
+    assert len(batch._bands(df, 7)) >= 2
+    got = {}
+    for r in batch.retrieve(spark.createDataFrame(points, "lat double, lon double, radius_m double"), df, 7).collect():
+        got.setdefault((r.search_lat, r.search_lon, r.radius_m), set()).add((r.establishment_id, r.product_id))
+    for p in points:
+        s, n, w, e = geo.box(*p)
+        mine = [x for x in rows if s <= x[2] <= n and w <= x[3] <= e]
+        mine.sort(key=lambda x: (x[4] is None, -float(x[4] or 0), x[5] is None, -(x[5].timestamp() if x[5] else 0), x[0], x[1]))
+        assert got.get(p, set()) == {x[:2] for x in mine[:7]}
+
+
+def test_searches_stay_with_their_point(spark):
+    """Once points have their rows, nothing is dealt anew by search or by store, and a point ranks ids, not rows."""
+    plan = batch.search_batch(plans.searches(spark, SF), _serving(spark, SF), LEX, profiles=plans._profiles(spark, SF), rules=plans.RULES)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(search_id" not in plan

@@ -1,5 +1,7 @@
 """Seeds of a catalogue and lint of a vocabulary."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,3 +59,19 @@ def test_services_merge_without_rejected_rows(spark):
     rows = [(1, 7, 3, "imported", 0.5, "likely", 1), (2, 7, 3, "merchant_added", 0.9, "rejected", 1), (3, 7, 3, "rules_generated", 0.9, "likely", 2), (4, 8, 3, "imported", 0.9, "rejected", 2)]
     df = spark.createDataFrame(rows, "id long, establishment_id long, product_id long, source_type string, confidence double, validation_status string, checked_at int")
     assert [(r.id, r.merged_sources, r.merged_candidate_ids) for r in merging.service_winner(df).collect()] == [(1, ["imported", "rules_generated"], [1, 3])]
+
+
+@pytest.mark.parametrize("name", ["rule_candidates", "seed_pairs"])
+@pytest.mark.parametrize("most", [1_000_000, 3])
+def test_pairs_are_neither_grouped_nor_shuffled(spark, monkeypatch, name, most):
+    """Rules are chosen for categories and products: no pair of place and product is dealt or grouped, with owners broadcast or dealt."""
+    from vicinia.operators import candidates
+    from vicinia.plans import analytics, catalog
+
+    query = getattr(analytics if name == "rule_candidates" else catalog, name)
+    pairs = lambda: {(r.establishment_id, r.product_id): r.confidence for r in query(spark, "/root/testdata/sf0.001").collect()}
+    want = pairs()
+    monkeypatch.setattr(candidates, "BROADCAST", most)
+    plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\((establishment_id|product_id)\S+, (establishment_id|product_id)", plan)
+    assert pairs() == want and len(want) > 0

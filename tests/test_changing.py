@@ -190,3 +190,26 @@ def test_review_flags(spark):
     assert {r.id: (r.flags.split("|"), r.score) for r in flagged.collect()} == {r[0]: r[7:] for r in rows if r[7]}
     assert [r.id for r in insights.review_queue(flagged, 2).collect()] == [3, 2]
     assert {r.flag: r.n for r in insights.flag_totals(flagged).collect()} == {"low_validation": 1, "missing_products": 2, "missing_opening_hours": 1, "missing_categories": 2, "stale_data": 1}
+
+
+def test_district_refresh_writes_what_can_be_best(spark, monkeypatch):
+    """A place of a category that sells all of a large catalogue: all candidates come back, but only the few that can be among its best are written and merged."""
+    from vicinia.operators import refresh
+
+    sizes, write = [], refresh.scratch.written
+
+    def counted(df, name):
+        out = write(df, name)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(refresh.scratch, "written", counted)
+    e = spark.createDataFrame([(1, "Mitte", "active", ["a", "b"]), (2, "Mitte", "active", ["b"]), (3, "Elsewhere", "active", ["a"])], "id long, district string, active_status string, app_categories array<string>")
+    rules = spark.createDataFrame([("a", "g", "0.5"), ("b", "g", "0.7"), ("b", "q", "0.65")], "app_category string, product_group string, base string").withColumn("base_confidence", F.col("base").cast("decimal(5,4)")).drop("base")
+    products = spark.range(1, 3001).selectExpr("id", "case when id % 1000 = 0 then 'q' else 'g' end as product_group", "cast(id % 7 as int) as priority")
+    cands = [(10, 1, 6, "rules_generated", refresh.METHOD, "0.7", "rejected"), (11, 1, 13, "rules_generated", refresh.METHOD, "0.4", "likely"), (12, 1, 20, "merchant_added", "m", "0.9", "rejected"), (13, 2, 5, "merchant_added", "m", "0.9", "validated")]
+    x = spark.createDataFrame(cands, "id long, establishment_id long, product_id long, source_type string, generation_method string, c string, validation_status string").withColumn("confidence", F.col("c").cast("decimal(5,4)")).drop("c").withColumn("checked_at", F.lit(None).cast("timestamp"))
+    after, merged = refresh.district_refresh("mitte", e, rules, products, x, merge_candidates(x), 3, ["q"])
+    got = {(r.establishment_id, r.product_id) for r in merged.collect()}
+    assert got == {(1, 1000), (1, 13), (1, 20), (2, 5), (2, 1000), (2, 6)}
+    assert max(sizes) < 100 and after.count() == 2 * 3000 + 2

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vicinia.functions import scores
-from vicinia.operators.candidates import rule_candidates
-from vicinia.operators.merging import keep_latest, merge_candidates, top_k
+from vicinia.operators.candidates import dealt_join, rule_rows, ruled
+from vicinia.operators.merging import keep_latest, merge_candidates, store_order, top_k
 from vicinia.operators.search import serving
 from vicinia.sources import scratch
 from vicinia.sources.versions import Versioned
@@ -23,7 +23,9 @@ def district_refresh(district: str, establishments: DataFrame, rules: DataFrame,
     an earlier refresh. All candidates that are not rejected are merged, and the best `per_store` rows of a place, 3 to 20, stand in for
     all merged rows that are not validated. A validated pair keeps its row unless the new one is validated too.
 
-    What several steps read (the places' candidates, the new ones, all after the upsert, the best) is written once."""
+    A place's new pairs are far more than the few that can be among its best. What a pair without other candidates is worth depends on the place's set of categories and the
+    product alone, so such pairs are ranked once for each set, and a place meets as many of the first of its set as it may need: `per_store` and one for each pair that it has candidates
+    of, which are merged by themselves. The candidates are worked out in full where they are read. What several steps read (the places' candidates, the best) is written once."""
     per_store = min(max(per_store, 3), 20)
     name = district.strip().replace("%", "").replace("_", "")
     if not name:
@@ -33,23 +35,47 @@ def district_refresh(district: str, establishments: DataFrame, rules: DataFrame,
     mine = scratch.written(cands.join(ids, "establishment_id", "left_semi"), "mine")
     own = (F.col("source_type") == "rules_generated") & (F.col("generation_method") == METHOD)
     locked = mine.where(own & F.col("validation_status").isin("validated", "rejected")).select(*pair).distinct()
-    made = rule_candidates(e, rules, products, facets).join(locked, pair, "left_anti")
-    confidence = F.greatest(F.lit("0.3").cast("decimal(5,4)"), F.col("confidence")).cast("decimal(5,4)")
-    new = scratch.written(made.select(*pair, "source_type", F.lit(METHOD).alias("generation_method"), confidence.alias("confidence"), "validation_status"), "new")
+    offers, sets = ruled(e, rules, products, facets)
+    low = F.greatest(F.lit("0.3").cast("decimal(5,4)"), F.col("confidence")).cast("decimal(5,4)")
+    row = lambda df, *first: rule_rows(df, *first).select(*first, "source_type", F.lit(METHOD).alias("generation_method"), low.alias("confidence"), "validation_status")
     # An upsert by pair, source and method: a row that is there keeps its id and gets the new values.
     old = mine.where(own).select(*pair, F.col("id").alias("old_id"))
     taken = F.coalesce("old_id", -F.abs(F.xxhash64(*pair)) - 1)
-    fresh = new.join(old, pair, "left").select(taken.alias("id"), *pair, "source_type", "generation_method", "confidence", "validation_status", F.lit(None).cast(cands.schema["checked_at"].dataType).alias("checked_at"))
-    kept = mine.where(~own).select(*fresh.columns).unionByName(mine.where(own).join(new, pair, "left_anti").select(*fresh.columns))
-    after = scratch.written(kept.unionByName(fresh), "after")
+    unseen = F.lit(None).cast(cands.schema["checked_at"].dataType).alias("checked_at")
+
+    def upserted(made: DataFrame) -> DataFrame:
+        new = row(made.join(locked, pair, "left_anti"), *pair)
+        fresh = new.join(old, pair, "left").select(taken.alias("id"), *pair, "source_type", "generation_method", "confidence", "validation_status", unseen)
+        return mine.where(~own).select(*fresh.columns).unionByName(mine.where(own).join(new, pair, "left_anti").select(*fresh.columns)).unionByName(fresh)
 
     p = products.select(F.col("id").alias("product_id"), "product_group", "priority")
-    best = top_k(merge_candidates(after, exclude_rejected=True).join(p, "product_id", "left").fillna({"product_group": "uncategorized", "priority": 50}), per_store, quota_groups)
+    worth = lambda df: merge_candidates(df, exclude_rejected=True).join(p, "product_id", "left").fillna({"product_group": "uncategorized", "priority": 50}).select(*pair, "primary_source", "confidence", "validation_status", "product_group", "priority")
+    known = scratch.written(mine.select(*pair).distinct(), "known")
+    others = worth(upserted(known.join(sets, "establishment_id").join(offers, ["categories", "product_id"])))
+    # One row a set and product, merged as those of places are.
+    each = row(offers, "categories", "product_id").withColumnRenamed("categories", "establishment_id").withColumn("id", F.lit(0).cast("long")).withColumn("checked_at", unseen)
+    each = worth(each).withColumnRenamed("establishment_id", "categories")
+    asks = sets.join(known.groupBy("establishment_id").agg(F.count("*").alias("held")), "establishment_id", "left").select("establishment_id", "categories", (F.coalesce("held", F.lit(0)) + per_store).cast("int").alias("asked"))
+    # Lists are as long as the longest that a place asks for; a place meets the part of the next power of two.
+    most = asks.agg(F.max("asked")).first()[0] or 0
+    level = lambda c: F.ceil(F.log2(c.cast("double"))).cast("int")
+    first = lambda df, *by: df.withColumn("rn", F.row_number().over(Window.partitionBy("categories", *by).orderBy(*store_order()))).where(F.col("rn") <= most)
+    listed = first(each).drop("rn").unionByName(first(each.where(F.col("product_group").isin(quota_groups or [])), "product_group").drop("rn")) if quota_groups else first(each).drop("rn")
+    listed = listed.distinct()
+    for by, rn in (([], "store_rn"), (["product_group"], "group_rn")):
+        listed = listed.withColumn(rn, F.row_number().over(Window.partitionBy("categories", *by).orderBy(*store_order())))
+    quota = F.col("product_group").isin(quota_groups or [])
+    need = F.when(quota, F.least("store_rn", "group_rn")).otherwise(F.col("store_rn"))
+    listed = listed.withColumn("level", F.explode(F.sequence(level(need), F.lit(max(most - 1, 0).bit_length()))))
+    # A place's own list: by rank in its set, or in the group where the group has a place of its own.
+    met = dealt_join(asks.withColumn("level", level(F.col("asked"))), listed, ["categories", "level"], "establishment_id")
+    met = met.where((F.col("store_rn") <= F.col("asked")) | (quota & (F.col("group_rn") <= F.col("asked")))).join(known, pair, "left_anti")
+    best = top_k(met.select(*others.columns).unionByName(others), per_store, quota_groups)
     safe = merged.join(ids, "establishment_id", "left_semi").where("validation_status = 'validated'").select(*pair, "confidence", "validation_status")
     rows, safe = scratch.written(best.select(*pair, "confidence", "validation_status"), "best"), scratch.written(safe, "safe")
     # A new row takes the place of a validated one only if it is validated as well.
     put = rows.where("validation_status = 'validated'").unionByName(rows.where("validation_status <> 'validated'").join(safe, pair, "left_anti"))
-    return after, put.unionByName(safe.join(put, pair, "left_anti"))
+    return upserted(dealt_join(offers, sets, ["categories"]).select(*pair, "app_category", "product_group", "confidence")), put.unionByName(safe.join(put, pair, "left_anti"))
 
 
 def changed_owners(old: DataFrame, new: DataFrame, key: str, values: list[str], owner: str = "establishment_id") -> DataFrame:

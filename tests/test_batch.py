@@ -126,3 +126,18 @@ def test_searches_stay_with_their_point(spark):
     """Once points have their rows, nothing is dealt anew by search or by store, and a point ranks ids, not rows."""
     plan = batch.search_batch(plans.searches(spark, SF), _serving(spark, SF), LEX, profiles=plans._profiles(spark, SF), rules=plans.RULES)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(search_id" not in plan
+
+
+def test_nearest_join_meets_few_places_of_one_point(spark, monkeypatch):
+    """Of many places at one point a search meets k, the smallest ids."""
+    met, join = [], batch.radius_join
+
+    def counted(a, b):
+        met.append(join(a, b).count())
+        return join(a, b)
+
+    monkeypatch.setattr(batch, "radius_join", counted)
+    s = spark.createDataFrame([(1, 52.5, 13.4)], "search_id long, lat double, lon double")
+    p = spark.range(400).selectExpr("1000 - id as place_id", "52.5e0 as lat", "13.4e0 + (id % 2) / 1000e0 as lon")
+    got = [(r.place_id, r.nth) for r in batch.nearest_join(s, p, 3, 4_000.0).orderBy("nth").collect()]
+    assert got == [(602, 1), (604, 2), (606, 3)] and sum(met) <= 6

@@ -121,4 +121,7 @@ def lenient_json(c: Column) -> Column:
 def merge_json(a: Column, b: Column) -> Column:
     """Object concatenation; keys of b win. Values keep their types, objects and lists included. What is no object, or repeats a key, counts as an empty one."""
     m = lambda c: F.coalesce(F.try_variant_get(F.try_parse_json(c), "$", "map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>"))
-    return F.to_json(F.map_concat(F.map_filter(m(a), lambda k, _: ~F.map_contains_key(m(b), k)), m(b)))
+    # Both are parsed once a row: a lambda that named m(b) itself would parse it again for each key of a.
+    both = F.array(F.struct(m(a).alias("a"), m(b).alias("b")))
+    merged = F.transform(both, lambda x: F.map_concat(F.map_filter(x["a"], lambda k, _: ~F.map_contains_key(x["b"], k)), x["b"]))
+    return F.to_json(merged[0])

@@ -123,9 +123,10 @@ def json_merge(spark, sf_dir):
     e = load(spark, sf_dir, "events")
     a = F.concat(F.expr("left(props, length(props) - 1)"), F.lit(', "t":"", "old":[1,{"a":null}]}'))
     b = F.to_json(F.struct(F.col("event_type").alias("t"), F.array("event_id", "user_id").alias("ids"), F.struct(F.col("user_id").alias("user"), (F.col("event_type") != "error").alias("ok")).alias("of"), F.when(F.col("event_id") % 2 == 0, "none").alias("k")), {"ignoreNullFields": "false"})
-    m = F.from_json(html.merge_json(a, b), "map<string,variant>")
-    keys = F.array_sort(F.map_keys(m))
-    return e.select("event_id", F.concat(F.lit("{"), F.array_join(F.transform(keys, lambda k: F.concat(F.lit('"'), k, F.lit('":'), F.to_json(m[k]))), ","), F.lit("}")).alias("merged"))
+    # The merged object is parsed once a row, and its entries are written from their values: a look-up by key would parse it again for each.
+    entries = F.map_entries(F.from_json(html.merge_json(a, b), "map<string,variant>"))
+    shown = F.transform(entries, lambda x: F.struct(x["key"].alias("key"), F.to_json(x["value"]).alias("value")))
+    return e.select("event_id", F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(shown), lambda x: F.concat(F.lit('"'), x["key"], F.lit('":'), x["value"])), ","), F.lit("}")).alias("merged"))
 
 
 @query(f"select page_id, trim(concat_ws(' ', {NORM.format(_clean(_TITLE))}, 'fine tools', {NORM.format("array_to_string(regexp_extract_all(html, '(?is)<h[1-3][^>]*>(.*?)</h[1-3]>', 1), ' ')")}, case when page_id % 2 = 0 then 'saw acme' end)) as bag, case when page_id % 2 = 0 then 'saw|acme' else '' end as names from pages")

@@ -18,3 +18,14 @@ def test_merge_json_parses_nothing_in_a_lambda(spark):
         # A lambda's body runs once for each key; what it parses there is parsed as often.
         for body in p.split("lambdafunction(")[1:]:
             assert "parseJson" not in body.split("lambda ")[0] and "from_json" not in body.split("lambda ")[0]
+
+
+def test_serving_gathers_no_lists(spark):
+    from vicinia.operators.merging import merge_candidates
+    from vicinia.operators.search import serving
+    from vicinia.sources.tables import candidates, establishments, products
+
+    sf = "/root/testdata/sf0.001"
+    v = serving(merge_candidates(candidates(spark, sf)), establishments(spark, sf), products(spark, sf))
+    assert "collect_list" not in plan(v) and "collect_set" not in plan(v)
+    assert {"primary_source", "confidence", "validation_status", "last_checked_at", "name", "normalized_name"} <= set(v.columns)

@@ -29,3 +29,16 @@ def test_serving_gathers_no_lists(spark):
     v = serving(merge_candidates(candidates(spark, sf)), establishments(spark, sf), products(spark, sf))
     assert "collect_list" not in plan(v) and "collect_set" not in plan(v)
     assert {"primary_source", "confidence", "validation_status", "last_checked_at", "name", "normalized_name"} <= set(v.columns)
+
+
+def test_near_pairs_are_dealt_to_many_tasks(spark):
+    from vicinia.functions import geo
+
+    # One file of one partition, as a small table of points is: pairs must not all be made by the task that reads it.
+    points = spark.range(0, 2000, 1, 1).select("id", (52.4 + F.col("id") * 7919 % 10007 / 300000).alias("lat"), (13.2 + F.col("id") * 104729 % 10009 / 200000).alias("lon"))
+    pairs = geo.near_pairs(points, 400.0)
+    a, b = (points.select(*[F.col(c).alias(f"{c}{k}") for c in points.columns]) for k in (1, 2))
+    d = geo.haversine(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
+    want = a.join(b, F.col("id1") < F.col("id2")).where(d <= 400.0).select("id1", "id2", d.alias("m"))
+    assert {tuple(r) for r in pairs.collect()} == {tuple(r) for r in want.collect()}
+    assert pairs.select(F.spark_partition_id().alias("t")).distinct().count() > 1

@@ -42,3 +42,16 @@ def test_near_pairs_are_dealt_to_many_tasks(spark):
     want = a.join(b, F.col("id1") < F.col("id2")).where(d <= 400.0).select("id1", "id2", d.alias("m"))
     assert {tuple(r) for r in pairs.collect()} == {tuple(r) for r in want.collect()}
     assert pairs.select(F.spark_partition_id().alias("t")).distinct().count() > 1
+
+
+def test_insert_new_by_one_aggregation(spark):
+    from vicinia.operators.candidates import insert_new
+
+    old = spark.createDataFrame([(1, "a"), (1, "a"), (None, "n")], "k int, w string")
+    new = spark.createDataFrame([(1, "a", 5, "x"), (2, "b", None, "y"), (3, "c", 7, None), (3, "c", 7, None), (None, "n", 9, "z"), (1, "b", 1, "u")], "k int, w string, v int, t string")
+    got = insert_new(old, new, ["k", "w"])
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(2, "b", None, "y"), (3, "c", 7, None), (None, "n", 9, "z"), (1, "b", 1, "u")], key=str)
+    assert sorted(map(tuple, insert_new(old, new.drop("t"), ["k", "w"]).collect()), key=str) == sorted([(2, "b", None), (3, "c", 7), (None, "n", 9), (1, "b", 1)], key=str)
+    assert sorted(map(tuple, insert_new(old.select("k"), new.select("k"), ["k"]).collect()), key=str) == [(2,), (3,), (None,)]
+    # A join would hold both sides sorted, beside what is grouped.
+    assert "Join" not in plan(got)

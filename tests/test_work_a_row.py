@@ -55,3 +55,10 @@ def test_insert_new_by_one_aggregation(spark):
     assert sorted(map(tuple, insert_new(old.select("k"), new.select("k"), ["k"]).collect()), key=str) == [(2,), (3,), (None,)]
     # A join would hold both sides sorted, beside what is grouped.
     assert "Join" not in plan(got)
+
+
+def test_stores_of_merged_rows_are_counted_once(spark):
+    from vicinia import registry
+
+    # Two aggregations of two steps: pairs, then products; no third one that makes pairs distinct again.
+    assert plan(registry.queries()["stores_per_product"](spark, "/root/testdata/sf0.001")).count("HashAggregate(") == 4

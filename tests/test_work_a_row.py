@@ -62,3 +62,12 @@ def test_stores_of_merged_rows_are_counted_once(spark):
 
     # Two aggregations of two steps: pairs, then products; no third one that makes pairs distinct again.
     assert plan(registry.queries()["stores_per_product"](spark, "/root/testdata/sf0.001")).count("HashAggregate(") == 4
+
+
+def test_seeds_of_one_partition_are_dealt(spark):
+    from vicinia.operators.seeding import seed_aliases
+
+    fields = "product_id long, normalized_name string, display_name_en string, display_name_de string, display_name_es string, synonyms array<string>, aliases array<struct<lang:string,term:string,priority:double,is_active:boolean>>"
+    seeds = spark.createDataFrame([(i, f"name {i}", None, None, None, None, None) for i in range(50)], fields).coalesce(1)
+    assert "hashpartitioning(product_id" in plan(seed_aliases(seeds))
+    assert seed_aliases(seeds).count() == 50

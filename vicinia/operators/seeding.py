@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vicinia.functions import text
 from vicinia.operators.catalog import samples
+from vicinia.sources import scratch
 
 # Priorities of what a seed row gives, by where it stands.
 PRIORITY = {"name": 100, "display": 90, "synonym": 75, "alias": 70, "use_case": 65}
@@ -33,7 +34,8 @@ def _entry(lang: Column, term: Column, rank: Column, active: Column) -> Column:
 def _children(df: DataFrame, items: Column, name: str) -> DataFrame:
     given = F.filter(items, lambda x: x["term"] != "")
     kept = _first_of_each(given, lambda x: F.concat_ws("::", x["lang"], F.lower(x["term"])))
-    return df.select("product_id", F.explode(kept).alias("x")).select("product_id", "x.lang", F.col("x.term").alias(name), "x.priority", "x.is_active")
+    # A few bytes of seeds are much work, so rows are dealt by product, as samples of them need it, and do not stay with the one task that reads a small file.
+    return df.repartition("product_id").select("product_id", F.explode(kept).alias("x")).select("product_id", "x.lang", F.col("x.term").alias(name), "x.priority", "x.is_active")
 
 
 def _listed(c: Column, default: int) -> Column:
@@ -66,17 +68,24 @@ def seed_use_cases(seeds: DataFrame) -> DataFrame:
 def family_connections(products: DataFrame, aliases: DataFrame, facets: DataFrame, use_cases: DataFrame, merged: DataFrame, top: int = 320) -> DataFrame:
     """G-A12: products with the number of stores and samples of their aliases, facets and use cases; counts are those of the samples. Highest priority first, then most stores, most aliases, name.
 
-    A sample has each value once, by priority and then by the value."""
+    A sample has each value once, by priority and then by the value. Only products that are not behind the last of the first `top` by priority and stores can
+    be among them; they alone get samples."""
     def sampled(df: DataFrame, value: str, name: str) -> DataFrame:
         rank = F.coalesce("priority", F.lit(0)) if "priority" in df.columns else F.lit(0)
         one = df.where(F.trim(F.coalesce(value, F.lit(""))) != "").groupBy("product_id", F.trim(value).alias(value)).agg(F.max(rank).alias("rank"))
         return samples(one, "product_id", value, [F.desc("rank"), F.col(value)], SAMPLES[name], name)
 
     stores = merged.groupBy("product_id").agg(F.count("*").alias("store_count"))
-    out = products.join(stores, "product_id", "left")
+    every = products.join(stores, "product_id", "left").withColumn("store_count", F.coalesce("store_count", F.lit(0))).withColumn("priority", F.coalesce("priority", F.lit(50)))
+    every = scratch.written(every, "families")
+    order = F.struct("priority", "store_count")
+    last = every.orderBy(order.desc()).limit(top).agg(F.min(order).alias("last"))
+    # Products level with the last one stay: aliases and names decide among them.
+    out = scratch.written(every.join(F.broadcast(last)).where(order >= F.col("last")).drop("last"), "first-families")
+    ids = out.select("product_id").distinct()
     for df, value, name in ((aliases, "alias", "aliases"), (facets.select("product_id", F.lower("facet").alias("facet")), "facet", "facets"), (use_cases, "use_case", "use_cases")):
-        out = out.join(sampled(df, value, name), "product_id", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>"))).withColumn(f"{name}_count", F.coalesce(f"{name}_count", F.lit(0)))
-    out = out.withColumn("store_count", F.coalesce("store_count", F.lit(0))).withColumn("priority", F.coalesce("priority", F.lit(50)))
+        sample = sampled(df.join(ids, "product_id", "left_semi"), value, name)
+        out = out.join(sample, "product_id", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>"))).withColumn(f"{name}_count", F.coalesce(f"{name}_count", F.lit(0)))
     out = out.withColumn("group", F.coalesce(F.nullif(F.trim("group_key"), F.lit("")), F.nullif(F.trim("product_group"), F.lit("")), F.lit("uncategorized")))
     return out.orderBy(F.desc("priority"), F.desc("store_count"), F.desc("aliases_count"), "normalized_name", "product_id").limit(top)
 

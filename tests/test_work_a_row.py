@@ -71,3 +71,30 @@ def test_seeds_of_one_partition_are_dealt(spark):
     seeds = spark.createDataFrame([(i, f"name {i}", None, None, None, None, None) for i in range(50)], fields).coalesce(1)
     assert "hashpartitioning(product_id" in plan(seed_aliases(seeds))
     assert seed_aliases(seeds).count() == 50
+
+
+def test_rows_to_be_shown_are_merged_without_a_sort(spark):
+    import pytest
+    from pyspark.errors import PySparkException
+
+    from vicinia.operators.merging import merge_candidates
+    from vicinia.operators.search import serving
+    from vicinia.plans.search import _made
+    from vicinia.sources.tables import SOURCES, candidates, establishments, products
+
+    sf = "/root/testdata/sf0.001"
+    # A string among what an aggregation keeps has Spark sort all candidates, before the shuffle and after it.
+    v = _made(spark, sf)
+    assert "SortAggregate" not in plan(v) and "HashAggregate" in plan(v)
+    # Many candidates a pair, so that sources meet.
+    c = candidates(spark, sf).withColumn("product_id", F.col("product_id") % 5)
+    lists = ["merged_sources", "merged_methods", "candidate_ids"]
+    quick, plain = (merge_candidates(c, sources=x).drop(*lists) for x in (SOURCES, None))
+    assert sorted(map(tuple, quick.collect())) == sorted(map(tuple, plain.collect())) and quick.where("n > 3").count() > 0
+    assert v.columns == serving(merge_candidates(candidates(spark, sf)), establishments(spark, sf), products(spark, sf)).columns
+    with pytest.raises(PySparkException, match="not among the sources: imported"):
+        merge_candidates(c, sources=SOURCES[:4]).select("primary_source").collect()
+    # Two sources of one weight are told apart by confidence, as before.
+    rows = [(1, 1, 1, "validated", "rule", 0.5, "likely", 1), (2, 1, 1, "user_validated", "rule", 0.7, "likely", 1)]
+    two = spark.createDataFrame(rows, "id long, establishment_id long, product_id long, source_type string, generation_method string, confidence double, validation_status string, checked_at int")
+    assert merge_candidates(two, sources=["validated", "user_validated"]).first().primary_source == "user_validated"

@@ -85,14 +85,14 @@ def changed_owners(old: DataFrame, new: DataFrame, key: str, values: list[str],
     return rows(old, 1).unionByName(rows(new, -1)).groupBy(owner, key, *values).agg(F.sum("sign").alias("sign")).where(f"sign <> 0 and {owner} is not null").select(owner).distinct()
 
 
-def refresh_serving(store: Versioned, changed: DataFrame | None, cands: DataFrame, establishments: DataFrame, products: DataFrame) -> int:
+def refresh_serving(store: Versioned, changed: DataFrame | None, cands: DataFrame, establishments: DataFrame, products: DataFrame, sources: list[str] | None = None) -> int:
     """The serving dataset after a change, as a new version; the number of establishments worked out anew.
 
     `changed` names establishments whose candidates or own rows differ from those that the store was built from; None builds all. Only their candidates are
     merged, and only parts of the table that hold them are written; other parts stay as they are, file by file. A change of a product's
-    name or group touches the establishments that offer it, which the caller names."""
+    name or group touches the establishments that offer it, which the caller names. `sources`: as for merge_candidates."""
     if changed is None or store.read() is None:
-        full = serving(merge_candidates(cands), establishments, products)
+        full = serving(merge_candidates(cands, sources=sources), establishments, products)
         store.replace(full)
         return establishments.count()
     ids = scratch.written(changed.select(F.col("establishment_id").cast("long").alias("establishment_id")).where("establishment_id is not null").distinct(), "changed")
@@ -100,7 +100,7 @@ def refresh_serving(store: Versioned, changed: DataFrame | None, cands: DataFram
     if not parts:
         return 0
     mine = establishments.join(ids.withColumnRenamed("establishment_id", "id"), "id", "left_semi")
-    fresh = serving(merge_candidates(cands.join(ids, "establishment_id", "left_semi")), mine, products)
+    fresh = serving(merge_candidates(cands.join(ids, "establishment_id", "left_semi"), sources=sources), mine, products)
     rest = store.read(parts).join(ids, "establishment_id", "left_anti")
     store.replace(rest.select(*fresh.columns).unionByName(fresh), parts)
     return ids.count()

@@ -8,7 +8,7 @@ from vicinia.operators import refresh as r
 from vicinia.plans.registry import Registry
 from vicinia.plans.search import SERVING_WITH
 from vicinia.sources import scratch
-from vicinia.sources.tables import candidates, establishments, load, products, views
+from vicinia.sources.tables import SOURCES, candidates, establishments, load, products, views
 from vicinia.sources.versions import Versioned
 from vicinia.streaming import events as st
 
@@ -29,10 +29,10 @@ def serving_refresh(spark, sf_dir):
     new = old.withColumn("validation_status", F.expr(_STATUS2)).withColumn("confidence", F.expr(_CONF2))
     e2 = e.withColumn("active_status", F.expr(_ACTIVE2))
     store = Versioned(spark, scratch.new(spark, "serving"), "establishment_id")
-    r.refresh_serving(store, None, old, e, p)
+    r.refresh_serving(store, None, old, e, p, SOURCES)
     moved = r.changed_owners(old, new, "id", ["product_id", "source_type", "confidence", "validation_status"])
     shut = r.changed_owners(e.withColumn("establishment_id", F.col("id")), e2.withColumn("establishment_id", F.col("id")), "id", ["active_status", "name", "district"])
-    r.refresh_serving(store, moved.unionByName(shut), new, e2, p)
+    r.refresh_serving(store, moved.unionByName(shut), new, e2, p, SOURCES)
     return store.read().select("establishment_id", "product_id", "district", "confidence", "validation_status")
 
 

@@ -98,3 +98,17 @@ def test_rows_to_be_shown_are_merged_without_a_sort(spark):
     rows = [(1, 1, 1, "validated", "rule", 0.5, "likely", 1), (2, 1, 1, "user_validated", "rule", 0.7, "likely", 1)]
     two = spark.createDataFrame(rows, "id long, establishment_id long, product_id long, source_type string, generation_method string, confidence double, validation_status string, checked_at int")
     assert merge_candidates(two, sources=["validated", "user_validated"]).first().primary_source == "user_validated"
+
+
+def test_texts_are_judged_once_a_store_and_name(spark):
+    from vicinia.operators import search as s
+    from vicinia.plans import batch
+    from vicinia.plans.search import LEX, _serving
+
+    sf = "/root/testdata/sf0.001"
+    got = batch.plausibility_chain(spark, sf)
+    # No row of the serving dataset is taken apart into words.
+    assert "levenshtein" not in plan(got) and "translate" not in plan(got)
+    rows = _serving(spark, sf).withColumn("query", F.explode(F.array(*map(F.lit, batch._JUDGED)))).withColumn("strategy", F.expr("case when product_id % 3 = 0 then 2 when product_group in ('promo', 'large') then 1 else 0 end"))
+    each = s.plausible(s.with_profiles(rows, batch._profiles(spark, sf)), F.col("query"), LEX, batch.RULES).select(*got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, each.collect())) and got.count() > 0

@@ -112,3 +112,10 @@ def test_texts_are_judged_once_a_store_and_name(spark):
     rows = _serving(spark, sf).withColumn("query", F.explode(F.array(*map(F.lit, batch._JUDGED)))).withColumn("strategy", F.expr("case when product_id % 3 = 0 then 2 when product_group in ('promo', 'large') then 1 else 0 end"))
     each = s.plausible(s.with_profiles(rows, batch._profiles(spark, sf)), F.col("query"), LEX, batch.RULES).select(*got.columns)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, each.collect())) and got.count() > 0
+
+
+def test_pages_are_taken_apart_once(spark):
+    from vicinia import registry
+
+    # What is left of the plan reads the positions of words, which are written once, not the pages' texts.
+    assert "html" not in plan(registry.queries()["website_candidates"](spark, "/root/testdata/sf0.001"))

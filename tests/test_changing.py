@@ -213,3 +213,62 @@ def test_district_refresh_writes_what_can_be_best(spark, monkeypatch):
     got = {(r.establishment_id, r.product_id) for r in merged.collect()}
     assert got == {(1, 1000), (1, 13), (1, 20), (2, 5), (2, 1000), (2, 6)}
     assert max(sizes) < 100 and after.count() == 2 * 3000 + 2
+
+
+def test_changed_owners_shuffle_a_row_an_owner(spark):
+    cols = "establishment_id long, id long, a string, b string"
+    old = [(1, 1, "x", None), (2, 2, "x", "y"), (3, 3, "x", "y"), (3, 3, "x", "y"), (4, 4, "x", "y"), (5, 5, "x", "y"), (6, 6, None, None), (7, 7, "q", ""), (8, 8, "ab", "c"), (None, 9, "x", "y"), (10, 10, "x", "y"), (10, 11, "z", "y")]
+    new = [(1, 1, None, "x"), (2, 2, "x", "y"), (3, 3, "x", "y"), (5, 4, "x", "y"), (5, 5, "x", "y"), (6, 6, None, None), (7, 7, "q", None), (8, 8, "a", "bc"), (None, 9, "x", "z"), (10, 10, "z", "y"), (10, 11, "x", "y"), (11, 12, None, None)]
+    changed = refresh.changed_owners(spark.createDataFrame(old, cols), spark.createDataFrame(new, cols), "id", ["a", "b"])
+    assert sorted(r[0] for r in changed.collect()) == [1, 3, 4, 5, 7, 8, 10, 11]
+    dealt = changed._jdf.queryExecution().executedPlan().toString().split("hashpartitioning(")[1:]
+    assert dealt and all(x.startswith("establishment_id#") and x.split(")")[0].count("#") == 1 for x in dealt)
+
+
+def test_rows_put_over_the_parts(spark, tmp_path):
+    t = Versioned(spark, str(tmp_path / "t"), "id", 4)
+    t.replace(spark.range(20).selectExpr("id", "'old' as v"))
+    before, parts = t.read(), t.manifest()["parts"]
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id long")
+    assert t.put(ids(3, 4, 5), ids(3, 4).selectExpr("'new' as v", "id")) == 2 and t.put(ids(4, 5), ids(5, 5).selectExpr("id", "'newer' as v")) == 3
+    got = sorted((r.id, r.v) for r in t.read().collect())
+    assert got == sorted([(i, "old") for i in range(20) if i not in (3, 4, 5)] + [(3, "new"), (5, "newer"), (5, "newer")])
+    assert t.manifest()["parts"] == parts and before.where("v = 'old'").count() == 20 and t.layers() == 2
+    assert sorted((r.id, r.v) for k in range(4) for r in t.read([k]).collect()) == got
+    assert t.vacuum() == 0 and sorted((r.id, r.v) for r in t.read().collect()) == got
+    with pytest.raises(ValueError, match="as a whole"):
+        t.replace(t.read([1]), [1])
+    with pytest.raises(ValueError, match="columns"):
+        t.put(ids(1), ids(1))
+    t.replace(t.read())
+    assert t.layers() == 0 and t.vacuum() > 0 and sorted((r.id, r.v) for r in t.read().collect()) == got
+
+
+def test_a_refresh_of_all_parts_writes_what_changed(spark, tmp_path, monkeypatch):
+    """Some rows of most parts change: the rest of them is not written again, and each of several refreshes gives what a full rebuild does."""
+    old, e, p = candidates(spark, SF), establishments(spark, SF), products(spark, SF)
+    t = Versioned(spark, str(tmp_path / "s"), "establishment_id", 2)
+    refresh.refresh_serving(t, None, old, e, p)
+    monkeypatch.setattr(refresh, "LAYERS", 2)
+    at = lambda k: old.withColumn("confidence", F.expr(f"case when establishment_id % 10 in (4, {k}) then cast(0.5 + {k} / 100 as decimal(5,4)) else confidence end"))
+    shown = ["establishment_id", "product_id", "name", "district", "normalized_name", "confidence", "validation_status"]
+    layers, before = [], old
+    for k in range(1, 4):
+        now = at(k)
+        moved = refresh.changed_owners(before, now, "id", ["confidence"])
+        parts = t.manifest()["parts"]
+        refresh.refresh_serving(t, moved, now, e, p)
+        layers.append(t.layers())
+        assert (t.manifest()["parts"] == parts) == (k < 3)
+        assert rows_of(t.read().select(*shown)) == rows_of(serving(merge_candidates(now), e, p).select(*shown))
+        before = now
+    assert layers == [1, 2, 0]
+
+
+def test_places_too_many_to_be_sent_to_all_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(refresh, "BROADCAST", 1)
+    c, e, p = candidates(spark, SF), establishments(spark, SF), products(spark, SF)
+    t = Versioned(spark, str(tmp_path / "s"), "establishment_id", 8)
+    refresh.refresh_serving(t, None, c, e, p)
+    full = serving(merge_candidates(c), e, p)
+    assert rows_of(t.read().select(*full.columns)) == rows_of(full)

@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vicinia.functions import scores
-from vicinia.operators.candidates import dealt_join, rule_rows, ruled
+from vicinia.operators.candidates import BROADCAST, dealt_join, rule_rows, ruled
 from vicinia.operators.merging import keep_latest, merge_candidates, store_order, top_k
-from vicinia.operators.search import serving
+from vicinia.operators.search import serving, shown_pairs, shown_products, shown_stores
 from vicinia.sources import scratch
-from vicinia.sources.versions import Versioned
+from vicinia.sources.versions import PART, Versioned
 
 METHOD = "district_refresh"
+#: Refreshes that are put over the serving dataset before one writes it as a whole.
+LAYERS = 4
 
 
 def district_refresh(district: str, establishments: DataFrame, rules: DataFrame, products: DataFrame, cands: DataFrame, merged: DataFrame, per_store: int = 12, quota_groups: list[str] | None = None, facets: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -79,30 +81,53 @@ def district_refresh(district: str, establishments: DataFrame, rules: DataFrame,
 
 
 def changed_owners(old: DataFrame, new: DataFrame, key: str, values: list[str], owner: str = "establishment_id") -> DataFrame:
-    """The owners of rows that were added, dropped or changed between two snapshots (the keys that K3 finds), on both sides where a row moved."""
-    # Rows of the two sides cancel out, so keys that repeat do no harm.
+    """The owners of rows that were added, dropped or changed between two snapshots (the keys that K3 finds), on both sides where a row moved.
+
+    An owner's rows of the two sides are told apart by their number and the sums of two 64-bit hashes of each, so rows that are on both sides cancel out, keys that repeat do no harm, and
+    what is shuffled is one row a task and owner, not all rows of both sides. A change that leaves both sums as they were, by a chance of 2^-128, would go unseen."""
     rows = lambda df, sign: df.select(owner, key, *values, F.lit(sign).alias("sign"))
-    return rows(old, 1).unionByName(rows(new, -1)).groupBy(owner, key, *values).agg(F.sum("sign").alias("sign")).where(f"sign <> 0 and {owner} is not null").select(owner).distinct()
+    r = rows(old, 1).unionByName(rows(new, -1)).where(F.col(owner).isNotNull())
+    # A hash passes over nulls, so which columns are null is hashed as well. Halves are summed, as sums of whole hashes would overflow.
+    gaps = [F.col(c).isNull() for c in (key, *values)]
+    halves = [F.col("sign") * x for h in ("h1", "h2") for x in (F.col(h).bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32))]
+    r = r.select(owner, F.col("sign").cast("long").alias("sign"), *[F.xxhash64(F.lit(seed), *gaps, key, *values).alias(h) for h, seed in (("h1", 1), ("h2", 2))])
+    sums = r.groupBy(owner).agg(F.sum("sign").alias("s0"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(halves, 1)])
+    return sums.where(" or ".join(f"s{i} <> 0" for i in range(len(halves) + 1))).select(owner)
+
+
+def _dealt_serving(store: Versioned, cands: DataFrame, establishments: DataFrame, products: DataFrame, sources: list[str] | None) -> DataFrame:
+    """The serving dataset of some candidates, dealt to the store's parts. What a pair's place says is the widest part of a row and joins it only when it has been dealt, if places are few enough to be sent to all tasks."""
+    shown = shown_stores(establishments)
+    if shown.limit(BROADCAST + 1).count() > BROADCAST:
+        return store.dealt(serving(merge_candidates(cands, sources=sources), establishments, products))
+    mine = cands.join(F.broadcast(shown.select("establishment_id")), "establishment_id", "left_semi")
+    pairs = shown_pairs(merge_candidates(mine, sources=sources)).join(shown_products(products), "product_id")
+    return store.dealt(pairs).join(F.broadcast(shown), "establishment_id")
 
 
 def refresh_serving(store: Versioned, changed: DataFrame | None, cands: DataFrame, establishments: DataFrame, products: DataFrame, sources: list[str] | None = None) -> int:
     """The serving dataset after a change, as a new version; the number of establishments worked out anew.
 
     `changed` names establishments whose candidates or own rows differ from those that the store was built from; None builds all. Only their candidates are
-    merged, and only parts of the table that hold them are written; other parts stay as they are, file by file. A change of a product's
+    merged, and only parts of the table that hold them are written; other parts stay as they are, file by file. If they are in more than half of the parts, which would write most of the table again for some rows
+    of each part, their rows alone are put over it; the refresh after LAYERS such ones writes the whole table, so a read has few layers to leave rows out of. A change of a product's
     name or group touches the establishments that offer it, which the caller names. `sources`: as for merge_candidates."""
     if changed is None or store.read() is None:
-        full = serving(merge_candidates(cands, sources=sources), establishments, products)
-        store.replace(full)
+        store.replace(_dealt_serving(store, cands, establishments, products, sources))
         return establishments.count()
     ids = scratch.written(changed.select(F.col("establishment_id").cast("long").alias("establishment_id")).where("establishment_id is not null").distinct(), "changed")
     parts = store.parts_of(ids)
     if not parts:
         return 0
     mine = establishments.join(ids.withColumnRenamed("establishment_id", "id"), "id", "left_semi")
-    fresh = serving(merge_candidates(cands.join(ids, "establishment_id", "left_semi"), sources=sources), mine, products)
-    rest = store.read(parts).join(ids, "establishment_id", "left_anti")
-    store.replace(rest.select(*fresh.columns).unionByName(fresh), parts)
+    fresh = _dealt_serving(store, cands.join(ids, "establishment_id", "left_semi"), mine, products, sources)
+    few, layers = 2 * len(parts) <= store.n, store.layers()
+    if (few and not layers) or layers >= LAYERS:
+        touched = None if layers else parts
+        rest = store.read(touched).join(ids, "establishment_id", "left_anti")
+        store.replace(rest.unionByName(fresh.drop(PART)), touched)
+    else:
+        store.put(ids, fresh)
     return ids.count()
 
 

@@ -2,7 +2,9 @@
 
 A table is dealt to parts by a hash of its key. A manifest names the folder of each part; the newest manifest is the table. A change writes the
 parts it touches to folders of their own and then a manifest with the next number: a reader sees the old table or the new one, never a
-mixture, and a writer that dies in between leaves the old one in use. A number can be taken only once, so of two writers one fails."""
+mixture, and a writer that dies in between leaves the old one in use. A number can be taken only once, so of two writers one fails.
+
+Where the keys of a change are in most parts, their rows are put over the parts instead, as a layer with its keys; `replace` of the whole table ends all layers."""
 
 from __future__ import annotations
 
@@ -63,28 +65,57 @@ class Versioned:
         m = self.manifest()
         if m["schema"] is None:
             return None
-        schema = StructType.fromJson(m["schema"])
-        paths = [m["parts"][k] for k in m["parts"] if parts is None or int(k) in parts]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        schema, over, out = StructType.fromJson(m["schema"]), m.get("over", []), None
+        for i, at in enumerate([m["parts"], *[o["parts"] for o in over]]):
+            paths = [at[k] for k in at if parts is None or int(k) in parts]
+            if not paths:
+                continue
+            rows, later = self.spark.read.schema(schema).parquet(*paths), [o["gone"] for o in over[i:]]
+            if later:
+                rows = rows.join(self.spark.read.schema(StructType([schema[self.key]])).parquet(*later), self.key, "left_anti").select(*schema.names)
+            out = rows if out is None else out.unionByName(rows)
+        return out if out is not None else self.spark.createDataFrame([], schema)
+
+    def dealt(self, rows: DataFrame) -> DataFrame:
+        """rows with the number of their part, dealt as they are written; write_parts, replace and put take the result, and what is joined to it by broadcast is not shuffled.
+
+        Parts of more than a task's worth are dealt to several tasks, each of which sorts and writes what it has in its memory."""
+        return rows.withColumn(PART, self.part()).hint("rebalance", F.col(PART))
 
     def write_parts(self, rows: DataFrame, parts: list[int] | None = None) -> dict[str, str]:
         """rows, which are all that the parts hold from now on, in folders of their own, not yet in use."""
         at = f"{self.path}/data/{uuid.uuid4().hex}"
-        dealt = rows.withColumn(PART, self.part())
-        dealt.repartition(PART).sortWithinPartitions(PART, self.key).write.partitionBy(PART).parquet(at)
+        (rows if PART in rows.columns else self.dealt(rows)).sortWithinPartitions(PART, self.key).write.partitionBy(PART).parquet(at)
         fs, p = self._at(at)
         return {s.getPath().getName().split("=")[1]: f"{at}/{s.getPath().getName()}" for s in fs.listStatus(p) if s.isDirectory() and "=" in s.getPath().getName()}
 
     def publish(self, written: dict[str, str], schema: StructType, parts: list[int] | None = None, batch: tuple[str, int] | None = None) -> int:
         """Make written parts the table: all of it, or the given parts, of which those without a folder are empty now."""
         m = self.manifest()
+        if parts is not None and m.get("over"):
+            raise ValueError("rows of some keys are put over the parts: the table can only be replaced as a whole")
         kept = {} if parts is None else {k: v for k, v in m["parts"].items() if int(k) not in parts}
         batches = m["batches"] | ({batch[0]: batch[1]} if batch else {})
         self._switch({"version": m["version"] + 1, "schema": json.loads(schema.json()), "parts": kept | written, "batches": batches})
         return m["version"] + 1
 
     def replace(self, rows: DataFrame, parts: list[int] | None = None, batch: tuple[str, int] | None = None) -> int:
-        return self.publish(self.write_parts(rows, parts), rows.schema, parts, batch)
+        return self.publish(self.write_parts(rows, parts), rows.drop(PART).schema, parts, batch)
+
+    def layers(self) -> int:
+        """How often rows were put over the parts since the table was replaced as a whole."""
+        return len(self.manifest().get("over", []))
+
+    def put(self, keys: DataFrame, rows: DataFrame) -> int:
+        """A version in which `rows` stand in for all rows of some keys, and no other row is written again: readers leave out what the parts hold of these keys."""
+        m = self.manifest()
+        if set(rows.drop(PART).columns) != set(StructType.fromJson(m["schema"]).names):
+            raise ValueError("rows with the columns of the table are needed")
+        gone = f"{self.path}/data/{uuid.uuid4().hex}/keys"
+        keys.select(self.key).distinct().write.parquet(gone)
+        over = {"gone": gone, "parts": self.write_parts(rows)}
+        self._switch(m | {"version": m["version"] + 1, "over": [*m.get("over", []), over]})
+        return m["version"] + 1
 
     def parts_of(self, keys: DataFrame) -> list[int]:
         """Numbers of the parts that hold some keys: at most as many as there are parts."""
@@ -92,7 +123,9 @@ class Versioned:
 
     def vacuum(self) -> int:
         """Delete data folders and manifests that the newest version does not use; for when no reader of an older one is left."""
-        used = {v.rsplit("/", 2)[1] for v in self.manifest()["parts"].values()}
+        m = self.manifest()
+        over = m.get("over", [])
+        used = {v.rsplit("/", 2)[1] for at in (m["parts"], *[o["parts"] for o in over]) for v in at.values()} | {o["gone"].rsplit("/", 2)[1] for o in over}
         fs, p = self._at(f"{self.path}/data")
         gone = [s.getPath() for s in fs.listStatus(p) if s.getPath().getName() not in used] if fs.exists(p) else []
         for x in gone:

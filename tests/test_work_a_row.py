@@ -119,3 +119,17 @@ def test_pages_are_taken_apart_once(spark):
 
     # What is left of the plan reads the positions of words, which are written once, not the pages' texts.
     assert "html" not in plan(registry.queries()["website_candidates"](spark, "/root/testdata/sf0.001"))
+
+
+def test_template_is_dealt_to_many_tasks(spark, monkeypatch):
+    from vicinia.sources import osm
+
+    # One file of one partition each, as small tables are: their many pairs must not all be made by one task.
+    stores, products = spark.range(0, 30, 1, 1), spark.range(100, 300, 1, 1)
+    want = {(s, p) for s in range(30) for p in range(100, 300)}
+    for most in (osm.BROADCAST, 1):
+        monkeypatch.setattr(osm, "BROADCAST", most)
+        t = osm.template(stores, products)
+        rows = t.select("store_id", "product_id").collect()
+        assert len(rows) == len(want) and set(map(tuple, rows)) == want and t.columns == ["store_id", "product_id", "available"]
+        assert t.select(F.spark_partition_id().alias("t")).distinct().count() > 4

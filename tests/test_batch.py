@@ -141,3 +141,26 @@ def test_nearest_join_meets_few_places_of_one_point(spark, monkeypatch):
     p = spark.range(400).selectExpr("1000 - id as place_id", "52.5e0 as lat", "13.4e0 + (id % 2) / 1000e0 as lon")
     got = [(r.place_id, r.nth) for r in batch.nearest_join(s, p, 3, 4_000.0).orderBy("nth").collect()]
     assert got == [(602, 1), (604, 2), (606, 3)] and sum(met) <= 6
+
+
+def test_texts_are_judged_once_a_query_and_name(spark, monkeypatch):
+    """No row of a search is taken apart into words, unless there are too many pairs of queries and names; the rows are the same."""
+    ask = lambda: batch.search_batch(plans.searches(spark, SF), _serving(spark, SF), LEX, profiles=plans._profiles(spark, SF), rules=plans.RULES).select("search_id", "establishment_id", "product_id", "strategy", "rank", "nth")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    got = ask()
+    assert "levenshtein" not in plan(got)
+    monkeypatch.setattr(batch, "PAIRS", 0)
+    each = ask()
+    assert "levenshtein" in plan(each)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, each.collect())) and got.count() > 0
+
+
+def test_strong_finds_are_counted_not_sorted(spark):
+    """Rows of a product or group that is asked for, each once; none under intents; and no window over all that searches find."""
+    point = ["search_lat", "search_lon", "radius_m"]
+    asked = [(1, 0.0, [1, 9], ["g"], []), (2, 0.0, [1], [], []), (3, 0.0, None, None, None), (4, 0.0, [1], ["g"], ["x"]), (5, 1.0, [1], ["g"], []), (6, None, [1], ["g"], [])]
+    q = spark.createDataFrame([(i, lat, 0.0, 5.0, p, g, x) for i, lat, p, g, x in asked], "search_id long, search_lat double, search_lon double, radius_m double, product_ids array<bigint>, groups array<string>, intents array<string>")
+    ids = spark.createDataFrame([(0.0, 0.0, 5.0, 7, p, g) for p, g in [(1, "g"), (2, "g"), (3, "h"), (9, None), (None, "g")]], "search_lat double, search_lon double, radius_m double, establishment_id long, product_id long, product_group string")
+    got = batch.strong_finds(q, ids, point)
+    assert {r.search_id: r.strong for r in got.collect()} == {1: 4, 2: 1, 3: 0, 4: 0, 5: 0, 6: 0}
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()

@@ -164,3 +164,10 @@ def test_strong_finds_are_counted_not_sorted(spark):
     got = batch.strong_finds(q, ids, point)
     assert {r.search_id: r.strong for r in got.collect()} == {1: 4, 2: 1, 3: 0, 4: 0, 5: 0, 6: 0}
     assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_hit_rates_sort_no_rows_that_are_not_shown(spark):
+    """Windows are over rows that have passed the chain of plausibility alone: each orders by rank."""
+    plan = plans.persona_hit_rate(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [x for x in plan.splitlines() if "windowspecdefinition(" in x and "search_id" in x]
+    assert windows and all("rank" in x for x in windows)
